@@ -87,38 +87,42 @@ def keep_bitmaps(
 
 
 def _kept_runs() -> Column:
-    """(start, length) of the lines between the gaps of ``gaps``, in order."""
-    between = F.transform(
-        F.expr("sequence(0, size(gaps))"),
+    """(start, stop) of the lines between the gaps, in order."""
+    gap = lambda k: F.get("__gaps", k)
+    return F.transform(
+        F.sequence(F.lit(0), F.size("__gaps")),
         lambda k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(F.expr("gaps")[k - 1]["start"] + F.expr("gaps")[k - 1]["length"]).alias("start"),
-            F.when(k == F.size("gaps"), F.size("lines")).otherwise(F.get("gaps", k)["start"]).alias("stop"),
+            F.when(k == 0, F.lit(0)).otherwise(gap(k - 1)["start"] + gap(k - 1)["length"]).alias("start"),
+            F.when(k == F.size("__gaps"), F.size("__lines")).otherwise(gap(k)["start"]).alias("stop"),
         ),
     )
-    return between
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text; all other columns stay.
+    """``docs`` with n_lines, n_dropped and kept_text, which replace columns of these names; all others stay.
 
     A null text counts as one empty line. The bitmaps are the build side of a shuffled hash join: they
     are small next to the texts and spread by document.
     """
-    names = [F.col(c) for c in docs.columns]
-    left = docs.withColumn("__version", F.xxhash64(text))
-    joined = left.join(
-        bitmaps.withColumnsRenamed({"doc": "__doc", "version": "__v"}).hint("shuffle_hash"),
-        (F.col(doc_id) == F.col("__doc")) & (F.col("__version") == F.col("__v")),
-        "left",
-    ).withColumn("lines", lines_of(F.col(text)))
-    kept = F.transform(_kept_runs(), lambda r: F.slice("lines", r["start"] + 1, r["stop"] - r["start"]))
-    kept_text = F.when(F.col("gaps").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    added = ("n_lines", "n_dropped", "kept_text")
+    names = [F.col(c) for c in docs.columns if c not in added]
+    bits = bitmaps.select(
+        F.col("doc").alias("__doc"), F.col("version").alias("__v"), F.col("n_dropped").alias("__n"), F.col("gaps").alias("__gaps")
+    )
+    joined = (
+        docs.drop(*(c for c in added if c not in (doc_id, text)))
+        .withColumn("__version", F.xxhash64(text))
+        .join(bits.hint("shuffle_hash"), (F.col(doc_id) == F.col("__doc")) & (F.col("__version") == F.col("__v")), "left")
+        .withColumn("__lines", lines_of(F.col(text)))
+    )
+    kept = F.transform(_kept_runs(), lambda r: F.slice("__lines", r["start"] + 1, r["stop"] - r["start"]))
+    kept_text = F.when(F.col("__gaps").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
         F.array_join(F.flatten(kept), "\n")
     )
     return joined.select(
         *names,
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
         kept_text.alias("kept_text"),
     )
 

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import line_dedup
+from tallyframe.llm import bpe, decontaminate, line_dedup, quality
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+
+def vocabulary_path() -> str:
+    """The byte-level vocabulary that the encoding query uses; it is read in place, never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -42,3 +50,59 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, compression ratios and the verdict of the compression bands."""
+    return quality.score_quality(_docs(spark, sf_dir))
+
+
+@_query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by forced-boundary splitting, and the text that they decode to."""
+    path = vocabulary_path()
+    both = bpe.decode(bpe.encode(_docs(spark, sf_dir), path), path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows, the items they come from and the contamination verdict."""
+    found = decontaminate.contamination(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    ids = F.sort_array(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+ORACLE_SQL["op10_decontaminate"] = f"""
+WITH both_sides AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tokens AS (
+  SELECT side, id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM both_sides),
+items AS (SELECT DISTINCT id AS item, least(len(w), 13) AS n,
+          unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: list_slice(w, i, i + least(len(w), 13) - 1))) AS win
+          FROM tokens WHERE side = 'i' AND len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM items),
+spans AS (SELECT id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM tokens, sizes WHERE side = 'd' AND len(w) >= n),
+hits AS (SELECT s.id, s.pos, s.n, i.item FROM spans s JOIN items i ON i.n = s.n AND i.win = list_slice(s.w, s.pos, s.pos + s.n - 1)),
+words_hit AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY id),
+items_hit AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM hits) GROUP BY id)
+SELECT t.id AS doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(t.w) AS contaminated
+FROM tokens t LEFT JOIN words_hit h ON h.id = t.id LEFT JOIN items_hit i ON i.id = t.id WHERE t.side = 'd'
+"""
