@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of bounded size by value, so that executors need not have its module."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def sized(rows, size, limit: int):
     """Cut an iterable into lists whose summed ``size`` stays near ``limit``; one large row stands alone."""
     out, total = [], 0

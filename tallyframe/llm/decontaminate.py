@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, sized
+from tallyframe.llm._shared import materialize, share, shared, sized
 
 #: Maps A-Z to a-z and every ASCII byte that is no word character to a space.
 _FOLD = bytes(
@@ -84,7 +84,7 @@ def _scan(windows):
     """Arrow kernel (key, doc_id, text as bytes) -> ``_HITS``; a few MB of text at a time."""
 
     def run(batches):
-        tests = windows.value
+        tests = shared(windows)
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
             for part in sized(rows, lambda r: len(r[2] or b""), 2_000_000):
@@ -132,7 +132,7 @@ def find_hits(
     out = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        windows = spark.sparkContext.broadcast(TestWindows([(r[0], bytes(r[1])) for r in own.collect()], n))
+        windows = share(spark, TestWindows([(r[0], bytes(r[1])) for r in own.collect()], n))
         hits = rows.mapInArrow(_scan(windows), _HITS)
         out = hits if out is None else out.unionByName(hits)
     if blocks == 1:

@@ -1,0 +1,57 @@
+import random
+import re
+
+from tallyframe.llm import secret_scan
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    out = []
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), m.end(), 0))
+    for k, (p, least) in enumerate([(r"AKIA[A-Z0-9]+", 16), (r"[0-9a-f]+", 32)], 1):
+        out += [(m.start(), m.end(), k) for m in re.finditer(p, text) if m.end() - m.start() >= least]
+    return sorted(out)
+
+
+PIECES = [
+    "password", "PASSWORD", "passwd", "Secret", "token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abc", "DEADBEEF12", "é",
+    "你", "\n", ",", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "a" * 33, "-", ".", "hello", "==", "ghp_", "eyJ", "🙂",
+]
+
+
+def test_base_rules_equal_regular_expressions():
+    scanner = secret_scan.Scanner()
+    rng = random.Random(2)
+    texts = ["", "\n", "password:token = abcdefghij", "secret=token=abcdefgh12", "token==abcdefgh", "a" * 70000, "token" + " " * 9000]
+    texts += ["".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    for text, found in zip(texts, scanner.scan([t.encode() for t in texts]), strict=True):
+        assert [f for f in found if f[2] < 3] == brute(text), text
+
+
+def test_minimal_automaton_accepts_what_the_patterns_match():
+    rules = (secret_scan.Rule("x", "ab+c|a(b|c)d"), secret_scan.Rule("y", "b{2,3}"))
+    auto = secret_scan.Automaton(rules, search=True)
+    rng = random.Random(4)
+    for _ in range(500):
+        text, state, got = "".join(rng.choice("abcd") for _ in range(9)), 0, 0
+        for c in text.encode():
+            state = auto.step[state, auto.column[c]]
+            got |= int(auto.accepts[state])
+        want = sum(1 << k for k, r in enumerate(rules) if re.search(r.pattern, text))
+        assert got == want
+    assert len(auto.step) <= 12
+
+
+def test_other_rules_and_redaction(spark):
+    key = "ghp_" + "Ab1" * 12
+    docs = spark.createDataFrame(
+        [(1, f"use {key} é now", 5), (2, None, 6), (3, "", 7), (4, "nothing here", 8), (4, "nothing here", 8)],
+        "doc_id long, text string, spans int",
+    )
+    rows = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.find_secrets(docs).collect()}
+    assert rows == {1: [("github", 4, 4 + len(key), False)], 2: [], 3: [], 4: []}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()} == {1: "use [secret] é now", 2: None, 3: "", 4: "nothing here"}
+    assert secret_scan.find_secrets(docs.limit(0)).count() == 0
