@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontaminate, line_dedup, quality, secret_scan
+from tallyframe.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
@@ -108,12 +108,8 @@ FROM tokens t LEFT JOIN words_hit h ON h.id = t.id LEFT JOIN items_hit i ON i.id
 """
 
 
-def _joined(spans, order=None):
-    """kind:start:stop of the spans, comma-joined; sorted by the number of the kind where ``order`` is given."""
-    if order:
-        rank = F.create_map(*(x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i))))
-        keyed = F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-        spans = F.sort_array(keyed)
+def _joined(spans):
+    """kind:start:stop of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
@@ -132,3 +128,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
+
+
+@_query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by patterns and the conditional random field."""
+    found = pii.find_pii(_docs(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(_count("spans", k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
