@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan
+from tallyframe.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan, toxicity, warc
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
@@ -141,3 +141,64 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
+
+
+def held_out(doc_id, parts: int):
+    """Whether the remainder of the id's CRC-32 is 2."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == 2
+
+
+@_query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for every page."""
+    records = warc.derive(warc.responses_from_pages(read_table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest",
+        F.octet_length("block").cast("long").alias("content_length"), F.array_join("headers", "|").alias("header_lines"),
+    )
+
+
+def _duck_uuid(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return "'urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in cuts)
+
+
+def _duck_text(expr: str) -> str:
+    q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for pattern, by in warc.TEXT_STEPS:
+        expr = f"regexp_replace({expr}, {q(pattern)}, {q(by)}, 'g')"
+    return expr
+
+
+_TITLE, _LANG, _LINK = (p.replace("'", "''") for p in (warc.TITLE, warc.LANG, warc.LINK))
+ORACLE_SQL["op7_warc_derivatives"] = f"""
+WITH source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+response AS (SELECT *, {_duck_uuid("'response'", "CAST(page_id AS VARCHAR)", "target_uri")} AS refers_to,
+             'sha256:' || sha256(payload) AS payload_digest FROM source),
+records AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'title: ' || trim(regexp_replace(regexp_extract(payload, '{_TITLE}', 1), '[ \t\r\n]+', ' ', 'g'), ' ')
+    || chr(13) || chr(10) || 'language: ' || regexp_extract(payload, '{_LANG}', 1)
+    || chr(13) || chr(10) || 'outlinks: ' || len(regexp_extract_all(payload, '{_LINK}'))
+    || chr(13) || chr(10) || 'http-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(payload)
+    || chr(13) || chr(10) AS block FROM response
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', {_duck_text("payload")} FROM response),
+named AS (SELECT *, {_duck_uuid("record_type", "refers_to")} AS record_id, 'sha256:' || sha256(block) AS block_digest FROM records)
+SELECT page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest, strlen(block) AS content_length,
+  'WARC-Type: ' || record_type || '|WARC-Record-ID: <' || record_id || '>|WARC-Date: {warc.DATE}|WARC-Target-URI: ' || target_uri
+  || '|WARC-Refers-To: <' || refers_to || '>|WARC-Refers-To-Target-URI: ' || target_uri || '|WARC-Refers-To-Date: {warc.DATE}'
+  || '|WARC-Source-Payload-Digest: ' || payload_digest || '|WARC-Block-Digest: ' || block_digest
+  || '|Content-Type: ' || content_type || '|Content-Length: ' || strlen(block) AS header_lines
+FROM named
+"""
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the nearest labelled examples; learns from rows that are not held out."""
+    docs = _docs(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 4))
+    index = toxicity.fit(docs, labels)
+    return toxicity.score(docs, index).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted", "evidence")
