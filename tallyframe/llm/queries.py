@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan, toxicity, warc
+from tallyframe.llm import bpe, decontaminate, line_dedup, near_dup, pii, quality, secret_scan, toxicity, warc
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
@@ -202,3 +202,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 4))
     index = toxicity.fit(docs, labels)
     return toxicity.score(docs, index).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted", "evidence")
+
+
+@_query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have 80 % of their union in common."""
+    return near_dup.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
