@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontaminate, line_dedup, near_dup, pii, quality, secret_scan, toxicity, warc
+from tallyframe.llm import bpe, decontaminate, language_model, line_dedup, near_dup, pii, quality, secret_scan, toxicity, warc
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
@@ -208,3 +208,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have 80 % of their union in common."""
     return near_dup.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
+
+
+@_query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and attention scores; both learn from the documents that are not held out."""
+    import public_tokenizers
+
+    ranks = language_model.read_ranks(spark, str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    docs = _docs(spark, sf_dir)
+    fitted = language_model.fit(docs.where(~held_out("doc_id", 7)), ranks, bpe.PATTERN)
+    scored = language_model.score(docs, fitted, ranks, bpe.PATTERN)
+    return scored.select(
+        "doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "per_token"
+    )
