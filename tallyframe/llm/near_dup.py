@@ -9,7 +9,8 @@ together over d levels of one tree with probability 0.8^d, so ``TREES`` independ
 Candidates are compared in two passes, so that groups of copies never become all their pairs. First every
 set is held against the smallest set of its nodes (a star, two of which are confirmed per set). Confirmed
 links are closed to components; then leaves, and the nodes that are still large at the full depth, are
-compared exhaustively between sets of different components. Comparing means: sizes within the threshold
+compared exhaustively between sets of different components; sets that meet a large component are compared with
+all its members, block by block. Comparing means: sizes within the threshold
 and 128-bit one-bit minwise sketches that agree in at least ``SKETCH_AGREES`` places (a pair at 0.8 agrees in
 115 on average, deviation 3.4); what is left is confirmed exactly on the full shingle sets of both texts.
 """
@@ -30,6 +31,8 @@ TREES, DEPTH, ROOT_DEPTH, LIMIT = 20, 6, 2, 24
 SKETCH_AGREES = 98
 #: Vertices of candidate links up to which their ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
+#: Components of more sets are compared as groups, in blocks of so many sets.
+GROUP, BLOCK = 32, 128
 _POOL = 128
 _PROFILE = "doc long, n_shingles long, ka long, kb long, s1 long, s2 long, tokens array<int>"
 
@@ -55,8 +58,8 @@ def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def profiles_of(texts: list[bytes], k: int):
-    """Per text: set size, two set hashes, two sketch words, and the minwise tokens."""
+def profiles_of(texts: list[bytes], k: int, sets_only: bool = False):
+    """Per text: set size, two set hashes, two sketch words, and the minwise tokens; or the sorted shingle hashes."""
     import xxhash
 
     words = [t.lower().split() for t in texts]
@@ -77,6 +80,8 @@ def profiles_of(texts: list[bytes], k: int):
         for j in range(size):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + own[j : n - size + 1 + j])
         sets.append(np.unique(h))
+    if sets_only:
+        return sets
     sizes = np.array([len(s) for s in sets])
     some = np.flatnonzero(sizes)
     ka, kb = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
@@ -202,6 +207,85 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return materialize(joined.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
 
+def _across(leaf: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates between different components of a node: pairs (a, b), and (v, component) for components over ``GROUP``.
+
+    A set that may link to members of a large component is named once, not with each member.
+    """
+    of = near.join(near.groupBy("component").agg(F.count("*").alias("many")), "component").select("v", F.col("component").alias("own"), "many")
+    leaf = materialize(
+        leaf.join(of, "v", "left").withColumns({"own": F.coalesce("own", "v"), "many": F.coalesce("many", F.lit(1))}), "leaves"
+    )
+    mixed = materialize(
+        leaf.groupBy("node").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("node", "first"), "mixed"
+    )
+    # One of two different components is not the first of the node: those rows meet all others.
+    left = leaf.join(mixed, "node").where("own <> first").select("node", *(F.col(c).alias(f"l_{c}") for c in ("v", "n", "s1", "s2", "own")))
+    small, large = (leaf.where(F.col("many") <= GROUP), leaf.where(F.col("many") > GROUP))
+    right = small.select("node", *(F.col(c).alias(f"r_{c}") for c in ("v", "n", "s1", "s2", "own")))
+    pairs = left.join(right, "node").where(
+        (F.col("l_own") != F.col("r_own")) & _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
+    ).select(F.greatest("l_v", "r_v").alias("a"), F.least("l_v", "r_v").alias("b"))
+    parts = materialize(large.groupBy("node", "own").agg(F.min("n").alias("low"), F.max("n").alias("high")), "parts")
+    every = leaf.select("node", F.col("v"), "n", F.col("own").alias("mine"))
+    outside = (
+        every.join(parts, "node")
+        .where((F.col("mine") != F.col("own")) & (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
+        .select("v", F.col("own").alias("component")).distinct()
+    )
+    return pairs, outside
+
+
+def _compare_blocks(k: int, percent: int):
+    """Arrow group of rows (key, inside, v, text): links of the sets outside with those inside, one for each set at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        inside, ids, texts = (table.column(c).to_pylist() for c in ("inside", "v", "text"))
+        sets = profiles_of([t or b"" for t in texts], k, sets_only=True)
+        here = [i for i, x in enumerate(inside) if x]
+        a, b = [], []
+        if here:
+            sizes = np.array([len(sets[i]) for i in here])
+            flat, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in (i for i, x in enumerate(inside) if not x):
+                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[at], minlength=len(here))
+                hit = np.flatnonzero((common > 0) & (100 * common >= percent * (len(sets[i]) + sizes - common)))
+                if len(hit):
+                    best = int(hit[np.argmax(common[hit])])
+                    a.append(max(ids[i], ids[here[best]]))
+                    b.append(min(ids[i], ids[here[best]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _against_groups(outside: DataFrame, near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets and the large components they may belong to: every member is compared, block by block.
+
+    Members and sets are dealt into blocks of ``BLOCK``; a task compares a block of the one with a block of the other, so no
+    task grows with the group. One link suffices to join a set to a component.
+    """
+    outside = materialize(outside, "outside")
+    sizes = near.groupBy("component").agg(F.count("*").alias("members"))
+    plan = outside.groupBy("component").agg(F.count("*").alias("others")).join(sizes, "component").select(
+        "component", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("others") / BLOCK).cast("int").alias("ob")
+    )
+    plan = materialize(plan, "blocks")
+    deal = lambda mine, count: F.pmod(F.xxhash64("v"), F.col(count)).cast("int").alias(mine)
+    members = near.join(plan, "component").select("component", "v", F.lit(True).alias("inside"), deal("i", "mb"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"))
+    others = outside.join(plan, "component").select("component", "v", F.lit(False).alias("inside"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), deal("j", "ob"))
+    rows = materialize(members.select("component", "i", "j", "inside", "v").union(others.select("component", "i", "j", "inside", "v")), "dealt")
+    ends = materialize(rows.select("v").distinct(), "ends")
+    few = ends.count() <= BROADCAST_IDS
+    wanted = materialize(texts.join(F.broadcast(ends) if few else ends, "v", "left_semi"), "texts").select("v", F.col("text").cast("binary").alias("text"))
+    return rows.join(wanted, "v").groupBy("component", "i", "j").applyInArrow(_compare_blocks(k, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -225,18 +309,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = confirmed(first, texts, k, percent)
     near = components(links)
 
-    named = near.select(F.col("v"), F.col("component").alias("own"))
-    leaf = materialize(leaf.join(named, "v", "left").withColumn("own", F.coalesce("own", "v")), "leaves")
-    mixed = materialize(
-        leaf.groupBy("node").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("node", "first"), "mixed"
-    )
-    # One of two different components is not the first of the node: those rows meet all others.
-    left = leaf.join(mixed, "node").where("own <> first").select("node", *(F.col(c).alias(f"l_{c}") for c in ("v", "n", "s1", "s2", "own")))
-    right = leaf.select("node", *(F.col(c).alias(f"r_{c}") for c in ("v", "n", "s1", "s2", "own")))
-    pairs = left.join(right, "node").where(
-        (F.col("l_own") != F.col("r_own")) & _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
-    ).select(F.greatest("l_v", "r_v").alias("a"), F.least("l_v", "r_v").alias("b"))
-    second = confirmed(pairs, texts, k, percent)
+    pairs, outside = _across(leaf, near, percent)
+    second = confirmed(pairs.union(_against_groups(outside, near, texts, k, percent)), texts, k, percent)
     whole = components(links.union(second))
 
     of_set = sets.select("ka", "kb", "v").join(whole, "v", "left").select(
