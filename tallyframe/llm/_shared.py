@@ -74,3 +74,10 @@ def sized(rows, size, limit: int):
         total += n
     if out:
         yield out
+
+
+def rows_of(batch, columns: int, step: int = 128):
+    """The rows of an Arrow batch as tuples of Python values, a slice at a time, so that no batch stands in memory twice."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(*(part.column(c).to_pylist() for c in range(columns)), strict=True)

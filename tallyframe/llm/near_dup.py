@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, sized
+from tallyframe.llm._shared import materialize, rows_of, sized
 from tallyframe.llm.components import components
 
 TREES, DEPTH, ROOT_DEPTH, LIMIT = 20, 6, 2, 24
@@ -105,8 +105,7 @@ def profiles_of(texts: list[bytes], k: int, sets_only: bool = False):
 def _profile(k: int):
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in sized(rows, lambda r: len(r[1] or b""), 2_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
                 sizes, *longs, tokens = profiles_of([r[1] or b"" for r in part], k)
                 values = pa.array(tokens.ravel().view(np.int32))
                 offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * tokens.shape[1])
