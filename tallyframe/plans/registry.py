@@ -2,5 +2,303 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions import columns as C
+from tallyframe.operators import curves, duplicates, ensemble, metrics, results, splits
+from tallyframe.plans import fixtures as X
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+_FAMILY = ("accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy", "predicted_positive_ratio", "positive_ratio")
+
+
+def _family(n: int = 9) -> str:
+    d = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0::DOUBLE END"
+    all_ = "(tn + fp + fn + tp)"
+    cols = {
+        "accuracy": d("(tn + tp)", all_), "precision": d("tp", "(tp + fp)"), "recall": d("tp", "(tp + fn)"), "specificity": d("tn", "(tn + fp)"),
+        "f1": d("(2 * tp)", "(2 * tp + fp + fn)"), "balanced_accuracy": f"({d('tp', '(tp + fn)')} + {d('tn', '(tn + fp)')}) / 2",
+        "predicted_positive_ratio": d("(tp + fp)", all_), "positive_ratio": d("(tp + fn)", all_),
+    }
+    return ", ".join(f"round({v}, {n}) AS {k}" for k, v in cols.items())
+
+
+def _counts(prob: str, cut: str, label: str = "label") -> str:
+    f = lambda y, op: f"count(*) FILTER (WHERE {label} = {y} AND {prob} {op} {cut})"
+    return f"{f(0, '<')} AS tn, {f(0, '>=')} AS fp, {f(1, '<')} AS fn, {f(1, '>=')} AS tp"
+
+
+# -- class balance ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, n AS (SELECT label, count(*) AS n FROM samples GROUP BY label)
+SELECT label, n, n / CAST((SELECT sum(n) FROM n) AS DOUBLE) AS ratio, (SELECT max(n) FROM n) >= CAST(0.7 AS DOUBLE) * (SELECT sum(n) FROM n) AS imbalanced FROM n""")
+def class_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.class_balance(X.samples(spark, sf))
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, dim AS (SELECT unnest([0, 1, 2]) AS label)
+SELECT label, count(sample_id) AS n, round(100 * count(sample_id) / CAST((SELECT count(*) FROM samples) AS DOUBLE), 9) AS percent FROM dim LEFT JOIN samples USING (label) GROUP BY label""")
+def class_summary(spark, sf):
+    return rounded(metrics.class_summary(X.samples(spark, sf), [0, 1, 2]), "percent")
+
+
+@query(f"""WITH {X.SAMPLES_SQL} SELECT CASE WHEN fold = 0 THEN 'val' ELSE 'train' END AS split, count(*) FILTER (WHERE label = 0) AS negative,
+count(*) FILTER (WHERE label = 1) AS positive FROM samples GROUP BY 1""")
+def split_label_pivot(spark, sf):
+    return metrics.split_label_pivot(X.samples(spark, sf).withColumn("split", F.when(F.col("fold") == 0, "val").otherwise("train")))
+
+
+@query(f"""WITH {X.SAMPLES_SQL} SELECT label, count(*) AS n, (SELECT count(*) FROM samples) / (2.0::DOUBLE * count(*)) AS weight FROM samples GROUP BY label""")
+def class_weights(spark, sf):
+    return metrics.class_weights(X.samples(spark, sf))
+
+
+@query(f"""WITH {X.SAMPLES_SQL} SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives,
+CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE label = 1), 0) AS pos_weight FROM samples""")
+def positive_weight(spark, sf):
+    return metrics.positive_weight(X.samples(spark, sf))
+
+
+# -- metrics at thresholds -----------------------------------------------------------------------
+
+
+@query(f"WITH {X.PREDICTIONS_SQL} SELECT model, {_counts('ppm', '400000')} FROM p GROUP BY model")
+def confusion_by_model(spark, sf):
+    return metrics.confusion(X.predictions(spark, sf), 0.4, keys=["model"])
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, c AS (SELECT model, fold, {_counts('ppm', '500000')} FROM p GROUP BY model, fold) SELECT model, fold, tn, fp, fn, tp, {_family()} FROM c")
+def metrics_by_model_fold(spark, sf):
+    return rounded(metrics.binary_metrics(X.predictions(spark, sf), 0.5, keys=["model", "fold"]), *_FAMILY)
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, c AS (SELECT {_counts('ppm', '400000')} FROM p),
+s AS (SELECT 'negative' AS class, tn / CAST(tn + fn AS DOUBLE) AS precision, tn / CAST(tn + fp AS DOUBLE) AS recall, 2 * tn / CAST(2 * tn + fn + fp AS DOUBLE) AS f1, tn + fp AS support FROM c
+      UNION ALL SELECT 'positive', tp / CAST(tp + fp AS DOUBLE), tp / CAST(tp + fn AS DOUBLE), 2 * tp / CAST(2 * tp + fn + fp AS DOUBLE), tp + fn FROM c)
+SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM s
+UNION ALL SELECT 'macro avg', round(sum(precision) / 2, 9), round(sum(recall) / 2, 9), round(sum(f1) / 2, 9), CAST(sum(support) AS BIGINT) FROM s
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM s""")
+def class_report(spark, sf):
+    return rounded(metrics.class_report(X.predictions(spark, sf), 0.4), "precision", "recall", "f1")
+
+
+_SWEEP = f"""t AS (SELECT unnest(range(50, 951)) AS threshold_milli),
+c AS (SELECT model, threshold_milli, {_counts('ppm', 'threshold_milli * 1000')} FROM h CROSS JOIN t GROUP BY model, threshold_milli)"""
+_SWEEP = f"""h AS (SELECT model, label, least(950, greatest(49, ppm // 1000)) AS milli, count(*) AS k FROM p GROUP BY 1, 2, 3), t AS (SELECT unnest(range(50, 951)) AS threshold_milli),
+c AS (SELECT model, threshold_milli, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND milli < threshold_milli), 0) AS BIGINT) AS tn, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND milli >= threshold_milli), 0) AS BIGINT) AS fp,
+  CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND milli < threshold_milli), 0) AS BIGINT) AS fn, CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND milli >= threshold_milli), 0) AS BIGINT) AS tp FROM h CROSS JOIN t GROUP BY model, threshold_milli),
+sweep AS (SELECT model, threshold_milli, tn, fp, fn, tp, {_family()} FROM c)"""
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, {_SWEEP} SELECT * FROM sweep")
+def threshold_sweep(spark, sf):
+    """Every threshold from 0.05 to 0.95 for each model, from one pass."""
+    return rounded(metrics.threshold_sweep(X.predictions(spark, sf), keys=["model"]), *_FAMILY)
+
+
+def _best(metric: str) -> str:
+    return f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP} SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {metric} DESC, threshold_milli) AS r FROM sweep) WHERE r = 1"""
+
+
+@query(_best("accuracy"))
+def best_threshold_accuracy(spark, sf):
+    return metrics.best_threshold(threshold_sweep(spark, sf), "accuracy", ["model"])
+
+
+@query(_best("f1"))
+def best_threshold_f1(spark, sf):
+    return metrics.best_threshold(threshold_sweep(spark, sf), "f1", ["model"])
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP}, m AS (SELECT * FROM sweep WHERE model = 0)
+SELECT * FROM (SELECT 'fixed' AS point, * FROM m WHERE threshold_milli = 500)
+UNION ALL SELECT * FROM (SELECT 'best_f1', * FROM m ORDER BY f1 DESC, threshold_milli LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'recall_at_specificity', * FROM m WHERE specificity >= CAST(0.95 AS DOUBLE) ORDER BY recall DESC, threshold_milli LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'fewest_fp_fn_100', * FROM m WHERE fn <= 100 ORDER BY fp, threshold_milli LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'fewest_fp_fn_1000', * FROM m WHERE fn <= 1000 ORDER BY fp, threshold_milli LIMIT 1)""")
+def operating_points(spark, sf):
+    return metrics.operating_points(threshold_sweep(spark, sf).where("model = 0"), max_fn=(100, 1000))
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP} SELECT threshold_milli, tn + fn AS predicted_negative, tp + fp AS predicted_positive,
+CAST(tp + fp AS DOUBLE) / (tn + fp + fn + tp) AS positive_ratio FROM c WHERE model = 1 AND threshold_milli IN (300, 400, 500)""")
+def predicted_counts(spark, sf):
+    return metrics.predicted_counts(threshold_sweep(spark, sf).where("model = 1 AND threshold_milli IN (300, 400, 500)"))
+
+
+# -- curves ---------------------------------------------------------------------------------------
+
+_RANKED = """s AS (SELECT model, ppm, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM p GROUP BY model, ppm),
+r AS (SELECT *, CAST(sum(pos) OVER q AS BIGINT) AS tp, CAST(sum(neg) OVER q AS BIGINT) AS fp, CAST(sum(pos) OVER (PARTITION BY model) AS BIGINT) AS pa, CAST(sum(neg) OVER (PARTITION BY model) AS BIGINT) AS na
+      FROM s WINDOW q AS (PARTITION BY model ORDER BY ppm DESC))"""
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, {_RANKED} SELECT model, CAST(sum(pos * (2 * (na - fp) + neg)) AS DOUBLE) / (2.0 * max(pa) * max(na)) AS auroc FROM r GROUP BY model")
+def auroc_by_model(spark, sf):
+    return curves.auroc(X.predictions(spark, sf), ["model"])
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, {_RANKED} SELECT model, round(sum(pos * (tp / CAST(tp + fp AS DOUBLE))) / max(pa), 9) AS average_precision FROM r GROUP BY model")
+def average_precision_by_model(spark, sf):
+    return rounded(curves.average_precision(X.predictions(spark, sf), ["model"]), "average_precision")
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, {_RANKED} SELECT model, ppm AS score, tp, fp, CAST(tp AS DOUBLE) / pa AS tpr, CAST(fp AS DOUBLE) / na AS fpr FROM r")
+def roc_points(spark, sf):
+    return curves.roc_points(X.predictions(spark, sf), ["model"], prob="ppm")
+
+
+@query(f"WITH {X.PREDICTIONS_SQL}, {_RANKED} SELECT model, ppm AS score, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / pa AS recall FROM r")
+def pr_points(spark, sf):
+    return curves.pr_points(X.predictions(spark, sf), ["model"], prob="ppm")
+
+
+# -- ensembles ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.VIEWS_SQL} SELECT sample_id, label, model, fold, s4 / 4.0::DOUBLE AS ppm FROM v")
+def view_mean(spark, sf):
+    return ensemble.mean_over_views(X.predictions(spark, sf), "ppm")
+
+
+@query(f"WITH {X.VIEWS_SQL} SELECT sample_id, label, model, avg(s4 / 4.0::DOUBLE) AS ppm FROM v GROUP BY sample_id, label, model")
+def fold_mean(spark, sf):
+    return ensemble.mean_over_folds(ensemble.mean_over_views(X.predictions(spark, sf), "ppm"), "ppm")
+
+
+@query(f"WITH {X.VIEWS_SQL} SELECT * FROM w WHERE m_0 IS NOT NULL AND m_1 IS NOT NULL AND m_2 IS NOT NULL")
+def pivot_models(spark, sf):
+    return ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
+
+
+@query(f"WITH {X.VIEWS_SQL} SELECT sample_id, label, round((15 * m_0 + 3 * m_1) / (4.0::DOUBLE * 18), 6) AS ppm FROM w")
+def ensemble_blend(spark, sf):
+    weights = spark.createDataFrame([(0, 15), (1, 3), (2, 0)], "model int, weight int")
+    return rounded(ensemble.blend(X.views(spark, sf).withColumn("ppm", F.col("s4") / 4), weights, "ppm"), "ppm", digits=6)
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, c AS (SELECT model, fold, {_counts('ppm', '500000')} FROM p GROUP BY model, fold),
+a AS (SELECT model, avg(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE)) AS avg_f1 FROM c GROUP BY model)
+SELECT model, round(avg_f1, 9) AS avg_f1, round(avg_f1 / ((SELECT sum(avg_f1) FROM a) + CAST(1e-8 AS DOUBLE)), 9) AS weight FROM a""")
+def f1_weights(spark, sf):
+    return rounded(ensemble.f1_weights(ensemble.fold_metrics(X.predictions(spark, sf))), "avg_f1", "weight")
+
+
+_GRID = """g AS (SELECT a AS w_0, b AS w_1, 20 - a - b AS w_2, (a * 21 + b) * 21 + 20 - a - b AS weight_id FROM (SELECT unnest(range(21)) AS a), (SELECT unnest(range(21)) AS b) WHERE a + b <= 20),
+h AS (SELECT weight_id, label, (m_0 * w_0 + m_1 * w_1 + m_2 * w_2) // 800000 AS cent, count(*) AS k FROM w CROSS JOIN g GROUP BY 1, 2, 3),
+t AS (SELECT unnest(range(5, 96)) AS cut),
+c AS (SELECT weight_id, cut, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND cent < cut), 0) AS BIGINT) AS tn, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND cent >= cut), 0) AS BIGINT) AS fp,
+  CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND cent < cut), 0) AS BIGINT) AS fn, CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND cent >= cut), 0) AS BIGINT) AS tp FROM h CROSS JOIN t GROUP BY weight_id, cut)"""
+
+
+@query(f"""WITH {X.VIEWS_SQL}, {_GRID} SELECT CAST(weight_id AS INTEGER) AS weight_id, CAST(cut * 10 AS INTEGER) AS threshold_milli, tn, fp, fn, tp, {_family()} FROM c
+ORDER BY (tn + tp) DESC, weight_id, cut LIMIT 1""")
+def grid_search_best(spark, sf):
+    """All 231 weight triples at 91 thresholds in one aggregation."""
+    wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
+    best = ensemble.grid_search(wide, ensemble.simplex_grid(spark, X.MODELS), X.MODELS, 20, 50, 950, 10, scale=4000000)
+    return rounded(best, *_FAMILY)
+
+
+@query()
+def weight_refine(spark, sf):
+    """Coarse to fine around the winner; tested against the full grid at the finer step."""
+    wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
+    grid = ensemble.simplex_grid(spark, X.MODELS)
+    options = {"lo": 50, "hi": 950, "step": 10, "scale": 4000000}
+    best = ensemble.grid_search(wide, grid, X.MODELS, 20, **options).join(grid, "weight_id").first().asDict()
+    return ensemble.refine_search(wide, X.MODELS, best, **options)
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL} SELECT model, count(*) AS n, min(ppm) AS min, max(ppm) AS max, round(avg(ppm), 6) AS mean, round(median(ppm), 6) AS median, round(stddev_pop(ppm), 3) AS std_pop, round(stddev_samp(ppm), 3) AS std_samp FROM p GROUP BY model""")
+def prob_stats(spark, sf):
+    return rounded(rounded(ensemble.prob_stats(X.predictions(spark, sf), ["model"], "ppm"), "mean", "median", digits=6), "std_pop", "std_samp", digits=3)
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, n AS (SELECT model, least(24, ppm // 40000) AS bin, count(*) AS n FROM p GROUP BY 1, 2), grid AS (SELECT DISTINCT model, bin FROM p, (SELECT unnest(range(25)) AS bin))
+SELECT model, CAST(bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) * 25 / CAST((SELECT count(*) FROM p x WHERE x.model = grid.model) AS DOUBLE), 9) AS density FROM grid LEFT JOIN n USING (model, bin)""")
+def prob_histogram(spark, sf):
+    # ppm / 40000 floors as the product of the probability and 25 does, but for places next to a bound
+    p = X.predictions(spark, sf).withColumn("prob", (F.col("ppm") + 0.5) / 1000000.0)
+    return rounded(ensemble.prob_histogram(p, 25, ["model"]), "density")
+
+
+_PAIRS = "(SELECT unnest([0, 0, 0, 1, 1, 2]) AS model_a, unnest([0, 1, 2, 1, 2, 2]) AS model_b)"
+_PICK = "CASE {m} WHEN 0 THEN m_0 WHEN 1 THEN m_1 ELSE m_2 END"
+
+
+@query(f"""WITH {X.VIEWS_SQL} SELECT model_a, model_b, round(corr({_PICK.format(m='model_a')}, {_PICK.format(m='model_b')}), 6) AS correlation FROM w CROSS JOIN {_PAIRS} GROUP BY model_a, model_b""")
+def model_correlation(spark, sf):
+    return rounded(ensemble.model_correlation(ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4"), X.MODELS), "correlation", digits=6)
+
+
+@query(f"""WITH {X.VIEWS_SQL}, e AS (SELECT model_a, model_b, (({_PICK.format(m='model_a')}) >= 2000000) <> (label = 1) AS a, (({_PICK.format(m='model_b')}) >= 2000000) <> (label = 1) AS b FROM w CROSS JOIN {_PAIRS})
+SELECT model_a, model_b, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a OR b) AS either, CASE WHEN count(*) FILTER (WHERE a OR b) > 0 THEN CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / count(*) FILTER (WHERE a OR b) ELSE 1.0 END AS jaccard FROM e GROUP BY model_a, model_b""")
+def error_jaccard(spark, sf):
+    return ensemble.error_jaccard(ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4"), X.MODELS, 0.5, scale=4000000.0)
+
+
+@query(f"""WITH {X.PREDICTIONS_SQL}, seen AS (SELECT DISTINCT model, fold FROM p WHERE NOT (model = 1 AND fold = 3))
+SELECT model, fold FROM (SELECT unnest([0, 1, 2]) AS model), (SELECT CAST(unnest(range(5)) AS BIGINT) AS fold) EXCEPT SELECT model, fold FROM seen""")
+def model_fold_completeness(spark, sf):
+    return ensemble.missing_model_folds(X.predictions(spark, sf).where("NOT (model = 1 AND fold = 3)"), X.MODELS, range(5))
+
+
+@query(f"""WITH {X.VIEWS_SQL}, b AS (SELECT sample_id, label, m_0 + m_1 + m_2 AS s12 FROM w)
+SELECT sample_id, label, s12, CASE WHEN s12 >= 4800000 THEN 1 ELSE 0 END AS pred, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_type FROM b WHERE (s12 >= 4800000) <> (label = 1)""")
+def error_samples(spark, sf):
+    """Samples that the mean of all models gets wrong at 0.4."""
+    b = X.views(spark, sf).groupBy("sample_id", "label").agg(F.sum("s4").alias("s12")).withColumn("prob", F.col("s12") / 12000000.0)
+    return results.errors(b, threshold=0.4).drop("prob")
+
+
+@query(f"""WITH {X.VIEWS_SQL}, c AS (SELECT sample_id, label, s4, CASE WHEN label = 1 AND s4 >= 1600000 THEN 'tp' WHEN label = 1 THEN 'fn' WHEN s4 >= 1600000 THEN 'fp' END AS case_type FROM v WHERE model = 0)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY s4 DESC, sample_id) AS r FROM c WHERE case_type IS NOT NULL) WHERE r <= 5""")
+def top_cases(spark, sf):
+    return results.top_cases(X.views(spark, sf).where("model = 0"), 0.4, ">=", 5).select("sample_id", "label", "s4", "case_type")
+
+
+@query(f"""WITH {X.VIEWS_SQL} SELECT sample_id, label, CASE WHEN s4 >= 2000000 THEN 1 ELSE 0 END AS pred, round(greatest(s4, 4000000 - s4) / 4000000.0::DOUBLE, 9) AS confidence,
+round(-ln(greatest(least(CASE WHEN label = 1 THEN s4 / 4000000.0::DOUBLE ELSE 1 - s4 / 4000000.0::DOUBLE END, 1 - CAST(1e-7 AS DOUBLE)), CAST(1e-7 AS DOUBLE))), 6) AS loss, (s4 >= 2000000) = (label = 1) AS is_correct FROM v WHERE model = 2""")
+def enriched_predictions(spark, sf):
+    out = results.enrich_predictions(X.views(spark, sf).where("model = 2"))
+    return out.select("sample_id", "label", "pred", F.round("confidence", 9).alias("confidence"), F.round("loss", 6).alias("loss"), "is_correct")
+
+
+@query(f"""WITH {X.VIEWS_SQL} SELECT sample_id, m_0 AS s4_a, m_1 AS s4_b FROM w WHERE (m_0 >= 1600000) <> (m_1 >= 1600000)""")
+def compare_decisions(spark, sf):
+    v = X.views(spark, sf)
+    out = ensemble.compare_decisions(v.where("model = 0"), v.where("model = 1"), 0.4)
+    return out.select("sample_id", F.round(F.col("prob_a") * 4000000).cast("long").alias("s4_a"), F.round(F.col("prob_b") * 4000000).cast("long").alias("s4_b"))
+
+
+@query(f"""WITH {X.VIEWS_SQL} SELECT count(*) AS n, round(max(abs(m_0 - m_1)) / 4000000.0::DOUBLE, 9) AS max_drift, round(avg(abs(m_0 - m_1)) / 4000000.0::DOUBLE, 9) AS mean_drift FROM w""")
+def score_drift(spark, sf):
+    v = X.views(spark, sf)
+    return rounded(ensemble.score_drift(v.where("model = 0"), v.where("model = 1")), "max_drift", "mean_drift")
+
+
+@query()
+def stacking_logistic(spark, sf):
+    """Out-of-sample probabilities of the logistic stacker; tested against Newton's method on the same objective."""
+    wide = ensemble.pivot_models(X.views(spark, sf).withColumn("p", F.col("prob")), X.MODELS, value="p")
+    return ensemble.fit_stacker(wide, X.MODELS).transform(wide).select("sample_id", "label", F.round("prob", 6).alias("prob"))
