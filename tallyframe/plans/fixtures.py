@@ -64,10 +64,10 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
 NODES_SQL = """grids AS (SELECT vec_id, embedding AS g, list_sum([CAST(x AS DOUBLE) for x in embedding]) / len(embedding) AS mean FROM embeddings),
 nodes AS (
   SELECT d.doc_id AS node, l.quality AS label, CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS pool, sha256(d.text) AS exact_sha256,
-         list_aggregate([substr('0123456789abcdef', CAST(8 * (CASE WHEN g[4*k+1] > mean THEN 1 ELSE 0 END) + 4 * (CASE WHEN g[4*k+2] > mean THEN 1 ELSE 0 END)
-           + 2 * (CASE WHEN g[4*k+3] > mean THEN 1 ELSE 0 END) + (CASE WHEN g[4*k+4] > mean THEN 1 ELSE 0 END) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') AS ahash12,
-         list_aggregate([substr('0123456789abcdef', CAST(list_sum([(CASE WHEN g[((4*k+j)//7)*8 + (4*k+j)%7 + 2] > g[((4*k+j)//7)*8 + (4*k+j)%7 + 1] THEN 1 ELSE 0 END)
-           * (8 // CAST(pow(2, j) AS BIGINT)) for j in range(4)]) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') AS dhash12
+         CASE WHEN grids.vec_id IS NULL THEN NULL ELSE list_aggregate([substr('0123456789abcdef', CAST(8 * (CASE WHEN g[4*k+1] > mean THEN 1 ELSE 0 END) + 4 * (CASE WHEN g[4*k+2] > mean THEN 1 ELSE 0 END)
+           + 2 * (CASE WHEN g[4*k+3] > mean THEN 1 ELSE 0 END) + (CASE WHEN g[4*k+4] > mean THEN 1 ELSE 0 END) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') END AS ahash12,
+         CASE WHEN grids.vec_id IS NULL THEN NULL ELSE list_aggregate([substr('0123456789abcdef', CAST(list_sum([(CASE WHEN g[((4*k+j)//7)*8 + (4*k+j)%7 + 2] > g[((4*k+j)//7)*8 + (4*k+j)%7 + 1] THEN 1 ELSE 0 END)
+           * (8 // CAST(pow(2, j) AS BIGINT)) for j in range(4)]) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') END AS dhash12
   FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN grids ON grids.vec_id = d.doc_id)"""
 
 

@@ -302,3 +302,353 @@ def stacking_logistic(spark, sf):
     """Out-of-sample probabilities of the logistic stacker; tested against Newton's method on the same objective."""
     wide = ensemble.pivot_models(X.views(spark, sf).withColumn("p", F.col("prob")), X.MODELS, value="p")
     return ensemble.fit_stacker(wide, X.MODELS).transform(wide).select("sample_id", "label", F.round("prob", 6).alias("prob"))
+
+
+# -- duplicates and groups -------------------------------------------------------------------------
+
+_LONG = """kinds AS (SELECT node, label, pool, 'exact_sha256' AS duplicate_type, exact_sha256 AS hash FROM nodes UNION ALL SELECT node, label, pool, 'ahash12', ahash12 FROM nodes
+  UNION ALL SELECT node, label, pool, 'dhash12', dhash12 FROM nodes), long AS (SELECT * FROM kinds WHERE hash IS NOT NULL)"""
+
+
+def _buckets(kind: str):
+    sql = f"WITH {X.NODES_SQL} SELECT {kind} AS hash, count(*) AS n, min(node) AS first_node FROM nodes WHERE {kind} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+
+    def run(spark, sf):
+        return (
+            X.nodes(spark, sf).where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("hash")).agg(F.count("*").alias("n"), F.min("node").alias("first_node")).where("n > 1")
+        )
+
+    return sql, run
+
+
+for _name, _kind in (("exact_duplicates", "exact_sha256"), ("ahash_buckets", "ahash12"), ("dhash_buckets", "dhash12")):
+    ORACLE_SQL[_name], QUERIES[_name] = _buckets(_kind)
+
+
+_REPORT = f"""{X.NODES_SQL}, {_LONG}, tagged AS (SELECT *, CASE WHEN pool = 'test' THEN 'test' WHEN node % 5 = 0 THEN 'generated_val' ELSE 'generated_train' END AS split FROM long),
+report AS (SELECT duplicate_type, hash, count(*) AS count, array_to_string(list_sort(list(DISTINCT split)), '|') AS splits, array_to_string(list_sort(list(node)), '|') AS members,
+  count(*) FILTER (WHERE split <> 'test') AS train_members, bool_or(split = 'generated_train') AND bool_or(split = 'generated_val') AS train_val_leakage_risk,
+  bool_or(split <> 'test') AND bool_or(split = 'test') AS train_test_leakage_risk FROM tagged GROUP BY duplicate_type, hash HAVING count(*) > 1)"""
+
+
+def _report(spark, sf):
+    n = X.nodes(spark, sf)
+    train = n.where("pool = 'train'").select("node")
+    tagged = duplicates.tag_split(n, train.where("node % 5 <> 0"), train.where("node % 5 = 0"), "node")
+    return duplicates.duplicate_report(tagged, "node", X.HASHES).withColumns({"splits": F.array_join("splits", "|"), "members": F.array_join("members", "|")})
+
+
+@query(f"WITH {_REPORT} SELECT * FROM report")
+def duplicate_report(spark, sf):
+    return _report(spark, sf)
+
+
+@query(f"WITH {_REPORT} SELECT duplicate_type, hash, count, train_test_leakage_risk FROM report WHERE train_test_leakage_risk")
+def leakage_flags(spark, sf):
+    return duplicates.leakage_rows(_report(spark, sf)).select("duplicate_type", "hash", "count", "train_test_leakage_risk")
+
+
+_GROUPS = f"""RECURSIVE {X.NODES_SQL}, {_LONG}, low AS (SELECT duplicate_type, hash, min(node) AS b FROM long GROUP BY 1, 2 HAVING count(*) > 1),
+star AS (SELECT DISTINCT node AS a, b FROM long JOIN low USING (duplicate_type, hash) WHERE node <> b), edges AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT a AS node, min(b) AS group_id FROM reach GROUP BY a), grouped AS (SELECT n.node, n.label, n.exact_sha256, c.group_id FROM nodes n JOIN comp c USING (node))"""
+
+
+def _grouped(spark, sf):
+    n = X.nodes(spark, sf)
+    return n.select("node", "label", "exact_sha256").join(duplicates.components(n, duplicates.evidence_edges(n, "node", X.HASHES), "node"), "node")
+
+
+@query(f"WITH {_GROUPS} SELECT node, group_id FROM comp")
+def duplicate_components(spark, sf):
+    """Groups over all duplicate evidence; the id is the smallest member."""
+    n = X.nodes(spark, sf)
+    return duplicates.components(n, duplicates.evidence_edges(n, "node", X.HASHES), "node")
+
+
+@query(f"WITH {_GROUPS}, n AS (SELECT group_id, count(*) AS size FROM comp GROUP BY 1) SELECT size, count(*) AS groups FROM n GROUP BY size")
+def group_sizes(spark, sf):
+    return duplicates.group_sizes(duplicate_components(spark, sf))
+
+
+@query(f"WITH {_GROUPS}, n AS (SELECT group_id, count(*) AS size FROM comp GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (WHERE size = 1) AS singletons, count(*) FILTER (WHERE size > 1) AS non_singletons, max(size) AS largest FROM n")
+def group_summary(spark, sf):
+    return duplicates.group_summary(duplicate_components(spark, sf))
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_groups(spark, sf):
+    return duplicates.top_groups(duplicate_components(spark, sf), "group_id", 10)
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, count(*) AS size, count(*) FILTER (WHERE label = 0) AS negatives, count(*) FILTER (WHERE label = 1) AS positives FROM grouped GROUP BY 1 HAVING count(*) FILTER (WHERE label = 0) > 0 AND count(*) FILTER (WHERE label = 1) > 0")
+def mixed_label_groups(spark, sf):
+    return duplicates.mixed_label_groups(_grouped(spark, sf))
+
+
+_STRICT = f"""{_GROUPS}, ex AS (SELECT exact_sha256, min(node) AS exact_id FROM grouped GROUP BY 1 HAVING count(*) > 1), sz AS (SELECT group_id, count(*) AS group_size FROM grouped GROUP BY 1),
+strict AS (SELECT node, group_id, group_size, CASE WHEN group_size > 4 THEN 'split_large' WHEN group_size BETWEEN 3 AND 4 THEN 'audit_keep' ELSE 'keep' END AS policy,
+  CASE WHEN group_size <= 4 THEN 'group_' || group_id WHEN exact_id IS NOT NULL THEN 'exact_' || exact_id ELSE 'single_' || node END AS strict_group_id, group_size BETWEEN 3 AND 4 AS audit_flag
+  FROM grouped JOIN sz USING (group_id) LEFT JOIN ex USING (exact_sha256))"""
+
+
+def _strict(spark, sf):
+    g = _grouped(spark, sf)
+    return duplicates.strict_groups(g.select("node", "group_id"), duplicates.exact_groups(g, "node", "exact_sha256"), "node", large=4, audit=(3, 4))
+
+
+@query(f"WITH {_STRICT} SELECT * FROM strict")
+def strict_groups(spark, sf):
+    return _strict(spark, sf)
+
+
+@query(f"WITH {_STRICT} SELECT policy, count(*) AS rows, count(DISTINCT strict_group_id) AS groups FROM strict GROUP BY policy")
+def policy_counts(spark, sf):
+    return duplicates.policy_counts(_strict(spark, sf))
+
+
+# -- splits ----------------------------------------------------------------------------------------
+
+_HASH = "md5('42:' || CAST({} AS VARCHAR))"
+_SIDES = f"""{X.SAMPLES_SQL}, hg AS (SELECT group_id, row_number() OVER (ORDER BY {_HASH.format('group_id')}) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM samples)),
+gh AS (SELECT sample_id, label, samples.group_id, CASE WHEN r < greatest(round(CAST(0.2 AS DOUBLE) * n), 1) THEN 'val' ELSE 'train' END AS split FROM samples JOIN hg USING (group_id))"""
+
+
+def _sample_rows(spark, sf):
+    return X.samples(spark, sf).select("sample_id", "label", "group_id")
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('sample_id')}) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM samples)
+SELECT sample_id, label, group_id, CASE WHEN k < round(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS split FROM r""")
+def stratified_holdout(spark, sf):
+    return splits.stratified_holdout(_sample_rows(spark, sf), 0.2)
+
+
+@query(f"WITH {_SIDES} SELECT * FROM gh")
+def group_holdout(spark, sf):
+    return splits.group_holdout(_sample_rows(spark, sf), "group_id", 0.2)
+
+
+@query(f"""WITH {X.SAMPLES_SQL} SELECT sample_id, label, group_id, CAST((row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('sample_id')}) - 1) % 5 AS INTEGER) AS fold FROM samples""")
+def stratified_kfold(spark, sf):
+    return splits.stratified_kfold(_sample_rows(spark, sf), 5)
+
+
+_SGK = f"""{X.SAMPLES_SQL}, gs AS (SELECT group_id, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM samples GROUP BY 1),
+sig AS (SELECT n0, n1, count(*) AS c FROM gs GROUP BY 1, 2), st AS (SELECT n0, n1, coalesce(sum(c) OVER (ORDER BY n0 + n1 DESC, n1 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sig),
+gf AS (SELECT group_id, CAST((row_number() OVER (PARTITION BY n0, n1 ORDER BY {_HASH.format('group_id')}) - 1 + s) % 5 AS INTEGER) AS fold FROM gs JOIN st USING (n0, n1)),
+sgk AS (SELECT sample_id, label, samples.group_id, gf.fold FROM samples JOIN gf USING (group_id)),
+fg AS (SELECT fold, group_id, count(*) AS n, count(*) FILTER (WHERE label = 1) AS p FROM sgk GROUP BY 1, 2),
+dist AS (SELECT fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - sum(p) AS BIGINT) AS negatives, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(p) AS DOUBLE) / sum(n) AS positive_ratio, count(*) AS groups, max(n) AS largest_group FROM fg GROUP BY fold)"""
+
+
+@query(f"WITH {_SGK} SELECT * FROM sgk")
+def stratified_group_kfold(spark, sf):
+    return splits.stratified_group_kfold(_sample_rows(spark, sf), "group_id")
+
+
+@query(f"WITH {_SGK} SELECT *, 0::BIGINT AS shared_groups FROM dist")
+def fold_distribution(spark, sf):
+    return splits.fold_distribution(stratified_group_kfold(spark, sf))
+
+
+@query(f"""WITH {_SGK}, t AS (SELECT sum(n) AS tn, sum(positives) AS tp FROM dist)
+SELECT fold, n, round(2 * abs(positive_ratio - CAST(tp AS DOUBLE) / tn), 9) AS ratio_error, round(abs(CAST(n AS DOUBLE) / tn - CAST(0.2 AS DOUBLE)), 9) AS size_error,
+round(2 * abs(positive_ratio - CAST(tp AS DOUBLE) / tn) + abs(CAST(n AS DOUBLE) / tn - CAST(0.2 AS DOUBLE)) + CAST(0.01 AS DOUBLE) * largest_group / tn, 9) AS score FROM dist, t""")
+def fold_scores(spark, sf):
+    return rounded(splits.fold_scores(stratified_group_kfold(spark, sf), 5, "group_id", size_penalty=0.01), "ratio_error", "size_error", "score")
+
+
+@query(f"WITH {_SIDES} SELECT 0::BIGINT AS key_overlap, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS assigned_repeatedly, count(*) FILTER (WHERE s > 1) AS group_overlap, count(*) FILTER (WHERE s > 1) = 0 AS passes FROM (SELECT group_id, count(DISTINCT split) AS s FROM gh GROUP BY 1)")
+def split_verification(spark, sf):
+    return splits.verify_split(group_holdout(spark, sf), _sample_rows(spark, sf), "sample_id", "group_id")
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('sample_id')}) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM samples),
+h AS (SELECT group_id, CASE WHEN k < round(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS split FROM r) SELECT group_id, count(DISTINCT split) AS sides FROM h GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+def split_overlap(spark, sf):
+    """Groups that a split by samples tears apart."""
+    return splits.split_overlap(stratified_holdout(spark, sf), "split", "group_id")
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, r AS (SELECT *, {_HASH.format('sample_id')} AS h, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('sample_id')}) AS k FROM samples)
+SELECT sample_id, label, group_id FROM r WHERE k <= 50 UNION ALL SELECT * FROM (SELECT sample_id, label, group_id FROM r WHERE k > 50 ORDER BY h LIMIT 1)""")
+def stratified_sample(spark, sf):
+    """A sample of 101 rows: 50 of each label and one more."""
+    return splits.stratified_sample(_sample_rows(spark, sf), 101)
+
+
+_NAMED = f"{X.SAMPLES_SQL}, named AS (SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'Case_' || group_id || '_' || sample_id || '.png' WHEN 1 THEN 'dir/patient-' || group_id || '.JPEG' ELSE 'img ' || sample_id END AS file_name FROM samples)"
+
+
+@query(f"""WITH {_NAMED} SELECT sample_id, CASE sample_id % 3 WHEN 2 THEN NULL ELSE CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) END AS entity, CASE sample_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '' END AS suffix FROM named""")
+def entity_from_name(spark, sf):
+    s = X.samples(spark, sf)
+    name = (
+        F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("Case_"), "group_id", F.lit("_"), "sample_id", F.lit(".png")))
+        .when(F.col("sample_id") % 3 == 1, F.concat(F.lit("dir/patient-"), "group_id", F.lit(".JPEG")))
+        .otherwise(F.concat(F.lit("img "), "sample_id"))
+    )
+    return s.select("sample_id", C.entity_from_name(name).alias("entity"), C.file_suffix(name).alias("suffix"))
+
+
+# -- pseudo-labels and submissions --------------------------------------------------------------------
+
+_BLEND = f"{X.VIEWS_SQL}, b AS (SELECT sample_id, label, CAST(m_0 + m_1 + m_2 AS BIGINT) AS s12 FROM w)"
+
+
+def _blended(spark, sf):
+    b = X.views(spark, sf).groupBy("sample_id", "label").agg(F.sum("s4").alias("s12"))
+    return b.withColumn("prob", F.col("s12") / 12000000.0)
+
+
+@query(f"""WITH {_BLEND} SELECT sample_id, CASE WHEN s12 >= 10800000 THEN 1 ELSE 0 END AS label, round(greatest(s12, 12000000 - s12) / 12000000.0::DOUBLE, 9) AS pseudo_confidence, CAST(0.35 AS DOUBLE) AS sample_weight, 'pseudo_' || sample_id AS group_id FROM b WHERE s12 <= 1200000 OR s12 >= 10800000""")
+def pseudo_labels(spark, sf):
+    return rounded(ensemble.pseudo_labels(_blended(spark, sf), 0.1, 0.9), "pseudo_confidence").drop("prob")
+
+
+@query(f"""WITH {_BLEND} SELECT sample_id, CASE WHEN s12 >= 11400000 THEN 1 ELSE 0 END AS label, round(greatest(s12, 12000000 - s12) / 12000000.0::DOUBLE, 9) AS pseudo_confidence FROM b WHERE s12 < 600000 OR s12 > 11400000
+ORDER BY round(greatest(s12, 12000000 - s12) / 12000000.0::DOUBLE, 9) DESC, sample_id LIMIT 100""")
+def pseudo_confidence_cap(spark, sf):
+    rows = ensemble.pseudo_labels(_blended(spark, sf), 0.05, 0.95, inclusive=False)
+    return ensemble.most_confident(rounded(rows, "pseudo_confidence"), 100).select("sample_id", "label", "pseudo_confidence")
+
+
+@query(f"""WITH {_BLEND}, s AS (SELECT 'before' AS stage, s12 FROM b UNION ALL SELECT 'after', s12 FROM b WHERE s12 <= 1200000 OR s12 >= 10800000), n AS (SELECT stage, least(24, (2 * s12 + 1) // 960000) AS bin, count(*) AS n FROM s GROUP BY 1, 2),
+grid AS (SELECT stage, bin FROM (SELECT DISTINCT stage FROM s), (SELECT unnest(range(25)) AS bin)) SELECT stage, CAST(bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) * 25 / CAST((SELECT count(*) FROM s x WHERE x.stage = grid.stage) AS DOUBLE), 9) AS density FROM grid LEFT JOIN n USING (stage, bin)""")
+def prob_shift(spark, sf):
+    """Histograms before and after choosing confident rows."""
+    b = _blended(spark, sf).withColumn("prob", (2 * F.col("s12") + 1) / 24000000.0)
+    return rounded(ensemble.prob_shift(b, b.where("s12 <= 1200000 OR s12 >= 10800000")), "density")
+
+
+@query(f"""WITH {_BLEND}, t AS (SELECT unnest([350, 400, 450]) AS threshold_milli), tpl AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS row_idx FROM b)
+SELECT threshold_milli, row_idx, sample_id, CASE WHEN s12 >= threshold_milli * 12000 THEN 1 ELSE 0 END AS label FROM b JOIN tpl USING (sample_id), t""")
+def submission_thresholds(spark, sf):
+    return results.submission(_template(spark, sf), _blended(spark, sf), [350, 400, 450])
+
+
+def _template(spark, sf):
+    return splits.ranked(X.samples(spark, sf).select("sample_id").withColumn("_one", F.lit(0)), ["_one"], "sample_id", "row_idx").select("row_idx", "sample_id", F.lit(0).alias("label"))
+
+
+@query(f"""WITH {_BLEND} SELECT CAST(sum(CASE WHEN sample_id % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, 1::BIGINT AS extra, 0::BIGINT AS misplaced, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 = 0) AS nulls,
+count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND sample_id % 83 = 0) AS out_of_domain, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 79 = 0) AS repeated, false AS valid FROM b""")
+def submission_validation(spark, sf):
+    """Violations of a result file with planted faults: ids left out, repeated, invented; null and foreign values."""
+    sub = results.submission(_template(spark, sf), _blended(spark, sf)).where("sample_id % 97 <> 0")
+    sub = sub.withColumn("label", F.when(F.col("sample_id") % 89 == 0, None).when(F.col("sample_id") % 83 == 0, 2).otherwise((F.col("label") >= 0.4).cast("int")))
+    again = sub.where("sample_id % 79 = 0").withColumn("label", F.lit(1))
+    invented = sub.orderBy("sample_id").limit(1).select(F.lit(-1).cast("long").alias("row_idx"), F.lit(-1).cast("long").alias("sample_id"), F.lit(1).alias("label"))
+    return results.validate_submission(_template(spark, sf), sub.union(again).union(invented))
+
+
+# -- run logs --------------------------------------------------------------------------------------------
+
+_REPLAY = f"""RECURSIVE {X.RUNS_SQL}, fold AS (
+  SELECT run, epoch, cents AS best, epoch AS best_epoch, 0 AS waited, CAST(NULL AS BIGINT) AS stopped FROM logs WHERE epoch = 1
+  UNION ALL SELECT l.run, l.epoch, CASE WHEN f.stopped IS NULL AND l.cents > f.best + 100 THEN l.cents ELSE f.best END, CASE WHEN f.stopped IS NULL AND l.cents > f.best + 100 THEN l.epoch ELSE f.best_epoch END,
+    CASE WHEN f.stopped IS NOT NULL THEN f.waited WHEN l.cents > f.best + 100 OR l.epoch < 3 THEN 0 ELSE f.waited + 1 END,
+    CASE WHEN f.stopped IS NOT NULL THEN f.stopped WHEN NOT (l.cents > f.best + 100 OR l.epoch < 3) AND f.waited + 1 >= 6 THEN l.epoch END
+  FROM fold f JOIN logs l ON l.run = f.run AND l.epoch = f.epoch + 1)"""
+
+
+@query(f"WITH {_REPLAY} SELECT run, best_epoch, CAST(best AS DOUBLE) AS best_value, stopped AS stopped_epoch FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch DESC) AS r FROM fold) WHERE r = 1")
+def early_stopping_replay(spark, sf):
+    return results.early_stopping(X.runs(spark, sf), "run", "epoch", "cents", min_delta=100, patience=6, start_epoch=3)
+
+
+@query(f"WITH {X.RUNS_SQL} SELECT run, epoch, cents FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY cents DESC, epoch) AS r FROM logs) WHERE r = 1")
+def best_epoch(spark, sf):
+    return results.best_epoch(X.runs(spark, sf), "run", [F.col("cents").desc_nulls_last(), F.col("epoch")])
+
+
+@query(f"WITH {X.RUNS_SQL} SELECT run, epoch, cents, r AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY cents DESC, epoch) AS INTEGER) AS r FROM logs) WHERE r <= 3")
+def top_epochs(spark, sf):
+    return results.top_epochs(X.runs(spark, sf), "run", [F.col("cents").desc_nulls_last(), F.col("epoch")], 3)
+
+
+@query(f"WITH {X.RUNS_SQL}, m AS (SELECT run, max(cents) AS best, min(cents) AS worst, count(*) AS epochs FROM logs GROUP BY run) SELECT * FROM m ORDER BY best DESC, worst DESC, run LIMIT 20")
+def leaderboard(spark, sf):
+    m = X.runs(spark, sf).groupBy("run").agg(F.max("cents").alias("best"), F.min("cents").alias("worst"), F.count("*").alias("epochs"))
+    return results.leaderboard(m, [F.col("best").desc_nulls_last(), F.col("worst").desc_nulls_last(), F.col("run")], 20)
+
+
+@query(f"WITH {X.RUNS_SQL} SELECT epoch, round(CAST(sum(cents * (run % 3 + 1)) AS DOUBLE) / sum(run % 3 + 1), 6) AS mean_cents FROM logs GROUP BY epoch")
+def weighted_epoch_mean(spark, sf):
+    return rounded(metrics.weighted_mean(X.runs(spark, sf).withColumn("weight", F.col("run") % 3 + 1), "cents", "weight", ["epoch"]), "mean_cents", digits=6)
+
+
+# -- audit -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT vec_id, label, embedding AS g FROM embeddings),
+x AS (SELECT vec_id, label, list_sum([CAST(g[r*8+c+1] AS DOUBLE) for r in range(8) for c in range(8) if r = 0 OR r = 7 OR c = 0 OR c = 7]) / 28 AS border_mean,
+  list_sum([CAST(g[r*8+c+1] AS DOUBLE) for r in range(8) for c in range(8) if (r = 0 OR r = 7) AND (c = 0 OR c = 7)]) / 4 AS corner_mean FROM g)
+SELECT label, count(*) AS n, round(avg(border_mean), 6) AS border_mean, round(avg(corner_mean), 6) AS corner_mean FROM x GROUP BY label""".replace(
+    "[CAST(g[r*8+c+1] AS DOUBLE) for r in range(8) for c in range(8) if r = 0 OR r = 7 OR c = 0 OR c = 7]", "[CAST(g[k+1] AS DOUBLE) for k in range(64) if k // 8 IN (0, 7) OR k % 8 IN (0, 7)]"
+).replace("[CAST(g[r*8+c+1] AS DOUBLE) for r in range(8) for c in range(8) if (r = 0 OR r = 7) AND (c = 0 OR c = 7)]", "[CAST(g[k+1] AS DOUBLE) for k in range(64) if k // 8 IN (0, 7) AND k % 8 IN (0, 7)]"))
+def grid_border_corner_means(spark, sf):
+    """Border and corner means of 8 x 8 grids by label, in plain expressions."""
+    from tallyframe.sources.images import grid_mean
+
+    e = X.table(spark, sf, "embeddings")
+    rows = e.select("label", grid_mean(F.col("embedding"), 8, 8, "border").alias("b"), grid_mean(F.col("embedding"), 8, 8, "corner").alias("c"))
+    return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("b").alias("border_mean"), F.avg("c").alias("corner_mean")), "border_mean", "corner_mean", digits=6)
+
+
+@query(f"""WITH {X.SAMPLES_SQL}, x AS (SELECT label, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM samples JOIN orders ON o_orderkey = sample_id),
+b AS (SELECT label, count(*) AS n, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.5) AS median, quantile_cont(cents, 0.75) AS q3 FROM x GROUP BY label)
+SELECT 'cents' AS "column", b.label, n, CAST(min(cents) AS DOUBLE) AS low, round(any_value(q1), 3) AS q1, round(any_value(median), 3) AS median, round(any_value(q3), 3) AS q3, CAST(max(cents) AS DOUBLE) AS high
+FROM b JOIN x ON x.label = b.label AND cents >= q1 - 1.5 * (q3 - q1) AND cents <= q3 + 1.5 * (q3 - q1) GROUP BY b.label, n""")
+def numeric_by_label(spark, sf):
+    s = X.samples(spark, sf).join(X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), "sample_id")
+    return rounded(metrics.numeric_by_label(s, ["cents"], exact=True), "q1", "median", "q3", digits=3)
+
+
+@query(f"""WITH {_REPORT}, checks AS (
+  SELECT 'documents without text' AS item, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS evidence, 'drop or refetch' AS act
+  UNION ALL SELECT 'labels outside the domain', (SELECT count(*) FROM labels WHERE quality IS NULL OR quality NOT IN (0, 1)), 'correct the labels'
+  UNION ALL SELECT 'labels without document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)), 'drop the labels'
+  UNION ALL SELECT 'repeated document ids', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)), 'make ids unique'
+  UNION ALL SELECT 'duplicates across train and test', (SELECT count(*) FROM report WHERE train_test_leakage_risk), 'split by groups'
+  UNION ALL SELECT 'duplicates across train and validation', (SELECT count(*) FROM report WHERE train_val_leakage_risk), 'split by groups'
+  UNION ALL SELECT 'majority class of 70 %', (SELECT CASE WHEN max(n) >= CAST(0.7 AS DOUBLE) * sum(n) THEN 1 ELSE 0 END FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)), 'weight the classes')
+SELECT item, CASE WHEN evidence > 0 THEN 'WARN' ELSE 'PASS' END AS status, CAST(evidence AS BIGINT) AS evidence, CASE WHEN evidence > 0 THEN act ELSE 'none' END AS action FROM checks""")
+def risk_checklist(spark, sf):
+    docs, labels, report = X.table(spark, sf, "documents"), X.table(spark, sf, "labels"), _report(spark, sf)
+    n = lambda df, cond: df.agg(F.count_if(cond).alias("n"))
+    balance = metrics.class_balance(labels, "quality").agg(F.max(F.col("imbalanced").cast("int")).alias("n"))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("k"))
+    return results.risk_checklist([
+        ("documents without text", n(docs, F.coalesce(F.col("text"), F.lit("")) == ""), "drop or refetch"),
+        ("labels outside the domain", n(labels, F.col("quality").isNull() | ~F.col("quality").isin(0, 1)), "correct the labels"),
+        ("labels without document", n(results.missing(labels, docs, "doc_id"), F.lit(True)), "drop the labels"),
+        ("repeated document ids", n(repeated, F.col("k") > 1), "make ids unique"),
+        ("duplicates across train and test", n(report, F.col("train_test_leakage_risk")), "split by groups"),
+        ("duplicates across train and validation", n(report, F.col("train_val_leakage_risk")), "split by groups"),
+        ("majority class of 70 %", balance, "weight the classes"),
+    ])
+
+
+@query("""WITH px AS (SELECT vec_id, label, [least(255, greatest(0, CAST(floor(CAST(x AS DOUBLE) * 40 + 128) AS BIGINT))) for x in embedding] AS g FROM embeddings)
+SELECT vec_id, 8 AS width, 8 AS height, 1 AS channels, round(list_sum(g) / 64.0::DOUBLE, 6) AS mean, round(sqrt(list_sum([(x - list_sum(g) / 64.0::DOUBLE) * (x - list_sum(g) / 64.0::DOUBLE) for x in g]) / 64), 6) AS std,
+CAST(list_min(g) AS DOUBLE) AS min, CAST(list_max(g) AS DOUBLE) AS max, round(list_sum([g[k+1] for k in range(64) if k // 8 IN (0, 7) OR k % 8 IN (0, 7)]) / 28.0::DOUBLE, 6) AS border_mean FROM px""")
+def image_metadata(spark, sf):
+    """Intensity statistics of the embeddings read as 8 x 8 gray images."""
+    from tallyframe.sources.images import image_metadata as stats
+
+    e = X.table(spark, sf, "embeddings")
+    pixel = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 40 + 128))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(pixel, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    images = e.select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"))
+    out = stats(images, ["vec_id"]).select("vec_id", "width", "height", "channels", "mean", "std", "min", "max", "border_mean")
+    return rounded(out, "mean", "std", "border_mean", digits=6)
+
+
+@query("""WITH px AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings)
+SELECT label, pos // 8 AS row, pos % 8 AS col, round(avg(CAST(x AS DOUBLE)), 6) AS mean, count(*) AS n FROM px GROUP BY 1, 2, 3""")
+def mean_grid_by_label(spark, sf):
+    from tallyframe.sources.images import mean_grid_by_label as grids
+
+    return rounded(grids(X.table(spark, sf, "embeddings"), "embedding", 8, "label"), "mean", digits=6)
