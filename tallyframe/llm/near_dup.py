@@ -218,13 +218,19 @@ def _across(leaf: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame,
     mixed = materialize(
         leaf.groupBy("node").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("node", "first"), "mixed"
     )
-    # One of two different components is not the first of the node: those rows meet all others.
-    left = leaf.join(mixed, "node").where("own <> first").select("node", *(F.col(c).alias(f"l_{c}") for c in ("v", "n", "s1", "s2", "own")))
-    small, large = (leaf.where(F.col("many") <= GROUP), leaf.where(F.col("many") > GROUP))
-    right = small.select("node", *(F.col(c).alias(f"r_{c}") for c in ("v", "n", "s1", "s2", "own")))
-    pairs = left.join(right, "node").where(
-        (F.col("l_own") != F.col("r_own")) & _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
-    ).select(F.greatest("l_v", "r_v").alias("a"), F.least("l_v", "r_v").alias("b"))
+    rows = leaf.join(mixed, "node")
+    spots = rows.groupBy("v").agg(F.collect_list("node").alias("spots"))  # a node a tree at most
+    rows = materialize(rows.join(spots, "v"), "spots")
+    # One of two different components is not the first of the node: those rows meet all others. A pair that meets in several
+    # trees is named in one of its nodes only.
+    side = lambda df, at: df.select("node", *(F.col(c).alias(f"{at}_{c}") for c in ("v", "n", "s1", "s2", "own", "spots", "first")))
+    left, right = side(rows.where("own <> first"), "l"), side(rows.where(F.col("many") <= GROUP), "r")
+    alike = _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
+    once = (F.col("node") == F.array_min(F.array_intersect("l_spots", "r_spots"))) & ((F.col("r_own") == F.col("r_first")) | (F.col("l_v") > F.col("r_v")))
+    pairs = left.join(right, "node").where((F.col("l_own") != F.col("r_own")) & alike & once).select(
+        F.greatest("l_v", "r_v").alias("a"), F.least("l_v", "r_v").alias("b")
+    )
+    large = leaf.where(F.col("many") > GROUP)
     parts = materialize(large.groupBy("node", "own").agg(F.min("n").alias("low"), F.max("n").alias("high")), "parts")
     every = leaf.select("node", F.col("v"), "n", F.col("own").alias("mine"))
     outside = (
