@@ -47,7 +47,7 @@ def file_suffix(name: Column) -> Column:
 
 def split_members(col: Column, sep: str = "|") -> Column:
     """Array of the trimmed, non-empty parts."""
-    parts = F.transform(F.split(col, "[" + sep + "]"), F.trim)
+    parts = F.transform(F.split(col, "[" + sep + "]"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
