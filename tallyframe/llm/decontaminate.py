@@ -191,7 +191,7 @@ def decontaminate(
         return docs.withColumn("__k", key).join(bad, F.col("__k") == F.col("__key"), "left_anti").drop("__k")
     if remove != "spans":
         raise ValueError("remove must be 'documents' or 'spans'")
-    cut = found.where("n_hit > 0").select(F.col("key").alias("__key"), "starts", "lengths").dropDuplicates(["__key"])
+    cut = found.where("n_hit > 0").select(F.col("key").alias("__key"), F.col("starts").alias("__a"), F.col("lengths").alias("__n")).dropDuplicates(["__key"])
 
     @F.udf("binary")
     def cleaned(value, starts, lengths):
@@ -199,7 +199,7 @@ def decontaminate(
 
     joined = docs.withColumn("__k", key).join(cut, F.col("__k") == F.col("__key"), "left")
     clean = F.when(
-        F.col("starts").isNotNull(), F.decode(cleaned(F.col(text).cast("binary"), "starts", "lengths"), "UTF-8")
+        F.col("__a").isNotNull(), F.decode(cleaned(F.col(text).cast("binary"), "__a", "__n"), "UTF-8")
     ).otherwise(F.col(text))
     return joined.withColumn("__clean", clean).select(
         *(F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns)

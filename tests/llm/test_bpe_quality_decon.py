@@ -129,8 +129,8 @@ def test_contamination_blocks_and_broadcast_agree(spark):
 def test_removal_of_documents_and_spans(spark):
     item = " ".join(f"q{i}" for i in range(13))
     docs = spark.createDataFrame(
-        [Row(doc_id=1, text="clean text", items="x"), Row(doc_id=2, text="Before. " + item + "! After", items="y"), Row(doc_id=3, text=None, items=None)],
-        "doc_id long, text string, items string",
+        [Row(doc_id=1, text="clean text", starts="x"), Row(doc_id=2, text="Before. " + item + "! After", starts="y"), Row(doc_id=3, text=None, starts=None)],
+        "doc_id long, text string, starts string",
     )
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, b).collect()) == [1, 3]
