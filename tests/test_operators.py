@@ -194,3 +194,36 @@ def test_streaming_confusion(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert tuple(spark.table("outcomes").first()) == (0, 1, 1, 1)
+
+
+def test_refined_search_is_no_worse_and_on_the_finer_grid(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    m = [np.clip(y * 0.3 + rng.random(300) * 0.7, 0, 1) for _ in range(3)]
+    wide = spark.createDataFrame([(i, int(y[i]), *(float(x[i]) for x in m)) for i in range(300)], "sample_id long, label int, m_0 double, m_1 double, m_2 double").cache()
+    grid = ensemble.simplex_grid(spark, (0, 1, 2), 10)
+    assert grid.count() == 66
+    options = {"lo": 50, "hi": 950, "step": 10}
+    best = ensemble.grid_search(wide, grid, (0, 1, 2), 10, **options)
+    brute = max(
+        (round(sum(int((w0 * m[0][i] + w1 * m[1][i] + (10 - w0 - w1) * m[2][i]) / 10 >= t / 1000) == y[i] for i in range(300)) / 300, 9), -(w0 * 11 + w1), -t)
+        for w0 in range(11) for w1 in range(11 - w0) for t in range(300, 800, 10)
+    )
+    row = best.first()
+    assert row.accuracy == pytest.approx(brute[0], abs=0.004)
+    start = best.join(grid, "weight_id").first().asDict()
+    fine = ensemble.refine_search(wide, (0, 1, 2), start, steps=10, rounds=2, **options).first()
+    assert fine.steps == 40 and fine.w_0 + fine.w_1 + fine.w_2 == 40 and fine.accuracy >= row.accuracy
+    done = ensemble.apply_best(wide, spark.createDataFrame([(fine.w_0, fine.w_1, fine.w_2, fine.threshold_milli)], "w_0 int, w_1 int, w_2 int, threshold_milli int"), (0, 1, 2), 40)
+    assert done.where("pred = label").count() == round(fine.accuracy * 300)
+
+
+def test_pseudo_rows_and_best_epochs(spark):
+    df = spark.createDataFrame([(1, 0.05), (2, 0.1), (3, 0.5), (4, 0.95), (5, None)], "sample_id long, prob double")
+    got = {r.sample_id: (r.label, r.sample_weight) for r in ensemble.pseudo_labels(df, 0.1, 0.95).collect()}
+    assert got == {1: (0, 0.35), 2: (0, 0.35), 4: (1, 0.35)}
+    assert {r.sample_id for r in ensemble.pseudo_labels(df, 0.1, 0.95, inclusive=False).collect()} == {1}
+    assert [r.sample_id for r in ensemble.pseudo_labels(df, 0.1, 0.95, cap=1).collect()] == [1]
+    logs = spark.createDataFrame([("a", e, m) for e, m in enumerate([0.5, 0.6, 0.61, 0.605, 0.6, 0.59, 0.9])] + [("b", 0, None)], "run string, epoch long, auc double")
+    rows = {r.run: (r.best_epoch, r.stopped_epoch) for r in results.early_stopping(logs, "run", "epoch", "auc", 0.02, 3).collect()}
+    assert rows == {"a": (1, 4), "b": (None, None)}
