@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.sources.tables import materialize
+
 
 def score_table(df: DataFrame, keys: Sequence[str] = (), prob: str = "prob", label: str = "label") -> DataFrame:
     """keys, score, pos, neg and ``pos_above``, ``neg_above`` (rows with a greater score), ``pos_all``, ``neg_all``."""
@@ -21,7 +23,8 @@ def score_table(df: DataFrame, keys: Sequence[str] = (), prob: str = "prob", lab
         .groupBy(*keys, F.col(prob).alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    dealt = counts.repartitionByRange(*keys, F.col("score").desc()).withColumn("part", F.spark_partition_id())
+    # written once, so that both levels see the same parts
+    dealt = materialize(counts.repartitionByRange(*keys, F.col("score").desc()).withColumn("part", F.spark_partition_id()), "scores")
     sums = dealt.groupBy(*keys, "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.sources.tables import scratch_dir
+from tallyframe.sources.tables import materialize
 
 
 def content_hash(df: DataFrame, col: str) -> DataFrame:
@@ -87,20 +86,14 @@ def evidence_edges(df: DataFrame, key: str, hashes: Sequence[str]) -> DataFrame:
     return long.join(low, ["kind", "hash"]).where("a <> b").select("a", "b").distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/tallyframe-groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
     """(key, group_id): the smallest id that the edges lead to, the own id for rows without an edge.
 
     Each round a group takes the least label next to it, and labels are followed one step; every round is written to the
     shared folder. More than ``max_rounds`` rounds raise.
     """
-    both = _written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("l")))
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("l")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("v").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
         own = labels.select(F.col("v").alias("a"), "l").join(near, "a").where("lb < l")
@@ -109,7 +102,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int = 5
         moves = own.select(F.col("a").alias("v"), F.col("lb").alias("l")).union(own.select(F.col("l").alias("v"), F.col("lb").alias("l"))).union(hop)
         if moves.isEmpty():
             break
-        labels = _written(labels.union(moves).groupBy("v").agg(F.min("l").alias("l")))
+        labels = materialize(labels.union(moves).groupBy("v").agg(F.min("l").alias("l")), "labels")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select(key).join(labels.select(F.col("v").alias(key), "l"), key, "left").select(key, F.coalesce("l", F.col(key)).alias("group_id"))

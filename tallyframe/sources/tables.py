@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once in the shared folder and read it back: cuts lineage, and fixes which partition a row came from."""
+    path = f"{scratch_dir(df.sparkSession)}/tallyframe-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
