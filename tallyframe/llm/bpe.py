@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import sized
+from tallyframe.llm._shared import rows_of, sized
 
 #: The pre-token pattern of this public vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +111,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts with a table of finished pre-tokens that is emptied when it reaches ``table_size``."""
 
-    def __init__(self, vocabulary: Vocabulary, table_size: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, table_size: int = 100_000):
         import regex
 
         self.vocabulary, self.table, self.table_size = vocabulary, {}, table_size
@@ -156,8 +156,7 @@ def _encode_kernel(source):
     def run(batches):
         encoder = Encoder(Vocabulary(source.value))
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in sized(rows, lambda r: len(r[1] or ""), 1_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 1_000_000):
                 ids = [encoder.encode(r[1] or "") for r in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in part], pa.binary()), pa.array(ids, pa.binary())], names=["key", "ids"]
@@ -170,7 +169,7 @@ def _decode_kernel(source):
     def run(batches):
         vocabulary = Vocabulary(source.value)
         for batch in batches:
-            for part in sized(zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True), lambda r: len(r[1]), 4_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1]), 1_000_000):
                 texts = [vocabulary.decode(np.frombuffer(r[1], dtype="<u4")) for r in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.binary()), pa.array(texts, pa.string())],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, share, shared, sized
+from tallyframe.llm._shared import materialize, rows_of, share, shared, sized
 
 #: Maps A-Z to a-z and every ASCII byte that is no word character to a space.
 _FOLD = bytes(
@@ -81,13 +81,12 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _scan(windows):
-    """Arrow kernel (key, doc_id, text as bytes) -> ``_HITS``; a few MB of text at a time."""
+    """Arrow kernel (key, doc_id, text as bytes) -> ``_HITS``; half a MB of text at a time."""
 
     def run(batches):
         tests = shared(windows)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for part in sized(rows, lambda r: len(r[2] or b""), 2_000_000):
+            for part in sized(rows_of(batch, 3), lambda r: len(r[2] or b""), 500_000):
                 words = [words_of(r[2] or b"") for r in part]
                 counts = [len(w) for w in words]
                 # a 0 after each document keeps windows inside it

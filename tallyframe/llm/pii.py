@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import share, shared, sized
+from tallyframe.llm._shared import rows_of, share, shared, sized
 from tallyframe.llm.secret_scan import SPANS, spans_array
 
 KINDS = ("email", "ip", "card", "phone")
@@ -339,8 +339,7 @@ def _kernel(model):
     def run(batches):
         field = shared(model)
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in sized(rows, lambda r: len(r[1] or ""), 2_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 1_000_000):
                 texts = [r[1] or "" for r in part]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(field, texts, [t.encode() for t in texts], base)

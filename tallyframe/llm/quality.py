@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import sized
+from tallyframe.llm._shared import rows_of, sized
 
 CHUNK = 4096
 LEVEL = 3
@@ -103,8 +103,7 @@ def _run(batches):
 
     packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        for part in sized(rows, lambda r: len(r[1] or b""), 2_000_000):
+        for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
             texts = [r[1] or b"" for r in part]
             words = [t.split() for t in texts]
             n_words = np.array([len(w) for w in words], dtype=np.int64)

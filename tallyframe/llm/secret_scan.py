@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import share, shared, sized
+from tallyframe.llm._shared import rows_of, share, shared, sized
 
 _PARSER = re._parser  # the standard library's own reader of pattern syntax
 
@@ -291,8 +291,7 @@ def _kernel(compiled, rules):
     def run(batches):
         scanner = shared(compiled)
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in sized(rows, lambda r: len(r[1] or b""), 4_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
                 found = scanner.scan([r[1] or b"" for r in part])
                 named = [[(rules[k].kind, a, b, rules[k].base) for a, b, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, share, shared, sized
+from tallyframe.llm._shared import materialize, rows_of, share, shared, sized
 
 PREFIXES = (4, 5, 6)
 MAX_EXAMPLES = 12_000
@@ -140,7 +140,7 @@ class Reader:
         for word, n in Counter(words_of(text)).items():
             own = known.get(word)
             if own is None:
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
                 own = known[word] = tuple(t for t in terms_of(word) if t in self.plain)
             for t in own:
@@ -150,10 +150,21 @@ class Reader:
 
 
 def _count_terms(batches):
-    """(term, toxic examples, examples) of a part of the sample, summed before it is sent on."""
+    """(term, toxic examples, examples) of parts of the sample, summed over some hundred thousand terms before they are sent on."""
     toxic, total = Counter(), Counter()
+
+    def flush():
+        names = list(total)
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), pa.array([toxic[t] for t in part], pa.int64()), pa.array([total[t] for t in part], pa.int64())], names=["term", "toxic", "n"]
+            )
+        toxic.clear()
+        total.clear()
+
     for batch in batches:
-        for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for _, text, y in rows_of(batch, 3):
             found: Counter = Counter()
             for w, n in Counter(words_of(text or "")).items():
                 for t in terms_of(w):
@@ -162,12 +173,9 @@ def _count_terms(batches):
             total.update(names)
             if y:
                 toxic.update(names)
-    names = list(total)
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array([toxic[t] for t in part], pa.int64()), pa.array([total[t] for t in part], pa.int64())], names=["term", "toxic", "n"]
-        )
+            if len(total) > 200_000:
+                yield from flush()
+    yield from flush()
 
 
 def _example_vectors(terms):
@@ -237,7 +245,7 @@ def _score(index):
         idx: Index = shared(index)
         reader = Reader(idx.terms)
         for batch in batches:
-            for part in sized(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: len(r[1] or ""), 2_000_000):
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 1_000_000):
                 scored = [idx.score(reader.tf(r[1] or "")) for r in part]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -267,10 +275,14 @@ def drop_toxic(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str
     """``docs`` without the rows whose score reaches ``threshold``; the columns stay as they are."""
     model = share(docs.sparkSession, index)
 
-    @F.pandas_udf("boolean")
-    def clean(values):
+    def clean(batches):
         idx: Index = shared(model)
         reader = Reader(idx.terms)
-        return values.map(lambda t: idx.score(reader.tf(t or ""))[0] < threshold, na_action=None).astype(bool)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                keep = [idx.score(reader.tf(t or ""))[0] < threshold for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(clean(F.coalesce(F.col(text), F.lit(""))))
+    return docs.mapInArrow(clean, docs.schema)
