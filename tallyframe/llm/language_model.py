@@ -8,8 +8,9 @@ its share of the training corpus if it is frequent; the score sums log10 of thes
 
 Everything that is gathered follows the input. Word counts are summed over all training documents; id counts,
 and with them classes and priors of the model, come from that table. The attention weights are trained on
-a passage of every training document, placed by a hash of its id: each partition trains from the common
-weights, and the results are averaged by their tokens, first in groups on the executors, then once more.
+every token of every training document, in consecutive passages of at most ``PASSAGE`` ids that are dealt to
+partitions by a hash of document and place: each partition trains from the common weights, and the results are
+averaged by their tokens, first in groups on the executors, then once more.
 
 Frequent words (``FREQUENT``, a fixed bound) are looked up in a broadcast table while texts are scored; the others
 are joined with the counts in a shuffle for the base score.
@@ -30,7 +31,8 @@ from tallyframe.llm._shared import materialize, rows_of, share, shared, sized
 from tallyframe.llm.attention import Adam, Classes, Model, initial, pack, unpack
 
 FREQUENT = 100_000
-PASSAGE_WORDS = 8
+#: Ids of a training passage at most, many windows of the model; longer texts go on in the next passage.
+PASSAGE = 512
 ROUNDS = 2
 TOKENS_A_TASK = 500_000
 BATCH = 1_024
@@ -132,25 +134,34 @@ def _count_ids(speller):
     return run
 
 
+def _id_type(size: int) -> str:
+    """How ids travel: two bytes where all fit."""
+    return "<u2" if size <= 1 << 16 else "<i4"
+
+
 def _passages(speller):
-    """(ids int32 as bytes, count) of a passage of every document: the ids and, where it reaches it, the end."""
+    """(key, ids as bytes, count) of consecutive passages that cover every text: the id before the passage, then its own ids."""
 
     def run(batches):
         own = shared(speller).build()
+        kind = _id_type(len(own.begins))
         for batch in batches:
             for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
-                picked, whole = [], []
-                for place, text in part:
-                    words = (text or b"").lower().split()
-                    at = place % (max(0, len(words) - PASSAGE_WORDS) + 1)
-                    picked.append(words[at : at + PASSAGE_WORDS])
-                    whole.append(at + PASSAGE_WORDS >= len(words))
-                ids, first = own.spell([w for p in picked for w in p])
-                cut = np.cumsum([0, *(len(p) for p in picked)])
-                out = [np.append(ids[first[a] : first[b]], own.end) if w else ids[first[a] : first[b]] for a, b, w in zip(cut, cut[1:], whole)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.astype("<i4").tobytes() for x in out], pa.binary()), pa.array([len(x) for x in out], pa.int64())], names=["ids", "n"]
-                )
+                words = [(text or b"").lower().split() for _, text in part]
+                ids, first = own.spell([w for x in words for w in x])
+                cut = first[np.cumsum([0, *(len(x) for x in words)])]
+                keys, out = [], []
+                for (place, _), a, b in zip(part, cut, cut[1:], strict=False):
+                    whole = np.concatenate(([own.end], ids[a:b], [own.end])).astype(kind)
+                    for at in range(0, len(whole) - 1, PASSAGE):
+                        keys.append((place * 0x9E3779B1 + at) & (1 << 62) - 1)
+                        out.append(whole[at : at + PASSAGE + 1])
+                for at in range(0, len(out), 2_000):
+                    some = out[at : at + 2_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at : at + 2_000], pa.int64()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([len(x) - 1 for x in some], pa.int64())],
+                        names=["key", "ids", "n"],
+                    )
 
     return run
 
@@ -161,18 +172,18 @@ def _train(state, rate: float):
     def run(batches):
         classes, flat = shared(state)
         model, adam, tokens = Model(classes, unpack(flat)), Adam(rate), 0
-        end = len(classes.inside) - 1
+        kind = _id_type(len(classes.inside))
 
         def step(parts):
-            x = np.concatenate([np.append(end, p[:-1]) for p in parts])
-            y, text = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            x, y = np.concatenate([p[:-1] for p in parts]), np.concatenate([p[1:] for p in parts])
+            text = np.repeat(np.arange(len(parts)), [len(p) - 1 for p in parts])
             adam.step(model.p, model.gradient(x, y, text)[1])
             return len(y)
 
         held = []  # few passages are gone through again, REPLAYS times at most, until MIN_STEPS steps are made
         for batch in batches:
-            parts = (np.frombuffer(b, dtype="<i4") for b in batch.column(0).to_pylist())
-            for some in sized((p for p in parts if len(p)), len, BATCH):
+            parts = (np.frombuffer(b, dtype=kind).astype(np.int32) for (b,) in rows_of(batch, 1))
+            for some in sized(parts, lambda p: len(p) - 1, BATCH):
                 tokens += step(some)
                 if len(held) < MIN_STEPS:
                     held.append(some)
@@ -218,10 +229,10 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     classes = Classes(id_counts, begins)
     flat = pack(initial(classes))
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40))
-    passages = materialize(training.select(place, F.col(text).cast("binary")).mapInArrow(_passages(speller), "ids binary, n long"), "passages")
+    passages = materialize(training.select(place, F.col(text).cast("binary")).mapInArrow(_passages(speller), "key long, ids binary, n long"), "passages")
     tokens = passages.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-tokens // TOKENS_A_TASK))
-    dealt = passages.repartition(tasks, F.xxhash64("ids"))
+    dealt = passages.repartition(tasks, "key").select("ids")
     for r in range(ROUNDS if tokens else 0):
         trained = dealt.mapInArrow(_train(share(spark, (classes, flat)), 0.02 / (1 + 2 * r)), "weights binary, n long")
         groups = max(16, int(tasks**0.5))

@@ -93,3 +93,36 @@ def test_base_counts_and_gain_over_the_base(spark, ranks, monkeypatch):
     empty = language_model.fit(df.limit(0), ranks, bpe.PATTERN)
     assert empty.total == 0 and language_model.score(df.limit(0), fitted, ranks, bpe.PATTERN).count() == 0
     assert language_model.score(df, empty, ranks, bpe.PATTERN).where(F.col("n_known") > 0).count() == 0
+
+
+def test_training_passages_cover_every_text(spark, ranks):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gam'ma", "x", "long"]) for _ in range(n))) for i, n in enumerate([0, 1, 7, 30, 511, 512, 3000])]
+    docs += [(50, None), (51, docs[-1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    speller = language_model.share(spark, language_model.SpellerSource(ranks, bpe.PATTERN))
+    rows = df.select("doc_id", F.col("text").cast("binary")).repartition(1).mapInArrow(language_model._passages(speller), "key long, ids binary, n long").collect()
+    own = language_model.Speller(ranks, bpe.PATTERN)
+    got = [np.frombuffer(r.ids, dtype=language_model._id_type(len(own.begins))).tolist() for r in rows]
+    assert [len(x) - 1 for x in got] == [r.n for r in rows] and max(map(len, got)) <= language_model.PASSAGE + 1
+    assert len({r.key for r in rows}) == len(rows)
+    # passages go on where the one before ended: put together again they are the texts, each id once
+    texts = []
+    for x in got:
+        if x[0] == own.end:
+            texts.append(x[1:])
+        else:
+            assert x[0] == texts[-1][-1]
+            texts[-1] += x[1:]
+    want = [[*own.spell((t or "").encode().split())[0].tolist(), own.end] for _, t in docs]
+    assert sorted(texts) == sorted(want)
+
+
+def test_fit_learns_from_whole_texts(spark, ranks, monkeypatch):
+    seen = []
+    df = spark.createDataFrame([(i, "one two three four five six seven eight nine ten " * 40) for i in range(20)], "doc_id long, text string")
+    average = language_model._average
+    monkeypatch.setattr(language_model, "_average", lambda t: seen.append(sum(t.column("n").to_pylist())) or average(t))
+    fitted = language_model.fit(df, ranks, bpe.PATTERN)
+    ids = len(language_model.Speller(ranks, bpe.PATTERN).spell(("one two three four five six seven eight nine ten " * 40).encode().split())[0]) + 1
+    assert seen == [20 * ids] * language_model.ROUNDS and fitted.total == 20 * 401
