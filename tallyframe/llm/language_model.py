@@ -4,7 +4,7 @@ Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, and
 log10((c + 1) / (N + V + 1)) over the tokens, from counts of all training documents. For the model every word is
 spelled in the ids of a byte-level vocabulary (with the blank before it), the end is an id of its own.
 A word's probability is ``SPELLING`` times that of its spelling under the attention model, and the rest times
-its share of the training corpus if it is frequent; the score sums log10 of these over the text.
+its share of the training corpus; the score sums log10 of these over the text.
 
 Everything that is gathered follows the input. Word counts are summed over all training documents; id counts,
 and with them classes and priors of the model, come from that table. The attention weights are trained on
@@ -13,7 +13,7 @@ partitions by a hash of document and place: each partition trains from the commo
 averaged by their tokens, first in groups on the executors, then once more.
 
 Frequent words (``FREQUENT``, a fixed bound) are looked up in a broadcast table while texts are scored; the others
-are joined with the counts in a shuffle for the base score.
+are joined with the counts in a shuffle, for the base score and for their share of the corpus. The table's size changes no score.
 """
 
 from __future__ import annotations
@@ -243,7 +243,7 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     return Fitted(classes, flat, counts, frequent, least, int(total), int(distinct), end["n"] if end else 0)
 
 
-_SCORED = "key long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>"
+_SCORED = "key long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
 
 
 def _score(speller, state):
@@ -293,9 +293,8 @@ def _score(speller, state):
                 # far below what a double holds the spelling alone counts
                 mixed = np.where(c > 0, mixed, spelled / np.log(10) + np.log10(SPELLING if total else 1.0))
                 score = np.bincount(doc, mixed, minlength=len(part))
-                rare: list[list[bytes]] = [[] for _ in part]
-                for i in np.flatnonzero(c == 0).tolist():
-                    rare[doc[i]].append(flat[i])
+                rare = np.flatnonzero(c == 0)
+                edges = pa.array(np.cumsum([0, *np.bincount(doc[rare], minlength=len(part))]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key + np.arange(len(part))),
@@ -304,7 +303,8 @@ def _score(speller, state):
                         pa.array(known),
                         pa.array(base),
                         pa.array(score),
-                        pa.array(rare, pa.list_(pa.binary())),
+                        pa.ListArray.from_arrays(edges, pa.array([flat[i] for i in rare.tolist()], pa.binary())),
+                        pa.ListArray.from_arrays(edges, pa.array(spelled[rare] / np.log(10), pa.float64())),
                     ],
                     names=[c.split()[0] for c in _SCORED.split(", ")],
                 )
@@ -324,15 +324,22 @@ def score(docs: DataFrame, fitted: Fitted, ranks: dict[bytes, int], pattern: str
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
     scored = materialize(rows.mapInArrow(_score(share(spark, SpellerSource(ranks, pattern)), state), _SCORED), "scored")
     others = fitted.counts.where((F.col("n") <= fitted.least) & (F.col("word") != F.lit(_END_WORD)))
-    rare = scored.select("key", F.explode("rare").alias("word")).join(others, "word")
-    more = rare.groupBy("key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"))
+    pairs = scored.select("key", F.explode(F.arrays_zip("rare", "spelled")).alias("r"))
+    rare = pairs.select("key", F.col("r.rare").alias("word"), F.col("r.spelled").alias("spelled")).join(others, "word")
+    # the kernel took these words by their spelling alone
+    alone = F.col("spelled") + float(np.log10(SPELLING))
+    mixed = F.log10(SPELLING * F.pow(F.lit(10.0), "spelled") + (1 - SPELLING) * F.col("n") / max(1, fitted.total))
+    more = rare.groupBy("key").agg(
+        F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(mixed - alone).alias("gain")
+    )
     floor = float(np.log10(fitted.total + fitted.distinct + 1))
-    return scored.drop("rare").join(more, "key", "left").select(
+    total = F.col("score") + F.coalesce("gain", F.lit(0.0))
+    return scored.drop("rare", "spelled").join(more, "key", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(fitted.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
-        (F.col("score") / F.col("n_tokens")).alias("per_token"),
+        total.alias("score"),
+        (total / F.col("n_tokens")).alias("per_token"),
     )

@@ -126,3 +126,21 @@ def test_fit_learns_from_whole_texts(spark, ranks, monkeypatch):
     fitted = language_model.fit(df, ranks, bpe.PATTERN)
     ids = len(language_model.Speller(ranks, bpe.PATTERN).spell(("one two three four five six seven eight nine ten " * 40).encode().split())[0]) + 1
     assert seen == [20 * ids] * language_model.ROUNDS and fitted.total == 20 * 401
+
+
+def test_scores_do_not_depend_on_the_size_of_the_table(spark, ranks, monkeypatch):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    docs = [(i, " ".join(rng.choice(names[: rng.randrange(1, 200)]) for _ in range(50))) for i in range(80)] + [(900, None), (901, "unseen " + "z" * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fitted = language_model.fit(df.where("doc_id < 70"), ranks, bpe.PATTERN)
+    whole = {r.doc_id: r for r in language_model.score(df, fitted, ranks, bpe.PATTERN).collect()}
+    ordered = sorted(fitted.frequent.items(), key=lambda x: (-x[1], x[0]))
+    for size in (0, 15):
+        fitted.frequent = dict(ordered[:size])
+        fitted.least = ordered[max(0, size - 1)][1]
+        some = {r.doc_id: r for r in language_model.score(df, fitted, ranks, bpe.PATTERN).collect()}
+        assert len(some) == len(docs)
+        for d, r in some.items():
+            assert r.n_known == whole[d].n_known
+            assert math.isclose(r.score, whole[d].score, rel_tol=1e-9) and math.isclose(r.per_token, r.score / r.n_tokens)
