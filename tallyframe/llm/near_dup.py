@@ -4,7 +4,7 @@ Each distinct shingle set has ``TREES`` x ``DEPTH`` minwise tokens. In every tre
 tokens, one level after the other: a node holds the sets that share the tokens of its path. Nodes of at most
 ``LIMIT`` sets are leaves; larger ones branch on, down to ``DEPTH``. A pair of Jaccard similarity 0.8 stays
 together over d levels of one tree with probability 0.8^d, so ``TREES`` independent trees miss it with
-(1 - 0.8^d)^TREES: 7e-7 at three levels, 3e-5 at four.
+(1 - 0.8^d)^TREES: 3e-7 at the full depth of six levels, less at fewer.
 
 Candidates are compared in two passes, so that groups of copies never become all their pairs. First every
 set is held against the smallest set of its nodes (a star, two of which are confirmed per set). Confirmed
@@ -27,19 +27,21 @@ from pyspark.sql import functions as F
 from tallyframe.llm._shared import materialize, rows_of, sized
 from tallyframe.llm.components import components
 
-TREES, DEPTH, ROOT_DEPTH, LIMIT = 20, 6, 2, 24
+TREES, DEPTH, ROOT_DEPTH, LIMIT = 50, 6, 2, 24
 SKETCH_AGREES = 98
 #: Vertices of candidate links up to which their ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
 #: Components of more sets are compared as groups, in blocks of so many sets.
 GROUP, BLOCK = 32, 128
+#: Minwise values that the sketch takes a bit of each; the trees go on in the same row of values beyond them.
 _POOL = 128
 _PROFILE = "doc long, n_shingles long, ka long, kb long, s1 long, s2 long, tokens array<int>"
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(0, 1 << 32, _POOL, dtype=np.uint32), rng.integers(0, 1 << 31, _POOL, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    n = max(_POOL, TREES * DEPTH)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,7 +87,7 @@ def profiles_of(texts: list[bytes], k: int, sets_only: bool = False):
     sizes = np.array([len(s) for s in sets])
     some = np.flatnonzero(sizes)
     ka, kb = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    tokens = np.zeros((len(texts), _POOL), np.uint32)
+    tokens = np.zeros((len(texts), max(_POOL, TREES * DEPTH)), np.uint32)
     if len(some):
         flat = np.concatenate([sets[i] for i in some])
         at = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
@@ -96,7 +98,7 @@ def profiles_of(texts: list[bytes], k: int, sets_only: bool = False):
             h = (short ^ seed) * mult
             h ^= h >> np.uint32(15)
             tokens[some, j] = np.minimum.reduceat(h * np.uint32(0x2C1B3C6D), at)
-    bits = (tokens * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
+    bits = (tokens[:, :_POOL] * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
     places = np.uint64(1) << np.arange(64, dtype=np.uint64)
     s1, s2 = (bits[:, :64] * places).sum(axis=1, dtype=np.uint64), (bits[:, 64:] * places).sum(axis=1, dtype=np.uint64)
     return sizes, ka, kb, s1, s2, tokens[:, : TREES * DEPTH]

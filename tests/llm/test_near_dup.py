@@ -69,3 +69,19 @@ def test_large_group_of_near_copies_and_empty_table(spark):
     want = brute(docs, 2, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, k=2).collect()} == want
     assert near_dup.near_duplicates(df.limit(0), k=2).count() == 0
+
+
+def test_trees_find_pairs_at_the_threshold_at_full_depth():
+    miss = (1 - 0.8**near_dup.DEPTH) ** near_dup.TREES
+    assert miss < 3e-7
+    rng, pairs = random.Random(9), 2000
+    texts = []
+    for _ in range(pairs):
+        words = [str(rng.random()) for _ in range(36)]
+        texts += [" ".join(words[:32]), " ".join(words[4:])]
+    # sets of 32 words, 28 of them in both: 28 of 36 in common, a little under the threshold
+    *_, tokens = near_dup.profiles_of([t.encode() for t in texts], 1)
+    assert tokens.shape == (2 * pairs, near_dup.TREES * near_dup.DEPTH)
+    same = (tokens[::2] == tokens[1::2]).reshape(pairs, near_dup.TREES, near_dup.DEPTH)
+    found = same.all(axis=2).any(axis=1).sum()
+    assert found == pairs
