@@ -48,26 +48,38 @@ def tag_split(df: DataFrame, train: DataFrame, val: DataFrame, key: str) -> Data
     return df.join(a, key, "left").join(b, key, "left").withColumn("split", tag).drop("_t", "_v")
 
 
-def duplicate_report(df: DataFrame, key: str, hashes: Sequence[str], split: str = "split", max_members: int = 1000) -> DataFrame:
+def _by_hash(df: DataFrame, hashes: Sequence[str], *cols: Column) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(h).alias("duplicate_type"), F.col(h).alias("hash")) for h in hashes))
+    return df.select(*cols, F.explode(kinds).alias("k")).select("*", "k.*").drop("k").where("hash IS NOT NULL")
+
+
+def duplicate_members(df: DataFrame, key: str, hashes: Sequence[str]) -> DataFrame:
+    """(duplicate_type, hash, member) of every row whose hash another row shares; no list grows with a group."""
+    long = _by_hash(df, hashes, F.col(key).alias("member"))
+    shared = long.groupBy("duplicate_type", "hash").agg(F.count("*").alias("n")).where("n > 1").select("duplicate_type", "hash")
+    return long.join(shared, ["duplicate_type", "hash"]).select("duplicate_type", "hash", "member")
+
+
+def duplicate_report(df: DataFrame, key: str, hashes: Sequence[str], split: str = "split", max_members: int | None = None) -> DataFrame:
     """One row for each hash that two rows share: type, hash, count, splits, members and the leakage flags.
 
-    Counts and flags are sums, so a hash that a third of all rows hold costs a row for each task; only the member list (the
-    smallest ``max_members`` ids, a display) is limited.
+    Counts and flags are sums, so a hash that a third of all rows hold costs a row for each task. The member list names every
+    member; ``max_members`` limits it to the smallest ids, for display. ``duplicate_members`` gives the members as rows.
     """
-    kinds = F.array(*(F.struct(F.lit(h).alias("duplicate_type"), F.col(h).alias("hash")) for h in hashes))
-    long = df.select(F.col(key).alias("member"), F.col(split).alias("split"), F.explode(kinds).alias("k")).select("member", "split", "k.*").where("hash IS NOT NULL")
+    long = _by_hash(df, hashes, F.col(key).alias("member"), F.col(split).alias("split"))
+    cut = (lambda x: x) if max_members is None else (lambda x: F.slice(x, 1, max_members))
     has = lambda *names: F.max(F.col("split").isin(*names))
     shared = long.groupBy("duplicate_type", "hash").agg(
         F.count("*").alias("count"), F.sort_array(F.collect_set("split")).alias("splits"),
         has("generated_train").alias("_t"), has("generated_val").alias("_v"), has("test").alias("_x"),
         has("generated_train", "generated_val", "train_unassigned", "train").alias("_any"), F.count_if(F.col("split") != "test").alias("train_members"),
     ).where("count > 1")
-    # the least ids of every bucket, spread over salts first
+    # the ids of every bucket, spread over salts first
     member = long.join(shared.select("duplicate_type", "hash"), ["duplicate_type", "hash"])
     salted = member.groupBy("duplicate_type", "hash", F.pmod(F.xxhash64("member"), F.lit(64)).alias("salt")).agg(
-        F.slice(F.sort_array(F.collect_list("member")), 1, max_members).alias("some")
+        cut(F.sort_array(F.collect_list("member"))).alias("some")
     )
-    members = salted.groupBy("duplicate_type", "hash").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, max_members).alias("members"))
+    members = salted.groupBy("duplicate_type", "hash").agg(cut(F.sort_array(F.flatten(F.collect_list("some")))).alias("members"))
     return shared.join(members, ["duplicate_type", "hash"]).select(
         "duplicate_type", "hash", "count", "splits", "members", "train_members",
         (F.col("_t") & F.col("_v")).alias("train_val_leakage_risk"), (F.col("_any") & F.col("_x")).alias("train_test_leakage_risk"),

@@ -227,3 +227,15 @@ def test_pseudo_rows_and_best_epochs(spark):
     logs = spark.createDataFrame([("a", e, m) for e, m in enumerate([0.5, 0.6, 0.61, 0.605, 0.6, 0.59, 0.9])] + [("b", 0, None)], "run string, epoch long, auc double")
     rows = {r.run: (r.best_epoch, r.stopped_epoch) for r in results.early_stopping(logs, "run", "epoch", "auc", 0.02, 3).collect()}
     assert rows == {"a": (1, 4), "b": (None, None)}
+
+
+def test_duplicate_report_names_every_member(spark):
+    df = spark.range(2600).select(
+        F.col("id").alias("node"), F.when(F.col("id") < 2500, "hot").otherwise(F.col("id").cast("string")).alias("h"), F.lit("test").alias("split")
+    )
+    (row,) = duplicates.duplicate_report(df, "node", ["h"]).collect()
+    assert row["count"] == 2500 and row.members == list(range(2500))
+    rows = duplicates.duplicate_members(df, "node", ["h"]).collect()
+    assert sorted(r.member for r in rows) == list(range(2500)) and {(r.duplicate_type, r.hash) for r in rows} == {("h", "hot")}
+    (short,) = duplicates.duplicate_report(df, "node", ["h"], max_members=3).collect()
+    assert short.members == [0, 1, 2] and short["count"] == 2500
