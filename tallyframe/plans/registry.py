@@ -224,7 +224,7 @@ def weight_refine(spark, sf):
     """Coarse to fine around the winner; tested against the full grid at the finer step."""
     wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
     grid = ensemble.simplex_grid(spark, X.MODELS)
-    options = {"lo": 50, "hi": 950, "step": 10, "scale": 4000000}
+    options = {"lo": 50, "hi": 950, "step": 1, "scale": 4000000}
     best = ensemble.grid_search(wide, grid, X.MODELS, 20, **options).join(grid, "weight_id").first().asDict()
     return ensemble.refine_search(wide, X.MODELS, best, **options)
 

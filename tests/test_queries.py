@@ -41,3 +41,26 @@ def test_entry_module_works_without_the_text_part():
     code = "import sys; sys.modules['tallyframe.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'threshold_sweep' in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
     assert importlib.import_module("__spark_entry__").queries().keys() >= registry.QUERIES.keys()
+
+
+def test_weight_refine_finds_thresholds_between_hundredths(spark, duck):
+    """No triple of twentieths and no threshold in thousandths is better than what the query returns."""
+    import numpy as np
+
+    from tallyframe.plans import fixtures as X
+
+    row = registry.QUERIES["weight_refine"](spark, SF).first()
+    wide = {}
+    for r in X.views(spark, SF).select("sample_id", "label", "model", "s4").collect():
+        wide.setdefault((r.sample_id, r.label), {})[r.model] = int(r.s4)
+    y = np.array([label for _, label in wide])
+    m = np.array([[v[k] for k in X.MODELS] for v in wide.values()])
+    best = 0
+    for a in range(21):
+        for b in range(21 - a):
+            milli = m @ np.array([a, b, 20 - a - b]) // 80_000
+            pos = np.bincount(milli[y == 1], minlength=1001)
+            neg = np.bincount(milli[y == 0], minlength=1001)
+            right = pos[::-1].cumsum()[::-1] + np.append(0, neg.cumsum()[:-1])
+            best = max(best, int(right[50:951].max()))
+    assert row.tn + row.tp >= best
