@@ -81,3 +81,10 @@ def rows_of(batch, columns: int, step: int = 128):
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
         yield from zip(*(part.column(c).to_pylist() for c in range(columns)), strict=True)
+
+
+def release() -> None:
+    """Give what Arrow no longer uses back to the system; workers live on after a task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()

@@ -61,9 +61,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by forced-boundary splitting, and the text that they decode to."""
-    path = vocabulary_path()
-    both = bpe.decode(bpe.encode(_docs(spark, sf_dir), path), path)
-    return both.select(
+    return bpe.round_trip(_docs(spark, sf_dir), vocabulary_path()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -7,8 +7,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, decontaminate, quality
-from tallyframe.llm.queries import vocabulary_path
+from tallyframe.llm.queries import QUERIES, vocabulary_path
 
+SF = "/root/testdata/sf0.001"
 TEXTS = [
     None,
     "",
@@ -18,6 +19,8 @@ TEXTS = [
     "a" * 5000 + " " * 3000 + "b",
     "x" * 300 + "9" * 300 + "!" * 300,
     "it's a test, don't  you   think?",
+    "one\x1ctwo \x1e\x1f  three \x85 four\u2028 \u00a0 five",
+    "ab" * 60 + " " + "the" * 50 + " " + "zq" * 20,
 ]
 
 
@@ -34,13 +37,23 @@ def test_encoding_equals_the_tokenizers_library():
     theirs.no_padding()
     with open(path, encoding="utf-8") as f:
         ours = bpe.Encoder(bpe.Vocabulary(f.read()), table_size=50)
-    assert len(ours.vocabulary.cuts) > 0
+    assert not ours.vocabulary.inside.all()
     rng = random.Random(3)
-    for text in [t for t in TEXTS if t] + [random_text(rng) for _ in range(800)]:
-        want = theirs.encode(text, add_special_tokens=False).ids
-        got = np.frombuffer(ours.encode(text), dtype="<u4")
-        assert got.tolist() == want, text
-        assert ours.vocabulary.decode(got) == theirs.decode(want, skip_special_tokens=False)
+    texts = [t for t in TEXTS if t] + [random_text(rng) for _ in range(800)]
+    for batch in [texts, *([t] for t in texts)]:
+        for text, got in zip(batch, ours.encode(batch), strict=True):
+            want = theirs.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(got, dtype="<u4").tolist() == want, text
+            assert ours.vocabulary.decode(got) == theirs.decode(want, skip_special_tokens=False)
+
+
+def test_long_and_short_fragments_merge_alike():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"theandrsti  !") for _ in range(rng.randrange(1, 65))) for _ in range(500)]
+    slow = [np.array(v._merge_long([v.byte_ids[b] for b in x]), "<u4").tobytes() for x in parts]
+    assert v.merge(parts) == slow
 
 
 def test_encode_and_decode_jobs(spark):
@@ -51,6 +64,34 @@ def test_encode_and_decode_jobs(spark):
     for i, t in enumerate(TEXTS):
         assert rows[i].decoded == (t or "")
     assert bpe.encode(docs.limit(0), path).count() == 0
+    once = {r.doc_id: r for r in bpe.round_trip(docs, path).collect()}
+    assert {i: (bytes(r.ids), r.decoded) for i, r in once.items()} == {i: (bytes(r.ids), r.decoded) for i, r in rows.items()}
+
+
+def test_encode_odd_rows(spark):
+    path = vocabulary_path()
+    long = "the end of it, 12 times. " * 400_000  # 10 MB
+    docs = spark.createDataFrame(
+        [("a", "one two", "k"), ("a", "one two", "k"), (None, "three", None), ("b", None, "x"), ("c", long, "y")], "doc_id string, text string, key string"
+    ).withColumn("decoded", F.lit(1))
+    rows = bpe.round_trip(docs, path).select("doc_id", F.octet_length("ids").alias("n"), F.sha2(F.col("decoded").cast("binary"), 256).alias("s")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.doc_id or "", r.s) for r in rows) == sorted([("a", sha("one two")), ("a", sha("one two")), ("", sha("three")), ("b", sha("")), ("c", sha(long))])
+    assert {r.n for r in rows if r.doc_id == "a"} == {8} and [r.n for r in rows if r.doc_id == "b"] == [0]
+
+
+def test_op8_query_equals_the_tokenizers_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(vocabulary_path())
+    theirs.no_truncation()
+    theirs.no_padding()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op8_bpe"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        want = theirs.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(theirs.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
 def brute_repeats(text):
@@ -138,7 +179,3 @@ def test_removal_of_documents_and_spans(spark):
     assert spans == {1: "clean text", 2: "Before. ! After", 3: None}
     assert decontaminate.decontaminate(docs, b.limit(0)).count() == 3
     assert decontaminate.decontaminate(docs.limit(0), b).columns == docs.columns
-
-
-def test_hashes_of_an_empty_item_list():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
