@@ -46,8 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of what is left; ids as little-endian 32-bit integers."""
-    path = vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.round_trip(docs, vocabulary_path()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
