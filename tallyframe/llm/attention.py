@@ -1,6 +1,7 @@
 """A small causal self-attention model in numpy: one masked attention layer over subword ids.
 
-Inputs are ids with an embedding of their own where they are frequent, shared ones elsewhere. Position t
+It serves for sequences of any kind of ids. Inputs are ids with an embedding of their own where they are frequent,
+shared ones elsewhere. Position t
 attends to itself and at least ``STRIDE`` earlier positions of its text; windows of ``2 * STRIDE`` positions
 overlap by half, and the second half of each is scored, so each token is scored once. The output is a softmax in
 two levels (group, member), then the corpus share of the id within its member's class.
@@ -19,30 +20,29 @@ _LAG = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None,
 class Classes:
     """How ids enter the model and leave it, from their counts in the whole training corpus.
 
-    The most frequent ids have embeddings of their own, all others share ``HASHED``. The ``OWN_CLASSES`` most
-    frequent are classes by themselves; the others are dealt into classes of similar total count, ids that
-    begin a word apart from those that go on with one. As much as one count for each id seen is spread over
-    all ids, so that none is impossible.
+    ``inputs`` and ``counts``: how often each id is read and predicted; ``possible``: the ids that can be predicted.
+    The most frequent inputs have embeddings of their own, all others share ``HASHED``. The ``OWN_CLASSES`` most
+    frequent targets are classes by themselves; the others are dealt into classes of similar total count. As much as
+    one count for each id seen is spread over all possible ids, so that none of them has probability 0.
     """
 
     OWN_CLASSES = GROUPS * MEMBERS - 64
 
-    def __init__(self, counts: np.ndarray, begins: np.ndarray):
+    def __init__(self, inputs: np.ndarray, counts: np.ndarray, possible: np.ndarray):
         n = len(counts)
-        order = np.argsort(-counts, kind="stable")
+        order = np.argsort(-inputs, kind="stable")
         self.embedding = (OWN + np.arange(n) % HASHED).astype(np.int32)
         self.embedding[order[:OWN]] = np.arange(min(OWN, n))
+        weight = np.where(possible, counts + max(1, np.count_nonzero(counts)) / n, 0.0)
+        order = np.argsort(-weight, kind="stable")
         cls = np.zeros(n, dtype=np.int32)
         cls[order[: self.OWN_CLASSES]] = np.arange(min(self.OWN_CLASSES, n))
-        weight = counts + max(1, np.count_nonzero(counts)) / n
-        rest = order[self.OWN_CLASSES :]
-        for side in (0, 1):
-            ids = rest[begins[rest] == bool(side)]
-            if len(ids):
-                share = np.cumsum(weight[ids]) / weight[ids].sum()
-                cls[ids] = self.OWN_CLASSES + 32 * side + np.minimum((share * 32).astype(int), 31)
+        if len(rest := order[self.OWN_CLASSES :]):
+            part = np.cumsum(weight[rest]) / max(weight[rest].sum(), 1e-300)
+            cls[rest] = self.OWN_CLASSES + np.minimum((part * 64).astype(int), 63)
         total = np.bincount(cls, weight, minlength=GROUPS * MEMBERS)
-        self.inside = np.log(weight / total[cls])
+        with np.errstate(divide="ignore"):
+            self.inside = np.log(weight / np.maximum(total, 1e-300)[cls])
         # classes are dealt to groups in turn by count, so that groups weigh about the same
         rank = np.empty(GROUPS * MEMBERS, dtype=np.int32)
         rank[np.argsort(-total, kind="stable")] = np.arange(GROUPS * MEMBERS)
@@ -130,34 +130,56 @@ def _padded(rows: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     )
 
 
+def _block_starts(text: np.ndarray) -> np.ndarray:
+    """Places for the positions of all texts, each text from the start of a block on."""
+    begin = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(text)))
+    room = -(-size // STRIDE) * STRIDE
+    return np.arange(len(text)) + np.repeat(np.cumsum(room) - room - begin, size)
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their groups, and where each group begins."""
+    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group, minlength=GROUPS))))
+
+
 class Model:
     def __init__(self, classes: Classes, p: dict[str, np.ndarray]):
         self.classes, self.p = classes, p
 
-    def log_probs(self, inputs: np.ndarray, targets: np.ndarray, text: np.ndarray, chunk: int = 8_192) -> np.ndarray:
-        """Natural log probability of each target; texts are numbered by ``text`` and stand one after the other."""
+    def log_probs(self, inputs: np.ndarray, targets: np.ndarray, text: np.ndarray, aligned: bool = False, chunk: int = 8_192) -> np.ndarray:
+        """Natural log probability of each target; texts are numbered by ``text`` and stand one after the other.
+
+        ``aligned``: every text begins a block, so that its windows do not depend on what stands before it.
+        """
         c, p, n = self.classes, self.p, len(inputs)
+        place = _block_starts(text) if aligned else np.arange(n)
+        size = int(place[-1]) + 1 if n else 0
         tables, ones = _tables(p), np.ones(MEMBERS, np.float32)
-        rows, marks = _padded(c.embedding[inputs], text)
+        rows, marks = np.zeros(size, c.embedding.dtype), np.full(size, -2)
+        rows[place], marks[place] = c.embedding[inputs], text
+        rows, marks = _padded(rows, marks)
         out = c.inside[targets].astype(np.float64)
-        for a in range(0, n, chunk):
-            z = min(n, a + chunk)
-            stop = a + -(-(z - a) // STRIDE) * STRIDE
-            hidden = _attend(p, rows[a : stop + STRIDE], marks[a : stop + STRIDE], tables)[0][: z - a]
+        for at in range(0, size, chunk):
+            stop = min(len(rows) - STRIDE, at + chunk)
+            a, z = np.searchsorted(place, (at, stop))
+            hidden = _attend(p, rows[at : stop + STRIDE], marks[at : stop + STRIDE], tables)[0][place[a:z] - at]
             group, member = c.group[targets[a:z]], c.member[targets[a:z]]
             top = hidden @ p["group"]
             top += p["group_bias"]
             got = top[np.arange(z - a), group]
             total = np.exp(top, out=top) @ ones
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+            order, edges = _by_group(group)
+            sorted_hidden, sorted_member = hidden[order], member[order]
+            more, norm = np.empty(z - a, np.float32), np.empty(z - a, np.float32)
             for g in range(GROUPS):
-                at = order[edges[g] : edges[g + 1]]
-                if len(at):
-                    low = hidden[at] @ p["member"][g]
-                    low += p["member_bias"][g]
-                    got[at] += low[np.arange(len(at)), member[at]]
-                    total[at] *= np.exp(low, out=low) @ ones
+                at = slice(edges[g], edges[g + 1])
+                low = sorted_hidden[at] @ p["member"][g]
+                low += p["member_bias"][g]
+                more[at] = low[np.arange(len(low)), sorted_member[at]]
+                norm[at] = np.exp(low, out=low) @ ones
+            got[order] += more
+            total[order] *= norm
             out[a:z] += got - np.log(total)
         return out
 
@@ -172,21 +194,32 @@ class Model:
         hidden = full[:n]
         group, member = c.group[targets], c.member[targets]
         g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        top = np.exp(hidden @ p["group"] + p["group_bias"])
-        top /= top.sum(axis=1, keepdims=True)
-        loss = -np.log(top[np.arange(n), group]).sum()
-        top[np.arange(n), group] -= 1
+        ones, every = np.ones(MEMBERS, np.float32), np.arange(n)
+        top = hidden @ p["group"]
+        top += p["group_bias"]
+        np.exp(top, out=top)
+        top /= (top @ ones)[:, None]
+        right = top[every, group]
+        top[every, group] -= 1
         g["group"], g["group_bias"] = hidden.T @ top, top.sum(axis=0)
         dh = top @ p["group"].T
+        order, edges = _by_group(group)
+        sorted_hidden, sorted_member = hidden[order], member[order]
+        back, right_member = np.empty_like(hidden), np.empty(n, np.float32)
         for k in range(GROUPS):
-            at = np.flatnonzero(group == k)
-            if len(at):
-                low = np.exp(hidden[at] @ p["member"][k] + p["member_bias"][k])
-                low /= low.sum(axis=1, keepdims=True)
-                loss -= np.log(low[np.arange(len(at)), member[at]]).sum()
-                low[np.arange(len(at)), member[at]] -= 1
-                g["member"][k], g["member_bias"][k] = hidden[at].T @ low, low.sum(axis=0)
-                dh[at] += low @ p["member"][k].T
+            at = slice(edges[k], edges[k + 1])
+            own = sorted_hidden[at]
+            low = own @ p["member"][k]
+            low += p["member_bias"][k]
+            np.exp(low, out=low)
+            low /= (low @ ones)[:, None]
+            rows_at = every[: len(low)]
+            right_member[at] = low[rows_at, sorted_member[at]]
+            low[rows_at, sorted_member[at]] -= 1
+            g["member"][k], g["member_bias"][k] = own.T @ low, low.sum(axis=0)
+            back[at] = low @ p["member"][k].T
+        loss = -np.log(right).sum() - np.log(right_member).sum()
+        dh[order] += back
         dz = np.zeros_like(full)
         dz[:n] = dh * (1 - np.abs(hidden)) ** 2
         de = np.zeros((len(rows), WIDTH), np.float32)

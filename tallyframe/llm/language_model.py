@@ -1,25 +1,32 @@
-"""LM scoring: counts of the whole training corpus, and a causal self-attention model over subword ids.
+"""LM scoring: two causal self-attention levels over subword ids, with counts of the whole training corpus.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, and one end. The base score adds
 log10((c + 1) / (N + V + 1)) over the tokens, from counts of all training documents. For the model every word is
 spelled in the ids of a byte-level vocabulary (with the blank before it), the end is an id of its own.
-A word's probability is ``SPELLING`` times that of its spelling under the attention model, and the rest times
-its share of the training corpus; the score sums log10 of these over the text.
 
-Everything that is gathered follows the input. Word counts are summed over all training documents; id counts,
-and with them classes and priors of the model, come from that table. The attention weights are trained on
-every token of every training document, in consecutive passages of at most ``PASSAGE`` ids that are dealt to
-partitions by a hash of document and place: each partition trains from the common weights, and the results are
-averaged by their tokens, first in groups on the executors, then once more.
+- The first level runs over the words of a text: it attends to the first ids of the words before and predicts the first
+  id of the next word, or the end. Windows overlap by half and score each token once.
+- The second level runs over the ids of one word: from those so far it predicts the next one, or that the word is over.
+  What it gives depends on the word alone, so it is computed once for each distinct word of a task.
+
+A word ``w`` with first id ``f`` has the probability P1(f | words before) * (c(w) + T(f) * P2(w)) / (c(f) + T(f)): its share of
+the corpus among the words that begin like it, backed off to its spelling by as much as new words come up after ``f``;
+T(f) counts the distinct training words that begin with ``f``. Both levels sum to 1 over all ids, so words sum to 1.
+
+Everything that is gathered follows the input. Words are counted over all training documents. The first level is trained on
+every word of every training document, in consecutive passages of at most ``PASSAGE`` words, the second on every
+distinct training word (its job is the words that counts do not know). Passages and words are dealt to
+``ROUNDS`` rounds and to tasks by hashes and sorted there; in each round tasks train from the common weights on their own
+part, and the results are averaged by their size, first in groups on the executors, then once more. Each passage
+and each word is gone through once, whatever the size of the input.
 
 Frequent words (``FREQUENT``, a fixed bound) are looked up in a broadcast table while texts are scored; the others
-are joined with the counts in a shuffle, for the base score and for their share of the corpus. The table's size changes no score.
+are joined with the counts in a shuffle, for both scores. The table's size changes no score.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -27,18 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, rows_of, share, shared, sized
-from tallyframe.llm.attention import Adam, Classes, Model, initial, pack, unpack
+from tallyframe.llm._shared import materialize, release, rows_of, share, shared, sized
+from tallyframe.llm.attention import STRIDE, Adam, Classes, Model, initial, pack, unpack
 
 FREQUENT = 100_000
-#: Ids of a training passage at most, many windows of the model; longer texts go on in the next passage.
+#: Words of a training passage at most, many windows of the model; longer texts go on in the next passage.
 PASSAGE = 512
-ROUNDS = 2
+#: Learning rate of each round.
+RATES = (0.03, 0.015, 0.005)
+ROUNDS = len(RATES)
 TOKENS_A_TASK = 500_000
-BATCH = 1_024
-MIN_STEPS, REPLAYS = 500, 20
-#: Share of the spelling in a word's probability; the rest is the word's share of the corpus.
-SPELLING = 0.6
+BATCH = 4_096
+#: Distinct words that a task holds before it sends them on or starts anew.
+TABLE = 200_000
 _END_WORD = b"\n"  # no word holds a line end
 _ODD_BLANK = re.compile(r"[^\S ]")
 
@@ -91,159 +99,262 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-def _count_words(batches):
-    """(word, n), summed over some hundred thousand distinct words before they are sent on."""
-    counts: Counter = Counter()
+def _split(texts: list[bytes | None]) -> list[list[bytes]]:
+    return [(t or b"").lower().split() for t in texts]
 
-    def flush():
-        words = list(counts)
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
-        counts.clear()
 
-    for batch in batches:
-        for part in sized(rows_of(batch, 1), lambda r: len(r[0] or b""), 1_000_000):
-            for (text,) in part:
-                counts.update((text or b"").lower().split())
-            counts[_END_WORD] += len(part)
-            if len(counts) > 300_000:
-                yield from flush()
-    yield from flush()
+def _id_type(size: int) -> str:
+    """How ids travel: two bytes where all fit."""
+    return "<u2" if size <= 1 << 16 else "<i4"
+
 
+_READ = "word binary, n long, key long, ids binary"
 
-def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """(word binary, n) over all rows; the end counts once a row, under the word of one line end."""
-    parts = training.select(F.col(text).cast("binary")).mapInArrow(_count_words, "word binary, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
+def _read(speller):
+    """(place, text) -> rows of counted words (word, n), and of passages (n, key, ids as bytes): the id before, then its own.
+
+    Passages cover every text; the end counts once a text, under the word of one line end.
+    """
 
-def _count_ids(speller):
     def run(batches):
         own = shared(speller).build()
-        total = np.zeros(len(own.begins))
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            real = [i for i, w in enumerate(words) if w != _END_WORD]
-            ids, first = own.spell([words[i] for i in real])
-            total += np.bincount(ids, np.repeat(n[real], np.diff(first)), minlength=len(total))
-            total[own.end] += n[[i for i, w in enumerate(words) if w == _END_WORD]].sum()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["id", "n"])
+        kind = _id_type(len(own.begins))
+        table: dict[bytes, int] = {}
+        first_ids, counts, texts = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
-    return run
+        def counted():
+            words = list(table)
+            for i in range(0, len(words), 50_000):
+                part = words[i : i + 50_000]
+                yield rows(word=pa.array(part, pa.binary()), n=pa.array(counts[i : i + 50_000]))
 
+        def rows(**columns):
+            size = len(columns["n"])
+            types = {"word": pa.binary(), "n": pa.int64(), "key": pa.int64(), "ids": pa.binary()}
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in types.items()], names=list(types))
 
-def _id_type(size: int) -> str:
-    """How ids travel: two bytes where all fit."""
-    return "<u2" if size <= 1 << 16 else "<i4"
+        for batch in batches:
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
+                if len(table) > TABLE:
+                    yield from counted()
+                    table, first_ids, counts = {}, first_ids[:0], counts[:0]
+                words = _split([r[1] for r in part])
+                texts += len(part)
+                n = [len(x) for x in words]
+                flat = list(chain.from_iterable(words))
+                at = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
+                if len(gaps := np.flatnonzero(at < 0)):
+                    new = list(dict.fromkeys([flat[i] for i in gaps.tolist()]))
+                    table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                    ids, first = own.spell(new)
+                    first_ids = np.concatenate((first_ids, ids[first[:-1]]))
+                    counts = np.concatenate((counts, np.zeros(len(new), np.int64)))
+                    at[gaps] = [table[flat[i]] for i in gaps.tolist()]
+                counts += np.bincount(at, minlength=len(table))
+                ids, edges = first_ids[at].astype(kind), np.cumsum([0, *n])
+                keys, out = [], []
+                for (place, _), a, z in zip(part, edges.tolist(), edges[1:].tolist(), strict=False):
+                    whole = np.concatenate(([own.end], ids[a:z], [own.end])).astype(kind)
+                    for i in range(0, len(whole) - 1, PASSAGE):
+                        keys.append((place * 0x9E3779B1 + i) & (1 << 62) - 1)
+                        out.append(whole[i : i + PASSAGE + 1])
+                yield rows(
+                    n=pa.array([len(x) - 1 for x in out], pa.int64()), key=pa.array(keys, pa.int64()), ids=pa.array([x.tobytes() for x in out], pa.binary())
+                )
+        yield from counted()
+        if texts:
+            yield rows(word=pa.array([_END_WORD], pa.binary()), n=pa.array([texts], pa.int64()))
+        release()
 
+    return run
 
-def _passages(speller):
-    """(key, ids as bytes, count) of consecutive passages that cover every text: the id before the passage, then its own ids."""
+
+def _count_ids(speller):
+    """(word, n) -> by id: first (how often words begin with it), kinds (distinct words that do), read and follows (in distinct words)."""
 
     def run(batches):
         own = shared(speller).build()
-        kind = _id_type(len(own.begins))
+        first_n, kinds, read, follows = (np.zeros(len(own.begins), np.int64) for _ in range(4))
         for batch in batches:
-            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
-                words = [(text or b"").lower().split() for _, text in part]
-                ids, first = own.spell([w for x in words for w in x])
-                cut = first[np.cumsum([0, *(len(x) for x in words)])]
-                keys, out = [], []
-                for (place, _), a, b in zip(part, cut, cut[1:], strict=False):
-                    whole = np.concatenate(([own.end], ids[a:b], [own.end])).astype(kind)
-                    for at in range(0, len(whole) - 1, PASSAGE):
-                        keys.append((place * 0x9E3779B1 + at) & (1 << 62) - 1)
-                        out.append(whole[at : at + PASSAGE + 1])
-                for at in range(0, len(out), 2_000):
-                    some = out[at : at + 2_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at : at + 2_000], pa.int64()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([len(x) - 1 for x in some], pa.int64())],
-                        names=["key", "ids", "n"],
-                    )
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            end = np.array([w == _END_WORD for w in words], dtype=bool)
+            first_n[own.end] += n[end].sum()
+            ids, first = own.spell([w for w in words if w != _END_WORD])
+            begin = ids[first[:-1]]
+            np.add.at(first_n, begin, n[~end])
+            kinds += np.bincount(begin, minlength=len(kinds))
+            read += np.bincount(ids, minlength=len(read))
+            follows += np.bincount(ids, minlength=len(read)) - np.bincount(begin, minlength=len(read))
+            follows[own.end] += len(begin)
+        some = np.flatnonzero(first_n + read + follows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in (first_n, kinds, read, follows))], names=["id", "first", "kinds", "read", "follows"]
+        )
 
     return run
 
 
-def _train(state, rate: float):
-    """A pass over a partition's passages from the common weights, several where they are few -> (weights, tokens)."""
+def _passage_steps(batches, kind):
+    """(inputs, targets, text numbers) of some whole passages a time."""
+    parts = (np.frombuffer(b, dtype=kind).astype(np.int32) for batch in batches for (b,) in rows_of(batch, 1))
+    for some in sized(parts, lambda p: len(p) - 1, BATCH):
+        x, y = np.concatenate([p[:-1] for p in some]), np.concatenate([p[1:] for p in some])
+        yield x, y, np.repeat(np.arange(len(some)), [len(p) - 1 for p in some])
+
+
+def _word_arrays(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The second level's inputs and targets: each id of a word gives the next one, the last one the word's end."""
+    targets = np.empty_like(ids)
+    targets[:-1] = ids[1:]
+    targets[first[1:] - 1] = end
+    return ids, targets, np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def _word_steps(batches, own):
+    words = (w for batch in batches for (w,) in rows_of(batch, 1))
+    for some in sized(words, lambda w: 1 + len(w) // 3, BATCH):
+        yield _word_arrays(*own.spell(some), own.end)
+
+
+def _train(state, rate: float, speller=None):
+    """A pass over a partition's passages (or, with ``speller``, words) from the common weights -> (weights, tokens)."""
 
     def run(batches):
         classes, flat = shared(state)
         model, adam, tokens = Model(classes, unpack(flat)), Adam(rate), 0
-        kind = _id_type(len(classes.inside))
-
-        def step(parts):
-            x, y = np.concatenate([p[:-1] for p in parts]), np.concatenate([p[1:] for p in parts])
-            text = np.repeat(np.arange(len(parts)), [len(p) - 1 for p in parts])
+        for x, y, text in _word_steps(batches, shared(speller).build()) if speller else _passage_steps(batches, _id_type(len(classes.inside))):
             adam.step(model.p, model.gradient(x, y, text)[1])
-            return len(y)
-
-        held = []  # few passages are gone through again, REPLAYS times at most, until MIN_STEPS steps are made
-        for batch in batches:
-            parts = (np.frombuffer(b, dtype=kind).astype(np.int32) for (b,) in rows_of(batch, 1))
-            for some in sized(parts, lambda p: len(p) - 1, BATCH):
-                tokens += step(some)
-                if len(held) < MIN_STEPS:
-                    held.append(some)
-        for i in range(adam.t, min(MIN_STEPS, REPLAYS * adam.t)):
-            step(held[i % len(held)])
+            tokens += len(y)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([pack(model.p).astype("<f4").tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "n"])
+        release()
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
+    """One row: the mean by tokens, added up in the order of the rows' content."""
     total, n = 0.0, 0
-    for w, k in zip(table.column("weights").to_pylist(), table.column("n").to_pylist(), strict=True):
+    for w, k in sorted(zip(table.column("weights").to_pylist(), table.column("n").to_pylist(), strict=True)):
         total, n = total + np.frombuffer(w, dtype="<f4").astype(np.float64) * k, n + k
     return pa.table({"weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
+def _fit_level(rows: DataFrame, key: str, content: str, tokens: int, classes: Classes, speller=None) -> np.ndarray:
+    """Weights of one level, trained on the column ``content`` in an order by ``key``; ``tokens`` sets the number of tasks."""
+    spark, flat = rows.sparkSession, pack(initial(classes))
+    tasks = max(1, -(-tokens // (ROUNDS * TOKENS_A_TASK)))
+    groups = max(16, int(tasks**0.5))
+    turn = F.pmod(F.xxhash64(F.lit(1), key), F.lit(ROUNDS))
+    for r in range(ROUNDS if tokens else 0):
+        own = rows.where(turn == r).select(F.xxhash64(F.lit(2), key).alias("order"), content)
+        dealt = own.repartition(tasks, "order").sortWithinPartitions("order", content).select(content)
+        trained = dealt.mapInArrow(_train(share(spark, (classes, flat)), RATES[r], speller), "weights binary, n long")
+        some = trained.groupBy(F.pmod(F.xxhash64("weights"), F.lit(groups)).alias("g")).applyInArrow(_average, "weights binary, n long").toArrow()
+        if some.num_rows:
+            flat = np.frombuffer(_average(some).column("weights")[0].as_py(), dtype="<f4")
+    return flat
+
+
 class Fitted:
-    """The trained model with what the scoring pass needs of the counts."""
+    """Both trained levels with what the scoring pass needs of the counts.
 
-    def __init__(self, classes, weights, counts: DataFrame, frequent: dict[bytes, int], least: int, total: int, distinct: int, end: int):
-        self.classes, self.weights, self.counts = classes, weights, counts
+    ``levels``: (classes, weights) of each. ``first``, ``kinds``: by id, how often training words begin with it and how
+    many distinct ones do. ``counts``: (word, n) of all training words; ``frequent`` holds the ``FREQUENT`` most frequent, down
+    to the count ``least``. ``total``: training tokens, ``distinct`` of them different, ``end``: training texts.
+    """
+
+    def __init__(self, levels, first, kinds, counts: DataFrame, frequent: dict[bytes, int], least: int, total: int, distinct: int, end: int):
+        self.levels, self.first, self.kinds, self.counts = levels, first, kinds, counts
         self.frequent, self.least, self.total, self.distinct, self.end = frequent, least, total, distinct, end
 
 
 def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> Fitted:
-    """Count and train on all rows of ``training``; an empty table gives a model of the priors alone."""
+    """Count and train on all rows of ``training``.
+
+    Null and empty texts are one end each, repeated rows count as often as they stand, null ids are an id of their own;
+    long texts are read in passages. An empty table gives a model of the priors alone. Other columns are ignored.
+    """
     spark = training.sparkSession
     speller = share(spark, SpellerSource(ranks, pattern))
-    counts = materialize(word_counts(training, text), "counts")
+    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40))
+    read = materialize(training.select(place, F.col(text).cast("binary")).mapInArrow(_read(speller), _READ), "read")
+    counts = materialize(read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(_END_WORD)).orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
+    words = counts.where(F.col("word") != F.lit(_END_WORD))
+    top = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     end = counts.where(F.col("word") == F.lit(_END_WORD)).select("n").first()
     size = max(ranks.values()) + 2
-    id_counts = np.zeros(size)
-    for r in counts.mapInArrow(_count_ids(speller), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id at most
-        id_counts[r["id"]] = r["n"]
+    first, kinds, met, follows = (np.zeros(size) for _ in range(4))
+    tables = {"first": first, "kinds": kinds, "read": met, "follows": follows}
+    ids = counts.mapInArrow(_count_ids(speller), "id int, first long, kinds long, read long, follows long")
+    for r in ids.groupBy("id").agg(*(F.sum(c).alias(c) for c in tables)).collect():  # one row an id at most
+        for c, x in tables.items():
+            x[r["id"]] = r[c]
     begins = np.zeros(size, dtype=bool)
     for token, i in ranks.items():
         begins[i] = token[:1] == b" "
-    classes = Classes(id_counts, begins)
-    flat = pack(initial(classes))
-    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40))
-    passages = materialize(training.select(place, F.col(text).cast("binary")).mapInArrow(_passages(speller), "key long, ids binary, n long"), "passages")
+    begins[-1] = True  # the end
+    over = ~begins
+    over[-1] = True
+    classes = Classes(first, first, begins), Classes(met, follows, over)
+    passages = read.where("ids IS NOT NULL")
     tokens = passages.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, -(-tokens // TOKENS_A_TASK))
-    dealt = passages.repartition(tasks, "key").select("ids")
-    for r in range(ROUNDS if tokens else 0):
-        trained = dealt.mapInArrow(_train(share(spark, (classes, flat)), 0.02 / (1 + 2 * r)), "weights binary, n long")
-        groups = max(16, int(tasks**0.5))
-        some = trained.groupBy(F.pmod(F.xxhash64("weights"), F.lit(groups)).alias("g")).applyInArrow(_average, "weights binary, n long")
-        mean = _average(some.toArrow())
-        flat = np.frombuffer(mean.column("weights")[0].as_py(), dtype="<f4")
+    levels = (
+        (classes[0], _fit_level(passages, "key", "ids", int(tokens), classes[0])),
+        (classes[1], _fit_level(words, "word", "word", int(met.sum()), classes[1], speller)),
+    )
     least = min(frequent.values()) if len(frequent) == FREQUENT else 1
-    return Fitted(classes, flat, counts, frequent, least, int(total), int(distinct), end["n"] if end else 0)
+    return Fitted(levels, first, kinds, counts, frequent, least, int(total), int(distinct), end["n"] if end else 0)
 
 
-_SCORED = "key long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
+_SCORED = "key long, id string, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
+_LN10 = float(np.log(10))
+
+
+class Words:
+    """Distinct words of a task: the first id, the count in the training corpus, and log10 of what follows the first id.
+
+    Row 0 is the end. ``spelled``: log10(T(f) * P2(w)); ``inner``: log10((c(w) + T(f) * P2(w)) / (c(f) + T(f))).
+    """
+
+    def __init__(self, own: Speller, model: Model, first: np.ndarray, kinds: np.ndarray, frequent: dict[bytes, int], end_count: int):
+        self.own, self.model, self.frequent = own, model, frequent
+        self.kinds = np.maximum(kinds, 1)
+        self.floor = np.log10(first + self.kinds)
+        self.kinds = np.log10(self.kinds)
+        self.end_count = end_count
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = {_END_WORD: 0}
+        self.ids, self.count = np.array([self.own.end], np.int32), np.array([self.end_count], np.int64)
+        self.spelled, self.inner = np.zeros(1), np.zeros(1)
+
+    def rows(self, flat: list[bytes]) -> np.ndarray:
+        table = self.table
+        at = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(gaps := np.flatnonzero(at < 0)):
+            new = list(dict.fromkeys([flat[i] for i in gaps.tolist()]))
+            table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            ids, first = self.own.spell(new)
+            begin = ids[first[:-1]]
+            inputs, targets, word = _word_arrays(ids, first, self.own.end)
+            # a word of one block at most is seen whole wherever it stands; longer ones begin a block
+            long = (np.diff(first) > STRIDE)[word]
+            logs = np.empty(len(ids))
+            for some, aligned in ((np.flatnonzero(~long), False), (np.flatnonzero(long), True)):
+                logs[some] = self.model.log_probs(inputs[some], targets[some], word[some], aligned)
+            spelled = np.add.reduceat(logs, first[:-1]) / _LN10 + self.kinds[begin]
+            count = np.fromiter((self.frequent.get(w, 0) for w in new), np.int64, len(new))
+            with np.errstate(divide="ignore"):
+                both = np.where(count > 0, np.log10(count + np.power(10.0, spelled)), spelled)
+            for name, more in (("ids", begin), ("count", count), ("spelled", spelled), ("inner", both - self.floor[begin])):
+                setattr(self, name, np.concatenate((getattr(self, name), more)))
+            at[gaps] = [table[flat[i]] for i in gaps.tolist()]
+        return at
 
 
 def _score(speller, state):
@@ -251,64 +362,45 @@ def _score(speller, state):
         from pyspark import TaskContext
 
         own = shared(speller).build()
-        classes, weights, frequent, end_count, total = shared(state)
-        model = Model(classes, unpack(weights))
+        levels, first, kinds, frequent, end_count = shared(state)
+        model, spelling = (Model(classes, unpack(flat)) for classes, flat in levels)
+        words = Words(own, spelling, first, kinds, frequent, end_count)
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-
-        def fresh():  # a word's row in the arrays: its ids and its count; row 0 is the end
-            return {_END_WORD: 0}, np.array([own.end], np.int32), np.array([0, 1]), np.array([end_count])
-
-        table, ids, first, count = fresh()
         for batch in batches:
-            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
-                words = [(r[1] or b"").lower().split() for r in part]
-                if len(table) > 150_000:
-                    table, ids, first, count = fresh()
-                for x in words:
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 500_000):
+                if len(words.table) > TABLE:
+                    words.clear()
+                split = _split([r[1] for r in part])
+                for x in split:
                     x.append(_END_WORD)
-                n = np.array([len(x) for x in words])
-                flat = list(chain.from_iterable(words))
-                word = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
-                if len(gaps := np.flatnonzero(word < 0)):
-                    new = list(dict.fromkeys(flat[i] for i in gaps.tolist()))
-                    table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                    more, at = own.spell(new)
-                    ids, first = np.concatenate((ids, more)), np.concatenate((first, first[-1] + at[1:]))
-                    count = np.concatenate((count, np.fromiter((frequent.get(w, 0) for w in new), np.int64, len(new))))
-                    word[gaps] = [table[flat[i]] for i in gaps.tolist()]
+                n = np.array([len(x) for x in split])
+                flat = list(chain.from_iterable(split))
+                at = words.rows(flat)
                 doc = np.repeat(np.arange(len(part)), n)
-                c = count[word]
-                known = np.bincount(doc, c > 0, minlength=len(part)).astype(np.int64)
-                base = np.bincount(doc, np.log10(c + 1), minlength=len(part))
-                size = first[word + 1] - first[word]
-                begin = np.cumsum(size) - size
-                at = np.repeat(first[word] - begin, size)
-                at += np.arange(len(at))
-                targets = ids[at]
+                c = words.count[at]
+                targets = words.ids[at]
                 inputs = np.empty_like(targets)
                 inputs[1:] = targets[:-1]
-                inputs[begin[np.cumsum(n) - n]] = own.end
-                spelled = np.add.reduceat(model.log_probs(inputs, targets, np.repeat(doc, size)), begin)
-                mixed = np.log10(SPELLING * np.exp(spelled) + (1 - SPELLING) * c / max(1, total))
-                # far below what a double holds the spelling alone counts
-                mixed = np.where(c > 0, mixed, spelled / np.log(10) + np.log10(SPELLING if total else 1.0))
-                score = np.bincount(doc, mixed, minlength=len(part))
+                inputs[np.cumsum(n) - n] = own.end
+                of_word = model.log_probs(inputs, targets, doc, aligned=True) / _LN10 + words.inner[at]
                 rare = np.flatnonzero(c == 0)
                 edges = pa.array(np.cumsum([0, *np.bincount(doc[rare], minlength=len(part))]), pa.int32())
+                sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(part)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key + np.arange(len(part))),
-                        pa.array([r[0] for r in part], pa.int64()),
+                        pa.array([r[0] for r in part], pa.string()),
                         pa.array(n),
-                        pa.array(known),
-                        pa.array(base),
-                        pa.array(score),
+                        sums(c > 0).cast(pa.int64()),
+                        sums(np.log10(c + 1)),
+                        sums(of_word),
                         pa.ListArray.from_arrays(edges, pa.array([flat[i] for i in rare.tolist()], pa.binary())),
-                        pa.ListArray.from_arrays(edges, pa.array(spelled[rare] / np.log(10), pa.float64())),
+                        pa.ListArray.from_arrays(edges, pa.array(words.spelled[at[rare]])),
                     ],
                     names=[c.split()[0] for c in _SCORED.split(", ")],
                 )
                 key += len(part)
+        release()
 
     return run
 
@@ -316,26 +408,24 @@ def _score(speller, state):
 def score(docs: DataFrame, fitted: Fitted, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, per_token) for every row.
 
-    A null or empty text is one end token. Every row is scored on its own, so repeated rows give equal rows;
-    other columns are ignored. ``per_token`` is the score over the number of tokens.
+    A null or empty text is one end token; ids of any type, null ones too, stay as they are. Every row is scored whole and
+    on its own, so repeated rows give equal rows (up to the rounding of sums); an empty table gives none; other columns are ignored. ``per_token`` is the
+    score over the number of tokens.
     """
     spark = docs.sparkSession
-    state = share(spark, (fitted.classes, fitted.weights, fitted.frequent, fitted.end, fitted.total))
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
+    state = share(spark, (fitted.levels, fitted.first, fitted.kinds, fitted.frequent, fitted.end))
+    rows = docs.select(F.col(doc_id).cast("string"), F.col(text).cast("binary"))
     scored = materialize(rows.mapInArrow(_score(share(spark, SpellerSource(ranks, pattern)), state), _SCORED), "scored")
     others = fitted.counts.where((F.col("n") <= fitted.least) & (F.col("word") != F.lit(_END_WORD)))
     pairs = scored.select("key", F.explode(F.arrays_zip("rare", "spelled")).alias("r"))
     rare = pairs.select("key", F.col("r.rare").alias("word"), F.col("r.spelled").alias("spelled")).join(others, "word")
     # the kernel took these words by their spelling alone
-    alone = F.col("spelled") + float(np.log10(SPELLING))
-    mixed = F.log10(SPELLING * F.pow(F.lit(10.0), "spelled") + (1 - SPELLING) * F.col("n") / max(1, fitted.total))
-    more = rare.groupBy("key").agg(
-        F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(mixed - alone).alias("gain")
-    )
+    gain = F.log10(F.col("n") + F.pow(F.lit(10.0), "spelled")) - F.col("spelled")
+    more = rare.groupBy("key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(gain).alias("gain"))
     floor = float(np.log10(fitted.total + fitted.distinct + 1))
     total = F.col("score") + F.coalesce("gain", F.lit(0.0))
     return scored.drop("rare", "spelled").join(more, "key", "left").select(
-        "doc_id",
+        F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(fitted.total).cast("long").alias("train_tokens"),

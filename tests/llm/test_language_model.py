@@ -19,7 +19,8 @@ def ranks(spark):
 
 def small_model(v=400, seed=0):
     rng = np.random.default_rng(seed)
-    return attention.Model(c := attention.Classes(rng.integers(0, 50, v).astype(float), rng.random(v) < 0.4), attention.initial(c))
+    n = rng.integers(0, 50, v).astype(float)
+    return attention.Model(c := attention.Classes(n, n, np.ones(v, bool)), attention.initial(c))
 
 
 def test_probabilities_sum_to_one_and_look_back_only():
@@ -37,6 +38,11 @@ def test_probabilities_sum_to_one_and_look_back_only():
     # a text alone, or in a batch and cut into chunks elsewhere, scores the same
     alone = m.log_probs(x[text == 0], y[text == 0], text[text == 0])
     assert np.allclose(alone, whole[text == 0], atol=1e-4)
+    # aligned texts see the same windows wherever they stand
+    long, where = rng.integers(0, 400, 90), np.repeat([0, 1, 2], [7, 60, 23])
+    together = m.log_probs(long[:-1], long[1:], where[:-1], aligned=True)
+    assert np.allclose(together[7:67], m.log_probs(long[7:67], long[8:68], where[7:67], aligned=True), atol=1e-5)
+    assert len(m.log_probs(long[:0], long[:0], where[:0], aligned=True)) == 0
 
 
 def test_gradient_equals_differences():
@@ -67,13 +73,18 @@ def test_words_are_spelled_alone(ranks):
 
 def test_base_counts_and_gain_over_the_base(spark, ranks, monkeypatch):
     rng = random.Random(4)
-    parts = ["ba", "lo", "ter", "min", "su", "kra"]
-    word = lambda: rng.choice(["the", "and", "of"]) if rng.random() < 0.4 else "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
-    docs = [(i, " ".join(word().title() if rng.random() < 0.1 else word() for _ in range(rng.randrange(1, 120)))) for i in range(300)]
+    kinds = [(["the", "and", "of"], ["ba", "lo", "ter", "min", "su", "kra"]), (["der", "und", "von"], ["che", "pfi", "sch", "ung", "keit"])]
+
+    def word(small, parts):
+        w = rng.choice(small) if rng.random() < 0.4 else "".join(rng.choice(parts) for _ in range(rng.randrange(1, 3)))
+        return w.title() if rng.random() < 0.1 else w
+
+    docs = [(i, " ".join(word(*kinds[i % 2]) for _ in range(rng.randrange(1, 120)))) for i in range(300)]
     docs += [(900, None), (901, ""), (902, " \n"), (903, "x y zzz")]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in docs], "doc_id long, text string, score double").repartition(3)
     monkeypatch.setattr(language_model, "FREQUENT", 40)  # so that the shuffled way is taken too
     monkeypatch.setattr(language_model, "TOKENS_A_TASK", 2000)
+    monkeypatch.setattr(language_model, "BATCH", 128)
     fitted = language_model.fit(df.where(~held_out("doc_id", 7)), ranks, bpe.PATTERN)
     rows = language_model.score(df, fitted, ranks, bpe.PATTERN).withColumn("held", held_out("doc_id", 7)).collect()
     tokens = {d: [*(t or "").encode().lower().split(), b"\n"] for d, t in docs}
@@ -87,9 +98,11 @@ def test_base_counts_and_gain_over_the_base(spark, ranks, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in x), rel_tol=1e-9)
         assert r.score < 0
     # a text's score is that of its words, one after the other; what is held out gains from the training
-    untrained = language_model.Fitted(fitted.classes, attention.pack(attention.initial(fitted.classes)), *list(vars(fitted).values())[2:])
+    fresh = tuple((c, attention.pack(attention.initial(c))) for c, _ in fitted.levels)
+    untrained = language_model.Fitted(fresh, *list(vars(fitted).values())[1:])
     plain = {r.doc_id: r.score for r in language_model.score(df, untrained, ranks, bpe.PATTERN).collect()}
     assert sum(r.score for r in rows if r.held) > sum(plain[r.doc_id] for r in rows if r.held)
+    assert sum(r.score for r in rows if r.held) > sum(r.base_score for r in rows if r.held)
     empty = language_model.fit(df.limit(0), ranks, bpe.PATTERN)
     assert empty.total == 0 and language_model.score(df.limit(0), fitted, ranks, bpe.PATTERN).count() == 0
     assert language_model.score(df, empty, ranks, bpe.PATTERN).where(F.col("n_known") > 0).count() == 0
@@ -101,7 +114,10 @@ def test_training_passages_cover_every_text(spark, ranks):
     docs += [(50, None), (51, docs[-1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     speller = language_model.share(spark, language_model.SpellerSource(ranks, bpe.PATTERN))
-    rows = df.select("doc_id", F.col("text").cast("binary")).repartition(1).mapInArrow(language_model._passages(speller), "key long, ids binary, n long").collect()
+    rows = df.select("doc_id", F.col("text").cast("binary")).repartition(1).mapInArrow(language_model._read(speller), language_model._READ)
+    counted = {bytes(r.word): r.n for r in rows.where("word IS NOT NULL").collect()}
+    assert counted == Counter(w for _, t in docs for w in [*(t or "").encode().split(), b"\n"])
+    rows = rows.where("ids IS NOT NULL").collect()
     own = language_model.Speller(ranks, bpe.PATTERN)
     got = [np.frombuffer(r.ids, dtype=language_model._id_type(len(own.begins))).tolist() for r in rows]
     assert [len(x) - 1 for x in got] == [r.n for r in rows] and max(map(len, got)) <= language_model.PASSAGE + 1
@@ -114,18 +130,62 @@ def test_training_passages_cover_every_text(spark, ranks):
         else:
             assert x[0] == texts[-1][-1]
             texts[-1] += x[1:]
-    want = [[*own.spell((t or "").encode().split())[0].tolist(), own.end] for _, t in docs]
+    first = lambda words: [own.spell([w])[0][0] for w in words]
+    want = [[*first((t or "").encode().split()), own.end] for _, t in docs]
     assert sorted(texts) == sorted(want)
 
 
 def test_fit_learns_from_whole_texts(spark, ranks, monkeypatch):
     seen = []
-    df = spark.createDataFrame([(i, "one two three four five six seven eight nine ten " * 40) for i in range(20)], "doc_id long, text string")
+    words = "one two three four five six seven eight nine ten".split()
+    df = spark.createDataFrame([(i, " ".join(words * 40)) for i in range(20)], "doc_id long, text string")
     average = language_model._average
+    # the driver's averages of the rounds: each passage and each word once
     monkeypatch.setattr(language_model, "_average", lambda t: seen.append(sum(t.column("n").to_pylist())) or average(t))
     fitted = language_model.fit(df, ranks, bpe.PATTERN)
-    ids = len(language_model.Speller(ranks, bpe.PATTERN).spell(("one two three four five six seven eight nine ten " * 40).encode().split())[0]) + 1
-    assert seen == [20 * ids] * language_model.ROUNDS and fitted.total == 20 * 401
+    own = language_model.Speller(ranks, bpe.PATTERN)
+    assert sum(seen) == 20 * 401 + len(own.spell([w.encode() for w in words])[0]) and fitted.total == 20 * 401
+
+
+def test_words_sum_to_one(spark, ranks):
+    """The first ids of a text sum to 1, so do the continuations of a word, and the words that begin alike."""
+    docs = [(i, "the then there other ototo " + "the " * i) for i in range(30)]
+    fitted = language_model.fit(spark.createDataFrame(docs, "doc_id long, text string"), ranks, bpe.PATTERN)
+    own = language_model.Speller(ranks, bpe.PATTERN)
+    every = np.arange(own.end + 1)
+    for classes, flat in fitted.levels:
+        model = attention.Model(classes, attention.unpack(flat))
+        x = own.spell([b"ototo"])[0]
+        text = np.repeat(np.arange(len(every)), len(x))
+        y = np.tile(x, (len(every), 1))
+        y[:, -1] = every
+        p = model.log_probs(np.tile(x, len(every)), y.ravel(), text).reshape(len(every), -1)[:, -1]
+        assert abs(np.exp(p).sum() - 1) < 1e-3
+    spelling = attention.Model(fitted.levels[1][0], attention.unpack(fitted.levels[1][1]))
+    words = language_model.Words(own, spelling, fitted.first, fitted.kinds, fitted.frequent, fitted.end)
+    at = words.rows([b"the", b"then", b"there", b"other", b"ototo"])
+    known, first = words.count[at] > 0, words.ids[at]
+    assert known.all()
+    for f in set(first.tolist()):
+        # known words' counts, and what is left for the spelling
+        same = at[first == f]
+        share = (10.0 ** words.inner[same]).sum()
+        seen = 10.0 ** (words.spelled[same] - np.log10(fitted.kinds[f]))
+        rest = fitted.kinds[f] * (1 - seen.sum()) / (fitted.first[f] + fitted.kinds[f])
+        assert seen.sum() < 1 and abs(share + rest - 1) < 1e-6
+
+
+def test_odd_rows(spark, ranks):
+    long = "alpha beta gamma " * 600_000  # 10 MB
+    df = spark.createDataFrame([("a", "x y"), ("a", "x y"), (None, "x"), ("n", None), ("l", long), ("w", "z" * 200_000)], "doc_id string, text string")
+    df = df.withColumns({"key": F.lit("k"), "score": F.lit("s"), "word": F.lit(1)})
+    fitted = language_model.fit(df, ranks, bpe.PATTERN)
+    rows = language_model.score(df, fitted, ranks, bpe.PATTERN).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        assert np.isfinite(r.score) and r.n_known == r.n_tokens
+    assert len(rows) == 6 and math.isclose(by["a"][0].score, by["a"][1].score, rel_tol=1e-6) and by["l"][0].n_tokens == 1_800_001 and by["n"][0].n_tokens == 1
 
 
 def test_scores_do_not_depend_on_the_size_of_the_table(spark, ranks, monkeypatch):
