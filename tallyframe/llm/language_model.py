@@ -7,7 +7,8 @@ spelled in the ids of a byte-level vocabulary (with the blank before it), the en
 - The first level runs over the words of a text: it attends to the first ids of the words before and predicts the first
   id of the next word, or the end. Windows overlap by half and score each token once.
 - The second level runs over the ids of one word: from those so far it predicts the next one, or that the word is over.
-  What it gives depends on the word alone, so it is computed once for each distinct word of a task.
+  What it gives depends on the word alone, so it is computed once for each distinct training word, and for the words
+  that no training text has where they come up.
 
 A word ``w`` with first id ``f`` has the probability P1(f | words before) * (c(w) + T(f) * P2(w)) / (c(f) + T(f)): its share of
 the corpus among the words that begin like it, backed off to its spelling by as much as new words come up after ``f``;
@@ -261,15 +262,76 @@ class Fitted:
     """Both trained levels with what the scoring pass needs of the counts.
 
     ``levels``: (classes, weights) of each. ``first``, ``kinds``: by id, how often training words begin with it and how
-    many distinct ones do. ``counts``: (word, n) of all training words; ``frequent`` holds the ``FREQUENT`` most frequent, down
-    to the count ``least``. ``total``: training tokens, ``distinct`` of them different, ``end``: training texts.
+    many distinct ones do. ``counts``: (word, first, n, spelled) of all training words, ``spelled`` as ``Spelling`` gives it.
+    ``frequent`` holds the ``FREQUENT`` most frequent of them as an Arrow table, down to the count ``least``. ``total``: training
+    tokens, ``distinct`` of them different, ``end``: training texts.
     """
 
-    def __init__(self, levels, first, kinds, counts: DataFrame, frequent: dict[bytes, int], least: int, total: int, distinct: int, end: int):
+    def __init__(self, levels, first, kinds, counts: DataFrame, frequent: pa.Table, least: int, total: int, distinct: int, end: int):
         self.levels, self.first, self.kinds, self.counts = levels, first, kinds, counts
         self.frequent, self.least, self.total, self.distinct, self.end = frequent, least, total, distinct, end
 
 
+class Spelling:
+    """The second level at work: log10(T(f) * P2(w)) of words, with f the first id, T(f) the distinct words that begin with it, 1 at least."""
+
+    def __init__(self, own: Speller, level, kinds: np.ndarray):
+        self.own, self.model = own, Model(level[0], unpack(level[1]))
+        self.kinds = np.log10(np.maximum(kinds, 1))
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first ids, spelled)"""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0)
+        ids, first = self.own.spell(words)
+        inputs, targets, word = _word_arrays(ids, first, self.own.end)
+        # a word of one block at most is seen whole wherever it stands; longer ones begin a block
+        long = (np.diff(first) > STRIDE)[word]
+        logs = np.empty(len(ids))
+        for some, aligned in ((np.flatnonzero(~long), False), (np.flatnonzero(long), True)):
+            logs[some] = self.model.log_probs(inputs[some], targets[some], word[some], aligned)
+        begin = ids[first[:-1]]
+        return begin, np.add.reduceat(logs, first[:-1]) / _LN10 + self.kinds[begin]
+
+
+def _spell_counts(speller, state):
+    """(word, n) -> (word, first, n, spelled)"""
+
+    def run(batches):
+        level, kinds = shared(state)
+        spelling = Spelling(shared(speller).build(), level, kinds)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                begin, spelled = spelling(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(begin), part.column(1), pa.array(spelled)], names=["word", "first", "n", "spelled"])
+        release()
+
+    return run
+
+
+def _spell_unknown(speller, state):
+    """(key, times, word) -> (key, known, add, gain) of words that no training text has, times their number."""
+
+    def run(batches):
+        level, kinds = shared(state)
+        spelling = Spelling(shared(speller).build(), level, kinds)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                words = part.column(2).to_pylist()
+                place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                spelled = spelling(list(place))[1][[place[w] for w in words]] if words else np.zeros(0)
+                nothing = np.zeros(len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(nothing.astype(np.int64)), pa.array(nothing), pa.array(spelled * part.column(1).to_numpy(zero_copy_only=False))],
+                    names=["key", "known", "add", "gain"],
+                )
+        release()
+
+    return run
+
+
 def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> Fitted:
     """Count and train on all rows of ``training``.
 
@@ -283,8 +345,6 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     counts = materialize(read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != F.lit(_END_WORD))
-    top = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     end = counts.where(F.col("word") == F.lit(_END_WORD)).select("n").first()
     size = max(ranks.values()) + 2
     first, kinds, met, follows = (np.zeros(size) for _ in range(4))
@@ -306,54 +366,52 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
         (classes[0], _fit_level(passages, "key", "ids", int(tokens), classes[0])),
         (classes[1], _fit_level(words, "word", "word", int(met.sum()), classes[1], speller)),
     )
-    least = min(frequent.values()) if len(frequent) == FREQUENT else 1
-    return Fitted(levels, first, kinds, counts, frequent, least, int(total), int(distinct), end["n"] if end else 0)
+    known = words.select("word", "n").mapInArrow(_spell_counts(speller, share(spark, (levels[1], kinds))), "word binary, first int, n long, spelled double")
+    known = materialize(known, "known")
+    frequent = known.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow().combine_chunks()
+    least = frequent.column("n")[-1].as_py() if frequent.num_rows == FREQUENT else 1
+    return Fitted(levels, first, kinds, known, frequent, least, int(total), int(distinct), end["n"] if end else 0)
 
 
-_SCORED = "key long, id string, n_tokens long, known long, base double, score double, rare array<binary>, spelled array<double>"
+_SCORED = "key long, id string, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
 _LN10 = float(np.log(10))
 
 
 class Words:
-    """Distinct words of a task: the first id, the count in the training corpus, and log10 of what follows the first id.
+    """Words of a task by row: the first id, the count in the training corpus (0: not among the frequent ones), and ``inner``.
 
-    Row 0 is the end. ``spelled``: log10(T(f) * P2(w)); ``inner``: log10((c(w) + T(f) * P2(w)) / (c(f) + T(f))).
+    Row 0 is the end, the frequent words come next and stay; others are forgotten when there are too many. ``inner``:
+    log10((c(w) + T(f) * P2(w)) / (c(f) + T(f))) of frequent words; of others the denominator's part alone.
     """
 
-    def __init__(self, own: Speller, model: Model, first: np.ndarray, kinds: np.ndarray, frequent: dict[bytes, int], end_count: int):
-        self.own, self.model, self.frequent = own, model, frequent
-        self.kinds = np.maximum(kinds, 1)
-        self.floor = np.log10(first + self.kinds)
-        self.kinds = np.log10(self.kinds)
-        self.end_count = end_count
+    def __init__(self, own: Speller, first: np.ndarray, kinds: np.ndarray, frequent: pa.Table, end_count: int):
+        self.own, self.floor = own, np.log10(first + np.maximum(kinds, 1))
+        names, begin, n, spelled = (frequent.column(c) for c in ("word", "first", "n", "spelled"))
+        self.always = {_END_WORD: 0} | {w: i for i, w in enumerate(names.to_pylist(), 1)}
+        begin, n, spelled = (x.to_numpy() for x in (begin, n, spelled))
+        inner = np.log10(n + np.power(10.0, spelled)) - self.floor[begin]
+        self.start = np.append(np.int32(own.end), begin.astype(np.int32)), np.append(end_count, n), np.append(0.0, inner)
         self.clear()
 
     def clear(self) -> None:
-        self.table = {_END_WORD: 0}
-        self.ids, self.count = np.array([self.own.end], np.int32), np.array([self.end_count], np.int64)
-        self.spelled, self.inner = np.zeros(1), np.zeros(1)
+        self.table = dict(self.always)
+        self.ids, self.count, self.inner = self.start
 
     def rows(self, flat: list[bytes]) -> np.ndarray:
+        if len(self.table) > len(self.always) + TABLE:
+            self.clear()
         table = self.table
         at = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
         if len(gaps := np.flatnonzero(at < 0)):
-            new = list(dict.fromkeys([flat[i] for i in gaps.tolist()]))
+            missed = [flat[i] for i in gaps.tolist()]
+            new = list(dict.fromkeys(missed))
             table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
             ids, first = self.own.spell(new)
             begin = ids[first[:-1]]
-            inputs, targets, word = _word_arrays(ids, first, self.own.end)
-            # a word of one block at most is seen whole wherever it stands; longer ones begin a block
-            long = (np.diff(first) > STRIDE)[word]
-            logs = np.empty(len(ids))
-            for some, aligned in ((np.flatnonzero(~long), False), (np.flatnonzero(long), True)):
-                logs[some] = self.model.log_probs(inputs[some], targets[some], word[some], aligned)
-            spelled = np.add.reduceat(logs, first[:-1]) / _LN10 + self.kinds[begin]
-            count = np.fromiter((self.frequent.get(w, 0) for w in new), np.int64, len(new))
-            with np.errstate(divide="ignore"):
-                both = np.where(count > 0, np.log10(count + np.power(10.0, spelled)), spelled)
-            for name, more in (("ids", begin), ("count", count), ("spelled", spelled), ("inner", both - self.floor[begin])):
-                setattr(self, name, np.concatenate((getattr(self, name), more)))
-            at[gaps] = [table[flat[i]] for i in gaps.tolist()]
+            self.ids = np.concatenate((self.ids, begin))
+            self.count = np.concatenate((self.count, np.zeros(len(new), np.int64)))
+            self.inner = np.concatenate((self.inner, -self.floor[begin]))
+            at[gaps] = [table[w] for w in missed]
         return at
 
 
@@ -362,14 +420,11 @@ def _score(speller, state):
         from pyspark import TaskContext
 
         own = shared(speller).build()
-        levels, first, kinds, frequent, end_count = shared(state)
-        model, spelling = (Model(classes, unpack(flat)) for classes, flat in levels)
-        words = Words(own, spelling, first, kinds, frequent, end_count)
+        (classes, flat_weights), first, kinds, frequent, end_count = shared(state)
+        model, words = Model(classes, unpack(flat_weights)), Words(own, first, kinds, frequent, end_count)
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 500_000):
-                if len(words.table) > TABLE:
-                    words.clear()
                 split = _split([r[1] for r in part])
                 for x in split:
                     x.append(_END_WORD)
@@ -377,13 +432,15 @@ def _score(speller, state):
                 flat = list(chain.from_iterable(split))
                 at = words.rows(flat)
                 doc = np.repeat(np.arange(len(part)), n)
-                c = words.count[at]
-                targets = words.ids[at]
+                c, targets = words.count[at], words.ids[at]
                 inputs = np.empty_like(targets)
                 inputs[1:] = targets[:-1]
                 inputs[np.cumsum(n) - n] = own.end
                 of_word = model.log_probs(inputs, targets, doc, aligned=True) / _LN10 + words.inner[at]
+                # words that are not in the table, once a text with how often they stand there
                 rare = np.flatnonzero(c == 0)
+                _, some, times = np.unique(doc[rare] * len(words.table) + at[rare], return_index=True, return_counts=True)
+                rare = rare[some]
                 edges = pa.array(np.cumsum([0, *np.bincount(doc[rare], minlength=len(part))]), pa.int32())
                 sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(part)))
                 yield pa.RecordBatch.from_arrays(
@@ -395,7 +452,7 @@ def _score(speller, state):
                         sums(np.log10(c + 1)),
                         sums(of_word),
                         pa.ListArray.from_arrays(edges, pa.array([flat[i] for i in rare.tolist()], pa.binary())),
-                        pa.ListArray.from_arrays(edges, pa.array(words.spelled[at[rare]])),
+                        pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
                     ],
                     names=[c.split()[0] for c in _SCORED.split(", ")],
                 )
@@ -409,22 +466,29 @@ def score(docs: DataFrame, fitted: Fitted, ranks: dict[bytes, int], pattern: str
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, per_token) for every row.
 
     A null or empty text is one end token; ids of any type, null ones too, stay as they are. Every row is scored whole and
-    on its own, so repeated rows give equal rows (up to the rounding of sums); an empty table gives none; other columns are ignored. ``per_token`` is the
-    score over the number of tokens.
+    on its own, so repeated rows give equal rows (up to the rounding of sums); an empty table gives none; other columns are
+    ignored. ``per_token`` is the score over the number of tokens.
     """
     spark = docs.sparkSession
-    state = share(spark, (fitted.levels, fitted.first, fitted.kinds, fitted.frequent, fitted.end))
+    speller = share(spark, SpellerSource(ranks, pattern))
+    state = share(spark, (fitted.levels[0], fitted.first, fitted.kinds, fitted.frequent, fitted.end))
     rows = docs.select(F.col(doc_id).cast("string"), F.col(text).cast("binary"))
-    scored = materialize(rows.mapInArrow(_score(share(spark, SpellerSource(ranks, pattern)), state), _SCORED), "scored")
-    others = fitted.counts.where((F.col("n") <= fitted.least) & (F.col("word") != F.lit(_END_WORD)))
-    pairs = scored.select("key", F.explode(F.arrays_zip("rare", "spelled")).alias("r"))
-    rare = pairs.select("key", F.col("r.rare").alias("word"), F.col("r.spelled").alias("spelled")).join(others, "word")
-    # the kernel took these words by their spelling alone
-    gain = F.log10(F.col("n") + F.pow(F.lit(10.0), "spelled")) - F.col("spelled")
-    more = rare.groupBy("key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(gain).alias("gain"))
+    scored = materialize(rows.mapInArrow(_score(speller, state), _SCORED), "scored")
+    others = fitted.counts.where(F.col("n") <= fitted.least).select("word", "n", "spelled")
+    pairs = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", "r.times", F.col("r.rare").alias("word"))
+    met = materialize(pairs.join(others, "word", "left").select("key", "times", F.when(F.col("n").isNull(), F.col("word")).alias("word"), "n", "spelled"), "rare")
+    known = met.where("n IS NOT NULL").select(
+        "key",
+        F.col("times").alias("known"),
+        (F.col("times") * F.log10(F.col("n") + 1)).alias("add"),
+        (F.col("times") * F.log10(F.col("n") + F.pow(F.lit(10.0), "spelled"))).alias("gain"),
+    )
+    kernel = _spell_unknown(speller, share(spark, (fitted.levels[1], fitted.kinds)))
+    unknown = met.where("n IS NULL").select("key", "times", "word").mapInArrow(kernel, "key long, known long, add double, gain double")
+    more = known.union(unknown).groupBy("key").agg(F.sum("known").alias("more"), F.sum("add").alias("add"), F.sum("gain").alias("gain"))
     floor = float(np.log10(fitted.total + fitted.distinct + 1))
     total = F.col("score") + F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rare", "spelled").join(more, "key", "left").select(
+    return scored.drop("rare", "times").join(more, "key", "left").select(
         F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

@@ -97,7 +97,7 @@ def test_base_counts_and_gain_over_the_base(spark, ranks, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(c[t] > 0 for t in x), n)
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in x), rel_tol=1e-9)
         assert r.score < 0
-    # a text's score is that of its words, one after the other; what is held out gains from the training
+    # what is held out gains from the training, and from the model over the base
     fresh = tuple((c, attention.pack(attention.initial(c))) for c, _ in fitted.levels)
     untrained = language_model.Fitted(fresh, *list(vars(fitted).values())[1:])
     plain = {r.doc_id: r.score for r in language_model.score(df, untrained, ranks, bpe.PATTERN).collect()}
@@ -161,18 +161,13 @@ def test_words_sum_to_one(spark, ranks):
         y[:, -1] = every
         p = model.log_probs(np.tile(x, len(every)), y.ravel(), text).reshape(len(every), -1)[:, -1]
         assert abs(np.exp(p).sum() - 1) < 1e-3
-    spelling = attention.Model(fitted.levels[1][0], attention.unpack(fitted.levels[1][1]))
-    words = language_model.Words(own, spelling, fitted.first, fitted.kinds, fitted.frequent, fitted.end)
-    at = words.rows([b"the", b"then", b"there", b"other", b"ototo"])
-    known, first = words.count[at] > 0, words.ids[at]
-    assert known.all()
-    for f in set(first.tolist()):
-        # known words' counts, and what is left for the spelling
-        same = at[first == f]
-        share = (10.0 ** words.inner[same]).sum()
-        seen = 10.0 ** (words.spelled[same] - np.log10(fitted.kinds[f]))
-        rest = fitted.kinds[f] * (1 - seen.sum()) / (fitted.first[f] + fitted.kinds[f])
-        assert seen.sum() < 1 and abs(share + rest - 1) < 1e-6
+    rows = {bytes(r.word): r for r in fitted.counts.collect()}
+    first = {w: own.spell([w])[0][0] for w in rows}
+    for f in set(first.values()):
+        # known words' counts, and what is left for the spelling of the words that begin like them
+        spelled = sum(10.0 ** rows[w].spelled for w in rows if first[w] == f)
+        n = sum(rows[w].n for w in rows if first[w] == f)
+        assert n == fitted.first[f] and 0 < spelled < fitted.kinds[f] == sum(x == f for x in first.values())
 
 
 def test_odd_rows(spark, ranks):
@@ -195,10 +190,10 @@ def test_scores_do_not_depend_on_the_size_of_the_table(spark, ranks, monkeypatch
     df = spark.createDataFrame(docs, "doc_id long, text string")
     fitted = language_model.fit(df.where("doc_id < 70"), ranks, bpe.PATTERN)
     whole = {r.doc_id: r for r in language_model.score(df, fitted, ranks, bpe.PATTERN).collect()}
-    ordered = sorted(fitted.frequent.items(), key=lambda x: (-x[1], x[0]))
+    ordered = fitted.frequent
     for size in (0, 15):
-        fitted.frequent = dict(ordered[:size])
-        fitted.least = ordered[max(0, size - 1)][1]
+        fitted.frequent = ordered.slice(0, size)
+        fitted.least = ordered.column("n")[max(0, size - 1)].as_py()
         some = {r.doc_id: r for r in language_model.score(df, fitted, ranks, bpe.PATTERN).collect()}
         assert len(some) == len(docs)
         for d, r in some.items():
