@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings, and either of them standing ``OFTEN`` times in a text. From a sample of the labelled rows (at most ``max_examples``, taken by
-hash of their ids: the documented bound of the fit) Spark counts in how many toxic and clean examples each
-term stands; terms that speak for toxicity beyond chance make the vector space. Examples with such a term go
-to an inverted index whose postings lie in blocks with the greatest weight of each term. A text's nearest
-examples are found exactly: blocks are visited by falling bound until the bound is below the worst neighbour
-kept. Votes weighted by similarity, set against the share of toxic examples without any term, give a score,
-and a monotone map fitted on the examples themselves (each left out of its own vote) calibrates it.
-
-The index is bounded by ``max_examples`` and ``max_terms`` whatever the corpus, so it is broadcast.
+A sample of the labelled rows (at most ``max_examples``, taken by hash of their ids: the documented bound of the fit) gives
+the examples. Every example is indexed with all its words but those in over ``MAX_SHARE`` of all documents; document
+frequencies are counted over all documents. Words and word beginnings, and either of them standing ``OFTEN`` times in a text, whose share of
+toxic examples is beyond chance weigh ``BOOST`` times as much; beginnings and repetitions are terms for that only.
+
+The inverted index keeps postings by term and block of ``BLOCK`` examples with the greatest weight of the term in the
+block. A text's nearest examples are found exactly: the blocks of highest bound are evaluated first, then all
+blocks whose bound is not below the worst neighbour found. Neighbours vote, weighted by a power of the cosine, and
+a monotone map fitted on the examples themselves (each left out of its own vote, in a Spark job) calibrates the
+share. The index is bounded by ``max_examples`` whatever the corpus, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -16,102 +17,245 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, rows_of, share, shared, sized
+from tallyframe.llm._shared import materialize, release, rows_of, share, shared, sized
 
 PREFIXES = (4, 5, 6)
 MAX_EXAMPLES = 12_000
-MAX_TERMS = 4_096
 NEIGHBOURS = 16
 BLOCK = 64
+#: Blocks of highest bound that are evaluated before the others are held against the neighbours found.
+FIRST_BLOCKS = 8
+#: Texts that are looked up together.
+TOGETHER = 64
 OFTEN = 3
+BOOST = 8.0
+#: Power of the cosine that weighs a vote, and the weight of the overall share of toxic examples beside the votes: one
+#: neighbour that shares a passage decides little, many alike or a copy decide.
+POWER, PRIOR = 3, 0.25
+#: Terms that stand in a greater share of all documents are left out, but for telling ones.
+MAX_SHARE = 0.02
 THRESHOLD = 0.3
 _MANY = "+"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
 
 
-def terms_of(word: str) -> list[str]:
-    """The word and, marked by a hyphen, its beginnings."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
+def beginnings(word: str) -> list[str]:
+    """The word's beginnings, marked by a hyphen, which no word holds."""
+    return [word[:n] + "-" for n in PREFIXES if len(word) >= n]
+
+
+def term_hashes(terms) -> np.ndarray:
+    """64 bits of each term as signed numbers; terms are told apart by them."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(t) for t in terms], dtype=np.uint64).view(np.int64)
+
+
+class Terms:
+    """Numbers of terms: the sorted hashes of all words of examples, and by name the terms that speak for toxicity.
+
+    Numbers from ``len(hashes)`` on stand for words and beginnings whose repetition is telling while they are no terms themselves.
+    """
+
+    def __init__(self, hashes: np.ndarray, telling: list[str]):
+        self.hashes = np.unique(np.concatenate((hashes, term_hashes(telling))))
+        number = lambda t: int(np.searchsorted(self.hashes, term_hashes([t])[0]))
+        self.telling = {t: number(t) for t in telling}
+        #: By name, the number of each telling beginning, and of each base of a telling repetition.
+        self.named = {t: n for t, n in self.telling.items() if not t.endswith(_MANY)}
+        self.often: dict[int, int] = {}
+        for t in telling:
+            if t.endswith(_MANY):
+                base = t.removesuffix(_MANY)
+                if base not in self.named:
+                    n = number(base)
+                    known = n < len(self.hashes) and self.hashes[n] == term_hashes([base])[0]
+                    self.named[base] = n if known else len(self.hashes) + len(self.often)
+                self.often[self.named[base]] = self.telling[t]
+        self.begin = {t[:-1]: n for t, n in self.named.items() if t.endswith("-")}
+        self.clear()
+
+    def clear(self) -> None:
+        #: Row by word; terms of row r are of_row[first[r]:first[r + 1]].
+        self.rows: dict[str, int] = {}
+        self.first, self.of_row = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "first", "of_row")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.clear()
+
+    def _learn(self, words: list[str]) -> None:
+        hashes = term_hashes(words)
+        at = np.searchsorted(self.hashes, hashes)
+        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(words), bool)
+        own = np.where(found, at, -1).tolist()
+        out, sizes, named, begin = [], [], self.named, self.begin
+        for w, n in zip(words, own, strict=True):
+            size = len(out)
+            if n >= 0:
+                out.append(n)
+            elif w in named:
+                out.append(named[w])
+            for k in PREFIXES:
+                if (t := w[:k]) in begin and len(w) >= k:
+                    out.append(begin[t])
+            sizes.append(len(out) - size)
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        self.of_row = np.concatenate((self.of_row, np.array(out, dtype=np.int64)))
+
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, how often) of all texts, by text and number."""
+        if len(self.rows) > 150_000:
+            self.clear()
+        found = [words_of(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(found))
+        row = np.fromiter(map(self.rows.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(gaps := np.flatnonzero(row < 0)):
+            missed = [flat[i] for i in gaps.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            row[gaps] = [self.rows[w] for w in missed]
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        size = self.first[row + 1] - self.first[row]
+        terms = self.of_row[_ranges(self.first[row], size)]
+        width = len(self.hashes) + len(self.often) + 1
+        pair, n = np.unique(np.repeat(text, size) * width + terms, return_counts=True)
+        text, terms = pair // width, pair % width
+        if self.often:
+            many = np.flatnonzero(n >= OFTEN)
+            many = many[np.isin(terms[many], np.fromiter(self.often, np.int64))]
+            more = np.array([self.often[t] for t in terms[many].tolist()], dtype=np.int64)
+            real = terms < len(self.hashes)
+            text, terms, n = np.append(text[real], text[many]), np.append(terms[real], more), np.append(n[real], n[many])
+            order = np.lexsort((terms, text))
+            text, terms, n = text[order], terms[order], n[order]
+        return text, terms, n
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers in order, how often each) of every text."""
+        text, terms, n = self.count(texts)
+        edges = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(terms[a:z], n[a:z]) for a, z in zip(edges, edges[1:])]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for ``size[0]`` numbers, then those of start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 class Index:
     """Block-max inverted index over the labelled examples.
 
-    ``examples``: (id, label, {term number: tf}). Weights are (1 + log tf) * idf, vectors have length 1.
+    ``ids``, ``labels``: of the examples, by row. ``rows``, ``at``, ``tf``: the vectors as triples (row, term number,
+    frequency). Weights are (1 + log tf) * ``weight`` of the term, vectors have length 1.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rest: float):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf, self.rest = idf, rest
-        examples = sorted(examples)
-        self.ids = [e[0] for e in examples]
-        self.labels = np.array([e[1] for e in examples], dtype=float)
-        self.blocks = -(-len(examples) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for row, (_, _, tf) in enumerate(examples):
-            for t, w in zip(*self.vector(tf), strict=True):
-                lists[t].append((row, w))
-        self.postings, self.starts = [], []
-        self.most = np.zeros((len(terms), max(1, self.blocks)))
-        for t, x in enumerate(lists):
-            rows = np.array([r for r, _ in x], dtype=np.int64)
-            weights = np.array([w for _, w in x])
-            self.postings.append((rows, weights))
-            self.starts.append(np.searchsorted(rows, np.arange(self.blocks + 1) * BLOCK))
-            np.maximum.at(self.most[t], rows // BLOCK, weights)
+    def __init__(self, terms: Terms, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, at: np.ndarray, tf: np.ndarray):
+        self.terms, self.weight, self.ids, self.labels = terms, weight, ids, labels.astype(float)
+        self.blocks = -(-len(ids) // BLOCK)
+        some = weight[at] > 0
+        rows, at, tf = rows[some], at[some], tf[some]
+        self.share = float(self.labels.mean()) if len(ids) else 0.0
+        w = (1 + np.log(tf)) * weight[at]
+        w /= np.sqrt(np.maximum(np.bincount(rows, w * w, minlength=len(ids)), 1e-300))[rows]
+        order = np.lexsort((rows, at))
+        rows, at, w = rows[order], at[order], w[order]
+        self.rows, self.w = rows.astype(np.int32), w.astype(np.float32)
+        # an entry is a term in a block: where its postings begin, and its greatest weight
+        block = rows // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 0) | (np.diff(block) != 0)))) if len(at) else np.zeros(0, np.int64)
+        self.entry_block = block[new].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
+        self.entry_start = np.append(new, len(at)).astype(np.int64)
+        self.entry_most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0, np.float32)
+        self.term_start = np.searchsorted(at[new], np.arange(len(weight) + 1)).astype(np.int64)
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.calibrate(examples)
-
-    def vector(self, tf: dict[int, int]) -> tuple[list[int], list[float]]:
-        at = sorted(tf)
-        w = np.array([(1 + math.log(tf[t])) * self.idf[t] for t in at])
-        return at, (w / math.sqrt(float(w @ w))).tolist()
-
-    def nearest(self, tf: dict[int, int], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of greatest cosine over 0 as (cosine, row), ties by row; ``but`` is left out."""
-        at, weights = self.vector(tf)
-        bound = np.array(weights) @ self.most[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
+
+    def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the texts with the examples in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
+        flat = chosen.ravel()
+        slot = np.cumsum(flat) - 1
+        some = flat[cell]
+        e, where = entry[some], slot[cell[some]] * BLOCK
+        size = self.entry_start[e + 1] - self.entry_start[e]
+        posting = _ranges(self.entry_start[e], size)
+        cells = np.flatnonzero(flat)
+        to = np.repeat(where, size)
+        to += self.rows[posting] % BLOCK
+        return np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).reshape(-1, BLOCK), cells
+
+    def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, row, cosine) of the ``k`` examples of greatest cosine over 0 for each text, greatest first, ties by row.
+
+        ``text``, ``at``, ``tf``: the texts' terms, as ``Terms.count`` gives them. ``but``: by text, an example to leave out.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        some = self.weight[at] > 0
+        text, at, tf = text[some], at[some], tf[some]
+        weights = (1 + np.log(tf)) * self.weight[at]
+        weights /= np.sqrt(np.bincount(text, weights * weights, minlength=texts))[text]
+        start, size = self.term_start[at], self.term_start[at + 1] - self.term_start[at]
+        entry = _ranges(start, size)
+        if not len(entry):
+            return none
+        own = np.repeat(weights.astype(np.float32), size)
+        cell = np.repeat(text, size) * self.blocks + self.entry_block[entry]
+        bound = np.bincount(cell, own * self.entry_most[entry], minlength=texts * self.blocks).reshape(texts, self.blocks)
+        first = min(FIRST_BLOCKS, self.blocks)
+        chosen = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        found, worst = [], np.zeros(texts)
+        for turn in range(2):
+            score, cells = self._evaluate(chosen, cell, entry, own)
+            of, row = cells // self.blocks, (cells % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
+            if but is not None:
+                score[row == but[of][:, None]] = 0
+            if not turn and first * BLOCK > k:
+                worst = np.partition(score.reshape(texts, -1), first * BLOCK - k, axis=1)[:, first * BLOCK - k]
+            keep = (score > 0) & (score >= worst[of][:, None] - 1e-5)
+            found.append((np.repeat(of, keep.sum(axis=1)), row[keep], score[keep]))
+            # blocks below the worst neighbour found (less the rounding of sums) hold none
+            chosen = ~chosen & (bound >= worst[:, None] - 1e-5) & (bound > 0)
+            if turn or not chosen.any():
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, weights, strict=True):
-                a, z = self.starts[t][b], self.starts[t][b + 1]
-                if a < z:
-                    rows, own = self.postings[t]
-                    score[rows[a:z] - b * BLOCK] += w * own[a:z]
-            best += [(-round(float(score[i]), 12), b * BLOCK + int(i)) for i in np.flatnonzero(score > 0) if b * BLOCK + i != but]
-            best = sorted(best)[:k]
-        return [(-s, r) for s, r in best]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic neighbours weighted by squared cosine, with the rest's share as one neighbour at 0.5."""
-        weight = [s * s for s, _ in near]
-        return (sum(w * self.labels[r] for w, (_, r) in zip(weight, near, strict=True)) + 0.25 * self.rest) / (sum(weight) + 0.25)
-
-    def calibrate(self, examples) -> None:
-        """Monotone map from votes to observed shares: pooled adjacent violators on left-out votes."""
-        votes = sorted((self.vote(self.nearest(tf, but=i)), y) for i, (_, y, tf) in enumerate(examples))
+        of, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        score = np.round(score, 6)
+        order = np.lexsort((row, -score, of))
+        of, row, score = of[order], row[order], score[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        return of[place < k], row[place < k], score[place < k]
+
+    def votes(self, of: np.ndarray, row: np.ndarray, cosine: np.ndarray, texts: int) -> np.ndarray:
+        """By text, the share of toxic neighbours, weighted by a power of the cosine, with the overall share of a little weight."""
+        w = cosine**POWER
+        return (np.bincount(of, w * self.labels[row], minlength=texts) + PRIOR * self.share) / (np.bincount(of, w, minlength=texts) + PRIOR)
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        """Monotone map from votes to observed shares: pooled adjacent violators on (left-out vote, label)."""
         pools: list[list[float]] = []
-        for v, y in votes:
+        for v, y in sorted(votes):
             pools.append([v, y, 1.0])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 v2, y2, n2 = pools.pop()
                 v1, y1, n1 = pools.pop()
                 pools.append([(v1 * n1 + v2 * n2) / (n1 + n2), y1 + y2, n1 + n2])
         # Half a case of either kind keeps small pools off 0 and 1.
-        xs, ys = [0.0], [self.rest]
+        xs, ys = [0.0], [0.0]
         for v, y, n in pools:
             if v > xs[-1]:
                 xs.append(v)
@@ -121,32 +265,23 @@ class Index:
             ys.append(max(ys[-1], (1 + ys[-1]) / 2))
         self.curve = np.array(xs), np.array(ys)
 
-    def score(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        if not tf:
-            return self.rest, []
-        near = self.nearest(tf)
-        return float(np.interp(self.vote(near), *self.curve)), near
-
-
-class Reader:
-    """Counts the terms of the space in texts; what a word holds is kept in a bounded table."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms, self.known = terms, {}
-        self.plain = {t.removesuffix(_MANY) for t in terms}
-
-    def tf(self, text: str) -> dict[int, int]:
-        known, seen = self.known, Counter()
-        for word, n in Counter(words_of(text)).items():
-            own = known.get(word)
-            if own is None:
-                if len(known) > 100_000:
-                    known.clear()
-                own = known[word] = tuple(t for t in terms_of(word) if t in self.plain)
-            for t in own:
-                seen[t] += n
-        names = ((name, n) for t, n in seen.items() for name in ((t, t + _MANY) if n >= OFTEN else (t,)))
-        return {self.terms[name]: n for name, n in names if name in self.terms}
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores, and the rows of the nearest examples, of all texts."""
+        out, near = np.full(len(texts), self.share), [[] for _ in texts]
+        if self.blocks:
+            text, at, tf = self.terms.count(texts)
+            edges = np.searchsorted(text, np.arange(0, len(texts) + TOGETHER, TOGETHER))
+            for i, (a, z) in enumerate(zip(edges, edges[1:])):
+                low = i * TOGETHER
+                n = min(TOGETHER, len(texts) - low)
+                of, row, cosine = self.nearest(text[a:z] - low, at[a:z], tf[a:z], n)
+                score = np.interp(self.votes(of, row, cosine, n), *self.curve)
+                ends = np.searchsorted(of, np.arange(n + 1)).tolist()
+                row = row.tolist()
+                for k, (b, e) in enumerate(zip(ends, ends[1:])):
+                    if e > b:
+                        out[low + k], near[low + k] = score[k], row[b:e]
+        return np.clip(out, 0, 1), near
 
 
 def _count_terms(batches):
@@ -167,7 +302,7 @@ def _count_terms(batches):
         for _, text, y in rows_of(batch, 3):
             found: Counter = Counter()
             for w, n in Counter(words_of(text or "")).items():
-                for t in terms_of(w):
+                for t in (w, *beginnings(w)):
                     found[t] += n
             names = [*found, *(t + _MANY for t, n in found.items() if n >= OFTEN)]
             total.update(names)
@@ -178,83 +313,170 @@ def _count_terms(batches):
     yield from flush()
 
 
+def _word_hashes(batches):
+    """Hashes of the distinct words of parts of the sample."""
+    for batch in batches:
+        words = {w for (text,) in rows_of(batch, 1) for w in words_of(text or "")}
+        yield pa.RecordBatch.from_arrays([pa.array(term_hashes(words))], names=["h"])
+
+
+_CHUNK = 4_096
+
+
+def _count_documents(terms):
+    """Document frequencies of the terms in a task's documents, as (chunk of term numbers, 32-bit counts)."""
+
+    def run(batches):
+        own: Terms = shared(terms)
+        counts = np.zeros(-(-len(own.hashes) // _CHUNK) * _CHUNK, dtype=np.int64)
+        for batch in batches:
+            for part in sized(rows_of(batch, 1), lambda r: len(r[0] or ""), 500_000):
+                counts += np.bincount(own.count([r[0] or "" for r in part])[1], minlength=len(counts))
+        parts = counts.reshape(-1, _CHUNK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array([parts[i].astype("<i8").tobytes() for i in some.tolist()], pa.binary())], names=["chunk", "counts"]
+        )
+        release()
+
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(_CHUNK, dtype=np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), dtype="<i8")
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def _example_vectors(terms):
     def run(batches):
-        reader = Reader(shared(terms))
+        own: Terms = shared(terms)
         for batch in batches:
-            tfs = [reader.tf(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(x) for x in tfs], pa.list_(pa.int32())), pa.array([list(x.values()) for x in tfs], pa.list_(pa.int32()))],
-                names=["doc", "y", "terms", "tf"],
-            )
+            for part in sized(rows_of(batch, 3), lambda r: len(r[1] or ""), 1_000_000):
+                tfs = own.vectors([r[1] or "" for r in part])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int32()),
+                        pa.array([x for x, _ in tfs], pa.list_(pa.int32())), pa.array([x for _, x in tfs], pa.list_(pa.int32())),
+                    ],
+                    names=["doc", "y", "terms", "tf"],
+                )
+
+    return run
+
+
+def _left_out_votes(index):
+    """(row, terms, tf) of examples -> their votes without themselves."""
+
+    def run(batches):
+        idx: Index = shared(index)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                row, terms, tf = (part.column(c) for c in range(3))
+                text = np.repeat(np.arange(len(row)), np.diff(terms.offsets.to_numpy()))
+                near = idx.nearest(text, terms.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(np.int64), len(row), but=row.to_numpy())
+                yield pa.RecordBatch.from_arrays([row, pa.array(idx.votes(*near, len(row)))], names=["row", "vote"])
+        release()
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
+        max_examples: int = MAX_EXAMPLES, boost: float = BOOST, max_share: float = MAX_SHARE) -> Index:
     """Fit the index on the rows of ``labels`` (the caller leaves out what is held out).
 
-    Rows whose label is not 0 or 1, or whose id is null, are no examples; of repeated ids the greatest label
-    counts. Equal texts count as one example with the greatest label, so that a page copied many times
-    does not make its words look significant. Without examples every text scores 0.
+    Rows whose label is not 0 or 1, or whose id is null or not in ``docs``, are no examples; of repeated ids the greatest
+    label counts. Equal texts count as one example with the greatest label, so that a page copied many times does
+    not make its words look significant. Null and empty texts are examples without words. Without examples every text
+    scores 0. The driver holds the examples' term counts, never the texts.
     """
     spark = docs.sparkSession
+    kind = docs.schema[doc_id].dataType
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-        .groupBy(F.col(doc_id).cast("long").alias("__id"))
+        .groupBy(F.col(doc_id).cast(kind).alias("__id"))
         .agg(F.max(F.col(label).cast("int")).alias("__y"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_examples)
     )
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("__id"))
+    every = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    sample = every.join(F.broadcast(chosen), F.col("doc") == F.col("__id"))
     sample = materialize(
-        sample.groupBy("text").agg(F.min("doc").alias("doc"), F.max("__y").alias("y")).select("doc", "text", "y"), "examples"
+        sample.groupBy("text").agg(F.xxhash64(F.min("doc")).alias("order"), F.min("doc").alias("doc"), F.max("__y").alias("y")).select("doc", "text", "y"), "examples"
     )
     size, toxic = sample.agg(F.count("*"), F.sum("y")).first()
-    if not size or not toxic:
-        return Index([], np.zeros(0), [], (toxic or 0) / size if size else 0.0)
+    if not size:
+        none = np.zeros(0, np.int64)
+        return Index(Terms(none, []), np.zeros(0), none, none, none, none, none)
+    examples = sample.select(F.xxhash64("doc").alias("doc"), "text", "y")
     counts = (
-        sample.mapInArrow(_count_terms, "term string, toxic long, n long")
+        examples.mapInArrow(_count_terms, "term string, toxic long, n long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("n >= 3")
     )
     counts = materialize(counts, "terms")
-    tested = counts.count()
     # Likelihood ratio of the term's share against the base share; the limit grows with the terms tested.
-    p = toxic / size
+    p, tested = (toxic or 0) / size, counts.count()
     share_ = F.col("toxic") / F.col("n")
     entropy = lambda x, q: F.when(x > 0, x * F.log(x / q)).otherwise(F.lit(0.0))
-    ratio = 2 * F.col("n") * (entropy(share_, F.lit(p)) + entropy(1 - share_, F.lit(max(1 - p, 1e-9))))
-    picked = (
-        counts.withColumn("ratio", ratio)
-        .where((share_ > p) & (F.col("ratio") > 2 * math.log(tested + 1) + 4))
-        .orderBy(F.col("ratio").desc(), "term").limit(max_terms).select("term", "n").collect()
+    ratio = 2 * F.col("n") * (entropy(share_, F.lit(max(p, 1e-9))) + entropy(1 - share_, F.lit(max(1 - p, 1e-9))))
+    telling = [r["term"] for r in counts.where((share_ > p) & (ratio > 2 * math.log(tested + 1) + 4)).select("term").collect()]
+    hashes = examples.select("text").mapInArrow(_word_hashes, "h long").distinct().toArrow().column("h").to_numpy()
+    terms = Terms(hashes, sorted(telling))
+    space = share(spark, terms)
+    frequency = np.zeros(-(-len(terms.hashes) // _CHUNK) * _CHUNK, dtype=np.int64)
+    found = every.select("text").mapInArrow(_count_documents(space), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary")
+    for r in found.collect():  # a row for 4,096 terms of the examples
+        frequency[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], dtype="<i8")
+    documents = docs.count()
+    weight = np.log(1 + documents / np.maximum(frequency[: len(terms.hashes)], 1))
+    weight[frequency[: len(weight)] > max_share * documents] = 0
+    tells = list(terms.telling.values())
+    weight[tells] = boost * np.log(1 + documents / np.maximum(frequency[tells], 1))
+    vectors = materialize(examples.mapInArrow(_example_vectors(space), "doc long, y int, terms array<int>, tf array<int>"), "vectors")
+    held = vectors.toArrow().combine_chunks().sort_by("doc")
+    lists, tf = held.column("terms").combine_chunks(), held.column("tf").combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    at = lists.flatten().to_numpy().astype(np.int64)
+    # examples whose weightiest words agree stand in the same blocks; that tightens the blocks' bounds
+    rows = np.repeat(np.arange(len(n)), n)
+    common = np.full(len(n), -1)
+    order = np.lexsort((-frequency[at], rows))
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    common[rows[order][first]] = at[order][first]
+    place = np.argsort(common, kind="stable")
+    rank = np.empty(len(n), np.int64)
+    rank[place] = np.arange(len(n))
+    index = Index(
+        terms, weight, held.column("doc").to_numpy()[place], held.column("y").to_numpy()[place], rank[rows], at, tf.flatten().to_numpy().astype(np.int64)
     )
-    terms = [r["term"] for r in picked]
-    idf = np.array([math.log(1 + size / r["n"]) for r in picked])
-    space = share(spark, {t: i for i, t in enumerate(terms)})
-    vectors = sample.mapInArrow(_example_vectors(space), "doc long, y int, terms array<int>, tf array<int>")
-    vectors = materialize(vectors, "vectors")
-    plain, plain_toxic = vectors.where(F.size("terms") == 0).agg(F.count("*"), F.sum("y")).first()
-    examples = [(r["doc"], r["y"], dict(zip(r["terms"], r["tf"], strict=True))) for r in vectors.where(F.size("terms") > 0).collect()]
-    return Index(terms, idf, examples, (plain_toxic or 0) / plain if plain else 0.0)
+    numbered = spark.createDataFrame([(int(d), int(r)) for d, r in zip(held.column("doc").to_numpy(), rank, strict=True)], "doc long, row int")
+    votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
+        _left_out_votes(share(spark, index)), "row int, vote double"
+    )
+    index.calibrate([(r["vote"], int(index.labels[r["row"]])) for r in votes.collect()])
+    names = {r["h"]: r["doc"] for r in sample.select(F.xxhash64("doc").alias("h"), "doc").collect()}
+    index.ids = [names[h] for h in index.ids.tolist()]
+    return index
 
 
 def _score(index):
     def run(batches):
         idx: Index = shared(index)
-        reader = Reader(idx.terms)
+        names = [str(x) for x in idx.ids]
         for batch in batches:
-            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 1_000_000):
-                scored = [idx.score(reader.tf(r[1] or "")) for r in part]
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 500_000):
+                score, near = idx.scores([r[1] or "" for r in part])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in part], pa.int64()),
-                        pa.array([min(1.0, max(0.0, s)) for s, _ in scored], pa.float64()),
-                        pa.array([[idx.ids[r] for _, r in near] for _, near in scored], pa.list_(pa.int64())),
+                        pa.array([r[0] for r in part], pa.string()),
+                        pa.array(score),
+                        pa.array([[names[r] for r in x] for x in near], pa.list_(pa.string())),
                     ],
                     names=["doc_id", "score", "evidence"],
                 )
+        release()
 
     return run
 
@@ -262,27 +484,32 @@ def _score(index):
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, evidence, predicted) for every row; evidence holds the ids of the nearest examples.
 
-    Texts without a term of the space, null and empty ones too, score the share of toxic examples of that
-    kind and have no evidence. Repeated rows give equal rows; other columns are ignored.
+    Texts without a word of any example, null and empty ones too, score the share of toxic examples and have no
+    evidence. Whole texts are read, however long. Ids of any type, null ones too, stay; repeated rows give equal rows, an empty
+    table none; other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
-        _score(share(docs.sparkSession, index)), "doc_id long, score double, evidence array<long>"
+    kind = docs.schema[doc_id].dataType
+    rows = docs.select(F.col(doc_id).cast("string"), F.col(text)).mapInArrow(
+        _score(share(docs.sparkSession, index)), "doc_id string, score double, evidence array<string>"
+    )
+    return rows.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "score", F.col("evidence").cast(f"array<{kind.simpleString()}>").alias("evidence"),
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; the columns stay as they are."""
+    """``docs`` without the rows whose score reaches ``threshold``; the columns and all other rows stay as they are."""
     model = share(docs.sparkSession, index)
 
     def clean(batches):
         idx: Index = shared(model)
-        reader = Reader(idx.terms)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                keep = [idx.score(reader.tf(t or ""))[0] < threshold for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                keep = idx.scores([t or "" for t in part.column(at).to_pylist()])[0] < threshold
+                yield part.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(clean, docs.schema)

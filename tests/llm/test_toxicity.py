@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,6 +10,10 @@ from tallyframe.llm.queries import held_out
 BAD = ["grunk", "vexol", "trombar"]
 
 
+def rng_sample(names, k):
+    return random.Random(5).sample(names, k)
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
@@ -25,29 +30,35 @@ def corpus(n, seed):
 
 
 def test_nearest_is_exact():
-    rng = random.Random(3)
-    terms = [f"t{i}" for i in range(30)]
-    examples = [(i, rng.randrange(2), {t: rng.randrange(1, 4) for t in rng.sample(range(30), rng.randrange(1, 6))}) for i in range(400)]
-    index = toxicity.Index(terms, np.array([1 + rng.random() for _ in terms]), examples, 0.1)
-    dense = np.zeros((400, 30))
-    for row, (_, _, tf) in enumerate(examples):
-        at, w = index.vector(tf)
-        dense[row, at] = w
-    for _ in range(200):
-        tf = {t: rng.randrange(1, 4) for t in rng.sample(range(30), rng.randrange(1, 8))}
-        at, w = index.vector(tf)
-        cos = dense[:, at] @ np.array(w)
-        want = sorted((-round(c, 12), i) for i, c in enumerate(cos.tolist()) if c > 0)[: toxicity.NEIGHBOURS]
-        got = index.nearest(tf)
-        assert [r for _, r in got] == [i for _, i in want]
-        assert np.allclose([s for s, _ in got], [-c for c, _ in want])
+    rng = np.random.default_rng(3)
+    n, size = 400, 30
+    tfs = [(np.sort(rng.choice(size, rng.integers(1, 6), replace=False)), None) for _ in range(n)]
+    tfs = [(at, rng.integers(1, 4, len(at))) for at, _ in tfs]
+    weight = 1 + rng.random(size)
+    rows, at, tf = np.repeat(np.arange(n), [len(a) for a, _ in tfs]), np.concatenate([a for a, _ in tfs]), np.concatenate([t for _, t in tfs])
+    index = toxicity.Index(toxicity.Terms(np.arange(size), []), weight, np.arange(n), rng.integers(0, 2, n), rows, at, tf)
+    dense = np.zeros((n, size))
+    dense[rows, at] = (1 + np.log(tf)) * weight[at]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    own = np.repeat(np.arange(n), [len(a) for a, _ in tfs])
+    for but in (None, np.arange(n)):
+        of, row, score = index.nearest(own, at, tf, n, but=but)
+        cos = np.round(dense @ dense.T, 5)
+        if but is not None:
+            np.fill_diagonal(cos, 0)
+        for i in range(n):
+            want = np.sort(-cos[i][cos[i] > 0])[: toxicity.NEIGHBOURS]
+            got = row[of == i]
+            assert len(set(got.tolist())) == len(got) and (but is None or i not in got)
+            assert np.allclose(-score[of == i], want, atol=2e-5) and np.allclose(cos[i][got], score[of == i], atol=2e-5)
+    assert len(index.nearest(own[:0], at[:0], tf[:0], 3)[0]) == 0
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
     rows = corpus(1500, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(9001, None, 0.5), (9002, "", 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 7), (None, 1), (70000, 1)], "doc_id long, toxic int")
-    index = toxicity.fit(docs, labels.where(~held_out("doc_id", 4)))
+    index = toxicity.fit(docs, labels.where(~held_out("doc_id", 4)), max_share=1.0)
     scored = toxicity.score(docs, index).withColumn("held", held_out("doc_id", 4)).collect()
     assert len(scored) == 1502 and all(0 <= r.score <= 1 for r in scored)
     truth = {i: y for i, _, y in rows}
@@ -56,10 +67,49 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
     ids = {i for i, _, y in rows if y}
     assert all(set(r.evidence) <= ids | set(truth) and len(r.evidence) > 0 for r in held if r.predicted)
+    learned = {r.doc_id for r in scored if not r.held and r.doc_id in truth}
+    assert sum(r.evidence[0] == r.doc_id for r in scored if r.doc_id in learned) >= 0.99 * len(learned)
     assert all(r.predicted == 0 for r in scored if r.doc_id > 9000)
     left = {r.doc_id for r in toxicity.drop_toxic(docs, index).collect()}
     assert left == {r.doc_id for r in scored if not r.predicted}
+    # every example is indexed on all its words, with document frequencies of all documents
+    assert len(index.ids) == sum(crc % 4 != 2 for crc in (zlib.crc32(str(i).encode()) for i in truth)) == len(set(np.unique(index.rows).tolist()))
+    seen, idf = {}, {}
+    for i, t, _ in rows:
+        for w in set(toxicity.words_of(t)):
+            idf[w] = idf.get(w, 0) + 1
+            seen.setdefault(w, i)
+    for w in rng_sample(sorted(idf), 40):
+        at = np.flatnonzero(index.terms.hashes == toxicity.term_hashes([w])[0])
+        boost = toxicity.BOOST if w in index.terms.telling else 1
+        assert len(at) < 2 and np.allclose(index.weight[at], boost * np.log(1 + 1502 / idf[w]))
+    # a copy of an example has that example as its nearest
+    copy = toxicity.score(docs.where("doc_id = 0").unionByName(docs.where("doc_id = 0")), index).collect()
+    assert len(copy) == 2 and copy[0] == copy[1]
     # no label, no example: every text scores 0
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs, none).where(F.col("score") != 0).count() == 0
     assert toxicity.score(docs.limit(0), index).count() == 0
+
+
+def test_counts_of_terms():
+    telling = ["alpha", "alph-", "alph-+", "beta+", "gamm-+"]
+    terms = toxicity.Terms(toxicity.term_hashes(["alpha", "beta", "other"]), telling)
+    names = {int(toxicity.term_hashes([t])[0]): t for t in (*telling, "beta", "other")}
+    got = [{names[int(terms.hashes[t])]: n for t, n in zip(at.tolist(), n.tolist())} for at, n in terms.vectors(["Alpha alphabet BETA", "", "gammas gammb gamma x", "beta beta beta alphas alphas alpha other"])]
+    assert got == [{"alpha": 1, "alph-": 2, "beta": 1}, {}, {"gamm-+": 3}, {"beta": 3, "beta+": 3, "alpha": 1, "alph-": 3, "alph-+": 3, "other": 1}]
+
+
+def test_odd_rows(spark):
+    rows = corpus(400, 2)
+    long = " ".join(t for _, t, _ in rows) * 50
+    docs = [(f"d{i}", t) for i, t, _ in rows] + [("x", None), (None, rows[0][1]), ("long", long), ("d1", rows[1][1])]
+    df = spark.createDataFrame(docs, "doc_id string, text string").withColumns({"score": F.lit(1), "doc": F.lit("a"), "predicted": F.lit("b")})
+    labels = spark.createDataFrame([(f"d{i}", y) for i, _, y in rows], "doc_id string, toxic int")
+    index = toxicity.fit(df, labels, max_share=1.0)
+    out = toxicity.score(df, index).collect()
+    assert len(out) == len(docs) and [r.evidence for r in out if r.doc_id == "x"] == [[]]
+    assert {str(r.doc_id) for r in out} == {str(d) for d, _ in docs} and all(e.startswith("d") for r in out for e in r.evidence)
+    twice = [r for r in out if r.doc_id == "d1"]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert toxicity.drop_toxic(df, index).columns == df.columns
