@@ -172,20 +172,34 @@ class Index:
         some = weight[at] > 0
         rows, at, tf = rows[some], at[some], tf[some]
         self.share = float(self.labels.mean()) if len(ids) else 0.0
-        w = (1 + np.log(tf)) * weight[at]
+        w = ((1 + np.log(tf)) * weight[at]).astype(np.float32)
         w /= np.sqrt(np.maximum(np.bincount(rows, w * w, minlength=len(ids)), 1e-300))[rows]
         order = np.lexsort((rows, at))
         rows, at, w = rows[order], at[order], w[order]
-        self.rows, self.w = rows.astype(np.int32), w.astype(np.float32)
-        # an entry is a term in a block: where its postings begin, and its greatest weight
-        block = rows // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 0) | (np.diff(block) != 0)))) if len(at) else np.zeros(0, np.int64)
-        self.entry_block = block[new].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
-        self.entry_start = np.append(new, len(at)).astype(np.int64)
-        self.entry_most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0, np.float32)
-        self.term_start = np.searchsorted(at[new], np.arange(len(weight) + 1)).astype(np.int64)
+        self.rows, self.w = rows.astype(np.uint16 if len(ids) <= 1 << 16 else np.int32), w.astype(np.float32)
+        #: Where the postings of each term begin.
+        self.start = np.searchsorted(at, np.arange(len(weight) + 1)).astype(np.int32 if len(at) < 1 << 31 else np.int64)
+        self._enter()
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
+    def _enter(self) -> None:
+        """Entries, a term in a block each: where its postings begin, the block, its greatest weight, and each term's first entry."""
+        block = self.rows // BLOCK
+        new = np.diff(block, prepend=-1) != 0
+        new[self.start[:-1][np.diff(self.start) > 0]] = True
+        at = np.flatnonzero(new)
+        self.entry_block = block[at].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
+        self.entry_start = np.append(at, len(self.rows)).astype(self.start.dtype)
+        self.entry_most = np.maximum.reduceat(self.w, at) if len(at) else np.zeros(0, np.float32)
+        self.term_start = np.searchsorted(at, self.start).astype(self.start.dtype)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._enter()
+
     def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of the texts with the examples in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
         flat = chosen.ravel()
@@ -196,7 +210,7 @@ class Index:
         posting = _ranges(self.entry_start[e], size)
         cells = np.flatnonzero(flat)
         to = np.repeat(where, size)
-        to += self.rows[posting] % BLOCK
+        to += self.rows[posting].astype(np.int64) % BLOCK
         return np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).reshape(-1, BLOCK), cells
 
     def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,24 +452,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     held = vectors.toArrow().combine_chunks().sort_by("doc")
     lists, tf = held.column("terms").combine_chunks(), held.column("tf").combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
-    at = lists.flatten().to_numpy().astype(np.int64)
+    at = lists.flatten().to_numpy()
     # examples whose weightiest words agree stand in the same blocks; that tightens the blocks' bounds
-    rows = np.repeat(np.arange(len(n)), n)
+    rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
     common = np.full(len(n), -1)
     order = np.lexsort((-frequency[at], rows))
     first = np.flatnonzero(np.diff(rows[order], prepend=-1))
     common[rows[order][first]] = at[order][first]
     place = np.argsort(common, kind="stable")
-    rank = np.empty(len(n), np.int64)
+    rank = np.empty(len(n), np.int32)
     rank[place] = np.arange(len(n))
     index = Index(
-        terms, weight, held.column("doc").to_numpy()[place], held.column("y").to_numpy()[place], rank[rows], at, tf.flatten().to_numpy().astype(np.int64)
+        terms, weight, held.column("doc").to_numpy()[place], held.column("y").to_numpy()[place], rank[rows], at, tf.flatten().to_numpy()
     )
     numbered = spark.createDataFrame([(int(d), int(r)) for d, r in zip(held.column("doc").to_numpy(), rank, strict=True)], "doc long, row int")
+    uncalibrated = share(spark, index)
     votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
-        _left_out_votes(share(spark, index)), "row int, vote double"
+        _left_out_votes(uncalibrated), "row int, vote double"
     )
     index.calibrate([(r["vote"], int(index.labels[r["row"]])) for r in votes.collect()])
+    # what came of both is written or collected, nothing reads them again
+    uncalibrated.destroy()
+    space.destroy()
+    del held, lists, tf, n, at, rows, order
+    release()
     names = {r["h"]: r["doc"] for r in sample.select(F.xxhash64("doc").alias("h"), "doc").collect()}
     index.ids = [names[h] for h in index.ids.tolist()]
     return index
