@@ -204,6 +204,8 @@ class Scanner:
         self.auto = Automaton(rules, search=True)
         self.single = [Automaton((r,), search=False) for r in rules]
         self.exact = [re.compile(r.pattern.encode(), re.IGNORECASE if r.ignore_case else 0) for r in rules]
+        #: Bytes of the shortest match of any rule.
+        self.shortest = min((_PARSER.parse(r.pattern).getwidth()[0] for r in rules), default=1)
         self.columns = len(self.auto.step[0])
         self.flat = np.ascontiguousarray(self.auto.step * self.columns).ravel()  # states are row offsets
         self.rows = np.repeat(self.auto.accepts, self.columns)  # accepted rules by row offset
@@ -213,7 +215,7 @@ class Scanner:
         cut = np.flatnonzero(self.auto.resets[data])
         start = np.concatenate(([0], cut + 1))
         stop = np.concatenate((cut, [len(data)]))
-        long = stop - start >= 8  # no rule takes fewer bytes
+        long = stop - start >= self.shortest
         start, stop = start[long], stop[long]
         order = np.argsort(start - stop, kind="stable")
         start, stop = start[order], stop[order]
@@ -269,16 +271,32 @@ class Scanner:
         """Per text the (start, stop, rule) spans in code points, by start, then rule."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         data = b"\n".join(texts) + b"\n"
+        arr = np.frombuffer(data, dtype=np.uint8)
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        for a, b, mask in zip(*(x.tolist() for x in self.lanes(np.frombuffer(data, dtype=np.uint8))), strict=True):
-            t = int(np.searchsorted(first, a, side="right")) - 1
-            base = int(first[t])
-            for k, i, j in self.spans(data, a, b, mask):
-                at = len(data[base:i].decode())
-                out[t].append((at, at + j - i, k))  # secrets are ASCII
+        found = [(i, j, k) for a, b, mask in zip(*(x.tolist() for x in self.lanes(arr)), strict=True) for k, i, j in self.spans(data, a, b, mask)]
+        if found:
+            at = np.array([i for i, _, _ in found])
+            text = np.searchsorted(first, at, side="right") - 1
+            begin = code_points_before(arr, np.concatenate((at, first[text])))
+            start = begin[: len(at)] - begin[len(at) :]
+            for t, a, (i, j, k) in zip(text.tolist(), start.tolist(), found, strict=True):
+                out[t].append((a, a + j - i, k))  # secrets are ASCII
         return [sorted(x) for x in out]
 
 
+def code_points_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many code points of the UTF-8 bytes lie before each place: one running count over the bytes."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    edges = np.concatenate(([0], at[order]))
+    begins = (data & 0xC0) != 0x80
+    counts = np.array([np.count_nonzero(begins[a:z]) for a, z in zip(edges.tolist(), edges[1:].tolist())], dtype=np.int64)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(counts)
+    return out
+
+
 SPANS = "array<struct<kind:string,start:int,stop:int,base:boolean>>"
 
 
@@ -316,11 +334,11 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask``; overlapping spans share one mask."""
-    rules = RULES
+    compiled = share(docs.sparkSession, Scanner(RULES))
 
     @F.pandas_udf("string")
     def masked(values):
-        scanner, out = Scanner(rules), []
+        scanner, out = shared(compiled), []
         for value in values:
             upto, parts = 0, []
             for a, b, _ in scanner.scan([value.encode()])[0] if value else ():
