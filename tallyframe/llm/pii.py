@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm._shared import rows_of, share, shared, sized
-from tallyframe.llm.secret_scan import SPANS, spans_array
+from tallyframe.llm.secret_scan import SPANS, code_points_before, spans_array
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *KINDS)
@@ -97,7 +97,7 @@ _RUN = re.compile(r"(.)\1*")
 
 def shape(word: str) -> str:
     """Runs of letters, capitals and digits by class and length, other characters as they are: 030-12 -> d3-d2."""
-    kinds = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:40])
+    kinds = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return "".join(
         m[1] + (str(min(len(m[0]), 12)) if m[1] == "d" else "") for m in _RUN.finditer(kinds)
     )
@@ -317,6 +317,7 @@ def added_spans(field: Field, texts: list[str], datas: list[bytes], base: list[l
     """Spans of the field that touch no base span, per text."""
     out: list[list] = [[] for _ in texts]
     runs = [(t, run) for t, data in enumerate(datas) for run in neighbourhoods(data)]
+    found: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]  # byte place of the first word, characters to skip, kind, value
     for tags, (t, run) in zip(field.decode([[datas[t][a:b].decode() for a, b in run] for t, run in runs]), runs, strict=True):
         i = 0
         while i < len(run):
@@ -327,11 +328,21 @@ def added_spans(field: Field, texts: list[str], datas: list[bytes], base: list[l
                 raw = datas[t][run[i][0] : run[j - 1][1]].decode()
                 value = raw.strip(".,;:!?\"'<>[](){}") if tags[i] != 4 else raw.strip(".,;:!?\"'<>[]{}")
                 if _holds_up(TAGS[tags[i]], value):
-                    a = len(datas[t][: run[i][0]].decode()) + raw.index(value)
-                    b = a + len(value)
-                    if not any(a < y and x < b for _, x, y, _ in base[t]):
-                        out[t].append((TAGS[tags[i]], a, b, False))
+                    found[t].append((run[i][0], raw.index(value), TAGS[tags[i]], value))
             i = j
+    for t, some in enumerate(found):
+        if not some:
+            continue
+        at = code_points_before(np.frombuffer(datas[t], dtype=np.uint8), np.array([x[0] for x in some])).tolist()
+        taken = sorted((x, y) for _, x, y, _ in base[t])
+        upto = np.maximum.accumulate([y for _, y in taken]) if taken else np.zeros(0, int)
+        begins = np.array([x for x, _ in taken])
+        for a, (_, skip, kind, value) in zip(at, some, strict=True):
+            a, b = a + skip, a + skip + len(value)
+            # of the base spans that begin before b, the one that reaches furthest
+            k = int(np.searchsorted(begins, b, side="left"))
+            if not (k and upto[k - 1] > a):
+                out[t].append((kind, a, b, False))
     return out
 
 

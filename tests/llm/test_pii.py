@@ -69,3 +69,17 @@ def test_job_keeps_base_spans(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
     masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert masked == {1: "é mail [email] or ring [phone]", 2: None, 3: "", 4: "no data"}
+
+
+def test_long_texts_and_words():
+    field = pii.train()
+    part = "größe call 555-201-3344 now, mail a.b@c.example or 10.0.0.12 here\n"
+    n = 3_000_000 // len(part.encode())
+    one = pii.base_spans(part)
+    text = part * n
+    base = pii.base_spans(text)
+    more = pii.added_spans(field, [text], [text.encode()], [base])[0]
+    assert len(base) == n * len(one) and len(more) >= n
+    assert {text[a:b] for _, a, b, _ in more} <= {"555-201-3344"}
+    # the whole word counts, not its first forty characters
+    assert pii.shape("x-" * 30 + "12") != pii.shape("x-" * 30 + "ab")
