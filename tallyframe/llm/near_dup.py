@@ -223,10 +223,12 @@ def _across(leaf: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame,
     rows = leaf.join(mixed, "node")
     spots = rows.groupBy("v").agg(F.collect_list("node").alias("spots"))  # a node a tree at most
     rows = materialize(rows.join(spots, "v"), "spots")
-    # One of two different components is not the first of the node: those rows meet all others. A pair that meets in several
-    # trees is named in one of its nodes only.
+    # One of two different components is not the first of the node: those rows meet all others. Sets of large components
+    # take no part on either side: what may link to them is compared block by block. A pair that meets in several trees is
+    # named in one of its nodes only.
     side = lambda df, at: df.select("node", *(F.col(c).alias(f"{at}_{c}") for c in ("v", "n", "s1", "s2", "own", "spots", "first")))
-    left, right = side(rows.where("own <> first"), "l"), side(rows.where(F.col("many") <= GROUP), "r")
+    small = rows.where(F.col("many") <= GROUP)
+    left, right = side(small.where("own <> first"), "l"), side(small, "r")
     alike = _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
     once = (F.col("node") == F.array_min(F.array_intersect("l_spots", "r_spots"))) & ((F.col("r_own") == F.col("r_first")) | (F.col("l_v") > F.col("r_v")))
     pairs = left.join(right, "node").where((F.col("l_own") != F.col("r_own")) & alike & once).select(
