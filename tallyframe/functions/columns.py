@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: How an entity id may stand in a file name; the first that matches counts.
+#: How an entity may stand in a file name; the first that matches counts, and the whole match is its name.
 ENTITY_PATTERNS = (
-    r"(?i)(?:patient|pat|pid)[_-]?([a-z0-9]+)",
-    r"(?i)(?:person|subject|subj)[_-]?([a-z0-9]+)",
-    r"(?i)(?:case|study)[_-]?([a-z0-9]+)",
-    r"(?i)^([a-z]+[0-9]+)[_-]",
-    r"(?i)^([0-9]{3,})[_-]",
+    r"(?i)(patient[_-]?\d+)",
+    r"(?i)(subject[_-]?\d+)",
+    r"(?i)(study[_-]?\d+)",
+    r"(?i)(case[_-]?\d+)",
+    r"(?i)(person[_-]?\d+)",
 )
 
 
@@ -31,7 +31,7 @@ def label_display(label: Column, mapping: dict[int, str] | None = None) -> Colum
 
 
 def entity_from_name(name: Column, patterns: Sequence[str] = ENTITY_PATTERNS) -> Column:
-    """Lower-cased entity id from the stem of a file name, null where no pattern matches."""
+    """Lower-cased entity (kind and number) from the stem of a file name, null where no pattern matches."""
     stem = file_stem(name)
     return F.lower(F.coalesce(*(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in patterns)))
 
@@ -59,7 +59,7 @@ def binarize(prob: Column, threshold: float | Column, op: str = ">=") -> Column:
 
 def error_type(label: Column, pred: Column, positive: int = 1) -> Column:
     return (
-        F.when(label == pred, "correct").when(label == positive, "false_negative").when(label.isNotNull() & pred.isNotNull(), "false_positive")
+        F.when(label == pred, "correct").when(label == positive, "fn").when(label.isNotNull() & pred.isNotNull(), "fp")
     )
 
 

@@ -87,16 +87,16 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 HASHES = ("exact_sha256", "ahash12", "dhash12")
 
-RUNS_SQL = """logs AS (SELECT * FROM (
+RUNS_SQL = """logs AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, CAST(round(value * 100) AS BIGINT) AS cents
-  FROM events) WHERE epoch <= 25)"""
+  FROM events)"""
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """run, epoch (1 to 25), cents: each user's first events as a training log."""
+    """run, epoch (from 1), cents: each user's events as a training log."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf, "events").select(
         F.col("user_id").alias("run"), F.row_number().over(w).cast("long").alias("epoch"), F.round(F.col("value") * 100).cast("long").alias("cents")
-    ).where("epoch <= 25")
+    )

@@ -101,8 +101,6 @@ def class_report(spark, sf):
     return rounded(metrics.class_report(X.predictions(spark, sf), 0.4), "precision", "recall", "f1")
 
 
-_SWEEP = f"""t AS (SELECT unnest(range(50, 951)) AS threshold_milli),
-c AS (SELECT model, threshold_milli, {_counts('ppm', 'threshold_milli * 1000')} FROM h CROSS JOIN t GROUP BY model, threshold_milli)"""
 _SWEEP = f"""h AS (SELECT model, label, least(950, greatest(49, ppm // 1000)) AS milli, count(*) AS k FROM p GROUP BY 1, 2, 3), t AS (SELECT unnest(range(50, 951)) AS threshold_milli),
 c AS (SELECT model, threshold_milli, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND milli < threshold_milli), 0) AS BIGINT) AS tn, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND milli >= threshold_milli), 0) AS BIGINT) AS fp,
   CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND milli < threshold_milli), 0) AS BIGINT) AS fn, CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND milli >= threshold_milli), 0) AS BIGINT) AS tp FROM h CROSS JOIN t GROUP BY model, threshold_milli),
@@ -264,7 +262,7 @@ def model_fold_completeness(spark, sf):
 
 
 @query(f"""WITH {X.VIEWS_SQL}, b AS (SELECT sample_id, label, m_0 + m_1 + m_2 AS s12 FROM w)
-SELECT sample_id, label, s12, CASE WHEN s12 >= 4800000 THEN 1 ELSE 0 END AS pred, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_type FROM b WHERE (s12 >= 4800000) <> (label = 1)""")
+SELECT sample_id, label, s12, CASE WHEN s12 >= 4800000 THEN 1 ELSE 0 END AS pred, CASE WHEN label = 1 THEN 'fn' ELSE 'fp' END AS error_type FROM b WHERE (s12 >= 4800000) <> (label = 1)""")
 def error_samples(spark, sf):
     """Samples that the mean of all models gets wrong at 0.4."""
     b = X.views(spark, sf).groupBy("sample_id", "label").agg(F.sum("s4").alias("s12")).withColumn("prob", F.col("s12") / 12000000.0)
@@ -481,7 +479,7 @@ def stratified_sample(spark, sf):
 _NAMED = f"{X.SAMPLES_SQL}, named AS (SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'Case_' || group_id || '_' || sample_id || '.png' WHEN 1 THEN 'dir/patient-' || group_id || '.JPEG' ELSE 'img ' || sample_id END AS file_name FROM samples)"
 
 
-@query(f"""WITH {_NAMED} SELECT sample_id, CASE sample_id % 3 WHEN 2 THEN NULL ELSE CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) END AS entity, CASE sample_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '' END AS suffix FROM named""")
+@query(f"""WITH {_NAMED} SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'case_' || CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) WHEN 1 THEN 'patient-' || CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) END AS entity, CASE sample_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '' END AS suffix FROM named""")
 def entity_from_name(spark, sf):
     s = X.samples(spark, sf)
     name = (

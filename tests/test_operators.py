@@ -71,14 +71,14 @@ def test_curves_equal_brute_force_and_mirror(spark, scored):
 
 def test_error_lists_are_nested(scored):
     _, df = scored
-    lists = [{r.sample_id for r in results.errors(df, "false_negative", t).collect()} for t in (0.3, 0.4, 0.5)]
+    lists = [{r.sample_id for r in results.errors(df, "fn", t).collect()} for t in (0.3, 0.4, 0.5)]
     assert lists[0] <= lists[1] <= lists[2]
 
 
 def test_columns(spark):
     df = spark.createDataFrame([("a/Patient_12-x.PNG",), ("case-9.jpg",), ("plain.tar.gz",), (None,)], "n string")
     got = [(r.e, r.s, r.t) for r in df.select(C.entity_from_name(F.col("n")).alias("e"), C.file_suffix(F.col("n")).alias("s"), C.file_stem(F.col("n")).alias("t")).collect()]
-    assert got == [("12", ".png", "Patient_12-x"), ("9", ".jpg", "case-9"), (None, ".gz", "plain.tar"), (None, None, None)]
+    assert got == [("patient_12", ".png", "Patient_12-x"), ("case-9", ".jpg", "case-9"), (None, ".gz", "plain.tar"), (None, None, None)]
     row = spark.range(1).select(
         C.sigmoid(F.lit(-800.0)).alias("lo"), C.sigmoid(F.lit(800.0)).alias("hi"), C.softmax(F.array(F.lit(1000.0), F.lit(1000.0))).alias("sm"),
         C.argmax(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))).alias("am"), C.split_members(F.lit(" a | |b")).alias("m"),
@@ -113,6 +113,12 @@ def test_splits_never_tear_groups_and_failures_raise(spark):
     assert info.first().group_level_verified
     _, info = splits.auto_holdout(df.drop("group_id"), 0.2)
     assert info.first().group_column is None
+    # one odd name does not turn a split by entities into one that tears them
+    named = df.select("sample_id", "label", F.when(F.col("sample_id") > 0, F.concat(F.lit("case_"), "group_id", F.lit("_"), "sample_id")).otherwise("odd").alias("file_name"))
+    out, info = splits.auto_holdout(named, 0.2)
+    assert (info.first().group_column, info.first().group_level_verified) == ("inferred_from_file_name", False) and out.count() == 2000
+    parts = out.groupBy(F.regexp_extract("file_name", "case_[0-9]+", 0).alias("e")).agg(F.count_distinct("split").alias("n"))
+    assert parts.where("n > 1").count() == 0 and splits.find_group_column(["x", "Record_ID"]) == "Record_ID"
 
 
 def test_stacker_equals_newton(spark):
