@@ -7,7 +7,8 @@ documents is a run-length compressed keep bitmap, never text.
 
 The salt is a hash of the document, so a key that a third of all documents hold is spread over many
 range partitions; runs of one key lie next to each other and shrink to a row each before the second
-shuffle.
+shuffle. Whether a key goes is settled on the runs, of which a key has ``SALTS`` at most, and comes back
+to the line entries by (hash, salt), so that no task meets all entries of a key.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql.window import Window
 
 from tallyframe.llm._shared import BLANKS, ascii_lower, materialize
 
-SALTS = 4096
+SALTS = 1024
 _KEY = ["h1", "h2"]
+_RUN = [*_KEY, "salt"]
 
 
 def lines_of(text: Column) -> Column:
@@ -51,8 +53,8 @@ def line_entries(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Dat
 def first_occurrences(entries: DataFrame) -> DataFrame:
     """Range-partition by hash, secondary-sort by document and position, flag each document's entry to a run."""
     order = [F.col("doc").desc(), F.col("pos"), F.col("version")]
-    dealt = entries.repartitionByRange(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt", *order)
-    before = F.lag("doc").over(Window.partitionBy(*_KEY, "salt").orderBy(*order))
+    dealt = entries.repartitionByRange(*_RUN).sortWithinPartitions(*_RUN, *order)
+    before = F.lag("doc").over(Window.partitionBy(*_RUN).orderBy(*order))
     return dealt.withColumn("enters", (before.isNull() | (before != F.col("doc"))).cast("int"))
 
 
@@ -70,13 +72,15 @@ def keep_bitmaps(
     gives no rows; other columns are ignored.
     """
     entries = materialize(first_occurrences(line_entries(docs, doc_id, text, min_chars)), "lines")
+    runs = entries.groupBy(*_RUN).agg(F.sum("enters").alias("n_docs"), F.max("doc").alias("top"))
     keys = (
-        entries.groupBy(*_KEY)
-        .agg(F.sum("enters").alias("n_docs"), F.max("doc").alias("top"))
+        runs.groupBy(*_KEY)
+        .agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
         .where(F.col("n_docs") >= min_docs)
         .select(*_KEY, "top")
     )
-    dropped = entries.join(keys, _KEY).where(F.col("doc") < F.col("top"))
+    shared = runs.select(*_RUN).join(keys, _KEY)
+    dropped = entries.join(shared, _RUN).where(F.col("doc") < F.col("top"))
     at = dropped.groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.expr("filter(at, (p, i) -> i = 0 OR at[i - 1] <> p - 1)")
     ends = F.expr("filter(at, (p, i) -> i = size(at) - 1 OR at[i + 1] <> p + 1)")
