@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.splits import ranked
 from tallyframe.sources.tables import materialize
 
 
@@ -98,6 +99,19 @@ def evidence_edges(df: DataFrame, key: str, hashes: Sequence[str]) -> DataFrame:
     return long.join(low, ["kind", "hash"]).where("a <> b").select("a", "b").distinct()
 
 
+def train_evidence(df: DataFrame, key: str, hashes: Sequence[str], pool: str = "pool") -> DataFrame:
+    """(duplicate_type, hash, train_file_count): hashes that two or more training rows share; other rows are no evidence."""
+    long = _by_hash(df.where(F.col(pool) == "train"), hashes, F.col(key).alias("member"))
+    return long.groupBy("duplicate_type", "hash").agg(F.count("*").alias("train_file_count")).where("train_file_count > 1")
+
+
+def assign_groups(df: DataFrame, groups: DataFrame, key: str, group: str = "group_id", name: str = "duplicate_group_id") -> DataFrame:
+    """``df`` with dup_group_00001 and so on, numbered by the sorted group ids; rows that stand alone are groups too."""
+    roots = ranked(groups.select(group).distinct().withColumn("_all", F.lit(0)), ["_all"], group, "_rank")
+    named = roots.select(group, F.format_string("dup_group_%05d", F.col("_rank") + 1).alias(name))
+    return df.join(groups.select(key, group).join(named, group).select(key, name), key)
+
+
 def components(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
     """(key, group_id): the smallest id that the edges lead to, the own id for rows without an edge.
 

@@ -169,7 +169,10 @@ def most_confident(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.col("pseudo_confidence").desc(), "sample_id").limit(n)
 
 
-def with_pseudo(real: DataFrame, pseudo: DataFrame, weight: float = 0.35) -> DataFrame:
+def with_pseudo(real: DataFrame, pseudo: DataFrame, weight: float = 0.35, fold: int | None = None) -> DataFrame:
+    """Real rows of weight 1 and pseudo-labelled ones; with ``fold``, the real rows of the other folds only, for training."""
+    if fold is not None:
+        real = real.where(F.col("fold") != fold)
     return real.withColumn("sample_weight", F.lit(1.0)).unionByName(pseudo.withColumn("sample_weight", F.lit(weight)), allowMissingColumns=True)
 
 

@@ -49,9 +49,9 @@ def mean_by(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in metrics))
 
 
-def class_report(df: DataFrame, threshold: float = 0.5, op: str = ">=") -> DataFrame:
-    """Rows negative, positive, macro avg, weighted avg with precision, recall, f1, support."""
-    c = confusion(df, threshold, op)
+def class_report(df: DataFrame, threshold: float = 0.5, op: str = ">=", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows negative, positive, macro avg, weighted avg of each key with precision, recall, f1, support."""
+    c = confusion(df, threshold, op, keys)
     tn, fp, fn, tp = (F.col(x) for x in COUNTS)
 
     def side(name, hit, wrong, missed):
@@ -60,14 +60,14 @@ def class_report(df: DataFrame, threshold: float = 0.5, op: str = ">=") -> DataF
             _ratio(2 * hit, 2 * hit + wrong + missed, 0.0).alias("f1"), (hit + missed).alias("support"),
         )
 
-    sides = c.select(side("negative", tn, fn, fp).alias("a"), side("positive", tp, fp, fn).alias("b"))
+    sides = c.select(*keys, side("negative", tn, fn, fp).alias("a"), side("positive", tp, fp, fn).alias("b"))
 
     def both(name, wa, wb):
         mean = lambda m: ((F.col(f"a.{m}") * wa + F.col(f"b.{m}") * wb) / (wa + wb)).alias(m)
         return F.struct(F.lit(name).alias("class"), mean("precision"), mean("recall"), mean("f1"), (F.col("a.support") + F.col("b.support")).alias("support"))
 
     rows = F.array("a", "b", both("macro avg", F.lit(1), F.lit(1)), both("weighted avg", F.col("a.support"), F.col("b.support")))
-    return sides.select(F.explode(rows).alias("r")).select("r.*")
+    return sides.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
 def threshold_bucket(prob: Column, lo: int, hi: int, step: int, op: str = ">=") -> Column:
@@ -113,23 +113,33 @@ def best_threshold(sweep: DataFrame, metric: str, keys: Sequence[str] = ()) -> D
     return sweep.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def operating_points(sweep: DataFrame, min_specificity: float = 0.95, max_fn: Sequence[int] = (15, 20, 30), fixed_milli: int = 500) -> DataFrame:
-    """Named rows of a sweep: the fixed threshold, best F1, best recall at a specificity, fewest false alarms at so many misses."""
-    def first(name, rows, *order):
-        return rows.orderBy(*order, "threshold_milli").limit(1).select(F.lit(name).alias("point"), *sweep.columns)
+def operating_points(
+    sweep: DataFrame, min_specificity: float = 0.95, max_fn: Sequence[int] = (15, 20, 30), fixed_milli: int = 500, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Named rows of each key's sweep: the fixed threshold, best F1, best recall at a specificity, fewest false alarms at so many misses.
 
-    out = first("fixed", sweep.where(F.col("threshold_milli") == fixed_milli))
-    out = out.union(first("best_f1", sweep, F.col("f1").desc()))
-    out = out.union(first("recall_at_specificity", sweep.where(F.col("specificity") >= min_specificity), F.col("recall").desc()))
-    for n in max_fn:
-        out = out.union(first(f"fewest_fp_fn_{n}", sweep.where(F.col("fn") <= n), F.col("fp")))
-    return out
+    Every point is the least row among those it admits, so one aggregation over the sweep finds them all.
+    """
+    row = F.struct(*(c for c in sweep.columns if c not in keys))
+
+    def least(admits: Column, *order: Column) -> Column:
+        return F.min_by(F.when(admits, row), F.when(admits, F.struct(*order, F.col("threshold_milli"))))
+
+    points = {
+        "fixed": least(F.col("threshold_milli") == fixed_milli),
+        "best_f1": least(F.lit(True), -F.col("f1")),
+        "recall_at_specificity": least(F.col("specificity") >= min_specificity, -F.col("recall")),
+        **{f"fewest_fp_fn_{n}": least(F.col("fn") <= n, F.col("fp")) for n in max_fn},
+    }
+    best = sweep.groupBy(*keys).agg(*(v.alias(k) for k, v in points.items()))
+    named = F.array(*(F.struct(F.lit(k).alias("point"), F.col(k).alias("r")) for k in points))
+    return best.select(*keys, F.explode(named).alias("x")).where("x.r IS NOT NULL").select("x.point", *keys, "x.r.*")
 
 
-def predicted_counts(sweep: DataFrame) -> DataFrame:
+def predicted_counts(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return sweep.select(
-        "threshold_milli", (F.col("tn") + F.col("fn")).alias("predicted_negative"), (F.col("tp") + F.col("fp")).alias("predicted_positive"),
+        *keys, "threshold_milli", (F.col("tn") + F.col("fn")).alias("predicted_negative"), (F.col("tp") + F.col("fp")).alias("predicted_positive"),
         F.when(n > 0, (F.col("tp") + F.col("fp")) / n).alias("positive_ratio"),
     )
 

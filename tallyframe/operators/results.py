@@ -27,16 +27,12 @@ def errors(df: DataFrame, kind: str | None = None, threshold: float = 0.5, op: s
     return e.where(F.col("error_type") == kind) if kind else e.where("error_type <> 'correct'")
 
 
-def top_cases(df: DataFrame, threshold: float, op: str, k: int) -> DataFrame:
-    """The ``k`` most probable rows of each outcome. Each outcome is a top-k of its own, so none is sorted whole."""
+def top_cases(df: DataFrame, threshold: float, op: str, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` most probable rows of each outcome and key. Each task keeps ``k`` of its own before the shuffle."""
     pred = binarize(F.col("prob"), threshold, op)
     case = F.when((F.col("label") == 1) & (pred == 1), "tp").when((F.col("label") == 1) & (pred == 0), "fn").when((F.col("label") == 0) & (pred == 1), "fp")
-    named = df.withColumn("case_type", case)
-    out = None
-    for name in ("tp", "fn", "fp"):
-        part = named.where(F.col("case_type") == name).orderBy(F.col("prob").desc(), "sample_id").limit(k)
-        out = part if out is None else out.union(part)
-    return out
+    place = F.row_number().over(Window.partitionBy(*keys, "case_type").orderBy(F.col("prob").desc(), "sample_id"))
+    return df.withColumn("case_type", case).where("case_type IS NOT NULL").withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
 
 
 def check_contract(df: DataFrame, required: Sequence[str], label: str = "label", domain: Sequence[int] = (0, 1)) -> DataFrame:
@@ -68,6 +64,18 @@ def attach_metadata(preds: DataFrame, meta: DataFrame, cols: Sequence[str], key:
     return preds.join(meta.select(key, *named), key, "left")
 
 
+def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the one of the greatest ``order``, as a lookup table keeps the last of repeated keys. A sum, not a sort."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in df.columns if c != key)).select(*df.columns)
+
+
+def distinct_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key, the one of the smallest ``order``; ties go by the other columns, so every run keeps the same row."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in df.columns if c != key)).select(*df.columns)
+
+
 def missing(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return expected.join(actual.select(key), key, "left_anti")
 
@@ -95,7 +103,10 @@ def submission(template: DataFrame, preds: DataFrame, thresholds: Sequence[int]
 
 
 def validate_submission(template: DataFrame, sub: DataFrame, key: str = "sample_id", binary: bool = True) -> DataFrame:
-    """One row of violation counts: missing, extra, repeated, misplaced, null and out-of-domain values; ``valid`` if all are 0."""
+    """One row of violation counts: wrong columns (by name and place), missing, extra, repeated, misplaced, null, fractional (where
+    labels are binary) and out-of-domain values; ``valid`` if all are 0."""
+    a, b = list(template.columns), list(sub.columns)
+    wrong = sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
     t = template.select(F.col("row_idx").alias("_ti"), F.col(key).alias("_tk"))
     s = sub.select(F.col("row_idx").alias("_si"), F.col(key).alias("_sk"), "label")
     j = t.join(s, F.col("_tk") == F.col("_sk"), "full")
@@ -104,9 +115,11 @@ def validate_submission(template: DataFrame, sub: DataFrame, key: str = "sample_
         F.count_if(F.col("_sk").isNull()).alias("missing"), F.count_if(F.col("_tk").isNull()).alias("extra"),
         F.count_if(F.col("_ti") != F.col("_si")).alias("misplaced"), F.count_if(F.col("_sk").isNotNull() & F.col("label").isNull()).alias("nulls"),
         F.count_if(F.col("label").isNotNull() & ~domain).alias("out_of_domain"),
+        F.count_if(F.lit(binary) & (F.col("label") != F.floor("label"))).alias("fractional"),
+        F.lit(wrong).cast("long").alias("wrong_columns"),
     )
     r = sub.groupBy(key).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated"))
-    bad = sum((F.col(c) for c in ("missing", "extra", "misplaced", "nulls", "out_of_domain", "repeated")), F.lit(0))
+    bad = sum((F.col(c) for c in ("missing", "extra", "misplaced", "nulls", "out_of_domain", "repeated", "fractional", "wrong_columns")), F.lit(0))
     return out.crossJoin(F.broadcast(r)).withColumn("valid", bad == 0)
 
 
@@ -170,8 +183,8 @@ def risk_checklist(checks: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     return out
 
 
-def batch_contract(df: DataFrame, value: str, label: str, lo: float, hi: float) -> DataFrame:
-    return df.agg(
+def batch_contract(df: DataFrame, value: str, label: str, lo: float, hi: float, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
         F.count_if(~F.col(value).between(lo, hi)).alias("out_of_range"), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1)).alias("bad_labels"),
     )

@@ -127,20 +127,20 @@ def best_threshold_f1(spark, sf):
     return metrics.best_threshold(threshold_sweep(spark, sf), "f1", ["model"])
 
 
-@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP}, m AS (SELECT * FROM sweep WHERE model = 0)
-SELECT * FROM (SELECT 'fixed' AS point, * FROM m WHERE threshold_milli = 500)
-UNION ALL SELECT * FROM (SELECT 'best_f1', * FROM m ORDER BY f1 DESC, threshold_milli LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'recall_at_specificity', * FROM m WHERE specificity >= CAST(0.95 AS DOUBLE) ORDER BY recall DESC, threshold_milli LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'fewest_fp_fn_100', * FROM m WHERE fn <= 100 ORDER BY fp, threshold_milli LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'fewest_fp_fn_1000', * FROM m WHERE fn <= 1000 ORDER BY fp, threshold_milli LIMIT 1)""")
+@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP}, o AS (SELECT 'fixed' AS point, *, 0::DOUBLE AS o FROM sweep WHERE threshold_milli = 500
+UNION ALL SELECT 'best_f1', *, -f1 FROM sweep
+UNION ALL SELECT 'recall_at_specificity', *, -recall FROM sweep WHERE specificity >= CAST(0.95 AS DOUBLE)
+UNION ALL SELECT 'fewest_fp_fn_100', *, fp FROM sweep WHERE fn <= 100
+UNION ALL SELECT 'fewest_fp_fn_1000', *, fp FROM sweep WHERE fn <= 1000)
+SELECT * EXCLUDE (o, r) FROM (SELECT *, row_number() OVER (PARTITION BY model, point ORDER BY o, threshold_milli) AS r FROM o) WHERE r = 1""")
 def operating_points(spark, sf):
-    return metrics.operating_points(threshold_sweep(spark, sf).where("model = 0"), max_fn=(100, 1000))
+    return metrics.operating_points(threshold_sweep(spark, sf), max_fn=(100, 1000), keys=["model"])
 
 
-@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP} SELECT threshold_milli, tn + fn AS predicted_negative, tp + fp AS predicted_positive,
-CAST(tp + fp AS DOUBLE) / (tn + fp + fn + tp) AS positive_ratio FROM c WHERE model = 1 AND threshold_milli IN (300, 400, 500)""")
+@query(f"""WITH {X.PREDICTIONS_SQL}, {_SWEEP} SELECT model, threshold_milli, tn + fn AS predicted_negative, tp + fp AS predicted_positive,
+CAST(tp + fp AS DOUBLE) / (tn + fp + fn + tp) AS positive_ratio FROM c""")
 def predicted_counts(spark, sf):
-    return metrics.predicted_counts(threshold_sweep(spark, sf).where("model = 1 AND threshold_milli IN (300, 400, 500)"))
+    return metrics.predicted_counts(threshold_sweep(spark, sf), ["model"])
 
 
 # -- curves ---------------------------------------------------------------------------------------
@@ -201,19 +201,33 @@ def f1_weights(spark, sf):
     return rounded(ensemble.f1_weights(ensemble.fold_metrics(X.predictions(spark, sf))), "avg_f1", "weight")
 
 
-_GRID = """g AS (SELECT a AS w_0, b AS w_1, 20 - a - b AS w_2, (a * 21 + b) * 21 + 20 - a - b AS weight_id FROM (SELECT unnest(range(21)) AS a), (SELECT unnest(range(21)) AS b) WHERE a + b <= 20),
-h AS (SELECT weight_id, label, (m_0 * w_0 + m_1 * w_1 + m_2 * w_2) // 800000 AS cent, count(*) AS k FROM w CROSS JOIN g GROUP BY 1, 2, 3),
-t AS (SELECT unnest(range(5, 96)) AS cut),
-c AS (SELECT weight_id, cut, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND cent < cut), 0) AS BIGINT) AS tn, CAST(coalesce(sum(k) FILTER (WHERE label = 0 AND cent >= cut), 0) AS BIGINT) AS fp,
-  CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND cent < cut), 0) AS BIGINT) AS fn, CAST(coalesce(sum(k) FILTER (WHERE label = 1 AND cent >= cut), 0) AS BIGINT) AS tp FROM h CROSS JOIN t GROUP BY weight_id, cut)"""
+def _grid(lo: int, hi: int, step: int) -> str:
+    """All weight triples in twentieths at thresholds lo, lo + step, .. hi (thousandths)."""
+    n = (hi - lo) // step + 1
+    return f"""g AS (SELECT a AS w_0, b AS w_1, 20 - a - b AS w_2, (a * 21 + b) * 21 + 20 - a - b AS weight_id FROM (SELECT unnest(range(21)) AS a), (SELECT unnest(range(21)) AS b) WHERE a + b <= 20),
+h AS (SELECT weight_id, greatest(-1, least({n - 1}, (m_0 * w_0 + m_1 * w_1 + m_2 * w_2 - {(lo - step) * 80_000}) // {step * 80_000} - 1)) AS slot,
+  count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM w CROSS JOIN g GROUP BY 1, 2),
+d AS (SELECT weight_id, slot, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM (SELECT weight_id, unnest(range(-1, {n})) AS slot FROM g) LEFT JOIN h USING (weight_id, slot)),
+c AS (SELECT weight_id, slot, {lo} + {step} * slot AS cut, CAST(sum(neg) OVER below - neg AS BIGINT) AS tn, CAST(sum(neg) OVER every - sum(neg) OVER below + neg AS BIGINT) AS fp,
+  CAST(sum(pos) OVER below - pos AS BIGINT) AS fn, CAST(sum(pos) OVER every - sum(pos) OVER below + pos AS BIGINT) AS tp FROM d
+  WINDOW below AS (PARTITION BY weight_id ORDER BY slot), every AS (PARTITION BY weight_id))"""
 
 
-@query(f"""WITH {X.VIEWS_SQL}, {_GRID} SELECT CAST(weight_id AS INTEGER) AS weight_id, CAST(cut * 10 AS INTEGER) AS threshold_milli, tn, fp, fn, tp, {_family()} FROM c
-ORDER BY (tn + tp) DESC, weight_id, cut LIMIT 1""")
+@query(f"""WITH {X.VIEWS_SQL}, {_grid(50, 950, 1)} SELECT CAST(weight_id AS INTEGER) AS weight_id, CAST(cut AS INTEGER) AS threshold_milli, tn, fp, fn, tp, {_family()} FROM c
+WHERE slot >= 0 ORDER BY (tn + tp) DESC, weight_id, cut LIMIT 1""")
 def grid_search_best(spark, sf):
-    """All 231 weight triples at 91 thresholds in one aggregation."""
+    """All 231 weight triples at 901 thresholds in one aggregation, by accuracy."""
     wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
-    best = ensemble.grid_search(wide, ensemble.simplex_grid(spark, X.MODELS), X.MODELS, 20, 50, 950, 10, scale=4000000)
+    best = ensemble.grid_search(wide, ensemble.simplex_grid(spark, X.MODELS), X.MODELS, 20, 50, 950, 1, scale=4000000)
+    return rounded(best, *_FAMILY)
+
+
+@query(f"""WITH {X.VIEWS_SQL}, {_grid(200, 800, 5)} SELECT CAST(weight_id AS INTEGER) AS weight_id, CAST(cut AS INTEGER) AS threshold_milli, tn, fp, fn, tp, {_family()} FROM c
+WHERE slot >= 0 ORDER BY CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) DESC, weight_id, cut LIMIT 1""")
+def grid_search_f1(spark, sf):
+    """All 231 weight triples at 121 thresholds in one aggregation, by F1."""
+    wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
+    best = ensemble.grid_search(wide, ensemble.simplex_grid(spark, X.MODELS), X.MODELS, 20, 200, 800, 5, "f1", scale=4000000)
     return rounded(best, *_FAMILY)
 
 
@@ -269,17 +283,17 @@ def error_samples(spark, sf):
     return results.errors(b, threshold=0.4).drop("prob")
 
 
-@query(f"""WITH {X.VIEWS_SQL}, c AS (SELECT sample_id, label, s4, CASE WHEN label = 1 AND s4 >= 1600000 THEN 'tp' WHEN label = 1 THEN 'fn' WHEN s4 >= 1600000 THEN 'fp' END AS case_type FROM v WHERE model = 0)
-SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY s4 DESC, sample_id) AS r FROM c WHERE case_type IS NOT NULL) WHERE r <= 5""")
+@query(f"""WITH {X.VIEWS_SQL}, c AS (SELECT sample_id, label, model, s4, CASE WHEN label = 1 AND s4 >= 1600000 THEN 'tp' WHEN label = 1 THEN 'fn' WHEN s4 >= 1600000 THEN 'fp' END AS case_type FROM v)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY model, case_type ORDER BY s4 DESC, sample_id) AS r FROM c WHERE case_type IS NOT NULL) WHERE r <= 5""")
 def top_cases(spark, sf):
-    return results.top_cases(X.views(spark, sf).where("model = 0"), 0.4, ">=", 5).select("sample_id", "label", "s4", "case_type")
+    return results.top_cases(X.views(spark, sf), 0.4, ">=", 5, ["model"]).select("sample_id", "label", "model", "s4", "case_type")
 
 
-@query(f"""WITH {X.VIEWS_SQL} SELECT sample_id, label, CASE WHEN s4 >= 2000000 THEN 1 ELSE 0 END AS pred, round(greatest(s4, 4000000 - s4) / 4000000.0::DOUBLE, 9) AS confidence,
-round(-ln(greatest(least(CASE WHEN label = 1 THEN s4 / 4000000.0::DOUBLE ELSE 1 - s4 / 4000000.0::DOUBLE END, 1 - CAST(1e-7 AS DOUBLE)), CAST(1e-7 AS DOUBLE))), 6) AS loss, (s4 >= 2000000) = (label = 1) AS is_correct FROM v WHERE model = 2""")
+@query(f"""WITH {X.VIEWS_SQL} SELECT sample_id, label, model, CASE WHEN s4 >= 2000000 THEN 1 ELSE 0 END AS pred, round(greatest(s4, 4000000 - s4) / 4000000.0::DOUBLE, 9) AS confidence,
+round(-ln(greatest(least(CASE WHEN label = 1 THEN s4 / 4000000.0::DOUBLE ELSE 1 - s4 / 4000000.0::DOUBLE END, 1 - CAST(1e-7 AS DOUBLE)), CAST(1e-7 AS DOUBLE))), 6) AS loss, (s4 >= 2000000) = (label = 1) AS is_correct FROM v""")
 def enriched_predictions(spark, sf):
-    out = results.enrich_predictions(X.views(spark, sf).where("model = 2"))
-    return out.select("sample_id", "label", "pred", F.round("confidence", 9).alias("confidence"), F.round("loss", 6).alias("loss"), "is_correct")
+    out = results.enrich_predictions(X.views(spark, sf))
+    return out.select("sample_id", "label", "model", "pred", F.round("confidence", 9).alias("confidence"), F.round("loss", 6).alias("loss"), "is_correct")
 
 
 @query(f"""WITH {X.VIEWS_SQL} SELECT sample_id, m_0 AS s4_a, m_1 AS s4_b FROM w WHERE (m_0 >= 1600000) <> (m_1 >= 1600000)""")
@@ -445,7 +459,8 @@ def stratified_group_kfold(spark, sf):
     return splits.stratified_group_kfold(_sample_rows(spark, sf), "group_id")
 
 
-@query(f"WITH {_SGK} SELECT *, 0::BIGINT AS shared_groups FROM dist")
+@query(f"""WITH {_SGK}, many AS (SELECT group_id FROM fg GROUP BY 1 HAVING count(*) > 1), sh AS (SELECT fold, count(*) AS s FROM fg WHERE group_id IN (SELECT group_id FROM many) GROUP BY 1)
+SELECT dist.*, coalesce(s, 0) AS shared_groups FROM dist LEFT JOIN sh USING (fold)""")
 def fold_distribution(spark, sf):
     return splits.fold_distribution(stratified_group_kfold(spark, sf))
 
@@ -457,11 +472,28 @@ def fold_scores(spark, sf):
     return rounded(splits.fold_scores(stratified_group_kfold(spark, sf), 5, "group_id", size_penalty=0.01), "ratio_error", "size_error", "score")
 
 
-@query(f"WITH {_SIDES} SELECT 0::BIGINT AS key_overlap, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS assigned_repeatedly, count(*) FILTER (WHERE s > 1) AS group_overlap, count(*) FILTER (WHERE s > 1) = 0 AS passes FROM (SELECT group_id, count(DISTINCT split) AS s FROM gh GROUP BY 1)")
+_VERIFY = """k AS (SELECT sample_id, count(*) AS n, count(DISTINCT split) AS s FROM rows GROUP BY 1), g AS (SELECT group_id, count(DISTINCT split) AS s FROM rows GROUP BY 1),
+c AS (SELECT (SELECT count(*) FROM k WHERE s > 1) AS key_overlap, (SELECT count(DISTINCT sample_id) FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM k)) AS missing,
+  (SELECT count(*) FROM k WHERE sample_id NOT IN (SELECT sample_id FROM samples)) AS extra, (SELECT count(*) FROM k WHERE n > 1) AS assigned_repeatedly, (SELECT count(*) FROM g WHERE s > 1) AS group_overlap)
+SELECT *, key_overlap + missing + extra + assigned_repeatedly + group_overlap = 0 AS passes FROM c"""
+
+
+@query(f"WITH {_SIDES}, rows AS (SELECT * FROM gh), {_VERIFY}")
 def split_verification(spark, sf):
     return splits.verify_split(group_holdout(spark, sf), _sample_rows(spark, sf), "sample_id", "group_id")
 
 
+@query(f"""WITH {_SIDES}, rows AS (SELECT * FROM gh WHERE sample_id % 97 <> 0 UNION ALL SELECT sample_id, label, group_id, CASE split WHEN 'val' THEN 'train' ELSE 'val' END FROM gh WHERE sample_id % 89 = 0 AND sample_id % 97 <> 0
+UNION ALL SELECT * FROM gh WHERE sample_id % 83 = 0 AND sample_id % 97 <> 0 UNION ALL SELECT -sample_id, label, group_id, split FROM gh WHERE sample_id % 79 = 0), {_VERIFY}""")
+def split_faults(spark, sf):
+    """The proof over a split with planted faults: rows left out, on both sides, repeated, and invented."""
+    h = group_holdout(spark, sf).select("sample_id", "label", "group_id", "split")
+    kept = h.where("sample_id % 97 <> 0")
+    other = kept.where("sample_id % 89 = 0").withColumn("split", F.when(F.col("split") == "val", "train").otherwise("val"))
+    invented = h.where("sample_id % 79 = 0").withColumn("sample_id", -F.col("sample_id"))
+    return splits.verify_split(kept.union(other).union(kept.where("sample_id % 83 = 0")).union(invented), _sample_rows(spark, sf), "sample_id", "group_id")
+
+
 @query(f"""WITH {X.SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format('sample_id')}) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM samples),
 h AS (SELECT group_id, CASE WHEN k < round(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS split FROM r) SELECT group_id, count(DISTINCT split) AS sides FROM h GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def split_overlap(spark, sf):
@@ -481,13 +513,17 @@ _NAMED = f"{X.SAMPLES_SQL}, named AS (SELECT sample_id, CASE sample_id % 3 WHEN
 
 @query(f"""WITH {_NAMED} SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'case_' || CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) WHEN 1 THEN 'patient-' || CAST((SELECT s.group_id FROM samples s WHERE s.sample_id = named.sample_id) AS VARCHAR) END AS entity, CASE sample_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '' END AS suffix FROM named""")
 def entity_from_name(spark, sf):
-    s = X.samples(spark, sf)
+    name = F.col("file_name")
+    return _named(spark, sf).select("sample_id", C.entity_from_name(name).alias("entity"), C.file_suffix(name).alias("suffix"))
+
+
+def _named(spark, sf):
     name = (
         F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("Case_"), "group_id", F.lit("_"), "sample_id", F.lit(".png")))
         .when(F.col("sample_id") % 3 == 1, F.concat(F.lit("dir/patient-"), "group_id", F.lit(".JPEG")))
         .otherwise(F.concat(F.lit("img "), "sample_id"))
     )
-    return s.select("sample_id", C.entity_from_name(name).alias("entity"), C.file_suffix(name).alias("suffix"))
+    return X.samples(spark, sf).select("sample_id", name.alias("file_name"))
 
 
 # -- pseudo-labels and submissions --------------------------------------------------------------------
@@ -531,13 +567,13 @@ def _template(spark, sf):
 
 
 @query(f"""WITH {_BLEND} SELECT CAST(sum(CASE WHEN sample_id % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, 1::BIGINT AS extra, 0::BIGINT AS misplaced, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 = 0) AS nulls,
-count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND sample_id % 83 = 0) AS out_of_domain, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 79 = 0) AS repeated, false AS valid FROM b""")
+count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND (sample_id % 83 = 0 OR sample_id % 73 = 0)) AS out_of_domain, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 79 = 0) AS repeated, 0::BIGINT AS wrong_columns, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND sample_id % 83 <> 0 AND sample_id % 73 = 0) AS fractional, false AS valid FROM b""")
 def submission_validation(spark, sf):
-    """Violations of a result file with planted faults: ids left out, repeated, invented; null and foreign values."""
+    """Violations of a result file with planted faults: ids left out, repeated, invented; null, fractional and foreign values."""
     sub = results.submission(_template(spark, sf), _blended(spark, sf)).where("sample_id % 97 <> 0")
-    sub = sub.withColumn("label", F.when(F.col("sample_id") % 89 == 0, None).when(F.col("sample_id") % 83 == 0, 2).otherwise((F.col("label") >= 0.4).cast("int")))
-    again = sub.where("sample_id % 79 = 0").withColumn("label", F.lit(1))
-    invented = sub.orderBy("sample_id").limit(1).select(F.lit(-1).cast("long").alias("row_idx"), F.lit(-1).cast("long").alias("sample_id"), F.lit(1).alias("label"))
+    sub = sub.withColumn("label", F.when(F.col("sample_id") % 89 == 0, None).when(F.col("sample_id") % 83 == 0, 2.0).when(F.col("sample_id") % 73 == 0, 0.5).otherwise((F.col("label") >= 0.4).cast("double")))
+    again = sub.where("sample_id % 79 = 0").withColumn("label", F.lit(1.0))
+    invented = sub.orderBy("sample_id").limit(1).select(F.lit(-1).cast("long").alias("row_idx"), F.lit(-1).cast("long").alias("sample_id"), F.lit(1.0).alias("label"))
     return results.validate_submission(_template(spark, sf), sub.union(again).union(invented))
 
 
@@ -604,13 +640,20 @@ def numeric_by_label(spark, sf):
     return rounded(metrics.numeric_by_label(s, ["cents"], exact=True), "q1", "median", "q3", digits=3)
 
 
-@query(f"""WITH {_REPORT}, checks AS (
+def _empty(df: DataFrame) -> DataFrame:
+    return df.limit(1).agg((1 - F.count("*")).alias("n"))
+
+
+@query(f"""WITH {_REPORT}, {_SIDES}, checks AS (
   SELECT 'documents without text' AS item, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS evidence, 'drop or refetch' AS act
   UNION ALL SELECT 'labels outside the domain', (SELECT count(*) FROM labels WHERE quality IS NULL OR quality NOT IN (0, 1)), 'correct the labels'
   UNION ALL SELECT 'labels without document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)), 'drop the labels'
   UNION ALL SELECT 'repeated document ids', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)), 'make ids unique'
   UNION ALL SELECT 'duplicates across train and test', (SELECT count(*) FROM report WHERE train_test_leakage_risk), 'split by groups'
   UNION ALL SELECT 'duplicates across train and validation', (SELECT count(*) FROM report WHERE train_val_leakage_risk), 'split by groups'
+  UNION ALL SELECT 'tables without rows', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM documents) + (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM labels), 'load the tables'
+  UNION ALL SELECT 'near-duplicates by grid hashes', (SELECT count(*) FROM report WHERE duplicate_type <> 'exact_sha256'), 'review the groups'
+  UNION ALL SELECT 'groups on both sides of the split', (SELECT count(*) FROM (SELECT group_id FROM gh GROUP BY 1 HAVING count(DISTINCT split) > 1)), 'split by groups'
   UNION ALL SELECT 'majority class of 70 %', (SELECT CASE WHEN max(n) >= CAST(0.7 AS DOUBLE) * sum(n) THEN 1 ELSE 0 END FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)), 'weight the classes')
 SELECT item, CASE WHEN evidence > 0 THEN 'WARN' ELSE 'PASS' END AS status, CAST(evidence AS BIGINT) AS evidence, CASE WHEN evidence > 0 THEN act ELSE 'none' END AS action FROM checks""")
 def risk_checklist(spark, sf):
@@ -625,23 +668,27 @@ def risk_checklist(spark, sf):
         ("repeated document ids", n(repeated, F.col("k") > 1), "make ids unique"),
         ("duplicates across train and test", n(report, F.col("train_test_leakage_risk")), "split by groups"),
         ("duplicates across train and validation", n(report, F.col("train_val_leakage_risk")), "split by groups"),
+        ("tables without rows", _empty(docs).crossJoin(_empty(labels).withColumnRenamed("n", "m")).select((F.col("n") + F.col("m")).alias("n")), "load the tables"),
+        ("near-duplicates by grid hashes", n(report, F.col("duplicate_type") != "exact_sha256"), "review the groups"),
+        ("groups on both sides of the split", n(splits.split_overlap(group_holdout(spark, sf), "split", "group_id"), F.lit(True)), "split by groups"),
         ("majority class of 70 %", balance, "weight the classes"),
     ])
 
 
 @query("""WITH px AS (SELECT vec_id, label, [least(255, greatest(0, CAST(floor(CAST(x AS DOUBLE) * 40 + 128) AS BIGINT))) for x in embedding] AS g FROM embeddings)
 SELECT vec_id, 8 AS width, 8 AS height, 1 AS channels, round(list_sum(g) / 64.0::DOUBLE, 6) AS mean, round(sqrt(list_sum([(x - list_sum(g) / 64.0::DOUBLE) * (x - list_sum(g) / 64.0::DOUBLE) for x in g]) / 64), 6) AS std,
-CAST(list_min(g) AS DOUBLE) AS min, CAST(list_max(g) AS DOUBLE) AS max, round(list_sum([g[k+1] for k in range(64) if k // 8 IN (0, 7) OR k % 8 IN (0, 7)]) / 28.0::DOUBLE, 6) AS border_mean FROM px""")
+CAST(list_min(g) AS DOUBLE) AS min, CAST(list_max(g) AS DOUBLE) AS max, round(list_sum([g[k+1] for k in range(64) if k // 8 IN (0, 7) OR k % 8 IN (0, 7)]) / 28.0::DOUBLE, 6) AS border_mean,
+round((g[1] + g[8] + g[57] + g[64]) / 4.0::DOUBLE, 6) AS corner_mean, 1.0::DOUBLE AS aspect_ratio, true AS readable FROM px""")
 def image_metadata(spark, sf):
-    """Intensity statistics of the embeddings read as 8 x 8 gray images."""
+    """Size and intensity statistics of the embeddings read as 8 x 8 gray images."""
     from tallyframe.sources.images import image_metadata as stats
 
     e = X.table(spark, sf, "embeddings")
     pixel = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 40 + 128))).cast("int"))
     data = F.unhex(F.array_join(F.transform(pixel, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     images = e.select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"))
-    out = stats(images, ["vec_id"]).select("vec_id", "width", "height", "channels", "mean", "std", "min", "max", "border_mean")
-    return rounded(out, "mean", "std", "border_mean", digits=6)
+    out = stats(images, ["vec_id"]).select("vec_id", "width", "height", "channels", "mean", "std", "min", "max", "border_mean", "corner_mean", "aspect_ratio", "readable")
+    return rounded(out, "mean", "std", "border_mean", "corner_mean", digits=6)
 
 
 @query("""WITH px AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings)

@@ -5,12 +5,18 @@ The only vectorised Python of this library besides the text part: ``image.data``
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STATS = "width int, height int, channels int, aspect_ratio double, mean double, std double, min double, max double, border_mean double, corner_mean double, readable boolean"
 
@@ -89,8 +95,14 @@ def grid_mean(grid: Column, width: int, height: int, part: str) -> Column:
     return sum((F.get(grid, F.lit(i)).cast("double") for i in pick[1:]), F.get(grid, F.lit(pick[0])).cast("double")) / len(pick)
 
 
-def mean_grid_by_label(df: DataFrame, grid: str, width: int, label: str = "label", border: int | None = None, height: int | None = None) -> DataFrame:
-    """Mean of every cell by label; with ``border`` only cells of a frame so wide."""
+def mean_grid_by_label(
+    df: DataFrame, grid: str, width: int, label: str = "label", border: int | None = None, height: int | None = None, max_per_label: int | None = None, key: str = "path"
+) -> DataFrame:
+    """Mean of every cell by label; with ``border`` only cells of a frame so wide, with ``max_per_label`` over so many rows of each
+    label, chosen by a hash of ``key``."""
+    if max_per_label is not None:
+        place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit("42:"), F.col(key).cast("string"))), key))
+        df = df.withColumn("_place", place).where(F.col("_place") <= max_per_label)
     cells = df.select(F.col(label).alias("label"), F.posexplode(grid).alias("pos", "value")).where("value IS NOT NULL")
     row, col = F.floor(F.col("pos") / width), (F.col("pos") % width).cast("long")
     out = cells.groupBy("label", row.alias("row"), col.alias("col")).agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count("*").alias("n"))

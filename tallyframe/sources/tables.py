@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Names under which prediction tables keep their columns, by precedence.
 ID_NAMES = ("image_id", "file_name", "id", "sample_id")
-PROB_NAMES = ("pred_prob", "prob", "prediction", "probability", "positive_prob", "label_prob")
+PROB_NAMES = ("pred_prob", "prob", "prediction", "probability", "probability_PNEUMONIA", "pneumonia_prob", "label_prob")
 LABEL_NAMES = ("true_label", "label", "target")
 
 
@@ -113,7 +113,11 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_submissions(sub: DataFrame, path: str, template_path: str | None = None) -> None:
-    """One folder a threshold in one job, rows by template order inside; the template itself is never overwritten."""
-    if template_path and path.rstrip("/") == template_path.rstrip("/"):
-        raise ValueError("the output would overwrite the template")
+    """One folder a threshold in one job, rows by template order inside; a folder that is or holds the template is refused."""
+    if template_path:
+        fs, target = _fs(sub.sparkSession, path)
+        source = fs.makeQualified(_fs(sub.sparkSession, template_path)[1]).toString()
+        target = fs.makeQualified(target).toString().rstrip("/")
+        if source == target or source.startswith(target + "/"):
+            raise ValueError("the output would overwrite the template")
     sub.repartitionByRange("threshold_milli", "row_idx").sortWithinPartitions("threshold_milli", "row_idx").write.mode("overwrite").partitionBy("threshold_milli").csv(path, header=True)

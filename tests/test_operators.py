@@ -245,3 +245,61 @@ def test_duplicate_report_names_every_member(spark):
     assert sorted(r.member for r in rows) == list(range(2500)) and {(r.duplicate_type, r.hash) for r in rows} == {("h", "hot")}
     (short,) = duplicates.duplicate_report(df, "node", ["h"], max_members=3).collect()
     assert short.members == [0, 1, 2] and short["count"] == 2500
+
+
+def test_reports_runs_and_promotion(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.25)], "epoch int, f1 double")
+    for run in ("a", "b"):
+        tables.write_report(df.coalesce(1), f"{tmp_path}/logs/{run}", "csv")
+    runs = tables.read_runs(spark, f"{tmp_path}/logs/*", "epoch int, f1 double")
+    assert sorted((r.run, r.epoch, r.f1) for r in runs.collect()) == [("a", 1, 0.5), ("a", 2, 0.25), ("b", 1, 0.5), ("b", 2, 0.25)]
+    with pytest.raises(ValueError):
+        tables.write_report(df, str(tmp_path / "x"), "xml")
+    board = spark.createDataFrame([("b", f"{tmp_path}/logs/b")], "run string, path string")
+    assert results.promote(board, "path", str(tmp_path / "best")).endswith("/b")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "best")).collect()) == ["1,0.5", "2,0.25", "epoch,f1"]
+
+
+def test_discovered_predictions_need_every_model(spark, tmp_path):
+    for m in "ab":
+        (tmp_path / f"{m}.csv").write_text("file_name,probability_PNEUMONIA,label\nx,0.25,1\ny,0.5,0\n")
+    found = tables.discover_predictions(spark, str(tmp_path), {"a": ["none.csv", "a.csv"], "b": ["b.csv"]})
+    assert sorted((r.model, r.sample_id, r.prob) for r in found.collect()) == [("a", "x", 0.25), ("a", "y", 0.5), ("b", "x", 0.25), ("b", "y", 0.5)]
+    assert tables.discover_predictions(spark, str(tmp_path), {"a": ["a.csv"], "c": ["c.csv"]}) is None
+
+
+@pytest.mark.parametrize("path", ["{d}/t", "file:{d}/t", "{d}/", "file:{d}"])
+def test_the_template_is_never_overwritten(spark, tmp_path, path):
+    sub = spark.createDataFrame([(300, 0, 5, 1)], "threshold_milli int, row_idx long, sample_id long, label int")
+    with pytest.raises(ValueError):
+        tables.write_submissions(sub, path.format(d=tmp_path), f"{tmp_path}/t")
+
+
+def test_alignment_guards_and_column_checks(spark):
+    wide = spark.createDataFrame([(1, 0), (2, 1)], "sample_id long, label int")
+    ensemble.assert_aligned(wide, 2)
+    with pytest.raises(ValueError):
+        ensemble.assert_aligned(wide, 3)
+    assert splits.resolve_group_column(wide, ("patient_id", "label"), "file_name") == "label"
+    assert splits.resolve_group_column(wide, ("patient_id",), "file_name") == "file_name"
+    t = spark.createDataFrame([(0, 1, 0), (1, 2, 0)], "row_idx long, sample_id long, label int")
+    assert results.validate_submission(t, t).first().valid
+    row = results.validate_submission(t, t.select("row_idx", "label", "sample_id")).first()
+    assert row.wrong_columns == 2 and not row.valid
+    row = results.validate_submission(t, t.withColumn("label", F.lit(0.5))).first()
+    assert (row.fractional, row.out_of_domain) == (2, 2)
+
+
+def test_last_and_first_of_repeated_keys(spark):
+    df = spark.createDataFrame([("a", 1, 0.1), ("a", 3, 0.3), ("a", 2, None), ("b", 5, None)], "k string, o int, prob double")
+    assert sorted(map(tuple, results.last_by_key(df, "k", "o").collect())) == [("a", 3, 0.3), ("b", 5, None)]
+    assert sorted(map(tuple, results.distinct_by(df, "k", "o").collect())) == [("a", 1, 0.1), ("b", 5, None)]
+
+
+def test_test_rows_link_no_training_rows(spark):
+    df = spark.createDataFrame([(1, "train", "x", None), (2, "test", "x", "g"), (3, "train", "y", "g"), (4, "train", "y", "h")], "node long, pool string, a string, b string")
+    assert [tuple(r) for r in duplicates.train_evidence(df, "node", ["a", "b"]).collect()] == [("a", "y", 2)]
+    train = df.where("pool = 'train'")
+    groups = duplicates.components(train, duplicates.evidence_edges(train, "node", ["a", "b"]), "node")
+    named = duplicates.assign_groups(train, groups, "node")
+    assert {r.node: r.duplicate_group_id for r in named.collect()} == {1: "dup_group_00001", 3: "dup_group_00002", 4: "dup_group_00002"}
