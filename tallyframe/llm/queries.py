@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontaminate, language_model, line_dedup, near_dup, pii, quality, secret_scan, toxicity, warc
+from tallyframe.llm import bpe, clustering, decontaminate, language_model, lexical_search, line_dedup, near_dup, pii, quality, secret_scan, substring, toxicity, warc
 from tallyframe.llm._shared import LOWER, UPPER, read_table
 
 QUERIES: dict = {}
@@ -220,3 +220,77 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "per_token"
     )
+
+
+@_query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside windows of 13 that start in a document with a smaller id go."""
+    return substring.dedup_substrings(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op11_substring_dedup"] = """
+WITH docs AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM docs WHERE len(w) >= 13),
+windows AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 12), ' ') AS k FROM places),
+lowest AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS p FROM windows JOIN lowest USING (k) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+kept AS (SELECT words.doc_id, count(*) - count(gone.p) AS n, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t
+         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""
+
+
+@_query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for each benchmark item."""
+    return lexical_search.search(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_lexical_search"] = f"""
+WITH both_sides AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tokens AS (
+  SELECT side, id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM both_sides),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM tokens WHERE side = 'd' AND len(w) > 0),
+sizes AS (SELECT id AS doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * docs) // terms AS m FROM tokens, totals WHERE side = 'd'),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT id AS doc_id, unnest(w) AS term FROM tokens WHERE side = 'd') GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term, docs),
+asked AS (SELECT DISTINCT id AS item_id, unnest(w) AS term FROM tokens WHERE side = 'i'),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+
+@_query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds from 16 seeds."""
+    assigned, centroids = clustering.cluster(read_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return clustering.with_inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _duck_round(k: int) -> str:
+    """Assign to the centroids of the round before, then move those that hold vectors."""
+    return f"""
+a{k} AS (SELECT vec_id, x, arg_min(cluster, d) AS cluster, CAST(min(d[1]) AS BIGINT) AS distance FROM (
+  SELECT v.vec_id, v.x, c.cluster, [list_sum([(a - b) * (a - b) for a, b in zip]), c.cluster] AS d FROM v, c{k} c) GROUP BY vec_id, x),
+c{k + 1} AS (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY p) AS x FROM (
+    SELECT cluster, p, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{k})
+    GROUP BY cluster, p) GROUP BY cluster) n ON n.cluster = c.cluster)""".replace(
+        "[(a - b) * (a - b) for a, b in zip]", "list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))"
+    )
+
+
+ORACLE_SQL["op13_centroid_clusters"] = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{",".join(_duck_round(k) for k in range(4))}
+SELECT vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 ON c3.cluster = a.cluster
+"""
