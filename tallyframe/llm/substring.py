@@ -32,7 +32,7 @@ from tallyframe.llm._shared import materialize, release, rows_of, sized
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: Text that a kernel takes at once, and text whose anchors make one bucket.
-BATCH_BYTES, BUCKET_BYTES = 4_000_000, 32_000_000
+BATCH_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
 #: Measured size up to which runs are broadcast to the documents; larger ones are joined in a shuffle.
 BROADCAST_BYTES = 32_000_000
 _PACKED = "bucket int, known boolean, h binary, g binary, doc binary, row binary, pos binary"
@@ -277,8 +277,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     else:
         source = source.withColumn("row", F.col("doc"))
     some = source.where("doc IS NOT NULL")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * spread, -(-(total or 0) // BUCKET_BYTES))
+    buckets = 1 + (total or 0) // BUCKET_BYTES
     period, _ = cover_for(n)
 
     sent = some.select("doc", "row", "text").mapInArrow(_anchors(n, buckets), _PACKED)
