@@ -32,7 +32,7 @@ from tallyframe.llm._shared import materialize, release, rows_of, share, shared,
 from tallyframe.llm.decontaminate import words_of
 
 #: Bits set for an entry, bits of signature for an entry at least, cells of a block, rows of a block at most.
-HASHES, BITS_PER_ENTRY, BLOCK_CELLS, BLOCK_ROWS = 5, 8, 1 << 23, 1024
+HASHES, BITS_PER_ENTRY, BLOCK_CELLS, BLOCK_ROWS = 8, 24, 1 << 23, 1024
 SCALE = 1_000_000_000
 #: Documents to score up to which their ids are broadcast.
 BROADCAST_IDS = 500_000
