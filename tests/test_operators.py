@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -303,3 +304,40 @@ def test_test_rows_link_no_training_rows(spark):
     groups = duplicates.components(train, duplicates.evidence_edges(train, "node", ["a", "b"]), "node")
     named = duplicates.assign_groups(train, groups, "node")
     assert {r.node: r.duplicate_group_id for r in named.collect()} == {1: "dup_group_00001", 3: "dup_group_00002", 4: "dup_group_00002"}
+
+
+def _union_find(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("hub", [3, 50_000])
+def test_star_components_equal_union_find(spark, monkeypatch, hub):
+    monkeypatch.setattr(duplicates, "HUB_EDGES", hub)
+    rng = random.Random(hub)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 120)] + [(2500 - i, 2500) for i in range(1, 90)]
+    edges += [(3000 + rng.randrange(150), 3000 + rng.randrange(150)) for _ in range(110)]
+    edges = [e[:: rng.choice((1, -1))] for e in edges if e[0] != e[1]] * 2
+    rows = duplicates.star_components(spark.createDataFrame([*edges, (7, None), (None, None), (9999, 9999)], "a long, b long")).collect()
+    assert {r.v: r.component for r in rows} == _union_find(edges) and len(rows) == len({r.v for r in rows})
+    assert duplicates.star_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_star_of_a_million_leaves_has_no_hot_task(spark):
+    leaves = spark.range(1, 1_000_001, numPartitions=8).select(F.floor(F.col("id") / 10_000_000).alias("a"), F.col("id").alias("b"))
+    found = duplicates.star_components(leaves)
+    assert found.groupBy("component").count().collect() == [(0, 1_000_001)]
+    least = leaves.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    plan = duplicates._with_least(leaves, least, "a", 50_000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # the hub's edges stay where they are
