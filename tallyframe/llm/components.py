@@ -1,41 +1,12 @@
-"""Connected components of an edge table by minimum labels, hooking of roots and pointer jumping."""
+"""Connected components of links, by the library's star contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize
+from tallyframe.operators.duplicates import star_components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every vertex of ``edges`` (a, b); the component is its smallest vertex.
-
-    Every round takes, for each vertex and each root, the least label that its neighbours hold, and halves
-    the way to the root; long chains therefore close in a logarithmic number of rounds. Only sums come to
-    the driver. Rounds end when no label falls. An empty edge table gives no rows.
-    """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges"
-    )
-    labels = materialize(
-        both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels"
-    )
-    total = lambda df: df.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-    before = total(labels)
-    while before is not None:
-        other = labels.select(F.col("v").alias("b"), F.col("component").alias("theirs"))
-        own = labels.select(F.col("v").alias("a"), F.col("component").alias("ours"))
-        seen = both.join(other, "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        seen = seen.join(own, "a").where("theirs < ours")
-        root = labels.select(F.col("v").alias("component"), F.col("component").alias("above"))
-        jump = labels.join(root, "component").where("above < component").select("v", F.col("above").alias("component"))
-        rows = (
-            labels.union(seen.select("a", "theirs")).union(seen.select("ours", "theirs")).union(jump)
-        )
-        labels = materialize(rows.groupBy("v").agg(F.min("component").alias("component")), "labels")
-        now = total(labels)
-        if now == before:
-            break
-        before = now
-    return labels
+    """(v, component) for every vertex of ``edges`` (a, b); the component is its smallest vertex. No edges, no rows."""
+    return star_components(edges)

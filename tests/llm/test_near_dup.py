@@ -38,10 +38,10 @@ def corpus(seed, n=160):
 
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (5000, 5001)]
     edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {5000: 5000, 5001: 5000}
 
 
 def test_equals_brute_force(spark):
