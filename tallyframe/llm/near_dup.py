@@ -10,9 +10,11 @@ Candidates are compared in two passes, so that groups of copies never become all
 set is held against the smallest set of its nodes (a star, two of which are confirmed per set). Confirmed
 links are closed to components; then leaves, and the nodes that are still large at the full depth, are
 compared exhaustively between sets of different components; sets that meet a large component are compared with
-all its members, block by block. Comparing means: sizes within the threshold
+all its members. Comparing means: sizes within the threshold
 and 128-bit one-bit minwise sketches that agree in at least ``SKETCH_AGREES`` places (a pair at 0.8 agrees in
-115 on average, deviation 3.4); what is left is confirmed exactly on the full shingle sets of both texts.
+115 on average, deviation 3.4). Sets that may link by these are gathered to clusters, whose shingle hashes meet once, block
+against block; blocks give out links only, no candidates, and no more than join their sets. Links are
+confirmed exactly on the full shingle sets of both texts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ SKETCH_AGREES = 98
 #: Vertices of candidate links up to which their ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
 #: Components of more sets are compared as groups, in blocks of so many sets.
-GROUP, BLOCK = 32, 128
+GROUP, BLOCK = 32, 512
 #: Minwise values that the sketch takes a bit of each; the trees go on in the same row of values beyond them.
 _POOL = 128
 _PROFILE = "doc long, n_shingles long, ka long, kb long, s1 long, s2 long, tokens array<int>"
@@ -194,46 +196,129 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _only(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """The texts of the written ids ``ends`` (v); few ids are broadcast, their number is counted first."""
+    return texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "v", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets have ``percent`` % of their union in common."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    ends = materialize(ends, "ends")
-    few = ends.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(ends) if few else ends, "v", "left_semi")
-    wanted = materialize(wanted, "texts")
+    wanted = materialize(_only(texts, materialize(ends, "ends")), "texts")
     left = wanted.select(F.col("v").alias("a"), F.col("text").alias("ta"))
     right = wanted.select(F.col("v").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return materialize(joined.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
 
+def _node_labels():
+    """Arrow kernel over nodes (arrays v, n, s1, s2, own of their sets) -> (a, b): each set that may link to a set of another
+    component of the node, and the smallest set that such possible links lead to."""
+
+    def labels(v, n, s1, s2, own, percent):
+        differ = np.bitwise_count(s1[:, :, None] ^ s1[:, None, :]) + np.bitwise_count(s2[:, :, None] ^ s2[:, None, :])
+        low, high = np.minimum(n[:, :, None], n[:, None, :]), np.maximum(n[:, :, None], n[:, None, :])
+        alike = (differ <= _POOL - SKETCH_AGREES) & (low * 100 >= high * percent) & (own[:, :, None] != own[:, None, :]) & (low > 0)
+        least = np.where(alike.any(axis=2), v, np.iinfo(np.int64).max)
+        while True:
+            near = np.minimum(np.where(alike, least[:, None, :], np.iinfo(np.int64).max).min(axis=2), least)
+            if (near == least).all():
+                break
+            least = near
+        return np.nonzero(alike.any(axis=2) & (least != v)), least
+
+    def padded(column: pa.Array, width: int, dtype) -> np.ndarray:
+        flat, at = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+        out = np.zeros((len(at), width), dtype)
+        out[np.arange(width) < at[:, None]] = flat.astype(dtype, copy=False)
+        return out
+
+    def run(percent):
+        def kernel(batches):
+            for batch in batches:
+                sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                order, at = np.argsort(sizes, kind="stable"), 0
+                while at < len(order):
+                    # nodes of like size side by side, a few million cells at once
+                    width = int(sizes[order[min(len(order), at + max(1, 4_000_000 // int(sizes[order[at]]) ** 2)) - 1]])
+                    upto = at + max(1, min(4_000_000 // width**2, int(np.searchsorted(sizes[order], width, "right")) - at))
+                    width = int(sizes[order[upto - 1]])
+                    part = batch.take(pa.array(order[at:upto]))
+                    at = upto
+                    v, n, s1, s2, own = (padded(part.column(c), width, t) for c, t in enumerate((np.int64, np.int64, np.uint64, np.uint64, np.int64)))
+                    where, least = labels(v, n, s1, s2, own, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[where]), pa.array(least[where])], names=["a", "b"])
+
+        return kernel
+
+    return run
+
+
+def _sets_of(k: int):
+    """Arrow kernel (v, text) -> (v, hashes): the sorted 64-bit hashes of the shingles, packed."""
+
+    def run(batches):
+        for batch in batches:
+            for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
+                sets = profiles_of([r[1] or b"" for r in part], k, sets_only=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["v", "hashes"])
+
+    return run
+
+
+def _link_block(percent: int):
+    """Arrow group (i, j, at, cluster, v, own, s1, s2, hashes) -> links between components, enough to join what links join.
+
+    Sets of one cluster and different components are compared: sizes and sketches first, then the shingle hashes.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, at, cluster, v, own, s1, s2 = (table.column(c).to_numpy() for c in range(8))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        s1, s2, joined, out = s1.view(np.uint64), s2.view(np.uint64), own.copy(), []
+        for x in np.flatnonzero(at == i):
+            # the other block, or what comes later in the same one
+            may = (at == j) & (cluster == cluster[x]) & (joined != joined[x])
+            may[: x + 1] &= i[x] != j[x]
+            may &= np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * percent
+            may &= np.bitwise_count(s1 ^ s1[x]) + np.bitwise_count(s2 ^ s2[x]) <= _POOL - SKETCH_AGREES
+            for y in np.flatnonzero(may):
+                if joined[x] == joined[y]:
+                    continue
+                place = np.minimum(np.searchsorted(sets[y], sets[x]), sizes[y] - 1)
+                common = int((sets[y][place] == sets[x]).sum())
+                if common and 100 * common >= percent * (sizes[x] + sizes[y] - common):
+                    out.append((max(v[x], v[y]), min(v[x], v[y])))
+                    joined[joined == joined[y]] = joined[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def _across(leaf: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates between different components of a node: pairs (a, b), and (v, component) for components over ``GROUP``.
+    """What is left to compare between different components: (v, cluster) and, for components over ``GROUP``, (v, component).
 
-    A set that may link to members of a large component is named once, not with each member.
+    Sets of a node whose sizes and sketches allow a link share a cluster: clusters are the components of these
+    possible links, of which each set names one a node, never all. Sets of large components name none; a set that may link
+    to members of a large component is named once, not with each member.
     """
     of = near.join(near.groupBy("component").agg(F.count("*").alias("many")), "component").select("v", F.col("component").alias("own"), "many")
     leaf = materialize(
         leaf.join(of, "v", "left").withColumns({"own": F.coalesce("own", "v"), "many": F.coalesce("many", F.lit(1))}), "leaves"
     )
-    mixed = materialize(
-        leaf.groupBy("node").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("node", "first"), "mixed"
-    )
-    rows = leaf.join(mixed, "node")
-    spots = rows.groupBy("v").agg(F.collect_list("node").alias("spots"))  # a node a tree at most
-    rows = materialize(rows.join(spots, "v"), "spots")
-    # One of two different components is not the first of the node: those rows meet all others. Sets of large components
-    # take no part on either side: what may link to them is compared block by block. A pair that meets in several trees is
-    # named in one of its nodes only.
-    side = lambda df, at: df.select("node", *(F.col(c).alias(f"{at}_{c}") for c in ("v", "n", "s1", "s2", "own", "spots", "first")))
-    small = rows.where(F.col("many") <= GROUP)
-    left, right = side(small.where("own <> first"), "l"), side(small, "r")
-    alike = _alike("l_n", "r_n", ("l_s1", "l_s2"), ("r_s1", "r_s2"), percent)
-    once = (F.col("node") == F.array_min(F.array_intersect("l_spots", "r_spots"))) & ((F.col("r_own") == F.col("r_first")) | (F.col("l_v") > F.col("r_v")))
-    pairs = left.join(right, "node").where((F.col("l_own") != F.col("r_own")) & alike & once).select(
-        F.greatest("l_v", "r_v").alias("a"), F.least("l_v", "r_v").alias("b")
+    small = leaf.where(F.col("many") <= GROUP)
+    mixed = small.groupBy("node").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).where("low < high")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = small.join(materialize(mixed.select("node", parts.alias("parts")), "mixed"), "node")
+    mine = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    rows = rows.withColumn("at", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = rows.groupBy("node", F.least("at", "y").alias("i"), F.greatest("at", "y").alias("j")).agg(  # two blocks at most
+        F.collect_list(F.struct("v", "n", "s1", "s2", "own")).alias("x")
     )
+    possible = met.select(*(F.col(f"x.{c}").alias(c) for c in ("v", "n", "s1", "s2", "own"))).mapInArrow(_node_labels()(percent), "a long, b long")
+    clusters = components(possible).withColumnRenamed("component", "cluster")
     large = leaf.where(F.col("many") > GROUP)
     parts = materialize(large.groupBy("node", "own").agg(F.min("n").alias("low"), F.max("n").alias("high")), "parts")
     every = leaf.select("node", F.col("v"), "n", F.col("own").alias("mine"))
@@ -242,15 +327,32 @@ def _across(leaf: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame,
         .where((F.col("mine") != F.col("own")) & (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
         .select("v", F.col("own").alias("component")).distinct()
     )
-    return pairs, outside
+    return materialize(clusters, "clusters"), materialize(outside, "outside")
+
+
+def _within_clusters(clusters: DataFrame, sets: DataFrame, hashed: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters: small clusters by the dozen, large ones block against block of ``BLOCK`` sets."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = clusters.join(sizes, "cluster").join(near.withColumnRenamed("component", "own"), "v", "left")
+    mine = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    rows = rows.withColumns({"own": F.coalesce("own", "v"), "at": mine}).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dozens = max(1, clusters.count() // BLOCK)
+    rows = rows.withColumns({
+        "i": F.least("at", "y"), "j": F.greatest("at", "y"),
+        "task": F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(dozens))).otherwise(F.col("cluster")), "one": F.col("parts") == 1,
+    })
+    rows = materialize(rows.select("task", "one", "i", "j", "at", "cluster", "v", "own"), "dealt")
+    full = rows.join(sets.select("v", "s1", "s2"), "v").join(hashed, "v")
+    full = full.select("i", "j", "at", "cluster", "v", "own", "s1", "s2", "hashes", "task", "one")
+    return full.groupBy("task", "one", "i", "j").applyInArrow(_link_block(percent), "a long, b long")
 
 
-def _compare_blocks(k: int, percent: int):
-    """Arrow group of rows (key, inside, v, text): links of the sets outside with those inside, one for each set at most."""
+def _compare_blocks(percent: int):
+    """Arrow group of rows (inside, v, hashes): links of the sets outside with those inside, one for each set at most."""
 
     def run(table: pa.Table) -> pa.Table:
-        inside, ids, texts = (table.column(c).to_pylist() for c in ("inside", "v", "text"))
-        sets = profiles_of([t or b"" for t in texts], k, sets_only=True)
+        inside, ids = (table.column(c).to_pylist() for c in ("inside", "v"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         here = [i for i, x in enumerate(inside) if x]
         a, b = [], []
         if here:
@@ -273,13 +375,12 @@ def _compare_blocks(k: int, percent: int):
     return run
 
 
-def _against_groups(outside: DataFrame, near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _against_groups(outside: DataFrame, near: DataFrame, hashed: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets and the large components they may belong to: every member is compared, block by block.
 
     Members and sets are dealt into blocks of ``BLOCK``; a task compares a block of the one with a block of the other, so no
     task grows with the group. One link suffices to join a set to a component.
     """
-    outside = materialize(outside, "outside")
     sizes = near.groupBy("component").agg(F.count("*").alias("members"))
     plan = outside.groupBy("component").agg(F.count("*").alias("others")).join(sizes, "component").select(
         "component", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("others") / BLOCK).cast("int").alias("ob")
@@ -288,11 +389,8 @@ def _against_groups(outside: DataFrame, near: DataFrame, texts: DataFrame, k: in
     deal = lambda mine, count: F.pmod(F.xxhash64("v"), F.col(count)).cast("int").alias(mine)
     members = near.join(plan, "component").select("component", "v", F.lit(True).alias("inside"), deal("i", "mb"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"))
     others = outside.join(plan, "component").select("component", "v", F.lit(False).alias("inside"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), deal("j", "ob"))
-    rows = materialize(members.select("component", "i", "j", "inside", "v").union(others.select("component", "i", "j", "inside", "v")), "dealt")
-    ends = materialize(rows.select("v").distinct(), "ends")
-    few = ends.count() <= BROADCAST_IDS
-    wanted = materialize(texts.join(F.broadcast(ends) if few else ends, "v", "left_semi"), "texts").select("v", F.col("text").cast("binary").alias("text"))
-    return rows.join(wanted, "v").groupBy("component", "i", "j").applyInArrow(_compare_blocks(k, percent), "a long, b long")
+    rows = members.select("component", "i", "j", "inside", "v").union(others.select("component", "i", "j", "inside", "v"))
+    return rows.join(hashed, "v").groupBy("component", "i", "j").applyInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -318,8 +416,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = confirmed(first, texts, k, percent)
     near = components(links)
 
-    pairs, outside = _across(leaf, near, percent)
-    second = confirmed(pairs.union(_against_groups(outside, near, texts, k, percent)), texts, k, percent)
+    clusters, outside = _across(leaf, near, percent)
+    held = near.join(outside.select("component").distinct(), "component", "left_semi").select("v")
+    wanted = materialize(clusters.select("v").union(outside.select("v")).union(held).distinct(), "ends")
+    hashed = materialize(_only(texts, wanted).select("v", F.col("text").cast("binary")).mapInArrow(_sets_of(k), "v long, hashes binary").dropDuplicates(["v"]), "hashes")
+    found = _within_clusters(clusters, sets, hashed, near, percent).union(_against_groups(outside, near, hashed, percent))
+    second = confirmed(found, texts, k, percent)
     whole = components(links.union(second))
 
     of_set = sets.select("ka", "kb", "v").join(whole, "v", "left").select(
