@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.quantiles import same
 from tallyframe.operators.splits import ranked
 from tallyframe.sources.tables import materialize
 
@@ -15,30 +16,30 @@ def content_hash(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("exact_sha256", F.sha2(F.col(col), 256))
 
 
+def once(col: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``col``, which is evaluated once however often ``f`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
 def _bits_to_hex(bits: Column, n: int) -> Column:
     """Hex of an array of 0/1, first bit highest; ``n`` is a multiple of 4."""
-    digits = F.transform(
-        F.sequence(F.lit(0), F.lit(n // 4 - 1)),
-        lambda k: F.substring(F.lit("0123456789abcdef"), F.aggregate(F.slice(bits, k * 4 + 1, 4), F.lit(0), lambda a, b: a * 2 + b) + 1, F.lit(1)),
-    )
-    return F.array_join(digits, "")
+    digit = lambda b, k: F.substring(F.lit("0123456789abcdef"), F.aggregate(F.slice(b, k * 4 + 1, 4), F.lit(0), lambda x, y: x * 2 + y) + 1, F.lit(1))
+    return once(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n // 4 - 1)), lambda k: digit(b, k)), ""))
 
 
 def ahash(grid: Column, bits: int = 64) -> Column:
     """Bit = value above the grid's mean, row by row; the first ``bits`` bits as hex."""
-    mean = F.aggregate(grid, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(grid)
-    return _bits_to_hex(F.slice(F.transform(grid, lambda x: (x.cast("double") > mean).cast("int")), 1, bits), bits)
+    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(g)
+    above = lambda g, m: F.transform(F.slice(g, 1, bits), lambda x: (x.cast("double") > m).cast("int"))
+    return once(grid, lambda g: once(mean(g), lambda m: _bits_to_hex(above(g, m), bits)))
 
 
 def dhash(grid: Column, bits: int = 64, width: int = 9) -> Column:
     """Bit = value above its left neighbour in a grid of ``width`` columns, row by row; the first ``bits`` bits as hex."""
     per_row = width - 1
-    at = F.sequence(F.lit(0), F.lit(bits - 1))
-    flags = F.transform(
-        at,
-        lambda k: (F.get(grid, (F.floor(k / per_row) * width + k % per_row + 1).cast("int")) > F.get(grid, (F.floor(k / per_row) * width + k % per_row).cast("int"))).cast("int"),
-    )
-    return _bits_to_hex(flags, bits)
+    at = [k // per_row * width + k % per_row for k in range(bits)]
+    flags = lambda g: F.array(*((F.get(g, F.lit(i + 1)) > F.get(g, F.lit(i))).cast("int") for i in at))
+    return once(grid, lambda g: _bits_to_hex(flags(g), bits))
 
 
 def tag_split(df: DataFrame, train: DataFrame, val: DataFrame, key: str) -> DataFrame:
@@ -167,8 +168,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int = 6
 
 
 def with_group_size(df: DataFrame, group: str = "group_id") -> DataFrame:
-    """Group size on every row, by a sum and a join, so that a very large group does not meet in one task."""
-    return df.join(df.groupBy(group).agg(F.count("*").alias("group_size")), group)
+    """Group size on every row, by a sum and a join, so that a very large group does not meet in one task. Null is a group."""
+    return same(df, df.groupBy(group).agg(F.count("*").alias("group_size")), [group])
 
 
 def exact_groups(df: DataFrame, key: str, hash_col: str) -> DataFrame:

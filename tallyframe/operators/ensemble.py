@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import binarize
 from tallyframe.operators.metrics import binary_metrics, metric_columns, threshold_bucket
+from tallyframe.operators.quantiles import quantiles, same
+from tallyframe.sources.tables import materialize
 
 
 def mean_over_views(df: DataFrame, value: str = "prob", keys: Sequence[str] = ("sample_id", "label", "model", "fold")) -> DataFrame:
@@ -95,8 +97,8 @@ def refine_search(wide: DataFrame, models: Sequence, best: dict, steps: int = 20
         steps, at = steps * 2, {m: w * 2 for m, w in at.items()}
         near = reduce(lambda a, b: a & b, (F.abs(F.col(f"w_{m}") - at[m]) <= reach for m in models))
         grid = simplex_grid(spark, models, steps).where(near)
-        out = grid_search(wide, grid, models, steps, **options).join(grid, "weight_id")
-        row = out.first()  # one row
+        out = materialize(grid_search(wide, grid, models, steps, **options).join(grid, "weight_id"), "refined")  # one row, searched once
+        row = out.first()
         at = {m: row[f"w_{m}"] for m in models}
     return out.withColumn("steps", F.lit(steps))
 
@@ -110,11 +112,13 @@ def apply_best(wide: DataFrame, best: DataFrame, models: Sequence, steps: int, s
 
 
 def prob_stats(df: DataFrame, keys: Sequence[str] = (), value: str = "prob") -> DataFrame:
-    """Both deviations are named: of the population and of a sample."""
-    return df.groupBy(*keys).agg(
+    """Both deviations are named: of the population and of a sample. The median is selected over all tasks; null keys are keys."""
+    sums = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std_pop"), F.stddev_samp(value).alias("std_samp"),
+        F.stddev_pop(value).alias("std_pop"), F.stddev_samp(value).alias("std_samp"),
     )
+    both = same(sums, quantiles(df, value, [0.5], keys), keys, "left")
+    return both.select(*keys, "n", "min", "max", "mean", F.col("q0").alias("median"), "std_pop", "std_samp")
 
 
 def prob_histogram(df: DataFrame, bins: int = 25, keys: Sequence[str] = (), prob: str = "prob") -> DataFrame:

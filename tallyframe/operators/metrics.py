@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import binarize
+from tallyframe.operators.quantiles import quantiles, same
 
 COUNTS = ("tn", "fp", "fn", "tp")
 
@@ -183,12 +184,19 @@ def weighted_mean(df: DataFrame, value: str, weight: str, keys: Sequence[str] =
 
 
 def numeric_by_label(df: DataFrame, cols: Sequence[str], label: str = "label", exact: bool = False) -> DataFrame:
-    """Five numbers of a box plot for each column and label: quartiles, and whiskers within 1.5 of their distance."""
-    q = (lambda p: F.percentile("value", p)) if exact else (lambda p: F.percentile_approx("value", p, 10_000))
+    """Five numbers of a box plot for each column and label: quartiles, and whiskers within 1.5 of their distance.
+
+    ``exact`` selects the quartiles over all tasks, else they are approximate. Nulls play no part; a null label is a label.
+    """
     named = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols))
     long = df.select(F.col(label).alias("label"), F.explode(named).alias("x")).select("label", "x.*").where("value IS NOT NULL")
-    box = long.groupBy("column", "label").agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    keys, cuts = ["column", "label"], (0.25, 0.5, 0.75)
+    if exact:
+        box = same(long.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(long, "value", cuts, keys), keys)
+        box = box.select(*keys, "n", *(F.col(f"q{i}").alias(c) for i, c in enumerate(("q1", "median", "q3"))))
+    else:
+        box = long.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx("value", q, 10_000).alias(c) for q, c in zip(cuts, ("q1", "median", "q3"), strict=True)))
     span = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - span) & (F.col("value") <= F.col("q3") + span)
-    ends = long.join(F.broadcast(box), ["column", "label"]).where(inside).groupBy("column", "label").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return box.join(ends, ["column", "label"]).select("column", "label", "n", "low", "q1", "median", "q3", "high")
+    ends = same(long, box, keys).where(inside).groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return same(box, ends, keys).select("column", "label", "n", "low", "q1", "median", "q3", "high")

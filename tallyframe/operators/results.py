@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import binarize, error_type, log_loss
+from tallyframe.operators.quantiles import same
+from tallyframe.sources.tables import materialize
 
 
 # -- predictions and errors ------------------------------------------------------------------------
@@ -47,8 +50,9 @@ def check_contract(df: DataFrame, required: Sequence[str], label: str = "label",
 
 
 def flag_repeated(df: DataFrame, col: str) -> DataFrame:
+    """``repeated``: whether another row has the same value; nulls are a value like others, every row stays."""
     n = df.groupBy(col).agg((F.count("*") > 1).alias("repeated"))
-    return df.join(n, col)
+    return same(df, n, [col])
 
 
 # -- template and submissions ------------------------------------------------------------------------
@@ -126,12 +130,12 @@ def validate_submission(template: DataFrame, sub: DataFrame, key: str = "sample_
 # -- run logs ------------------------------------------------------------------------------------------
 
 
-def early_stopping(logs: DataFrame, run: str, epoch: str, metric: str, min_delta=0, patience: int = 5, start_epoch: int = 0) -> DataFrame:
-    """Replay for each run: best_epoch, best_value, stopped_epoch (null: ran to its end). A log is one run's epochs, folded in order."""
-    seq = logs.where(F.col(metric).isNotNull()).groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col(metric).cast("double").alias("m")))).alias("seq"))
-    state = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"), F.lit(0).alias("waited"), F.lit(None).cast("long").alias("stopped")
-    )
+#: Epochs that one task folds at most, about.
+PART_EPOCHS = 200_000
+
+
+def _replayed(parts: DataFrame, min_delta, patience: int, start_epoch: int) -> DataFrame:
+    """``parts`` (seq, and the state best, best_epoch, waited, stopped that enters it) with the state after the part."""
 
     def step(acc, x):
         better = acc["best"].isNull() | (x["m"] > acc["best"] + min_delta)
@@ -142,8 +146,55 @@ def early_stopping(logs: DataFrame, run: str, epoch: str, metric: str, min_delta
         )
         return F.when(acc["stopped"].isNotNull(), acc).otherwise(moved)
 
-    return logs.select(run).distinct().join(seq.select(run, F.aggregate("seq", state, step).alias("r")), run, "left").select(
-        run, F.col("r.best_epoch").alias("best_epoch"), F.col("r.best").alias("best_value"), F.col("r.stopped").alias("stopped_epoch")
+    names = ("best", "best_epoch", "waited", "stopped")
+    after = parts.withColumn("_after", F.aggregate("seq", F.struct(*names), step))
+    return after.select("_run", "_part", *(F.col(f"_after.{c}").alias(c) for c in names))
+
+
+def early_stopping(logs: DataFrame, run: str, epoch: str, metric: str, min_delta=0, patience: int = 5, start_epoch: int = 0, part_epochs: int = PART_EPOCHS) -> DataFrame:
+    """Replay for each run: best_epoch, best_value, stopped_epoch (null: ran to its end).
+
+    Logs are dealt by ranges of (run, epoch), and a part folds its epochs in order; no run is one list. Where a run goes on
+    over several parts, each part is folded from a supposed state (the best value before it), and parts whose entering
+    state was not what the part before left are folded again, until all agree; the states pass one boundary a round at
+    least and mostly settle in two or three. The driver sees states of such parts only, of which there are two a part at
+    most. Rows with a null metric play no part, a run with nothing else has nulls; a null run is a run; repeated epochs
+    count one after the other, the smaller metric first.
+    """
+    own = logs.where(F.col(metric).isNotNull()).select(F.col(run).alias("_run"), F.col(epoch).cast("long").alias("e"), F.col(metric).cast("double").alias("m"))
+    spread = max(int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // part_epochs))
+    dealt = own.repartitionByRange(spread, "_run", "e", "m").withColumn("_part", F.spark_partition_id())
+    parts = materialize(dealt.groupBy("_run", "_part").agg(F.sort_array(F.collect_list(F.struct("e", "m"))).alias("seq"), F.max("m").alias("_top")), "log-parts")
+    several = parts.groupBy("_run").agg(F.count("*").alias("_n")).where("_n > 1").select("_run")
+    torn = parts.join(F.broadcast(several), parts["_run"].eqNullSafe(several["_run"]), "left_semi")
+    whole = parts.join(F.broadcast(several), parts["_run"].eqNullSafe(several["_run"]), "left_anti")
+    start = {"best": F.lit(None).cast("double"), "best_epoch": F.lit(None).cast("long"), "waited": F.lit(0), "stopped": F.lit(None).cast("long")}
+    done = _replayed(whole.withColumns(start), min_delta, patience, start_epoch).drop("_part")
+    order = sorted((tuple(r) for r in torn.select("_run", "_part", "_top").collect()), key=lambda r: r[1])
+    if order:
+        fields = [parts.schema["_run"], parts.schema["_part"], *_replayed(torn.withColumns(start), min_delta, patience, start_epoch).schema.fields[2:]]
+        before, entering, exits = {}, {}, {}
+        for r, part, top in order:
+            chain = before.setdefault(r, [])
+            best = max((t for _, t in chain), default=None)
+            entering[r, part] = (best, None, 0, None)
+            chain.append((part, top))
+        todo = dict(entering)
+        while todo:
+            states = logs.sparkSession.createDataFrame([(r, p_, *state) for (r, p_), state in todo.items()], StructType([StructField(f.name, f.dataType) for f in fields]))
+            states = states.withColumnsRenamed({"_run": "_r", "_part": "_p"})
+            met = torn.join(F.broadcast(states), torn["_run"].eqNullSafe(states["_r"]) & (torn["_part"] == states["_p"]))
+            exits.update({(x[0], x[1]): tuple(x[2:]) for x in _replayed(met, min_delta, patience, start_epoch).collect()})
+            todo = {}
+            for r, chain in before.items():
+                for (left, _), (right, _) in zip(chain, chain[1:]):
+                    if entering[r, right] != exits[r, left]:
+                        todo[r, right] = entering[r, right] = exits[r, left]
+        rows = [(r, *exits[r, chain[-1][0]]) for r, chain in before.items()]
+        done = done.union(logs.sparkSession.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in [fields[0], *fields[2:]]])))
+    names = logs.select(F.col(run).alias("_name")).distinct()
+    return names.join(done, names["_name"].eqNullSafe(done["_run"]), "left").select(
+        F.col("_name").alias(run), "best_epoch", F.col("best").alias("best_value"), F.col("stopped").alias("stopped_epoch")
     )
 
 

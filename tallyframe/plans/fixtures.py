@@ -60,32 +60,47 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("sample_id", "label", "model", "fold").agg(F.sum("ppm").alias("s4")).withColumn("prob", F.col("s4") / 4000000.0)
 
 
-#: Documents and embeddings as one node table with three hashes; labelled nodes are the training pool.
-NODES_SQL = """grids AS (SELECT vec_id, embedding AS g, list_sum([CAST(x AS DOUBLE) for x in embedding]) / len(embedding) AS mean FROM embeddings),
+#: A text's grid has 8 rows and 9 columns; every word is counted in the cell that its first character and its length name.
+CELLS = 72
+
+_HEX = "substr('0123456789abcdef', CAST(list_sum([({bit}) * (8 // CAST(pow(2, j) AS BIGINT)) for j in range(4)]) + 1 AS BIGINT), 1)"
+_AHASH = _HEX.format(bit="CASE WHEN 64 * g[4*k+j+1] > total THEN 1 ELSE 0 END")
+_DHASH = _HEX.format(bit="CASE WHEN g[((4*k+j)//8)*9 + (4*k+j)%8 + 2] > g[((4*k+j)//8)*9 + (4*k+j)%8 + 1] THEN 1 ELSE 0 END")
+
+#: Documents as one node table with three hashes: of the content, and both perceptual hashes, all 64 bits, of its grid of words
+#: (the average hash takes the first 64 cells). Labelled nodes are the training pool.
+NODES_SQL = f"""words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents),
+cells AS (SELECT doc_id, CAST((unicode(w) * 31 + length(w)) % {CELLS} AS INTEGER) AS cell, count(*) AS n FROM words WHERE w <> '' GROUP BY 1, 2),
+maps AS (SELECT doc_id, map(list(cell), list(n)) AS m FROM cells GROUP BY doc_id),
+grids AS (SELECT doc_id, g, list_sum(g[1:64]) AS total FROM (SELECT doc_id, [coalesce(m[k], 0) for k in range({CELLS})] AS g FROM maps)),
 nodes AS (
   SELECT d.doc_id AS node, l.quality AS label, CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS pool, sha256(d.text) AS exact_sha256,
-         CASE WHEN grids.vec_id IS NULL THEN NULL ELSE list_aggregate([substr('0123456789abcdef', CAST(8 * (CASE WHEN g[4*k+1] > mean THEN 1 ELSE 0 END) + 4 * (CASE WHEN g[4*k+2] > mean THEN 1 ELSE 0 END)
-           + 2 * (CASE WHEN g[4*k+3] > mean THEN 1 ELSE 0 END) + (CASE WHEN g[4*k+4] > mean THEN 1 ELSE 0 END) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') END AS ahash12,
-         CASE WHEN grids.vec_id IS NULL THEN NULL ELSE list_aggregate([substr('0123456789abcdef', CAST(list_sum([(CASE WHEN g[((4*k+j)//7)*8 + (4*k+j)%7 + 2] > g[((4*k+j)//7)*8 + (4*k+j)%7 + 1] THEN 1 ELSE 0 END)
-           * (8 // CAST(pow(2, j) AS BIGINT)) for j in range(4)]) + 1 AS BIGINT), 1) for k in range(3)], 'string_agg', '') END AS dhash12
-  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN grids ON grids.vec_id = d.doc_id)"""
+         CASE WHEN g IS NULL THEN NULL ELSE list_aggregate([{_AHASH} for k in range(16)], 'string_agg', '') END AS ahash64,
+         CASE WHEN g IS NULL THEN NULL ELSE list_aggregate([{_DHASH} for k in range(16)], 'string_agg', '') END AS dhash64
+  FROM documents d LEFT JOIN grids ON grids.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id)"""
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """node, label, pool, exact_sha256, ahash12, dhash12."""
-    from tallyframe.operators.duplicates import ahash, dhash
+    """node, label, pool, exact_sha256, ahash64, dhash64; written once, so that whatever reads it twice hashes once."""
+    from tallyframe.operators.duplicates import ahash, dhash, once
+    from tallyframe.sources.tables import materialize
 
-    e = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("node"), ahash(F.col("embedding"), 12).alias("ahash12"), dhash(F.col("embedding"), 12, width=8).alias("dhash12")
-    )
     y = table(spark, sf, "labels").select(F.col("doc_id").alias("node"), F.col("quality").alias("label")).distinct()
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("exact_sha256"))
-    return d.join(y, "node", "left").join(e, "node", "left").select(
-        "node", "label", F.when(F.col("label").isNull(), "test").otherwise("train").alias("pool"), "exact_sha256", "ahash12", "dhash12"
-    )
-
-
-HASHES = ("exact_sha256", "ahash12", "dhash12")
+    d = table(spark, sf, "documents")
+    words = d.select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    # a document's words stand in one task, so what is shuffled are its cells
+    cells = words.groupBy("doc_id", ((F.ascii("w") * 31 + F.length("w")) % CELLS).alias("cell")).agg(F.count("*").alias("n"))
+    counts = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    both = once(grid, lambda g: F.struct(ahash(F.slice(g, 1, 64)).alias("a"), dhash(g).alias("d")))
+    hashes = counts.select(F.col("doc_id").alias("node"), both.alias("h"))
+    d = d.select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("exact_sha256")).join(hashes, "node", "left")
+    return materialize(d.join(y, "node", "left").select(
+        "node", "label", F.when(F.col("label").isNull(), "test").otherwise("train").alias("pool"), "exact_sha256", F.col("h.a").alias("ahash64"), F.col("h.d").alias("dhash64")
+    ), "nodes")
+
+
+HASHES = ("exact_sha256", "ahash64", "dhash64")
 
 RUNS_SQL = """logs AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, CAST(round(value * 100) AS BIGINT) AS cents

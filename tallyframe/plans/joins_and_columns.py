@@ -173,12 +173,8 @@ def pseudo_union(spark, sf):
 @query(f"WITH {X.SAMPLES_SQL}, i AS (SELECT unnest(range(5)) AS held) SELECT held, CASE WHEN fold = held THEN 'val' ELSE 'train' END AS side, count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives FROM samples, i GROUP BY 1, 2")
 def fold_frames(spark, sf):
     """Rows and positives of both sides, each fold held out in turn."""
-    out = None
-    for i in range(5):
-        for side, rows in zip(("train", "val"), splits.fold_frames(X.samples(spark, sf), "fold", i), strict=True):
-            part = rows.agg(F.lit(i).cast("long").alias("held"), F.lit(side).alias("side"), F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
-            out = part if out is None else out.union(part)
-    return out
+    turns = splits.held_out_in_turn(X.samples(spark, sf), 5)
+    return turns.groupBy("held", "side").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
 
 
 @query(f"""WITH {_NAMED}, e AS (SELECT named.sample_id, file_name, CASE named.sample_id % 3 WHEN 0 THEN 'case_' || group_id WHEN 1 THEN 'patient-' || group_id ELSE file_name END AS g FROM named JOIN samples USING (sample_id)),

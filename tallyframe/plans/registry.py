@@ -237,7 +237,7 @@ def weight_refine(spark, sf):
     wide = ensemble.pivot_models(X.views(spark, sf), X.MODELS, value="s4")
     grid = ensemble.simplex_grid(spark, X.MODELS)
     options = {"lo": 50, "hi": 950, "step": 1, "scale": 4000000}
-    best = ensemble.grid_search(wide, grid, X.MODELS, 20, **options).join(grid, "weight_id").first().asDict()
+    best = ensemble.grid_search(wide, grid, X.MODELS, 20, **options).join(grid, "weight_id").first().asDict()  # one row
     return ensemble.refine_search(wide, X.MODELS, best, **options)
 
 
@@ -318,8 +318,8 @@ def stacking_logistic(spark, sf):
 
 # -- duplicates and groups -------------------------------------------------------------------------
 
-_LONG = """kinds AS (SELECT node, label, pool, 'exact_sha256' AS duplicate_type, exact_sha256 AS hash FROM nodes UNION ALL SELECT node, label, pool, 'ahash12', ahash12 FROM nodes
-  UNION ALL SELECT node, label, pool, 'dhash12', dhash12 FROM nodes), long AS (SELECT * FROM kinds WHERE hash IS NOT NULL)"""
+_LONG = """kinds AS (SELECT node, label, pool, 'exact_sha256' AS duplicate_type, exact_sha256 AS hash FROM nodes UNION ALL SELECT node, label, pool, 'ahash64', ahash64 FROM nodes
+  UNION ALL SELECT node, label, pool, 'dhash64', dhash64 FROM nodes), long AS (SELECT * FROM kinds WHERE hash IS NOT NULL)"""
 
 
 def _buckets(kind: str):
@@ -333,7 +333,7 @@ def _buckets(kind: str):
     return sql, run
 
 
-for _name, _kind in (("exact_duplicates", "exact_sha256"), ("ahash_buckets", "ahash12"), ("dhash_buckets", "dhash12")):
+for _name, _kind in (("exact_duplicates", "exact_sha256"), ("ahash_buckets", "ahash64"), ("dhash_buckets", "dhash64")):
     ORACLE_SQL[_name], QUERIES[_name] = _buckets(_kind)
 
 
@@ -368,7 +368,8 @@ comp AS (SELECT a AS node, min(b) AS group_id FROM reach GROUP BY a), grouped AS
 
 def _grouped(spark, sf):
     n = X.nodes(spark, sf)
-    return n.select("node", "label", "exact_sha256").join(duplicates.components(n, duplicates.evidence_edges(n, "node", X.HASHES), "node"), "node")
+    groups = duplicates.components(n, duplicates.evidence_edges(n, "node", X.HASHES), "node")
+    return n.select("node", "label", "exact_sha256").join(groups, "node")
 
 
 @query(f"WITH {_GROUPS} SELECT node, group_id FROM comp")
@@ -446,9 +447,17 @@ def stratified_kfold(spark, sf):
     return splits.stratified_kfold(_sample_rows(spark, sf), 5)
 
 
-_SGK = f"""{X.SAMPLES_SQL}, gs AS (SELECT group_id, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM samples GROUP BY 1),
-sig AS (SELECT n0, n1, count(*) AS c FROM gs GROUP BY 1, 2), st AS (SELECT n0, n1, coalesce(sum(c) OVER (ORDER BY n0 + n1 DESC, n1 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sig),
-gf AS (SELECT group_id, CAST((row_number() OVER (PARTITION BY n0, n1 ORDER BY {_HASH.format('group_id')}) - 1 + s) % 5 AS INTEGER) AS fold FROM gs JOIN st USING (n0, n1)),
+_SGK = f"""RECURSIVE {X.SAMPLES_SQL}, gs AS (SELECT group_id, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM samples GROUP BY 1),
+every AS (SELECT sum(n0) AS t0, sum(n1) AS t1 FROM gs), sig AS (SELECT n0, n1, count(*) AS c FROM gs GROUP BY 1, 2),
+line AS (SELECT *, row_number() OVER (ORDER BY n0 * t1 + n1 * t0 DESC, n1 DESC, n0 DESC) AS i FROM sig, every),
+greedy AS (SELECT CAST(0 AS BIGINT) AS i, [0::HUGEINT, 0, 0, 0, 0] AS h0, [0::HUGEINT, 0, 0, 0, 0] AS h1, CAST([] AS BIGINT[]) AS rest
+  UNION ALL SELECT i, list_transform(range(1, 6), lambda f: h0[f] + CASE WHEN list_contains(rest, f) THEN n0 ELSE 0 END),
+    list_transform(range(1, 6), lambda f: h1[f] + CASE WHEN list_contains(rest, f) THEN n1 ELSE 0 END), rest
+  FROM (SELECT line.i, n0, n1, h0, h1, list_transform(list_slice(list_sort(list_transform(range(1, 6),
+      lambda f: {{'adds': h0[f] * n0 * t1 * t1 + h1[f] * n1 * t0 * t0, 'load': h0[f] * t1 + h1[f] * t0, 'f': f}})), 1, c % 5), lambda x: x.f) AS rest
+    FROM greedy JOIN line ON line.i = greedy.i + 1)),
+gr AS (SELECT group_id, line.i, c, row_number() OVER (PARTITION BY gs.n0, gs.n1 ORDER BY {_HASH.format('group_id')}) - 1 AS r FROM gs JOIN line ON line.n0 = gs.n0 AND line.n1 = gs.n1),
+gf AS (SELECT group_id, CAST(CASE WHEN r < (c // 5) * 5 THEN r % 5 ELSE rest[r - (c // 5) * 5 + 1] - 1 END AS INTEGER) AS fold FROM gr JOIN greedy ON greedy.i = gr.i),
 sgk AS (SELECT sample_id, label, samples.group_id, gf.fold FROM samples JOIN gf USING (group_id)),
 fg AS (SELECT fold, group_id, count(*) AS n, count(*) FILTER (WHERE label = 1) AS p FROM sgk GROUP BY 1, 2),
 dist AS (SELECT fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - sum(p) AS BIGINT) AS negatives, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(p) AS DOUBLE) / sum(n) AS positive_ratio, count(*) AS groups, max(n) AS largest_group FROM fg GROUP BY fold)"""

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.operators.quantiles import same
+
 # executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,7 +115,10 @@ def mean_grid_by_label(
 
 
 def mapping_check(manifest: DataFrame, resolved: DataFrame, metadata: DataFrame, key: str = "file_name") -> DataFrame:
-    """exists, readable, duplicated of every manifest row; ``resolved`` has key and path, ``metadata`` path and readable."""
+    """exists, readable, duplicated of every manifest row; ``resolved`` has key and path, ``metadata`` path and readable.
+
+    Rows without a name stay, and count as copies of each other.
+    """
     n = manifest.groupBy(key).agg((F.count("*") > 1).alias("duplicated"))
     known = resolved.select(key, "path").distinct().join(metadata.select("path", "readable"), "path", "left")
-    return manifest.join(n, key).join(known, key, "left").withColumns({"exists": F.col("path").isNotNull(), "readable": F.coalesce("readable", F.lit(False))})
+    return same(same(manifest, n, [key]), known, [key], "left").withColumns({"exists": F.col("path").isNotNull(), "readable": F.coalesce("readable", F.lit(False))})

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyframe.functions import columns as C
-from tallyframe.operators import curves, duplicates, ensemble, metrics, results, splits
+from tallyframe.operators import curves, duplicates, ensemble, metrics, quantiles, results, splits
 from tallyframe.sources import images, tables
 
 
@@ -341,3 +341,94 @@ def test_a_star_of_a_million_leaves_has_no_hot_task(spark):
     least = leaves.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
     plan = duplicates._with_least(leaves, least, "a", 50_000)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan  # the hub's edges stay where they are
+
+
+def _replay(rows, delta, patience, start):
+    """Best epoch, best value and stopping epoch by one loop."""
+    best = at = stopped = None
+    waited = 0
+    for e, m in sorted(rows):
+        if stopped is not None:
+            break
+        better = best is None or m > best + delta
+        waited = 0 if better or e < start else waited + 1
+        best, at = (m, e) if better else (best, at)
+        stopped = e if waited >= patience else None
+    return at, best, stopped
+
+
+@pytest.mark.parametrize("delta,patience", [(0, 5), (2.5, 40), (1.5, 10_000)])
+def test_long_runs_are_folded_in_parts(spark, delta, patience):
+    rng = random.Random(int(delta * 10))
+    runs = {1: [(e, float(e) + rng.random()) for e in range(4000)], 2: [(e, rng.gauss(e / 60, 3)) for e in range(5000)], 3: [(0, 1.0)], None: [(e, float(e % 50)) for e in range(3000)]}
+    runs[5] = [(e, 100.0 - e) for e in range(2500)]
+    rows = [(r, e, m) for r, log in runs.items() for e, m in log] + [(9, 1, None)]
+    logs = spark.createDataFrame(rows, "run long, epoch int, auc double").repartition(7)
+    out = results.early_stopping(logs, "run", "epoch", "auc", delta, patience, start_epoch=3, part_epochs=300)
+    got = {r.run: (r.best_epoch, r.best_value, r.stopped_epoch) for r in out.collect()}
+    assert got == {r: _replay(log, delta, patience, 3) for r, log in runs.items()} | {9: (None, None, None)}
+
+
+def test_one_run_of_a_million_epochs(spark):
+    e = spark.range(1_000_000, numPartitions=8).select(F.lit("r").alias("run"), F.col("id").alias("epoch"), (F.col("id") - (F.col("id") % 997) * 2).cast("double").alias("auc"))
+    row = results.early_stopping(e, "run", "epoch", "auc", 0.5, 2500, part_epochs=50_000).collect()
+    assert [tuple(r) for r in row] == [("r", *_replay(((i, float(i - i % 997 * 2)) for i in range(1_000_000)), 0.5, 2500, 0))]
+
+
+def test_quantiles_are_selected_exactly(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(40), rng.random() * 100])) for _ in range(3000)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double").repartition(5)
+    at = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.k: tuple(r)[1:] for r in quantiles.quantiles(df, "v", at, ["k"]).collect()}
+    want = {k: tuple(np.quantile([v for j, v in rows if j == k and v is not None], at)) for k in ("a", "b", None, "one")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    whole = quantiles.quantiles(df, "v", [0.5]).first()
+    assert whole.q0 == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert quantiles.quantiles(df.limit(0), "v", [0.5], ["k"]).count() == 0
+    assert "percentile" not in quantiles.quantiles(df, "v", at, ["k"])._jdf.queryExecution().toString()
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2, None if i % 4 == 0 else f"g{i % 7}") for i in range(60)] + [(None, 1, None), (None, None, "g1")]
+    df = spark.createDataFrame(rows, "sample_id long, label int, group_id string")
+    assert splits.group_holdout(df, "group_id", 0.3).count() == 62
+    assert splits.stratified_holdout(df, 0.25).groupBy("split").count().collect() and splits.stratified_holdout(df, 0.25).count() == 62
+    assert splits.stratified_kfold(df, 4).where("fold is null").count() == 0 and splits.stratified_kfold(df, 4).count() == 62
+    folds = splits.stratified_group_kfold(df, "group_id", k=3)
+    assert folds.count() == 62 and folds.where("fold is null").count() == 0
+    assert folds.where("group_id is null").select("fold").distinct().count() == 1
+    assert results.flag_repeated(df, "group_id").count() == 62 and results.flag_repeated(df, "sample_id").where("repeated").count() == 2
+    assert duplicates.with_group_size(df).where("group_id is null").select("group_size").distinct().collect() == [(16,)]
+    names = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "file_name string")
+    known = spark.createDataFrame([("a", "/a")], "file_name string, path string")
+    checked = images.mapping_check(names, known, spark.createDataFrame([("/a", True)], "path string, readable boolean"))
+    assert sorted((r.file_name or "", r.exists, r.readable, r.duplicated) for r in checked.collect()) == [("", False, False, True)] * 2 + [("a", True, True, False), ("b", False, False, False)]
+
+
+def test_group_folds_balance_both_classes(spark):
+    rng = random.Random(4)
+    rows, i = [], 0
+    for g in range(400):
+        size, p = min(60, int(rng.paretovariate(0.9))), rng.choice((0.05, 0.5, 0.95))
+        for _ in range(size):
+            rows.append((i, int(rng.random() < p), g))
+            i += 1
+    folds = splits.stratified_group_kfold(spark.createDataFrame(rows, "sample_id long, label int, group_id long"), "group_id")
+    per = folds.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).collect()
+    for c in ("n", "p"):
+        counts = [r[c] for r in per]
+        assert max(counts) - min(counts) <= 0.12 * sum(counts) / 5
+    assert list(splits.deal_signatures([(1, 0, 7), (0, 1, 2)], 3)) == [(0, 1, 0, [0, 1]), (1, 0, 2, [2])]
+
+
+def test_group_column_of_least_rank():
+    find = splits.find_group_column
+    assert find(["x", "Case_ID", "study_id", "PATIENT"]) == "PATIENT" and find(["my_subject", "a_study"]) == "my_subject"
+    assert find(["a", "b"]) is None and find([]) is None
+
+
+def test_folds_held_out_in_turn(spark):
+    df = spark.createDataFrame([(i, i % 3 if i else None) for i in range(7)], "sample_id long, fold long")
+    got = {(r.held, r.sample_id): r.side for r in splits.held_out_in_turn(df, 3).collect()}
+    assert got == {(h, i): "val" if i and i % 3 == h else "train" for h in range(3) for i in range(7)}
