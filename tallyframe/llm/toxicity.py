@@ -1,15 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A sample of the labelled rows (at most ``max_examples``, taken by hash of their ids: the documented bound of the fit) gives
-the examples. Every example is indexed with all its words but those in over ``MAX_SHARE`` of all documents; document
-frequencies are counted over all documents. Words and word beginnings, and either of them standing ``OFTEN`` times in a text, whose share of
+the examples. Every example is indexed with all its words, weighted by the logarithm of their rarity among all documents,
+which leaves a word of every document next to nothing, at any size. Words and word beginnings, and either of them standing ``OFTEN`` times in a text, whose share of
 toxic examples is beyond chance weigh ``BOOST`` times as much; beginnings and repetitions are terms for that only.
 
 The inverted index keeps postings by term and block of ``BLOCK`` examples with the greatest weight of the term in the
 block. A text's nearest examples are found exactly: the blocks of highest bound are evaluated first, then all
 blocks whose bound is not below the worst neighbour found. Neighbours vote, weighted by a power of the cosine, and
 a monotone map fitted on the examples themselves (each left out of its own vote, in a Spark job) calibrates the
-share. The index is bounded by ``max_examples`` whatever the corpus, so it is broadcast.
+share. The power, and the weight of the overall share beside the votes, are chosen by the same left-out votes. The index is bounded by ``max_examples`` whatever the corpus, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -36,11 +36,8 @@ FIRST_BLOCKS = 8
 TOGETHER = 64
 OFTEN = 3
 BOOST = 8.0
-#: Power of the cosine that weighs a vote, and the weight of the overall share of toxic examples beside the votes: one
-#: neighbour that shares a passage decides little, many alike or a copy decide.
-POWER, PRIOR = 3, 0.25
-#: Terms that stand in a greater share of all documents are left out, but for telling ones.
-MAX_SHARE = 0.02
+#: (power of the cosine that weighs a vote, weight of the overall share of toxic examples beside the votes) to choose from.
+SETTINGS = tuple((p, q) for p in (1, 2, 3, 4) for q in (0.1, 0.25, 1.0))
 THRESHOLD = 0.3
 _MANY = "+"
 _WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
@@ -180,6 +177,7 @@ class Index:
         #: Where the postings of each term begin.
         self.start = np.searchsorted(at, np.arange(len(weight) + 1)).astype(np.int32 if len(at) < 1 << 31 else np.int64)
         self._enter()
+        self.setting = SETTINGS[0]
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def _enter(self) -> None:
@@ -254,10 +252,30 @@ class Index:
         place = np.arange(len(of)) - np.searchsorted(of, of)
         return of[place < k], row[place < k], score[place < k]
 
-    def votes(self, of: np.ndarray, row: np.ndarray, cosine: np.ndarray, texts: int) -> np.ndarray:
+    def votes(self, of: np.ndarray, row: np.ndarray, cosine: np.ndarray, texts: int, setting: tuple[float, float] | None = None) -> np.ndarray:
         """By text, the share of toxic neighbours, weighted by a power of the cosine, with the overall share of a little weight."""
-        w = cosine**POWER
-        return (np.bincount(of, w * self.labels[row], minlength=texts) + PRIOR * self.share) / (np.bincount(of, w, minlength=texts) + PRIOR)
+        power, prior = setting or self.setting
+        w = cosine**power
+        return (np.bincount(of, w * self.labels[row], minlength=texts) + prior * self.share) / (np.bincount(of, w, minlength=texts) + prior)
+
+    def choose(self, votes: np.ndarray, y: np.ndarray) -> None:
+        """Take the setting (column of ``votes``) under which examples, calibrated on the other half of them, lose least; then calibrate on all.
+
+        Rows stand in the order of their hashes, so halves are by parity. The loss is the mean negative log likelihood; ties go
+        to the first setting.
+        """
+        loss = []
+        for column in votes.T:
+            total = 0.0
+            for half in (0, 1):
+                fitted = np.arange(len(y)) % 2 == half
+                self.calibrate(list(zip(column[fitted].tolist(), y[fitted].tolist(), strict=True)))
+                p = np.clip(np.interp(column[~fitted], *self.curve), 1e-3, 1 - 1e-3)
+                total -= float(np.log(np.where(y[~fitted] == 1, p, 1 - p)).sum())
+            loss.append(round(total, 9))
+        best = int(np.argmin(loss))
+        self.setting = SETTINGS[best]
+        self.calibrate(list(zip(votes[:, best].tolist(), y.tolist(), strict=True)))
 
     def calibrate(self, votes: list[tuple[float, int]]) -> None:
         """Monotone map from votes to observed shares: pooled adjacent violators on (left-out vote, label)."""
@@ -381,7 +399,7 @@ def _example_vectors(terms):
 
 
 def _left_out_votes(index):
-    """(row, terms, tf) of examples -> their votes without themselves."""
+    """(row, terms, tf) of examples -> their votes without themselves, under every setting."""
 
     def run(batches):
         idx: Index = shared(index)
@@ -391,14 +409,16 @@ def _left_out_votes(index):
                 row, terms, tf = (part.column(c) for c in range(3))
                 text = np.repeat(np.arange(len(row)), np.diff(terms.offsets.to_numpy()))
                 near = idx.nearest(text, terms.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(np.int64), len(row), but=row.to_numpy())
-                yield pa.RecordBatch.from_arrays([row, pa.array(idx.votes(*near, len(row)))], names=["row", "vote"])
+                votes = np.stack([idx.votes(*near, len(row), s) for s in SETTINGS], axis=1)
+                offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(SETTINGS))
+                yield pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(offsets, pa.array(votes.ravel()))], names=["row", "votes"])
         release()
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        max_examples: int = MAX_EXAMPLES, boost: float = BOOST, max_share: float = MAX_SHARE) -> Index:
+        max_examples: int = MAX_EXAMPLES, boost: float = BOOST) -> Index:
     """Fit the index on the rows of ``labels`` (the caller leaves out what is held out).
 
     Rows whose label is not 0 or 1, or whose id is null or not in ``docs``, are no examples; of repeated ids the greatest
@@ -444,10 +464,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for r in found.collect():  # a row for 4,096 terms of the examples
         frequency[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], dtype="<i8")
     documents = docs.count()
-    weight = np.log(1 + documents / np.maximum(frequency[: len(terms.hashes)], 1))
-    weight[frequency[: len(weight)] > max_share * documents] = 0
-    tells = list(terms.telling.values())
-    weight[tells] = boost * np.log(1 + documents / np.maximum(frequency[tells], 1))
+    weight = np.log((documents + 1) / np.maximum(frequency[: len(terms.hashes)], 1))
+    weight[list(terms.telling.values())] *= boost
     vectors = materialize(examples.mapInArrow(_example_vectors(space), "doc long, y int, terms array<int>, tf array<int>"), "vectors")
     held = vectors.toArrow().combine_chunks().sort_by("doc")
     lists, tf = held.column("terms").combine_chunks(), held.column("tf").combine_chunks()
@@ -468,9 +486,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     numbered = spark.createDataFrame([(int(d), int(r)) for d, r in zip(held.column("doc").to_numpy(), rank, strict=True)], "doc long, row int")
     uncalibrated = share(spark, index)
     votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
-        _left_out_votes(uncalibrated), "row int, vote double"
+        _left_out_votes(uncalibrated), "row int, votes array<double>"
     )
-    index.calibrate([(r["vote"], int(index.labels[r["row"]])) for r in votes.collect()])
+    left_out = votes.toArrow().combine_chunks().sort_by("row")
+    index.choose(left_out.column("votes").combine_chunks().flatten().to_numpy().reshape(-1, len(SETTINGS)), index.labels[left_out.column("row").to_numpy()].astype(int))
     # what came of both is written or collected, nothing reads them again
     uncalibrated.destroy()
     space.destroy()

@@ -29,7 +29,7 @@ def test_every_stage_against_brute_force(spark):
                 holders.setdefault(key(x), set()).add(d)
     shared = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     cut = {d: "\n".join(x for x in t.split("\n") if shared.get(key(x), d) == d) for d, t in left.items()}
-    left = {d: t for d, t in cut.items() if t.strip(" ") or t == left[d]}
+    left = {d: t for d, t in cut.items() if t.strip(" \t\n\x0b\x0c\r") or t == left[d]}
 
     sets = {d: near_dup.shingle_set(t, 5) for d, t in left.items()}
     parent = {d: d for d in left}

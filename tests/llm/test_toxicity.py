@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.llm import toxicity
@@ -58,7 +59,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     rows = corpus(1500, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(9001, None, 0.5), (9002, "", 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 7), (None, 1), (70000, 1)], "doc_id long, toxic int")
-    index = toxicity.fit(docs, labels.where(~held_out("doc_id", 4)), max_share=1.0)
+    index = toxicity.fit(docs, labels.where(~held_out("doc_id", 4)))
     scored = toxicity.score(docs, index).withColumn("held", held_out("doc_id", 4)).collect()
     assert len(scored) == 1502 and all(0 <= r.score <= 1 for r in scored)
     truth = {i: y for i, _, y in rows}
@@ -82,7 +83,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     for w in rng_sample(sorted(idf), 40):
         at = np.flatnonzero(index.terms.hashes == toxicity.term_hashes([w])[0])
         boost = toxicity.BOOST if w in index.terms.telling else 1
-        assert len(at) < 2 and np.allclose(index.weight[at], boost * np.log(1 + 1502 / idf[w]))
+        assert len(at) < 2 and np.allclose(index.weight[at], boost * np.log(1503 / idf[w]))
     # a copy of an example has that example as its nearest
     copy = toxicity.score(docs.where("doc_id = 0").unionByName(docs.where("doc_id = 0")), index).collect()
     assert len(copy) == 2 and copy[0] == copy[1]
@@ -106,10 +107,36 @@ def test_odd_rows(spark):
     docs = [(f"d{i}", t) for i, t, _ in rows] + [("x", None), (None, rows[0][1]), ("long", long), ("d1", rows[1][1])]
     df = spark.createDataFrame(docs, "doc_id string, text string").withColumns({"score": F.lit(1), "doc": F.lit("a"), "predicted": F.lit("b")})
     labels = spark.createDataFrame([(f"d{i}", y) for i, _, y in rows], "doc_id string, toxic int")
-    index = toxicity.fit(df, labels, max_share=1.0)
+    index = toxicity.fit(df, labels)
     out = toxicity.score(df, index).collect()
     assert len(out) == len(docs) and [r.evidence for r in out if r.doc_id == "x"] == [[]]
     assert {str(r.doc_id) for r in out} == {str(d) for d, _ in docs} and all(e.startswith("d") for r in out for e in r.evidence)
     twice = [r for r in out if r.doc_id == "d1"]
     assert len(twice) == 2 and twice[0] == twice[1]
     assert toxicity.drop_toxic(df, index).columns == df.columns
+
+
+@pytest.mark.parametrize("n,vocabulary", [(30, 400), (60, 400), (400, 400), (60, 5000)])
+def test_a_copy_of_a_toxic_example_names_it_on_small_tables(spark, n, vocabulary):
+    import random
+
+    rng = random.Random(n)
+    letters = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    rows = [(i, " ".join(letters(rng.randrange(vocabulary)) for _ in range(30)), int(i % 6 == 0)) for i in range(n)]
+    copies = [(1000 + i, rows[i][1]) for i in (0, 6, 12)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + copies, "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert (index.weight[np.unique(index.terms.hashes, return_index=True)[1]] > 0).all()
+    assert all(got[1000 + i].evidence[0] == i and got[1000 + i].score == got[i].score for i in (0, 6, 12))
+
+
+def test_the_setting_of_least_left_out_loss_is_taken():
+    none = np.zeros(0, np.int64)
+    index = toxicity.Index(toxicity.Terms(none, []), np.zeros(0), none, none, none, none, none)
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400)
+    votes = rng.random((400, len(toxicity.SETTINGS)))
+    votes[:, 5] = y * 0.5 + rng.random(400) * 0.5
+    index.choose(votes, y)
+    assert index.setting == toxicity.SETTINGS[5]
