@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
-from tallyframe.llm._shared import materialize, read_table
+from tallyframe.llm._shared import BLANKS, materialize, read_table
 from tallyframe.llm.queries import held_out, vocabulary_path
 
 #: SQL can express neither the toxicity scores nor the ids; tests hold run() against brute force.
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents share stay in the largest id only; documents that lose all their text go."""
     out = line_dedup.dedup_lines(docs)
-    kept = out.where((F.col("n_dropped") == 0) | (F.trim("kept_text") != ""))
+    kept = out.where((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
     chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
     new = {"text": text, "n_chars": chars}
