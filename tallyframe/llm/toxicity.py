@@ -6,7 +6,8 @@ which leaves a word of every document next to nothing, at any size. Words and wo
 toxic examples is beyond chance weigh ``BOOST`` times as much; beginnings and repetitions are terms for that only.
 
 The inverted index keeps postings by term and block of ``BLOCK`` examples with the greatest weight of the term in the
-block. A text's nearest examples are found exactly: the blocks of highest bound are evaluated first, then all
+block. The most frequent terms stand in nearly all blocks, where such maxima say little; their weights are a small
+matrix, and their part of all cosines is one product. A text's nearest examples are found exactly: the blocks of highest bound are evaluated first, then all
 blocks whose bound is not below the worst neighbour found. Neighbours vote, weighted by a power of the cosine, and
 a monotone map fitted on the examples themselves (each left out of its own vote, in a Spark job) calibrates the
 share. The power, and the weight of the overall share beside the votes, are chosen by the same left-out votes. The index is bounded by ``max_examples`` whatever the corpus, so it is broadcast.
@@ -29,11 +30,13 @@ from tallyframe.llm._shared import materialize, release, rows_of, share, shared,
 PREFIXES = (4, 5, 6)
 MAX_EXAMPLES = 12_000
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 256
 #: Blocks of highest bound that are evaluated before the others are held against the neighbours found.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 2
 #: Texts that are looked up together.
 TOGETHER = 64
+#: Terms of at least this share of the examples, so many of them at most, are kept as rows of weights instead of postings.
+DENSE_SHARE, DENSE_TERMS = 1 / 40, 512
 OFTEN = 3
 BOOST = 8.0
 #: (power of the cosine that weighs a vote, weight of the overall share of toxic examples beside the votes) to choose from.
@@ -171,9 +174,19 @@ class Index:
         self.share = float(self.labels.mean()) if len(ids) else 0.0
         w = ((1 + np.log(tf)) * weight[at]).astype(np.float32)
         w /= np.sqrt(np.maximum(np.bincount(rows, w * w, minlength=len(ids)), 1e-300))[rows]
+        held = np.bincount(at, minlength=len(weight))
+        top = np.argsort(-held, kind="stable")[:DENSE_TERMS]
+        top = top[held[top] >= max(1, DENSE_SHARE * len(ids))]
+        #: Column of the matrix by term, -1 for terms with postings.
+        self.column = np.full(len(weight), -1, np.int16)
+        self.column[top] = np.arange(len(top))
+        dense = self.column[at] >= 0
+        small = np.uint16 if len(ids) <= 1 << 16 else np.int32
+        self.dense, self.columns = (rows[dense].astype(small), self.column[at[dense]], w[dense].astype(np.float32)), len(top)
+        rows, at, w = rows[~dense], at[~dense], w[~dense]
         order = np.lexsort((rows, at))
         rows, at, w = rows[order], at[order], w[order]
-        self.rows, self.w = rows.astype(np.uint16 if len(ids) <= 1 << 16 else np.int32), w.astype(np.float32)
+        self.rows, self.w = rows.astype(small), w.astype(np.float32)
         #: Where the postings of each term begin.
         self.start = np.searchsorted(at, np.arange(len(weight) + 1)).astype(np.int32 if len(at) < 1 << 31 else np.int64)
         self._enter()
@@ -182,6 +195,7 @@ class Index:
 
     def _enter(self) -> None:
         """Entries, a term in a block each: where its postings begin, the block, its greatest weight, and each term's first entry."""
+        self.matrix = None
         block = self.rows // BLOCK
         new = np.diff(block, prepend=-1) != 0
         new[self.start[:-1][np.diff(self.start) > 0]] = True
@@ -192,13 +206,21 @@ class Index:
         self.term_start = np.searchsorted(at, self.start).astype(self.start.dtype)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start", "matrix")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._enter()
 
-    def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fill(self) -> None:
+        """The matrix of frequent terms (row, column), where it is first looked up."""
+        if self.matrix is None:
+            rows, columns, w = self.dense
+            flat = np.zeros((self.blocks * BLOCK, self.columns), np.float32)
+            flat[rows, columns] = w
+            self.matrix = flat
+
+    def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of the texts with the examples in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
         flat = chosen.ravel()
         slot = np.cumsum(flat) - 1
@@ -209,7 +231,9 @@ class Index:
         cells = np.flatnonzero(flat)
         to = np.repeat(where, size)
         to += self.rows[posting].astype(np.int64) % BLOCK
-        return np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).reshape(-1, BLOCK), cells
+        out = np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).astype(float).reshape(-1, BLOCK)
+        out += often.reshape(-1, BLOCK)[cells]
+        return out, cells
 
     def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, row, cosine) of the ``k`` examples of greatest cosine over 0 for each text, greatest first, ties by row.
@@ -221,19 +245,24 @@ class Index:
         text, at, tf = text[some], at[some], tf[some]
         weights = (1 + np.log(tf)) * self.weight[at]
         weights /= np.sqrt(np.bincount(text, weights * weights, minlength=texts))[text]
+        if not len(at):
+            return none
+        self._fill()
+        asked, column = np.zeros((texts, self.columns), np.float32), self.column[at]
+        asked[text[column >= 0], column[column >= 0]] = weights[column >= 0]
         start, size = self.term_start[at], self.term_start[at + 1] - self.term_start[at]
         entry = _ranges(start, size)
-        if not len(entry):
-            return none
         own = np.repeat(weights.astype(np.float32), size)
         cell = np.repeat(text, size) * self.blocks + self.entry_block[entry]
         bound = np.bincount(cell, own * self.entry_most[entry], minlength=texts * self.blocks).reshape(texts, self.blocks)
+        often = asked @ self.matrix.T  # the frequent terms' part, exact for every example
+        bound = bound + often.reshape(texts, self.blocks, BLOCK).max(axis=2)
         first = min(FIRST_BLOCKS, self.blocks)
         chosen = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
         found, worst = [], np.zeros(texts)
         for turn in range(2):
-            score, cells = self._evaluate(chosen, cell, entry, own)
+            score, cells = self._evaluate(chosen, cell, entry, own, often)
             of, row = cells // self.blocks, (cells % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
             if but is not None:
                 score[row == but[of][:, None]] = 0
