@@ -220,8 +220,8 @@ class Index:
             flat[rows, columns] = w
             self.matrix = flat
 
-    def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of the texts with the examples in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
+    def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What terms with postings give to the cosines in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
         flat = chosen.ravel()
         slot = np.cumsum(flat) - 1
         some = flat[cell]
@@ -232,7 +232,6 @@ class Index:
         to = np.repeat(where, size)
         to += self.rows[posting].astype(np.int64) % BLOCK
         out = np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).astype(float).reshape(-1, BLOCK)
-        out += often.reshape(-1, BLOCK)[cells]
         return out, cells
 
     def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,14 +261,17 @@ class Index:
         np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
         found, worst = [], np.zeros(texts)
         for turn in range(2):
-            score, cells = self._evaluate(chosen, cell, entry, own, often)
+            part, cells = self._evaluate(chosen, cell, entry, own)
+            score = part + often.reshape(-1, BLOCK)[cells]
             of, row = cells // self.blocks, (cells % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
             if but is not None:
                 score[row == but[of][:, None]] = 0
             if not turn and first * BLOCK > k:
                 worst = np.partition(score.reshape(texts, -1), first * BLOCK - k, axis=1)[:, first * BLOCK - k]
             keep = (score > 0) & (score >= worst[of][:, None] - 1e-5)
-            found.append((np.repeat(of, keep.sum(axis=1)), row[keep], score[keep]))
+            whose, which = np.repeat(of, keep.sum(axis=1)), row[keep]
+            # the product's rounding depends on the company of a text; those found are summed again one by one
+            found.append((whose, which, part[keep] + np.einsum("ij,ij->i", asked[whose], self.matrix[which])))
             # blocks below the worst neighbour found (less the rounding of sums) hold none
             chosen = ~chosen & (bound >= worst[:, None] - 1e-5) & (bound > 0)
             if turn or not chosen.any():
