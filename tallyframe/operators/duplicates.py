@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.operators.quantiles import same
 from tallyframe.operators.splits import ranked
@@ -66,10 +67,10 @@ def duplicate_report(df: DataFrame, key: str, hashes: Sequence[str], split: str
     """One row for each hash that two rows share: type, hash, count, splits, members and the leakage flags.
 
     Counts and flags are sums, so a hash that a third of all rows hold costs a row for each task. The member list names every
-    member; ``max_members`` limits it to the smallest ids, for display. ``duplicate_members`` gives the members as rows.
+    member; ``max_members`` (1 or more) limits it to the smallest ids, for display, beside the whole count.
+    ``duplicate_members`` gives all members as rows and gathers nothing, however large a bucket is.
     """
     long = _by_hash(df, hashes, F.col(key).alias("member"), F.col(split).alias("split"))
-    cut = (lambda x: x) if max_members is None else (lambda x: F.slice(x, 1, max_members))
     has = lambda *names: F.max(F.col("split").isin(*names))
     shared = long.groupBy("duplicate_type", "hash").agg(
         F.count("*").alias("count"), F.sort_array(F.collect_set("split")).alias("splits"),
@@ -78,10 +79,13 @@ def duplicate_report(df: DataFrame, key: str, hashes: Sequence[str], split: str
     ).where("count > 1")
     # the ids of every bucket, spread over salts first
     member = long.join(shared.select("duplicate_type", "hash"), ["duplicate_type", "hash"])
-    salted = member.groupBy("duplicate_type", "hash", F.pmod(F.xxhash64("member"), F.lit(64)).alias("salt")).agg(
-        cut(F.sort_array(F.collect_list("member"))).alias("some")
-    )
-    members = salted.groupBy("duplicate_type", "hash").agg(cut(F.sort_array(F.flatten(F.collect_list("some")))).alias("members"))
+    if max_members is None:
+        salted = member.groupBy("duplicate_type", "hash", F.pmod(F.xxhash64("member"), F.lit(64)).alias("salt")).agg(F.sort_array(F.collect_list("member")).alias("some"))
+        members = salted.groupBy("duplicate_type", "hash").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("members"))
+    else:  # each task keeps its smallest ids before the shuffle, so no bucket is gathered
+        place = F.row_number().over(Window.partitionBy("duplicate_type", "hash").orderBy("member"))
+        few = member.withColumn("_place", place).where(F.col("_place") <= max_members)
+        members = few.groupBy("duplicate_type", "hash").agg(F.sort_array(F.collect_list("member")).alias("members"))
     return shared.join(members, ["duplicate_type", "hash"]).select(
         "duplicate_type", "hash", "count", "splits", "members", "train_members",
         (F.col("_t") & F.col("_v")).alias("train_val_leakage_risk"), (F.col("_any") & F.col("_x")).alias("train_test_leakage_risk"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.functions.columns import binarize
+from tallyframe.functions.columns import binarize, sigmoid
+from tallyframe.operators.curves import score_table
 from tallyframe.operators.metrics import binary_metrics, metric_columns, threshold_bucket
 from tallyframe.operators.quantiles import quantiles, same
 from tallyframe.sources.tables import materialize
@@ -199,34 +201,124 @@ def score_drift(a: DataFrame, b: DataFrame, key: str = "sample_id") -> DataFrame
 
 
 class Stacker:
-    """Logistic regression over standardised model probabilities, penalty as 1 / (C n), unpenalised intercept."""
+    """Logistic regression over standardised model probabilities; ``loss`` is the penalised one after ``rounds`` rounds."""
 
-    def __init__(self, models, means, stds, model):
-        self.models, self.means, self.stds, self.model = models, means, stds, model
-        self.coefficients, self.intercept = model.coefficients.toArray().tolist(), model.intercept
+    def __init__(self, models: Sequence, means: Sequence[float], stds: Sequence[float], weights: Sequence[float], rounds: int, loss: float):
+        self.models, self.means, self.stds, self.rounds, self.loss = list(models), list(means), list(stds), rounds, loss
+        self.coefficients, self.intercept = list(weights[:-1]), weights[-1]
 
-    def _features(self, wide: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
+    def transform(self, wide: DataFrame) -> DataFrame:
+        """``wide`` with prob, a plain expression; null where a model's value is null."""
+        return wide.withColumn("prob", sigmoid(_linear(_standard(self.models, self.means, self.stds), [*self.coefficients, self.intercept])))
 
-        scaled = wide.withColumns({f"_z{i}": (F.col(f"m_{m}") - self.means[i]) / self.stds[i] for i, m in enumerate(self.models)})
-        return VectorAssembler(inputCols=[f"_z{i}" for i in range(len(self.models))], outputCol="_features").transform(scaled)
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(term, value): a row a model, and the intercept."""
+        rows = [(f"m_{m}", c) for m, c in zip(self.models, self.coefficients)]
+        return spark.createDataFrame([*rows, ("intercept", self.intercept)], "term string, value double")
+
+
+def _standard(models: Sequence, means: Sequence[float], stds: Sequence[float]) -> list[Column]:
+    return [(F.col(f"m_{m}") - mean) / std for m, mean, std in zip(models, means, stds)] + [F.lit(1.0)]
 
-    def transform(self, wide: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
 
-        keep = [c for c in wide.columns]
-        return self.model.transform(self._features(wide)).select(*keep, vector_to_array("probability")[1].alias("prob"))
+def _linear(x: Sequence[Column], w: Sequence[float]) -> Column:
+    return reduce(lambda a, b: a + b, (F.lit(float(v)) * c for v, c in zip(w, x)))
 
 
-def fit_stacker(wide: DataFrame, models: Sequence, C: float = 0.5) -> Stacker:  # noqa: N803
-    from pyspark.ml.classification import LogisticRegression
+def fit_stacker(wide: DataFrame, models: Sequence, C: float = 0.5, max_rounds: int = 50, tol: float = 1e-10) -> Stacker:  # noqa: N803
+    """Least sum of log losses plus half the squared coefficients over ``C``; the intercept is not penalised.
 
-    row = wide.agg(F.count("*"), *(f(f"m_{m}") for m in models for f in (F.avg, F.stddev_pop))).first()
-    means, stds = list(row[1::2]), [s or 1.0 for s in row[2::2]]
-    shell = Stacker.__new__(Stacker)
-    shell.models, shell.means, shell.stds = list(models), means, stds
-    lr = LogisticRegression(featuresCol="_features", labelCol="label", regParam=1 / (C * row[0]), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=1000)
-    return Stacker(list(models), means, stds, lr.fit(shell._features(wide)))
+    Newton's method. A round is one aggregation of the loss, the gradient and the upper half of the second derivatives,
+    (d + 1)(d + 4) / 2 + 1 sums for d models; only those come to the driver. A step that raises the loss is halved. Rows with
+    a null value or a label besides 0 and 1 are left out; a table without both classes raises, a constant column keeps
+    coefficient 0.
+    """
+    whole = reduce(lambda a, m: a & F.col(f"m_{m}").isNotNull(), models, F.col("label").isin(0, 1))
+    used = materialize(wide.where(whole).select("label", *(F.col(f"m_{m}").cast("double").alias(f"m_{m}") for m in models)), "stacker")
+    row = used.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), *(f(f"m_{m}") for m in models for f in (F.avg, F.stddev_pop))).first()
+    if not row[0] or not row[1]:
+        raise ValueError("a stacker needs rows of both classes")
+    means, stds = list(row[2::2]), [v or 1.0 for v in row[3::2]]
+    d = len(models)
+    x, penalty = _standard(models, means, stds), np.diag([1.0 / C] * d + [0.0])
+    upper = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z, y = _linear(x, w), F.col("label")
+        p = sigmoid(F.col("_z"))
+        loss = F.greatest(F.col("_z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - y * F.col("_z")
+        rows = used.withColumn("_z", z).withColumns({"_p": p, "_l": loss})
+        got = rows.agg(F.sum("_l"), *(F.sum((F.col("_p") - y) * c) for c in x), *(F.sum(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]) for i, j in upper)).first()
+        second = np.zeros((d + 1, d + 1))
+        for (i, j), v in zip(upper, got[d + 2 :]):
+            second[i, j] = second[j, i] = v
+        return got[0] + 0.5 * w @ penalty @ w, np.array(got[1 : d + 2]) + penalty @ w, second + penalty
+
+    w = np.zeros(d + 1)
+    loss, gradient, second = sums(w)
+    for done in range(1, max_rounds + 1):
+        step = np.linalg.lstsq(second, gradient, rcond=None)[0]
+        near = sums(w - step)
+        while near[0] > loss * (1 + 1e-12) and np.abs(step).max() > tol:
+            step = step / 2
+            near = sums(w - step)
+        w, (loss, gradient, second) = w - step, near
+        if np.abs(step).max() <= tol * max(1.0, np.abs(w).max()):
+            return Stacker(models, means, stds, w.tolist(), done, loss)
+    raise RuntimeError(f"the stacker did not settle in {max_rounds} rounds")
+
+
+def line_search(wide: DataFrame, weights: dict, models: Sequence, cut: float) -> DataFrame:
+    """The best place on each line of the simplex through ``weights``, one line a model: model, t_lo, t_hi, right, start_right.
+
+    On the line of model m its share t runs from 0 to 1 and the others share 1 - t as they do in ``weights`` (alike, where m
+    has all). At the threshold ``cut``, in the units of the values, a sample changes sides at one t at most, so the samples
+    judged rightly are counted exactly by one running sum over the sorted crossings, which stand in range partitions.
+    ``right`` samples are right all over the open interval (t_lo, t_hi), the first of the best; ``start_right`` at ``weights``.
+    Rows with a null value or label are left out; without rows there is no line.
+    """
+    spark, total = wide.sparkSession, sum(weights[m] for m in models)
+    whole = reduce(lambda a, m: a & F.col(f"m_{m}").isNotNull(), models, F.col("label").isin(0, 1))
+    at_start = reduce(lambda a, b: a + b, (F.col(f"m_{m}") * weights[m] for m in models)) >= cut * total
+    lines = []
+    for m in models:
+        rest = {o: weights[o] for o in models if o != m}
+        if not sum(rest.values()):
+            rest = dict.fromkeys(rest, 1)
+        share, others = sum(rest.values()), reduce(lambda a, b: a + b, (F.col(f"m_{o}") * w for o, w in rest.items()))
+        lines.append(F.struct(F.lit(str(m)).alias("model"), (F.lit(cut * share) - others).alias("num"), (F.col(f"m_{m}") * share - others).alias("den")))
+    crossed = wide.where(whole).select("label", at_start.alias("_s"), F.explode(F.array(*lines)).alias("x")).select("label", "_s", "x.*")
+    truth, after = F.col("label") == 1, (F.col("num") < 0) | ((F.col("num") == 0) & (F.col("den") >= 0))
+    base = materialize(crossed.groupBy("model").agg(F.count_if(truth == after).alias("base"), F.count_if(truth == F.col("_s")).alias("start_right")), "line-starts")
+    events = crossed.where("den <> 0").select("model", (-(F.col("num").cast("double") / F.col("den"))).alias("score"), (truth == (F.col("den") > 0)).cast("int").alias("label"))
+    sums = score_table(events.where("score < 0 AND score > -1"), ["model"], "score")
+    gained = F.col("pos_above") + F.col("pos") - F.col("neg_above") - F.col("neg")
+    cells = sums.join(F.broadcast(base), "model").select("model", (-F.col("score")).alias("t"), (F.col("base") + gained).alias("right"))
+    cells = cells.union(base.select("model", F.lit(0.0), "base"))
+    best = cells.groupBy("model").agg(F.max(F.struct("right", (-F.col("t")).alias("u"))).alias("b")).select("model", F.abs("b.u").alias("t_lo"), "b.right")
+    best = F.broadcast(materialize(best, "line-best"))  # a row a model
+    ends = cells.select("model", "t").join(best.select("model", "t_lo"), "model").where("t > t_lo").groupBy("model").agg(F.min("t").alias("t_hi"))
+    return best.join(ends, "model", "left").join(base, "model").select("model", "t_lo", F.coalesce("t_hi", F.lit(1.0)).alias("t_hi"), "right", "start_right")
+
+
+def line_refine(wide: DataFrame, weights: dict, models: Sequence, cut: float, rounds: int = 10) -> tuple[dict, int]:
+    """(weights that add up to 1, samples right there): line after line from ``weights``, until no line is better.
+
+    Never worse than the start. Each round searches the lines of all models in one pass and goes to the middle of the best
+    interval; the driver sees a row a model.
+    """
+    now, right = {m: float(weights[m]) / sum(weights.values()) for m in models}, None
+    wide = materialize(wide, "lines")
+    for _ in range(rounds):
+        rows = line_search(wide, weights, models, cut).collect()
+        right = max((r.start_right for r in rows), default=0)
+        better = sorted((r for r in rows if r.right > right), key=lambda r: (-r.right, -(r.t_hi - r.t_lo), r.model))
+        if not better:
+            break
+        m = next(x for x in models if str(x) == better[0].model)
+        t, rest = (better[0].t_lo + better[0].t_hi) / 2, sum(now[o] for o in models if o != m)
+        weights = now = {o: t if o == m else (1 - t) * (now[o] / rest if rest else 1 / (len(models) - 1)) for o in models}
+    return now, right or 0
 
 
 def fold_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:

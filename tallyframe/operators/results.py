@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import binarize, error_type, log_loss
 from tallyframe.operators.quantiles import same
-from tallyframe.sources.tables import materialize
+from tallyframe.sources.tables import copy_bytes, materialize
 
 
 # -- predictions and errors ------------------------------------------------------------------------
@@ -213,10 +213,13 @@ def leaderboard(runs: DataFrame, order: Sequence[Column], n: int | None = None)
 
 
 def promote(board: DataFrame, source: str, target: str) -> str:
-    """Copy the first run's file of ``board`` (column ``source``) to ``target`` with Spark, and give its path."""
-    path = board.select(source).first()[0]
-    board.sparkSession.read.text(path).write.mode("overwrite").text(target)
-    return path
+    """Copy the file or folder that the first run of ``board`` names in column ``source`` to ``target``, byte by byte, and give
+    its path. ``target`` is replaced by one rename; a board without rows raises."""
+    first = board.select(source).first()
+    if first is None:
+        raise ValueError("no run to promote")
+    copy_bytes(board.sparkSession, first[0], target)
+    return first[0]
 
 
 # -- audit ---------------------------------------------------------------------------------------------

@@ -309,13 +309,6 @@ def score_drift(spark, sf):
     return rounded(ensemble.score_drift(v.where("model = 0"), v.where("model = 1")), "max_drift", "mean_drift")
 
 
-@query()
-def stacking_logistic(spark, sf):
-    """Out-of-sample probabilities of the logistic stacker; tested against Newton's method on the same objective."""
-    wide = ensemble.pivot_models(X.views(spark, sf).withColumn("p", F.col("prob")), X.MODELS, value="p")
-    return ensemble.fit_stacker(wide, X.MODELS).transform(wide).select("sample_id", "label", F.round("prob", 6).alias("prob"))
-
-
 # -- duplicates and groups -------------------------------------------------------------------------
 
 _LONG = """kinds AS (SELECT node, label, pool, 'exact_sha256' AS duplicate_type, exact_sha256 AS hash FROM nodes UNION ALL SELECT node, label, pool, 'ahash64', ahash64 FROM nodes
@@ -575,8 +568,15 @@ def _template(spark, sf):
     return splits.ranked(X.samples(spark, sf).select("sample_id").withColumn("_one", F.lit(0)), ["_one"], "sample_id", "row_idx").select("row_idx", "sample_id", F.lit(0).alias("label"))
 
 
-@query(f"""WITH {_BLEND} SELECT CAST(sum(CASE WHEN sample_id % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, 1::BIGINT AS extra, 0::BIGINT AS misplaced, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 = 0) AS nulls,
-count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND (sample_id % 83 = 0 OR sample_id % 73 = 0)) AS out_of_domain, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 79 = 0) AS repeated, 0::BIGINT AS wrong_columns, count(*) FILTER (WHERE sample_id % 97 <> 0 AND sample_id % 89 <> 0 AND sample_id % 83 <> 0 AND sample_id % 73 = 0) AS fractional, false AS valid FROM b""")
+@query(f"""WITH {_BLEND}, tpl AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS row_idx FROM b),
+kept AS (SELECT row_idx, sample_id, CASE WHEN sample_id % 89 = 0 THEN NULL WHEN sample_id % 83 = 0 THEN 2.0::DOUBLE WHEN sample_id % 73 = 0 THEN 0.5::DOUBLE WHEN s12 >= 4800000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label
+  FROM b JOIN tpl USING (sample_id) WHERE sample_id % 97 <> 0),
+sub AS (SELECT * FROM kept UNION ALL SELECT row_idx, sample_id, 1.0 FROM kept WHERE sample_id % 79 = 0 UNION ALL (SELECT -1, -1, 1.0 FROM kept LIMIT 1)),
+met AS (SELECT t.row_idx AS ti, t.sample_id AS tk, s.row_idx AS si, s.sample_id AS sk, s.label FROM tpl t FULL JOIN sub s ON t.sample_id = s.sample_id),
+n AS (SELECT count(*) FILTER (WHERE sk IS NULL) AS missing, count(*) FILTER (WHERE tk IS NULL) AS extra, count(*) FILTER (WHERE ti <> si) AS misplaced, count(*) FILTER (WHERE sk IS NOT NULL AND label IS NULL) AS nulls,
+  count(*) FILTER (WHERE label NOT IN (0, 1)) AS out_of_domain, count(*) FILTER (WHERE label <> floor(label)) AS fractional,
+  (SELECT count(*) FROM (SELECT sample_id FROM sub GROUP BY sample_id HAVING count(*) > 1)) AS repeated, 0::BIGINT AS wrong_columns FROM met)
+SELECT *, missing + extra + misplaced + nulls + out_of_domain + repeated + fractional + wrong_columns = 0 AS valid FROM n""")
 def submission_validation(spark, sf):
     """Violations of a result file with planted faults: ids left out, repeated, invented; null, fractional and foreign values."""
     sub = results.submission(_template(spark, sf), _blended(spark, sf)).where("sample_id % 97 <> 0")

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.functions.columns import file_suffix
 from tallyframe.operators.quantiles import same
+from tallyframe.sources.tables import file_index
 
 # executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,6 +31,11 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return images.select(F.col("image.origin").alias("path"), "image")
 
 
+def file_facts(spark: SparkSession, root: str) -> DataFrame:
+    """path, file_size, suffix (lower case, with its dot) of all files below ``root``; contents are not read."""
+    return file_index(spark, root).select("path", F.col("length").alias("file_size"), file_suffix(F.col("base_name")).alias("suffix"))
+
+
 def gray(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     """Rows by columns of luma; colour data is blue, green, red (, alpha)."""
     px = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).astype(np.float64)
@@ -63,6 +70,14 @@ def image_metadata(images: DataFrame, keys: Sequence[str] = ("path",), border: f
     return flat.mapInPandas(run, f"{schema}, {_STATS}")
 
 
+def describe_files(spark: SparkSession, root: str, border: float = 0.05, corner: float = 0.12) -> DataFrame:
+    """Size and suffix of every file below ``root`` with its gray statistics; a file that is no image stays, with readable false."""
+    stats = image_metadata(read_images(spark, root), border=border, corner=corner)
+    same_path = lambda df: df.withColumn("_at", F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))
+    both = same_path(file_facts(spark, root)).join(same_path(stats).drop("path"), "_at", "left").drop("_at")
+    return both.withColumn("readable", F.coalesce("readable", F.lit(False)))
+
+
 def _kernel(size: int, out: int) -> np.ndarray:
     """Lanczos-3 weights (out, size), widened when shrinking, as separable resizing has them."""
     scale = size / out

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Names under which prediction tables keep their columns, by precedence.
 ID_NAMES = ("image_id", "file_name", "id", "sample_id")
@@ -27,11 +28,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once in the shared folder and read it back: cuts lineage, and fixes which partition a row came from."""
-    path = f"{scratch_dir(df.sparkSession)}/tallyframe-{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder."""
+    return f"{scratch_dir(spark)}/tallyframe-{tag}-{uuid.uuid4().hex}"
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -121,3 +127,37 @@ def write_submissions(sub: DataFrame, path: str, template_path: str | None = Non
         if source == target or source.startswith(target + "/"):
             raise ValueError("the output would overwrite the template")
     sub.repartitionByRange("threshold_milli", "row_idx").sortWithinPartitions("threshold_milli", "row_idx").write.mode("overwrite").partitionBy("threshold_milli").csv(path, header=True)
+
+
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Parquet whose rows, by part number and place in the part, are in the order of ``keys``; one sort over all tasks."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """The rows of ``write_ordered`` with their place from 0, taken from part numbers and row indexes, not from any column."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("int")
+    n = rows.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))  # a row a file
+    before = Window.partitionBy("_all").orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = n.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn(position, F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
+
+
+def copy_bytes(spark: SparkSession, source: str, target: str) -> None:
+    """A byte-exact copy of a file or folder. It is streamed to a hidden name beside the target and renamed when whole, so a
+    reader meets the old target, none, or the whole new one. A target that is, holds or lies in the source is refused."""
+    (fs, a), (out, b) = _fs(spark, source), _fs(spark, target)
+    names = [x.makeQualified(p).toString().rstrip("/") + "/" for x, p in ((fs, a), (out, b))]
+    if not fs.exists(a):
+        raise FileNotFoundError(source)
+    if names[0].startswith(names[1]) or names[1].startswith(names[0]):
+        raise ValueError("the copy would overwrite its source")
+    jvm = spark.sparkContext._jvm
+    hidden = jvm.org.apache.hadoop.fs.Path(b.getParent(), f".{b.getName()}-{uuid.uuid4().hex}")
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, out, hidden, False, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} was not copied")
+    if out.exists(b):
+        out.delete(b, True)
+    if not out.rename(hidden, b):
+        raise OSError(f"{target} was not written")

@@ -126,14 +126,104 @@ def test_stacker_equals_newton(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
     y = (x @ [2.0, 1.0, -1.0] + rng.normal(0, 0.5, 400) > 1).astype(int)
-    wide = spark.createDataFrame([(int(i), int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y))], "sample_id long, label int, m_0 double, m_1 double, m_2 double")
+    rows = [(int(i), int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y))]
+    odd = [(900, 1, None, 0.5, 0.5), (901, None, 0.1, 0.2, 0.3), (902, 7, 0.1, 0.2, 0.3)]
+    wide = spark.createDataFrame(rows + odd, "sample_id long, label int, m_0 double, m_1 double, m_2 double").withColumn("_z", F.lit("own"))
     got = ensemble.fit_stacker(wide, (0, 1, 2))
     z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(400)])
     w, penalty = np.zeros(4), np.diag([1 / 0.5] * 3 + [0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-z @ w))
         w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (p - y) + penalty @ w)
-    assert np.allclose([*got.coefficients, got.intercept], w, atol=1e-4)
+    assert np.allclose([*got.coefficients, got.intercept], w, atol=1e-8) and got.rounds < 15
+    out = {r.sample_id: r.prob for r in got.transform(wide).collect()}
+    assert len(out) == 403 and out[900] is None and np.allclose([out[i] for i in range(400)], 1 / (1 + np.exp(-z @ w)), atol=1e-8)
+    assert [r.term for r in got.table(spark).collect()] == ["m_0", "m_1", "m_2", "intercept"]
+
+
+def test_stacker_on_odd_tables(spark):
+    schema = "sample_id long, label int, m_0 double, m_1 double"
+    for rows in ([], [(1, 1, 0.5, 0.5), (2, 1, 0.25, 0.5)]):
+        with pytest.raises(ValueError, match="both classes"):
+            ensemble.fit_stacker(spark.createDataFrame(rows, schema), (0, 1))
+    # classes apart, a constant column, copies of every row
+    rows = [(i, int(i > 5), 0.001 * i if i <= 5 else 1 - 0.001 * i, 0.5) for i in range(12)] * 2
+    got = ensemble.fit_stacker(spark.createDataFrame(rows, schema), (0, 1), C=1000.0)
+    assert abs(got.coefficients[1]) < 1e-9 and got.coefficients[0] > 3
+
+
+def test_line_search_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    n = 200
+    m, y = rng.integers(0, 50, (n, 3)), rng.integers(0, 2, n)
+    schema = "sample_id long, label int, m_0 long, m_1 long, m_2 long"
+    odd = [(n, 1, None, 1, 1), (n + 1, None, 1, 1, 1)]
+    wide = spark.createDataFrame([(i, int(y[i]), *map(int, m[i])) for i in range(n)] + odd, schema).withColumn("t", F.lit("own"))
+    for weights in ({0: 3, 1: 5, 2: 2}, {0: 0, 1: 10, 2: 0}):
+        cut, total = 24, sum(weights.values())
+        right = lambda share, cut=cut: int(((m @ share >= cut) == (y == 1)).sum())
+        rows = {r.model: r for r in ensemble.line_search(wide, weights, (0, 1, 2), cut).collect()}
+        assert set(rows) == {"0", "1", "2"}
+        for k in range(3):
+            rest = np.array([0.0 if o == k else weights[o] for o in range(3)])
+            if not rest.sum():
+                rest = np.array([0.0 if o == k else 1.0 for o in range(3)])
+            rest /= rest.sum()
+            at = lambda t, rest=rest, k=k: (1 - t) * rest + t * np.eye(3)[k]
+            a, b = m @ rest, m[:, k]
+            ts = sorted({0.0, 1.0, *(float(t) for t in (cut - a[a != b]) / (b[a != b] - a[a != b]) if 0 < t < 1)})
+            ts = [t for i, t in enumerate(ts) if i == 0 or t - ts[i - 1] > 1e-12]
+            best = max(right(at((lo + hi) / 2)) for lo, hi in zip(ts, ts[1:]))
+            r = rows[str(k)]
+            assert r.right == best == right(at((r.t_lo + r.t_hi) / 2))
+            assert r.start_right == int(((m @ [weights[o] for o in range(3)] >= cut * total) == (y == 1)).sum())
+        found, most = ensemble.line_refine(wide, weights, (0, 1, 2), cut)
+        assert most >= max(rows["0"].start_right, *(r.right for r in rows.values())) and sum(found.values()) == pytest.approx(1)
+        assert right(np.array([found[o] for o in range(3)])) == most
+    assert ensemble.line_search(spark.createDataFrame([], schema), {0: 1, 1: 1, 2: 1}, (0, 1, 2), 5).count() == 0
+
+
+def test_ordered_files_prove_their_order(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("text"))
+    tables.write_ordered(df, f"{tmp_path}/o", ["k"])
+    back = tables.read_ordered(spark, f"{tmp_path}/o")
+    assert back.columns == ["k", "text", "position"] and back.count() == 5000 and back.where("k <> position").count() == 0
+    tables.write_ordered(df.limit(0), f"{tmp_path}/none", ["k"])
+    assert tables.read_ordered(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_copies_are_exact_and_whole(spark, tmp_path):
+    import os
+
+    data = os.urandom(300_000)
+    for place in ("run/a.bin", "run/deep/b.bin"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(data + place.encode())
+    (tmp_path / "best").mkdir()
+    (tmp_path / "best/old.bin").write_bytes(b"old")
+    board = spark.createDataFrame([(f"{tmp_path}/run",)], "path string")
+    assert results.promote(board, "path", f"{tmp_path}/best") == f"{tmp_path}/run"
+    assert (tmp_path / "best/deep/b.bin").read_bytes() == data + b"run/deep/b.bin" and (tmp_path / "best/a.bin").read_bytes() == data + b"run/a.bin"
+    assert not (tmp_path / "best/old.bin").exists() and not [x for x in os.listdir(tmp_path) if x.startswith(".best-")]
+    results.promote(spark.createDataFrame([(f"{tmp_path}/run/a.bin",)], "path string"), "path", f"{tmp_path}/one.bin")
+    assert (tmp_path / "one.bin").read_bytes() == data + b"run/a.bin"
+    for target in ("run", "run/inside", ""):
+        with pytest.raises(ValueError, match="overwrite"):
+            results.promote(board, "path", f"{tmp_path}/{target}")
+    with pytest.raises(ValueError, match="no run"):
+        results.promote(board.limit(0), "path", f"{tmp_path}/x")
+    with pytest.raises(FileNotFoundError):
+        tables.copy_bytes(spark, f"{tmp_path}/gone", f"{tmp_path}/x")
+
+
+def test_files_with_size_suffix_and_statistics(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/A.PNG").write_bytes(png(np.full((4, 6), 9)))
+    (tmp_path / "notes.txt").write_text("no image")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.describe_files(spark, str(tmp_path)).collect()}
+    a, b = rows["A.PNG"], rows["notes.txt"]
+    assert (a.suffix, a.width, a.height, a.mean, a.readable) == (".png", 6, 4, 9.0, True) and a.file_size == (tmp_path / "deep/A.PNG").stat().st_size
+    assert (b.suffix, b.file_size, b.width, b.readable) == (".txt", 8, None, False)
 
 
 def test_template_alignment_raises(spark):

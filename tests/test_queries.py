@@ -6,7 +6,7 @@ import sys
 import duckdb
 import pytest
 
-from tallyframe.plans import joins_and_columns, registry  # noqa: F401
+from tallyframe.plans import files_and_fits, joins_and_columns, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,6 +23,8 @@ def duck():
 @pytest.mark.parametrize("name", ["threshold_sweep", "auroc_by_model", "grid_search_best", "duplicate_report", "duplicate_components", "strict_groups", "stratified_group_kfold", "fold_scores", "submission_validation", "early_stopping_replay",
     "grid_search_f1", "operating_points", "top_cases", "split_faults", "risk_checklist", "image_metadata", "numbered_groups", "train_evidence", "best_weights_applied",
     "mapping_check", "last_by_key", "distinct_by_key", "auto_holdout", "pseudo_union", "class_report_by_model", "logit_columns", "attached_metadata", "sampled_grid_by_label",
+    "stacking_logistic", "stacker_coefficients", "weight_line_search", "indexed_files", "discovered_predictions", "logs_read_back", "ordered_submission",
+    "promoted_submission", "duplicate_members", "duplicate_display", "image_numbers_by_label",
 ])
 def test_query_equals_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
