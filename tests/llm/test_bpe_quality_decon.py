@@ -151,7 +151,7 @@ def test_contamination_blocks_and_broadcast_agree(spark):
         return sorted(map(tuple, out.collect()))
 
     one = rows()
-    assert one == rows(max_words=20)
+    assert one == rows(max_bytes=500)  # a dozen blocks
     assert len(one) == len(docs) + 2
     for doc, n_words, n_hit, found, _ in one:
         words = [w.decode() for w in decontaminate.words_of((dict(docs)[doc] or "").encode())]
@@ -179,3 +179,45 @@ def test_removal_of_documents_and_spans(spark):
     assert spans == {1: "clean text", 2: "Before. ! After", 3: None}
     assert decontaminate.decontaminate(docs, b.limit(0)).count() == 3
     assert decontaminate.decontaminate(docs.limit(0), b).columns == docs.columns
+
+
+def test_contamination_of_long_texts_text_ids_and_odd_tables(spark):
+    rng = random.Random(3)
+    item = " ".join(f"q{i}" for i in range(13))
+    filler = " ".join(f"w{rng.randrange(50)}" for _ in range(400_000))
+    long_word = "z" * 1_200_000
+    texts = {
+        "a": f"{filler} {item.upper()} {filler}", "b": f"{long_word} {item} {long_word}", "c": None, "d": "", "e": " ".join(item.split()[:12]),
+        "f": f"{item} {item}", "g": " ".join(item.split()[:6]) + " x " + " ".join(item.split()[6:]), "h": "q\u00e9 q0",
+    }
+    docs = spark.createDataFrame([(k, t, "own") for k, t in texts.items()] + [("f", texts["f"], "own"), (None, item, "own")], "doc_id string, text string, items string")
+    b = spark.createDataFrame([("i1", item, 1), ("i2", item, 1), ("i3", "Q\u00e9", 1), ("i1", item, 1), (None, item, 1), ("i4", None, 1)], "item_id string, text string, n_words long")
+    rows = decontaminate.contamination(docs, b).collect()
+    got = sorted((r.doc_id or "", r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in rows)
+    both = ("i1", "i2")
+    assert got == sorted([
+        ("a", 800_013, 13, both, False), ("b", 15, 13, both, True), ("c", 0, 0, (), False), ("d", 0, 0, (), False), ("e", 12, 0, (), False), ("f", 26, 26, both, True),
+        ("f", 26, 26, both, True), ("g", 14, 0, (), False), ("h", 2, 1, ("i3",), True), ("", 13, 13, both, True),
+    ])
+    assert decontaminate.contamination(docs, b.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
+    assert decontaminate.contamination(docs.limit(0), b).count() == 0
+    kept = decontaminate.decontaminate(docs, b)
+    assert kept.columns == docs.columns and sorted(r.doc_id or "" for r in kept.collect()) == ["a", "c", "d", "e", "g"]
+
+
+def test_windows_take_bounded_memory():
+    import pickle
+
+    rng = random.Random(4)
+    text = b" ".join(b"w%d" % rng.randrange(100_000) for _ in range(200_000))
+    windows = decontaminate.TestWindows([(1, text)], 13)
+    assert len(pickle.dumps(windows)) <= len(text) + decontaminate.WINDOW_BYTES * 200_000 + 10_000
+
+
+def test_word_hashes_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    text = b" ".join([b"ab", b"c" * 50, b"", b"d", b"ab"] * 40)
+    whole = decontaminate.word_hashes(text)
+    monkeypatch.setattr(decontaminate, "_STEP", 16)
+    for a, b in zip(whole, decontaminate.word_hashes(text)):
+        assert a.tolist() == b.tolist()
+    assert [text[a:b] for a, b in zip(*whole[1:])] == text.split(b" ")
