@@ -43,12 +43,16 @@ BOOST = 8.0
 SETTINGS = tuple((p, q) for p in (1, 2, 3, 4) for q in (0.1, 0.25, 1.0))
 THRESHOLD = 0.3
 _MANY = "+"
-_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Lower-case letters for letters, blanks for all other bytes.
+_ASCII_LETTERS = bytes(ord(chr(i).lower()) if chr(i).isascii() and chr(i).isalpha() else 32 for i in range(256))
 
 
 def words_of(text: str) -> list[str]:
-    low = text.lower()
-    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+    """Lower-cased runs of letters."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_LETTERS).decode().split()
+    return _WORD.findall(text.lower())
 
 
 def beginnings(word: str) -> list[str]:
@@ -197,6 +201,7 @@ class Index:
         """Entries, a term in a block each: where its postings begin, the block, its greatest weight, and each term's first entry."""
         self.matrix = None
         block = self.rows // BLOCK
+        self.within = (self.rows % BLOCK).astype(np.uint8 if BLOCK <= 256 else np.int16)
         new = np.diff(block, prepend=-1) != 0
         new[self.start[:-1][np.diff(self.start) > 0]] = True
         at = np.flatnonzero(new)
@@ -206,7 +211,7 @@ class Index:
         self.term_start = np.searchsorted(at, self.start).astype(self.start.dtype)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start", "matrix")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start", "within", "matrix")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -230,8 +235,8 @@ class Index:
         posting = _ranges(self.entry_start[e], size)
         cells = np.flatnonzero(flat)
         to = np.repeat(where, size)
-        to += self.rows[posting].astype(np.int64) % BLOCK
-        out = np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).astype(float).reshape(-1, BLOCK)
+        to += self.within[posting]
+        out = np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).reshape(-1, BLOCK)
         return out, cells
 
     def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,14 +275,21 @@ class Index:
                 worst = np.partition(score.reshape(texts, -1), first * BLOCK - k, axis=1)[:, first * BLOCK - k]
             keep = (score > 0) & (score >= worst[of][:, None] - 1e-5)
             whose, which = np.repeat(of, keep.sum(axis=1)), row[keep]
-            # the product's rounding depends on the company of a text; those found are summed again one by one
-            found.append((whose, which, part[keep] + np.einsum("ij,ij->i", asked[whose], self.matrix[which])))
+            found.append((whose, which, part[keep], score[keep]))
             # blocks below the worst neighbour found (less the rounding of sums) hold none
             chosen = ~chosen & (bound >= worst[:, None] - 1e-5) & (bound > 0)
             if turn or not chosen.any():
                 break
-        of, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        score = np.round(score, 6)
+        of, row, part, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-score, of))
+        of, row, part, score = of[order], row[order], part[order], score[order]
+        # the product's rounding depends on the company of a text; those that may be among the first k are summed again one by one
+        begin, size = np.searchsorted(of, np.arange(texts)), np.bincount(of, minlength=texts)
+        least = np.full(texts, -np.inf)
+        least[size > k] = score[begin[size > k] + k - 1] - 2e-5
+        near = score >= least[of]
+        of, row = of[near], row[near]
+        score = np.round(part[near] + np.einsum("ij,ij->i", asked[of], self.matrix[row]), 6)
         order = np.lexsort((row, -score, of))
         of, row, score = of[order], row[order], score[order]
         place = np.arange(len(of)) - np.searchsorted(of, of)
