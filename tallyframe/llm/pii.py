@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns give the base spans. The field is trained here, in numpy, on the small labelled table below; it
-reads word-shape features of a word and its neighbours and is decoded by Viterbi in batches. It runs over
-the neighbourhoods of words that hold a digit, ``@`` or ``+`` (``REACH`` words to both sides, joined where
-they meet); a text has no personal data of these kinds elsewhere. What it finds is added where no base
-span lies and where the digits or the address hold up; base spans always stay.
+reads word-shape features of a word and its neighbours and is decoded by Viterbi over all words of a text. Weights
+are whole numbers, so sums do not depend on their order: texts are cut into blocks of ``BLOCK`` words, which step together
+in numpy, once for the best way from every tag to every tag, and once more from the tags that the blocks before them leave. The
+path is that of a plain pass over the text. What it finds is added where no base span lies and where the digits or the
+address hold up; base spans always stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from tallyframe.llm.secret_scan import SPANS, code_points_before, spans_array
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *KINDS)
-REACH = 4
+#: Words of a text that are decoded one after another; blocks stand side by side.
+BLOCK = 256
+#: Weights are multiples of 1 / UNIT, kept as whole numbers.
+UNIT = 1 << 20
 
 #: The labelled table. Words in [kind ...] carry the kind, all others none.
 LABELLED = """
@@ -135,57 +139,113 @@ def read_labelled(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
 
 
 class Field:
-    """Weights of the field: per feature at -1, 0, +1 and tag, per pair of tags, per first tag."""
+    """Weights of the field, in units of 1 / ``UNIT``: per feature at -1, 0, +1 and tag, per pair of tags, per first tag."""
 
     def __init__(self, names: list[str]):
         self.names = {n: i for i, n in enumerate(names)}
         k = len(TAGS)
-        self.emit = np.zeros((3, len(names) + 1, k))  # the last row, of unknown features, stays 0
-        self.move = np.zeros((k, k))
-        self.start = np.zeros(k)
-        self._seen: dict[str, np.ndarray] = {}
+        self.emit = np.zeros((3, len(names) + 1, k), dtype=np.int64)  # the last row, of unknown features, stays 0
+        self.move = np.zeros((k, k), dtype=np.int64)
+        self.start = np.zeros(k, dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        #: Row by word; what the word adds at -1, 0 and +1.
+        self._rows: dict[str, int] = {}
+        self._own = np.zeros((0, 3, len(TAGS)), dtype=np.int64)
 
     def rows(self, word: str) -> list[int]:
         return [self.names.get(f, len(self.names)) for f in word_features(word)]
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Tag scores (words, tags) of one sequence; what a word adds is kept by word."""
-        if len(self._seen) > 100_000:
-            self._seen.clear()
-        own = []
-        for w in words:
-            if (x := self._seen.get(w)) is None:
-                x = self._seen[w] = self.emit[:, self.rows(w)].sum(axis=1)
-            own.append(x)
-        own = np.array(own)
+    def scores(self, words: list[str], first: np.ndarray | None = None) -> np.ndarray:
+        """Tag scores (words, tags) of sequences that stand one after another, beginning at ``first`` (default: one sequence)."""
+        if len(self._rows) > 100_000:
+            self.forget()
+        new = [w for w in dict.fromkeys(words) if w not in self._rows]
+        if new:
+            self._rows.update(zip(new, range(len(self._rows), len(self._rows) + len(new)), strict=True))
+            self._own = np.concatenate((self._own, [self.emit[:, self.rows(w)].sum(axis=1) for w in new]))
+        own = self._own[np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))]
         out = own[:, 1].copy()
-        out[1:] += own[:-1, 0]
-        out[:-1] += own[1:, 2]
+        if len(words) > 1:
+            inner = np.ones(len(words), dtype=bool)
+            inner[0 if first is None else first] = False
+            out[1:] += own[:-1, 0] * inner[1:, None]
+            out[:-1] += own[1:, 2] * inner[1:, None]
         return out
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Best tags of every sequence, by Viterbi over all sequences of the batch at once."""
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        sizes = np.array([len(sequences[i]) for i in order])
-        k, longest = len(TAGS), int(sizes[0]) if order else 0
-        score = np.zeros((len(order), longest, k))
-        for row, i in enumerate(order):
-            score[row, : sizes[row]] = self.scores(sequences[i])
-        back = np.zeros((len(order), longest, k), dtype=np.int8)
-        best = score[:, 0] + self.start if longest else None
-        for t in range(1, longest):
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            step = best[:live, :, None] + self.move
-            back[:live, t] = step.argmax(axis=1)
-            best[:live] = step.max(axis=1) + score[:live, t]
-        out: list = [None] * len(order)
-        tag = best.argmax(axis=1) if longest else None
-        for row, i in enumerate(order):
-            tags = np.zeros(sizes[row], dtype=np.int8)
-            tags[-1] = tag[row]
-            for t in range(sizes[row] - 1, 0, -1):
-                tags[t - 1] = back[row, t, tags[t]]
-            out[i] = tags
+        """Best tags of every sequence, by Viterbi; ties go to the smaller tag."""
+        sizes = np.array([len(x) for x in sequences], dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        out = [np.zeros(0, dtype=np.int8) for _ in sequences]
+        if not len(full):
+            return out
+        first = np.cumsum(sizes[full]) - sizes[full]
+        score = self.scores([w for x in sequences for w in x], first)
+        tags = self._best(score, first, sizes[full])
+        for i, x in zip(full.tolist(), np.split(tags, first[1:]), strict=True):
+            out[i] = x
+        return out
+
+    def _best(self, score: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best tags of sequences of at least one word that stand one after another in ``score``."""
+        k, count = len(TAGS), -(-sizes // BLOCK)
+        head = np.cumsum(count) - count  # the first block of each sequence
+        place = np.arange(count.sum()) - np.repeat(head, count)
+        begin = np.repeat(first, count) + place * BLOCK
+        length = np.minimum(np.repeat(first + sizes, count) - begin, BLOCK)
+        # longer blocks first, so that those with a word number t are a prefix
+        order = np.argsort(-length, kind="stable")
+        begin, length, opens = begin[order], length[order], place[order] == 0
+        live = np.searchsorted(-length, -np.arange(BLOCK + 1), side="left")  # live[t]: blocks of more than t words
+        where = np.empty_like(order)
+        where[order] = np.arange(len(order))
+        steps = int(length[0])
+        enter = np.zeros((len(order), k), dtype=np.int64)
+        if count.max() > 1:
+            # best way through a block, from the tag before it to its last tag
+            way = self.move + score[begin][:, None]
+            way[opens] = (self.start + score[begin[opens]])[:, None]
+            for t in range(1, steps):
+                n = live[t]
+                new = way[:n, :, 0, None] + self.move[0]
+                for m in range(1, k):
+                    np.maximum(new, way[:n, :, m, None] + self.move[m], out=new)
+                way[:n] = new + score[begin[:n] + t][:, None]
+            more = np.argsort(-count, kind="stable")
+            for i in range(1, int(count.max())):
+                more = more[: np.searchsorted(-count[more], -i, side="left")]
+                before = where[head[more] + i - 1]
+                enter[where[head[more] + i]] = (enter[before][:, :, None] + way[before]).max(axis=1)
+        back = np.zeros((steps, len(order), k), dtype=np.int8)
+        best = np.zeros((len(order), k), dtype=np.int64)
+        for t in range(steps):
+            n = live[t]
+            step = (best[:n] if t else enter)[:, :, None] + self.move
+            back[t, :n] = step.argmax(axis=1)
+            best[:n] = step.max(axis=1) + score[begin[:n] + t]
+            if not t:
+                best[opens] = self.start + score[begin[opens]]
+        # the path of a block for each of its last tags, then the last tags from the end of each sequence
+        path = np.zeros((steps, len(order), k), dtype=np.int8)
+        tag = np.tile(np.arange(k, dtype=np.int8), (len(order), 1))
+        for t in range(steps - 1, -1, -1):
+            n = live[t]
+            path[t, :n] = tag[:n]
+            tag[:n] = np.take_along_axis(back[t, :n], tag[:n].astype(np.int64), axis=1)
+        last = np.zeros(len(order), dtype=np.int64)
+        ends = where[head + count - 1]
+        last[ends] = best[ends].argmax(axis=1)
+        more = np.argsort(-count, kind="stable")
+        for i in range(1, int(count.max())):
+            more = more[: np.searchsorted(-count[more], -i, side="left")]
+            after = where[(head + count)[more] - i]
+            last[where[(head + count)[more] - i - 1]] = tag[after, last[after]]
+        out = np.zeros(len(score), dtype=np.int8)
+        for t in range(steps):
+            n = live[t]
+            out[begin[:n] + t] = path[t, np.arange(n), last[:n]]
         return out
 
 
@@ -229,8 +289,9 @@ def train(table: str = LABELLED, steps: int = 250, rate: float = 0.1, ridge: flo
         for i, g in enumerate(grads):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
             p[i] = p[i] + rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    field.emit[:, :width] = p[0]
-    field.move, field.start = p[1], p[2]
+    whole = lambda x: np.rint(x * UNIT).astype(np.int64)
+    field.emit[:, :width] = whole(p[0])
+    field.move, field.start = whole(p[1]), whole(p[2])
     return field
 
 
@@ -277,27 +338,13 @@ def base_spans(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-_HOT = np.isin(np.arange(256), np.frombuffer(b"0123456789@+", dtype=np.uint8))
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
 
 
-def neighbourhoods(data: bytes) -> list[list[tuple[int, int]]]:
-    """Byte spans of the words around hot words, as runs of neighbours."""
-    if not data:
-        return []
-    arr = np.frombuffer(data, dtype=np.uint8)
-    hot = np.flatnonzero(_HOT[arr])
-    if not len(hot):
-        return []
-    blank = np.concatenate(([True], _BLANK[arr], [True]))
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:])
-    stops = np.flatnonzero(~blank[:-1] & blank[1:])
-    word = np.unique(np.searchsorted(starts, hot, side="right") - 1)
-    near = np.unique(np.clip(word[:, None] + np.arange(-REACH, REACH + 1), 0, len(starts) - 1))
-    return [
-        list(zip(starts[run].tolist(), stops[run].tolist(), strict=True))
-        for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1)
-    ]
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data.split()`` begin and end."""
+    blank = np.concatenate(([True], _BLANK[np.frombuffer(data, dtype=np.uint8)], [True]))
+    return np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
 
 
 def _holds_up(kind: str, value: str) -> bool:
@@ -316,20 +363,18 @@ def _holds_up(kind: str, value: str) -> bool:
 def added_spans(field: Field, texts: list[str], datas: list[bytes], base: list[list]) -> list[list[tuple[str, int, int, bool]]]:
     """Spans of the field that touch no base span, per text."""
     out: list[list] = [[] for _ in texts]
-    runs = [(t, run) for t, data in enumerate(datas) for run in neighbourhoods(data)]
     found: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]  # byte place of the first word, characters to skip, kind, value
-    for tags, (t, run) in zip(field.decode([[datas[t][a:b].decode() for a, b in run] for t, run in runs]), runs, strict=True):
-        i = 0
-        while i < len(run):
-            j = i + 1
-            while j < len(run) and tags[j] == tags[i]:
-                j += 1
-            if tags[i]:
-                raw = datas[t][run[i][0] : run[j - 1][1]].decode()
-                value = raw.strip(".,;:!?\"'<>[](){}") if tags[i] != 4 else raw.strip(".,;:!?\"'<>[]{}")
-                if _holds_up(TAGS[tags[i]], value):
-                    found[t].append((run[i][0], raw.index(value), TAGS[tags[i]], value))
-            i = j
+    for t, tags in enumerate(field.decode([[w.decode() for w in data.split()] for data in datas])):
+        if not tags.any():
+            continue
+        begins, ends = word_places(datas[t])
+        edges = np.append(np.flatnonzero(np.diff(tags, prepend=-1)), len(tags))
+        for i in np.flatnonzero(tags[edges[:-1]]).tolist():
+            kind = TAGS[tags[edges[i]]]
+            raw = datas[t][begins[edges[i]] : ends[edges[i + 1] - 1]].decode()
+            value = raw.strip(".,;:!?\"'<>[](){}") if kind != "phone" else raw.strip(".,;:!?\"'<>[]{}")
+            if _holds_up(kind, value):
+                found[t].append((int(begins[edges[i]]), raw.index(value), kind, value))
     for t, some in enumerate(found):
         if not some:
             continue
@@ -355,7 +400,7 @@ def _kernel(model):
                 base = [base_spans(t) for t in texts]
                 more = added_spans(field, texts, [t.encode() for t in texts], base)
                 spans = [sorted(a + b, key=lambda s: (KINDS.index(s[0]), *s[1:3])) for a, b in zip(base, more, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), spans_array(spans)], names=["doc_id", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), spans_array(spans)], names=["doc_id", "spans"])
 
     return run
 
@@ -363,11 +408,13 @@ def _kernel(model):
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled: str = LABELLED) -> DataFrame:
     """(doc_id, spans) for every row; spans are (kind, start, stop, base) in code points, by kind, then start.
 
-    Null and empty texts have none. Rows are read on their own, so repeated rows give equal rows; other
-    columns are ignored. The field (a few hundred kB) is trained on the driver from ``labelled``.
+    Null and empty texts have none. Whole texts are read, however long. Ids of any type, null ones too, stay; rows are read
+    on their own, so repeated rows give equal rows, an empty table none; other columns are ignored. The field (a few hundred
+    kB) is trained on the driver from ``labelled``.
     """
     model = share(docs.sparkSession, train(labelled))
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_kernel(model), f"doc_id long, spans {SPANS}")
+    rows = docs.select(F.col(doc_id).cast("string"), F.col(text)).mapInArrow(_kernel(model), f"doc_id string, spans {SPANS}")
+    return rows.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "spans")
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ BANDS = (
 #: At least this share of the chunks must lie in the band of their length.
 CHUNK_SHARE = 0.5
 _OUT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "ratio double, chunk_low double, chunk_high double, n_chunks long, n_chunks_out long, base_failed boolean, kept boolean"
 )
 _SYMBOLS = b"#*$%&|<>"
@@ -118,7 +118,7 @@ def _run(batches):
                 kept.append(not bad and lo <= ratio <= hi and out <= (1 - CHUNK_SHARE) * n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in part], pa.int64()),
+                    pa.array([r[0] for r in part], pa.string()),
                     pa.array(n_words),
                     chars.cast(pa.int64()),
                     pa.array(symbols, pa.int64()),
@@ -138,6 +138,8 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. ``kept``:
     not base_failed, the whole text's ratio in its band, and half of its chunks at least in theirs. A null
-    text has no words and fails; each row is judged on its own, so repeated rows get equal verdicts.
+    text has no words and fails; each row is judged on its own and whole, however long, so repeated rows get equal verdicts, an
+    empty table gives none. Ids of any type, null ones too, stay; other columns are ignored.
     """
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(_run, _OUT)
+    rows = docs.select(F.col(doc_id).cast("string"), F.col(text).cast("binary")).mapInArrow(_run, _OUT)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

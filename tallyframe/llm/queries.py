@@ -171,9 +171,8 @@ def _duck_text(expr: str) -> str:
 
 _TITLE, _LANG, _LINK = (p.replace("'", "''") for p in (warc.TITLE, warc.LANG, warc.LINK))
 ORACLE_SQL["op7_warc_derivatives"] = f"""
-WITH source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-response AS (SELECT *, {_duck_uuid("'response'", "CAST(page_id AS VARCHAR)", "target_uri")} AS refers_to,
-             'sha256:' || sha256(payload) AS payload_digest FROM source),
+WITH source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
+response AS (SELECT *, {_duck_uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "target_uri", "payload_digest")} AS refers_to FROM source),
 records AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'title: ' || trim(regexp_replace(regexp_extract(payload, '{_TITLE}', 1), '[ \t\r\n]+', ' ', 'g'), ' ')

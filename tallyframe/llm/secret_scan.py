@@ -313,7 +313,7 @@ def _kernel(compiled, rules):
                 found = scanner.scan([r[1] or b"" for r in part])
                 named = [[(rules[k].kind, a, b, rules[k].base) for a, b, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), spans_array(named)], names=["doc_id", "spans"]
+                    [pa.array([r[0] for r in part], pa.string()), spans_array(named)], names=["doc_id", "spans"]
                 )
 
     return run
@@ -322,14 +322,16 @@ def _kernel(compiled, rules):
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans) for every row; spans are (kind, start, stop, base) in code points, stop exclusive.
 
-    Spans are ordered by start, then by the order of the rules. Null and empty texts have none; rows are
-    scanned on their own, so repeated rows give equal rows; other columns are ignored.
+    Spans are ordered by start, then by the order of the rules. Null and empty texts have none; whole texts are scanned, however
+    long. Ids of any type, null ones too, stay; rows are scanned on their own, so repeated rows give equal rows, an
+    empty table none; other columns are ignored.
     """
     if len(rules) > 16:
         raise ValueError("one automaton takes 16 rules")
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(
-        _kernel(share(docs.sparkSession, Scanner(rules)), rules), f"doc_id long, spans {SPANS}"
+    rows = docs.select(F.col(doc_id).cast("string"), F.col(text).cast("binary")).mapInArrow(
+        _kernel(share(docs.sparkSession, Scanner(rules)), rules), f"doc_id string, spans {SPANS}"
     )
+    return rows.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "spans")
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:

@@ -54,20 +54,22 @@ def plain_text(html: Column) -> Column:
 def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
     """Response records of a table of pages: page_id, record_id, target_uri, date, http_headers, payload, payload_digest.
 
-    A null url or page is an empty one. Repeated pages give equal records.
+    A null url or page is an empty one. A record's id follows from page_id, url and payload digest: captures of one url that
+    differ have ids of their own, repeated pages give equal records. An empty table gives none.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
+    digest = F.concat(F.lit("sha256:"), F.sha2(payload, 256))
     uri = F.coalesce(F.col(url), F.lit(""))
     return pages.select(
         F.col(page_id).cast("long").alias("page_id"),
-        uuid_of(F.lit("response"), F.coalesce(F.col(page_id).cast("string"), F.lit("")), uri).alias("record_id"),
+        uuid_of(F.lit("response"), F.coalesce(F.col(page_id).cast("string"), F.lit("")), uri, digest).alias("record_id"),
         uri.alias("target_uri"),
         F.lit(date).alias("date"),
         F.concat(
             F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(_CRLF)
         ).alias("http_headers"),
         payload.alias("payload"),
-        F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("payload_digest"),
+        digest.alias("payload_digest"),
     )
 
 

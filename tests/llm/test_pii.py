@@ -83,3 +83,40 @@ def test_long_texts_and_words():
     assert {text[a:b] for _, a, b, _ in more} <= {"555-201-3344"}
     # the whole word counts, not its first forty characters
     assert pii.shape("x-" * 30 + "12") != pii.shape("x-" * 30 + "ab")
+
+
+def plain_viterbi(field, words):
+    """One word after another, in Python numbers."""
+    score, tags = field.scores(words).tolist(), range(len(pii.TAGS))
+    best, back = [int(a) + b for a, b in zip(field.start, score[0])], []
+    for row in score[1:]:
+        before = [max(tags, key=lambda a: (best[a] + int(field.move[a, b]), -a)) for b in tags]
+        back.append(before)
+        best = [best[before[b]] + int(field.move[before[b], b]) + row[b] for b in tags]
+    path = [max(tags, key=lambda a: (best[a], -a))]
+    for before in reversed(back):
+        path.append(before[path[-1]])
+    return path[::-1]
+
+
+def test_blocks_give_the_path_of_a_plain_pass(monkeypatch):
+    field, rng = pii.train(), random.Random(4)
+    pool = [w for words, _ in pii.read_labelled() for w in words]
+    texts = [[rng.choice(pool) for _ in range(n)] for n in (0, 1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 700, 0, 255, 256, 257, 513)]
+    want = [plain_viterbi(field, x) if x else [] for x in texts]
+    for block in (1, 8, 64, 256):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        assert [x.tolist() for x in field.decode(texts)] == want
+    # ways that tie everywhere, and weights that carry a tag through many blocks
+    for name in ("emit", "move", "start"):
+        monkeypatch.setattr(field, name, np.array(np.rint(getattr(field, name) / pii.UNIT / 4), dtype=np.int64))
+    field.forget()
+    monkeypatch.setattr(field, "move", field.move + 3 * np.eye(len(pii.TAGS), dtype=np.int64))
+    monkeypatch.setattr(pii, "BLOCK", 8)
+    assert [x.tolist() for x in field.decode(texts)] == [plain_viterbi(field, x) if x else [] for x in texts]
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a", "call 646-555-0113 before ten"), ("a", "call 646-555-0113 before ten"), (None, "x"), ("7", None)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), len(r.spans)) for r in got) == [("7", 0), ("None", 0), ("a", 1), ("a", 1)]

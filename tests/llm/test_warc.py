@@ -28,6 +28,15 @@ def test_plain_text_and_links(spark, tmp_path):
     assert warc.derive(responses.limit(0)).count() == 0
 
 
+def test_captures_of_one_url_have_ids_of_their_own(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.example/", "one"), (1, "http://a.example/", "two"), (1, "http://a.example/", "two"), (None, "http://a.example/", "one")],
+        "page_id long, url string, html string",
+    )
+    assert len({r.record_id for r in warc.responses_from_pages(pages).collect()}) == 3
+    assert len({r.record_id for r in warc.derive(warc.responses_from_pages(pages)).collect()}) == 6
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_round_trip(spark, tmp_path, compression):
     pages = spark.createDataFrame([(i, f"http://a.example/{i}", f"<p>Text {i} é</p>\r\n\r\n<p>more</p>") for i in range(40)], "page_id long, url string, html string")
