@@ -150,22 +150,31 @@ class Field:
         self.forget()
 
     def forget(self) -> None:
-        #: Row by word; what the word adds at -1, 0 and +1.
+        #: Row by word and by features; what words of a row add at -1, 0 and +1.
         self._rows: dict[str, int] = {}
-        self._own = np.zeros((0, 3, len(TAGS)), dtype=np.int64)
+        self._alike: dict[tuple, int] = {}
+        self._own: list[np.ndarray] = []
 
     def rows(self, word: str) -> list[int]:
         return [self.names.get(f, len(self.names)) for f in word_features(word)]
 
+    def row(self, word: str) -> int:
+        """The word's row; words of letters, lower-case but for the first, are told by that and their cue alone."""
+        core = word.strip(".,;:!?\"'")
+        plain = core.isalpha() and (core.islower() or len(core) > 1 and core[0].isupper() and core[1:].islower())
+        key = (core[0].isupper(), _CUE.get(core.lower())) if plain else word_features(word)
+        if (n := self._alike.get(key)) is None:
+            n = self._alike[key] = len(self._own)
+            self._own.append(self.emit[:, self.rows(word)].sum(axis=1))
+        return n
+
     def scores(self, words: list[str], first: np.ndarray | None = None) -> np.ndarray:
         """Tag scores (words, tags) of sequences that stand one after another, beginning at ``first`` (default: one sequence)."""
         if len(self._rows) > 100_000:
             self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self._rows]
-        if new:
-            self._rows.update(zip(new, range(len(self._rows), len(self._rows) + len(new)), strict=True))
-            self._own = np.concatenate((self._own, [self.emit[:, self.rows(w)].sum(axis=1) for w in new]))
-        own = self._own[np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))]
+        for w in set(words).difference(self._rows):
+            self._rows[w] = self.row(w)
+        own = np.array(self._own).reshape(-1, 3, len(TAGS))[np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))]
         out = own[:, 1].copy()
         if len(words) > 1:
             inner = np.ones(len(words), dtype=bool)

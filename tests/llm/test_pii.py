@@ -120,3 +120,12 @@ def test_ids_of_any_type(spark):
     rows = [("a", "call 646-555-0113 before ten"), ("a", "call 646-555-0113 before ten"), (None, "x"), ("7", None)]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert sorted((str(r.doc_id), len(r.spans)) for r in got) == [("7", 0), ("None", 0), ("a", 1), ("a", 1)]
+
+
+def test_words_of_one_row_have_the_same_features():
+    field = pii.train()
+    words = ["", "a", "A", "call", "Call,", "CALL", "cAll", "größe", "Größe.", "ǅon", "日本", "x1", "ab-c", "\"Phone\"", "...", "iPhone", "E", "ß", "ªb", "Ⅷa", "now!", "a²"]
+    words += [w for x, _ in pii.read_labelled() for w in x]
+    for w in words:
+        assert (field.scores([w])[0] == field.emit[1, field.rows(w)].sum(axis=0)).all(), w
+    assert len({field.row(w) for w in ("birds", "Anything".lower(), "größe,")}) == 1
