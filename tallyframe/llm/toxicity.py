@@ -33,8 +33,8 @@ NEIGHBOURS = 16
 BLOCK = 256
 #: Blocks of highest bound that are evaluated before the others are held against the neighbours found.
 FIRST_BLOCKS = 2
-#: Texts that are looked up together.
-TOGETHER = 64
+#: Texts whose frequent terms are looked up as one product, and texts whose postings are looked up together.
+TOGETHER, FEW = 64, 4
 #: Terms of at least this share of the examples, so many of them at most, are kept as rows of weights instead of postings.
 DENSE_SHARE, DENSE_TERMS = 1 / 40, 512
 OFTEN = 3
@@ -89,6 +89,7 @@ class Terms:
                     self.named[base] = n if known else len(self.hashes) + len(self.often)
                 self.often[self.named[base]] = self.telling[t]
         self.begin = {t[:-1]: n for t, n in self.named.items() if t.endswith("-")}
+        self.starts = {t[: PREFIXES[0]] for t in self.begin}
         self.clear()
 
     def clear(self) -> None:
@@ -108,16 +109,17 @@ class Terms:
         at = np.searchsorted(self.hashes, hashes)
         found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(words), bool)
         own = np.where(found, at, -1).tolist()
-        out, sizes, named, begin = [], [], self.named, self.begin
+        out, sizes, named, begin, starts = [], [], self.named, self.begin, self.starts
         for w, n in zip(words, own, strict=True):
             size = len(out)
             if n >= 0:
                 out.append(n)
             elif w in named:
                 out.append(named[w])
-            for k in PREFIXES:
-                if (t := w[:k]) in begin and len(w) >= k:
-                    out.append(begin[t])
+            if w[: PREFIXES[0]] in starts:
+                for k in PREFIXES:
+                    if (t := w[:k]) in begin and len(w) >= k:
+                        out.append(begin[t])
             sizes.append(len(out) - size)
         self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
@@ -254,28 +256,43 @@ class Index:
         self._fill()
         asked, column = np.zeros((texts, self.columns), np.float32), self.column[at]
         asked[text[column >= 0], column[column >= 0]] = weights[column >= 0]
+        often = asked @ self.matrix.T  # the frequent terms' part, exact for every example
+        edges = np.searchsorted(text, np.arange(0, texts + FEW, FEW))
+        found = []
+        for low, a, z in zip(range(0, texts, FEW), edges, edges[1:]):
+            own = slice(low, min(low + FEW, texts))
+            of, row, score = self._among(text[a:z] - low, at[a:z], weights[a:z], asked[own], often[own], k, None if but is None else but[own])
+            found.append((of + low, row, score))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _among(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, asked: np.ndarray, often: np.ndarray, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``nearest`` gives, for texts whose terms have ``weights`` and whose frequent terms are ``asked`` and give ``often``.
+
+        They are few, so that what stands between the steps stays in the processor's cache.
+        """
+        texts = len(asked)
         start, size = self.term_start[at], self.term_start[at + 1] - self.term_start[at]
         entry = _ranges(start, size)
         own = np.repeat(weights.astype(np.float32), size)
         cell = np.repeat(text, size) * self.blocks + self.entry_block[entry]
         bound = np.bincount(cell, own * self.entry_most[entry], minlength=texts * self.blocks).reshape(texts, self.blocks)
-        often = asked @ self.matrix.T  # the frequent terms' part, exact for every example
-        bound = bound + often.reshape(texts, self.blocks, BLOCK).max(axis=2)
+        often = often.reshape(-1, BLOCK)
+        bound = bound + often.max(axis=1).reshape(texts, self.blocks)
         first = min(FIRST_BLOCKS, self.blocks)
         chosen = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
         found, worst = [], np.zeros(texts)
         for turn in range(2):
             part, cells = self._evaluate(chosen, cell, entry, own)
-            score = part + often.reshape(-1, BLOCK)[cells]
-            of, row = cells // self.blocks, (cells % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)
+            score = part + often[cells]
+            of = cells // self.blocks
             if but is not None:
-                score[row == but[of][:, None]] = 0
+                out = np.flatnonzero(cells % self.blocks == but[of] // BLOCK)
+                score[out, but[of[out]] % BLOCK] = 0
             if not turn and first * BLOCK > k:
                 worst = np.partition(score.reshape(texts, -1), first * BLOCK - k, axis=1)[:, first * BLOCK - k]
-            keep = (score > 0) & (score >= worst[of][:, None] - 1e-5)
-            whose, which = np.repeat(of, keep.sum(axis=1)), row[keep]
-            found.append((whose, which, part[keep], score[keep]))
+            where, place = np.nonzero(score >= np.maximum(worst[of] - 1e-5, 1e-300)[:, None])
+            found.append((of[where], cells[where] % self.blocks * BLOCK + place, part[where, place], score[where, place]))
             # blocks below the worst neighbour found (less the rounding of sums) hold none
             chosen = ~chosen & (bound >= worst[:, None] - 1e-5) & (bound > 0)
             if turn or not chosen.any():
@@ -517,16 +534,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # examples whose weightiest words agree stand in the same blocks; that tightens the blocks' bounds
     rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
     common = np.full(len(n), -1)
-    order = np.lexsort((-frequency[at], rows))
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    common[rows[order][first]] = at[order][first]
+    by_frequency = np.argsort(-frequency[: len(terms.hashes)], kind="stable")
+    position = np.empty(len(by_frequency), np.int32)
+    position[by_frequency] = np.arange(len(by_frequency), dtype=np.int32)
+    if len(at):
+        common[n > 0] = by_frequency[np.minimum.reduceat(position[at], (np.cumsum(n) - n)[n > 0])]
     place = np.argsort(common, kind="stable")
     rank = np.empty(len(n), np.int32)
     rank[place] = np.arange(len(n))
-    index = Index(
-        terms, weight, held.column("doc").to_numpy()[place], held.column("y").to_numpy()[place], rank[rows], at, tf.flatten().to_numpy()
-    )
-    numbered = spark.createDataFrame([(int(d), int(r)) for d, r in zip(held.column("doc").to_numpy(), rank, strict=True)], "doc long, row int")
+    docs_of, y = held.column("doc").to_numpy(), held.column("y").to_numpy()
+    rows, tf = rank[rows], tf.flatten().to_numpy()
+    index = Index(terms, weight, docs_of[place], y[place], rows, at, tf)
+    numbered = spark.createDataFrame(list(zip(docs_of.tolist(), rank.tolist(), strict=True)), "doc long, row int")
+    # the index has what it needs of them; the driver does not hold them beside the copies for the executors
+    del held, lists, tf, n, at, rows, docs_of, y
+    release()
     uncalibrated = share(spark, index)
     votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
         _left_out_votes(uncalibrated), "row int, votes array<double>"
@@ -536,7 +558,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # what came of both is written or collected, nothing reads them again
     uncalibrated.destroy()
     space.destroy()
-    del held, lists, tf, n, at, rows, order
+    del uncalibrated, space
     release()
     names = {r["h"]: r["doc"] for r in sample.select(F.xxhash64("doc").alias("h"), "doc").collect()}
     index.ids = [names[h] for h in index.ids.tolist()]

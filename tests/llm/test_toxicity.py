@@ -55,6 +55,31 @@ def test_nearest_is_exact():
     assert len(index.nearest(own[:0], at[:0], tf[:0], 3)[0]) == 0
 
 
+def test_a_search_holds_the_postings_of_few_texts_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n, words, size = 3000, 100, 20_000
+    at = np.concatenate([np.sort(rng.choice(size, words, replace=False)) for _ in range(n)])
+    rows = np.repeat(np.arange(n), words)
+    index = toxicity.Index(toxicity.Terms(np.arange(size), []), 1 + rng.random(size), np.arange(n), rng.integers(0, 2, n), rows, at, np.ones(len(at)))
+    texts = toxicity.TOGETHER
+    asked = np.concatenate([np.sort(rng.choice(size, 4000, replace=False)) for _ in range(texts)])
+    own = np.repeat(np.arange(texts), 4000)
+    index.nearest(own[:4000], asked[:4000], np.ones(4000), 1)
+    peaks = []
+    for k in (toxicity.FEW, texts):
+        tracemalloc.start()
+        whole = index.nearest(own[: 4000 * k], asked[: 4000 * k], np.ones(4000 * k), k)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # terms of all texts are held, (text, term, weight) three times at most; postings, hundreds a term, of a few
+    assert peaks[1] < peaks[0] + 4000 * texts * 80
+    for i in (0, 17, texts - 1):
+        alone = index.nearest(np.zeros(4000, np.int64), asked[own == i], np.ones(4000), 1)
+        assert all(np.array_equal(a, b[whole[0] == i]) for a, b in zip(alone[1:], whole[1:]))
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rows = corpus(1500, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(9001, None, 0.5), (9002, "", 0.5)], "doc_id long, text string, score double")
