@@ -34,7 +34,7 @@ BLOCK = 256
 #: Blocks of highest bound that are evaluated before the others are held against the neighbours found.
 FIRST_BLOCKS = 2
 #: Texts whose frequent terms are looked up as one product, and texts whose postings are looked up together.
-TOGETHER, FEW = 64, 4
+TOGETHER, FEW = 160, 4
 #: Terms of at least this share of the examples, so many of them at most, are kept as rows of weights instead of postings.
 DENSE_SHARE, DENSE_TERMS = 1 / 40, 512
 OFTEN = 3
@@ -64,7 +64,7 @@ def term_hashes(terms) -> np.ndarray:
     """64 bits of each term as signed numbers; terms are told apart by them."""
     from xxhash import xxh3_64_intdigest
 
-    return np.array([xxh3_64_intdigest(t) for t in terms], dtype=np.uint64).view(np.int64)
+    return np.fromiter(map(xxh3_64_intdigest, terms), np.uint64).view(np.int64)
 
 
 class Terms:
@@ -90,6 +90,8 @@ class Terms:
                 self.often[self.named[base]] = self.telling[t]
         self.begin = {t[:-1]: n for t, n in self.named.items() if t.endswith("-")}
         self.starts = {t[: PREFIXES[0]] for t in self.begin}
+        #: Words that are no terms while their repetition is one.
+        self.lone = {t for t, n in self.named.items() if n >= len(self.hashes)}
         self.clear()
 
     def clear(self) -> None:
@@ -108,22 +110,22 @@ class Terms:
         hashes = term_hashes(words)
         at = np.searchsorted(self.hashes, hashes)
         found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(words), bool)
-        own = np.where(found, at, -1).tolist()
-        out, sizes, named, begin, starts = [], [], self.named, self.begin, self.starts
-        for w, n in zip(words, own, strict=True):
-            size = len(out)
-            if n >= 0:
-                out.append(n)
-            elif w in named:
+        # most words have their own term or none; only those that begin or repeat tellingly are looked at one by one
+        row, out, named, begin, starts, lone = [], [], self.named, self.begin, self.starts, self.lone
+        for i in [i for i, w in enumerate(words) if w[: PREFIXES[0]] in starts or w in lone]:
+            w = words[i]
+            if w in lone and not found[i]:
+                row.append(i)
                 out.append(named[w])
-            if w[: PREFIXES[0]] in starts:
-                for k in PREFIXES:
-                    if (t := w[:k]) in begin and len(w) >= k:
-                        out.append(begin[t])
-            sizes.append(len(out) - size)
+            for k in PREFIXES:
+                if (t := w[:k]) in begin and len(w) >= k:
+                    row.append(i)
+                    out.append(begin[t])
+        row = np.concatenate((np.flatnonzero(found), np.array(row, np.int64)))
+        out = np.concatenate((at[found], np.array(out, np.int64)))
         self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-        self.of_row = np.concatenate((self.of_row, np.array(out, dtype=np.int64)))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.bincount(row, minlength=len(words)))))
+        self.of_row = np.concatenate((self.of_row, out[np.argsort(row, kind="stable")]))
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term number, how often) of all texts, by text and number."""
@@ -362,10 +364,10 @@ class Index:
         out, near = np.full(len(texts), self.share), [[] for _ in texts]
         if self.blocks:
             text, at, tf = self.terms.count(texts)
-            edges = np.searchsorted(text, np.arange(0, len(texts) + TOGETHER, TOGETHER))
-            for i, (a, z) in enumerate(zip(edges, edges[1:])):
-                low = i * TOGETHER
-                n = min(TOGETHER, len(texts) - low)
+            step = -(-len(texts) // max(1, -(-len(texts) // TOGETHER))) or 1
+            edges = np.searchsorted(text, np.arange(0, len(texts) + step, step))
+            for low, a, z in zip(range(0, len(texts), step), edges, edges[1:]):
+                n = min(step, len(texts) - low)
                 of, row, cosine = self.nearest(text[a:z] - low, at[a:z], tf[a:z], n)
                 score = np.interp(self.votes(of, row, cosine, n), *self.curve)
                 ends = np.searchsorted(of, np.arange(n + 1)).tolist()
