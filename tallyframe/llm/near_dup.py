@@ -4,7 +4,8 @@ Each distinct shingle set has ``TREES`` x ``DEPTH`` minwise tokens. In every tre
 tokens, one level after the other: a node holds the sets that share the tokens of its path. Nodes of at most
 ``LIMIT`` sets are leaves; larger ones branch on, down to ``DEPTH``. A pair of Jaccard similarity 0.8 stays
 together over d levels of one tree with probability 0.8^d, so ``TREES`` independent trees miss it with
-(1 - 0.8^d)^TREES: 3e-7 at the full depth of six levels, less at fewer.
+(1 - 0.8^d)^TREES: 3e-7 at the full depth of six levels, less at fewer. Tokens below the roots are kept by their lower
+halves: equal ones stay equal, others agree by chance once in 65,536, which adds candidates and loses none.
 
 Candidates are compared in two passes, so that groups of copies never become all their pairs. First every
 set is held against the smallest set of its nodes (a star, two of which are confirmed per set). Confirmed
@@ -31,6 +32,8 @@ from tallyframe.llm.components import components
 
 TREES, DEPTH, ROOT_DEPTH, LIMIT = 50, 6, 2, 24
 SKETCH_AGREES = 98
+#: Numbers that a set keeps of its path in a tree: the tokens of the root, then the others two by two.
+PACKED = ROOT_DEPTH + (DEPTH - ROOT_DEPTH) // 2
 #: Vertices of candidate links up to which their ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
 #: Components of more sets are compared as groups, in blocks of so many sets.
@@ -106,11 +109,19 @@ def profiles_of(texts: list[bytes], k: int, sets_only: bool = False):
     return sizes, ka, kb, s1, s2, tokens[:, : TREES * DEPTH]
 
 
+def packed(tokens: np.ndarray) -> np.ndarray:
+    """``PACKED`` numbers a tree: tokens of the root as they are, the lower halves of the others side by side."""
+    paths = tokens.reshape(len(tokens), TREES, DEPTH)
+    low = paths[:, :, ROOT_DEPTH:] & np.uint32(0xFFFF)
+    return np.concatenate((paths[:, :, :ROOT_DEPTH], low[:, :, ::2] << np.uint32(16) | low[:, :, 1::2]), axis=2).reshape(len(tokens), -1)
+
+
 def _profile(k: int):
     def run(batches):
         for batch in batches:
             for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 1_000_000):
                 sizes, *longs, tokens = profiles_of([r[1] or b"" for r in part], k)
+                tokens = packed(tokens)
                 values = pa.array(tokens.ravel().view(np.int32))
                 offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * tokens.shape[1])
                 yield pa.RecordBatch.from_arrays(
@@ -137,12 +148,12 @@ def _descend(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Branch level by level. Returns the star candidates (a, b, differ) and the rows (node, v, n, s1, s2) to compare."""
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * DEPTH + 1, F.lit(DEPTH)).alias("path")),
+        lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * PACKED + 1, F.lit(PACKED)).alias("path")),
     )
     rows = sets.select("v", F.col("n_shingles").cast("int").alias("n"), "s1", "s2", F.explode(trees).alias("t")).select(
         "v", "n", "s1", "s2",
         F.xxhash64("t.tree", *(F.col("t.path")[i] for i in range(ROOT_DEPTH))).alias("node"),
-        F.slice("t.path", ROOT_DEPTH + 1, DEPTH - ROOT_DEPTH).alias("rest"),
+        F.slice("t.path", ROOT_DEPTH + 1, PACKED - ROOT_DEPTH).alias("rest"),
     )
     stars, leaves = [], []
     for depth in range(ROOT_DEPTH, DEPTH + 1):
@@ -161,9 +172,9 @@ def _descend(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         )
         stars.append(level.where("star IS NOT NULL").select(F.col("v").alias("a"), F.col("star").alias("b"), "differ"))
         leaves.append(level.where("NOT deep").select("node", "v", "n", "s1", "s2"))
-        rows = level.where("deep").select(
-            "v", "n", "s1", "s2", F.xxhash64("node", F.get("rest", F.lit(0))).alias("node"), F.slice("rest", 2, DEPTH).alias("rest")
-        )
+        pair, second = divmod(depth - ROOT_DEPTH, 2)
+        token = F.shiftrightunsigned(F.get("rest", F.lit(pair)), 0 if second else 16).bitwiseAND(0xFFFF)
+        rows = level.where("deep").select("v", "n", "s1", "s2", F.xxhash64("node", token).alias("node"), "rest")
         if depth < DEPTH and rows.isEmpty():
             break
     star, leaf = stars[0], leaves[0]

@@ -85,3 +85,33 @@ def test_trees_find_pairs_at_the_threshold_at_full_depth():
     same = (tokens[::2] == tokens[1::2]).reshape(pairs, near_dup.TREES, near_dup.DEPTH)
     found = same.all(axis=2).any(axis=1).sum()
     assert found == pairs
+
+
+def test_rows_keep_whole_root_tokens_and_halves_of_the_others(spark):
+    docs = corpus(3, 40)
+    *_, tokens = near_dup.profiles_of([(t or "").encode() for _, t in docs], 2)
+    paths = tokens.reshape(len(docs), near_dup.TREES, near_dup.DEPTH)
+    df = spark.createDataFrame(docs, "v long, text string").selectExpr("v", "cast(text AS binary)")
+    rows = {r.doc: r.tokens for r in df.mapInArrow(near_dup._profile(2), near_dup._PROFILE).collect()}
+    for (d, _), path in zip(docs, paths.tolist(), strict=True):
+        assert len(rows[d]) == 4 * near_dup.TREES
+        for tree, whole in enumerate(path):
+            own = [x % 2**32 for x in rows[d][4 * tree : 4 * tree + 4]]
+            low = [x % 2**16 for x in whole[2:]]
+            assert own == [*whole[:2], low[0] << 16 | low[1], low[2] << 16 | low[3]]
+
+
+def test_levels_branch_by_each_token_of_the_path(spark):
+    # 60 sets share the root and all tokens but one of each tree: they part at that token's level, into nodes of one
+    root, halves = (7, 8), (5, 6, 9, 10)
+    rows = []
+    for place in range(4):
+        for i in range(60):
+            low = [*halves]
+            low[place] = 1000 + i
+            rows.append((place * 100 + i, 10, 0, 0, [root[0] + place, root[1], low[0] << 16 | low[1], low[2] << 16 | low[3]] * near_dup.TREES))
+    sets = spark.createDataFrame(rows, "v long, n_shingles long, s1 long, s2 long, tokens array<int>")
+    _, leaf = near_dup._descend(sets, 80)
+    assert leaf.count() == 0
+    same = spark.createDataFrame([(v, n, a, b, t) for v, n, a, b, t in rows[:60]] + [(900, 10, 0, 0, rows[0][4])], sets.schema)
+    assert {r.v for r in near_dup._descend(same, 80)[1].select("v").distinct().collect()} == {0, 900}
