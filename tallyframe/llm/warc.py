@@ -7,6 +7,8 @@ UTF-8 text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ def uuid_of(*parts: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     for pattern, by in TEXT_STEPS:
+        if re.fullmatch(r"[&;a-z]+", pattern):  # plain characters need no pattern, and no copy of texts without them
+            html = F.replace(html, F.lit(pattern), F.lit(by))
+            continue
         html = F.regexp_replace(html, F.lit(pattern), F.lit(by.replace("\\", "\\\\").replace("$", "\\$")))
     return html
 

@@ -48,3 +48,11 @@ def test_round_trip(spark, tmp_path, compression):
     cols = ["record_type", "record_id", "refers_to", "target_uri", "date", "headers", "block"]
     key = lambda df: sorted(str(tuple(r)) for r in df.select(*cols).collect())
     assert key(back) == key(records)
+
+
+def test_plain_entities_are_replaced_without_patterns(spark):
+    plan = str(warc.plain_text(F.col("x")))
+    assert plan.count("regexp_replace") == len(warc.TEXT_STEPS) - 5
+    texts = ["a&nbsp;b &amp;lt; &lt;i&gt; &quot;q&quot; &#39;&apos; &AMP; &amp;amp;", "&amp", "", "é&lt;ß&gt;"]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in texts], "x string").select(warc.plain_text(F.col("x")).alias("t")).collect()]
+    assert got == ["a b &lt; <i> \"q\" '' &AMP; &amp;", "&amp", "", "é<ß>"]
