@@ -55,7 +55,9 @@ def ascii_lower(col: Column) -> Column:
 
 def share(spark: SparkSession, value):
     """Broadcast an object of bounded size by value, so that executors need not have its module."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    out = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    release()  # of the copies made on the way
+    return out
 
 
 def shared(broadcast):

@@ -8,7 +8,8 @@ toxic examples is beyond chance weigh ``BOOST`` times as much; beginnings and re
 The inverted index keeps postings by term and block of ``BLOCK`` examples with the greatest weight of the term in the
 block. The most frequent terms stand in nearly all blocks, where such maxima say little; their weights are a small
 matrix, and their part of all cosines is one product. A text's nearest examples are found exactly: the blocks of highest bound are evaluated first, then all
-blocks whose bound is not below the worst neighbour found. Neighbours vote, weighted by a power of the cosine, and
+blocks whose bound is not below the worst neighbour found. Where that leaves out few blocks, the texts that follow in the same batch are held against
+all examples without bounds, with equal results. Neighbours vote, weighted by a power of the cosine, and
 a monotone map fitted on the examples themselves (each left out of its own vote, in a Spark job) calibrates the
 share. The power, and the weight of the overall share beside the votes, are chosen by the same left-out votes. The index is bounded by ``max_examples`` whatever the corpus, so it is broadcast.
 """
@@ -37,6 +38,12 @@ FIRST_BLOCKS = 2
 TOGETHER, FEW = 160, 4
 #: Terms of at least this share of the examples, so many of them at most, are kept as rows of weights instead of postings.
 DENSE_SHARE, DENSE_TERMS = 1 / 40, 512
+#: Where this share of the blocks is evaluated in spite of their bounds, the texts beside it are held against all examples outright.
+WORTH = 0.5
+#: Examples of which only the greatest cosine is looked at for a floor under the neighbours'.
+GROUP = 32
+#: Postings that are weighted together while the index is built.
+PART = 1 << 18
 OFTEN = 3
 BOOST = 8.0
 #: (power of the cosine that weighs a vote, weight of the overall share of toxic examples beside the votes) to choose from.
@@ -44,15 +51,18 @@ SETTINGS = tuple((p, q) for p in (1, 2, 3, 4) for q in (0.1, 0.25, 1.0))
 THRESHOLD = 0.3
 _MANY = "+"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Lower-case letters for letters, blanks for all other bytes.
-_ASCII_LETTERS = bytes(ord(chr(i).lower()) if chr(i).isascii() and chr(i).isalpha() else 32 for i in range(256))
+#: Lower-case letters for letters, blanks for all other bytes, of texts in which a byte is a character.
+_LETTERS = bytes(ord(chr(i).lower()) if _WORD.match(chr(i)) else 32 for i in range(256))
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters."""
     if text.isascii():
-        return text.encode().translate(_ASCII_LETTERS).decode().split()
-    return _WORD.findall(text.lower())
+        return text.encode().translate(_LETTERS).decode().split()
+    try:
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 def beginnings(word: str) -> list[str]:
@@ -177,12 +187,20 @@ class Index:
     def __init__(self, terms: Terms, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, at: np.ndarray, tf: np.ndarray):
         self.terms, self.weight, self.ids, self.labels = terms, weight, ids, labels.astype(float)
         self.blocks = -(-len(ids) // BLOCK)
-        some = weight[at] > 0
-        rows, at, tf = rows[some], at[some], tf[some]
+        if len(weight) and weight.min() <= 0:
+            some = weight[at] > 0
+            rows, at, tf = rows[some], at[some], tf[some]
         self.share = float(self.labels.mean()) if len(ids) else 0.0
-        w = ((1 + np.log(tf)) * weight[at]).astype(np.float32)
-        w /= np.sqrt(np.maximum(np.bincount(rows, w * w, minlength=len(ids)), 1e-300))[rows]
-        held = np.bincount(at, minlength=len(weight))
+        # in parts, as the driver does this: no array of all postings is made that is not kept
+        w, length, held = np.empty(len(at), np.float32), np.zeros(len(ids)), np.zeros(len(weight), np.int64)
+        parts = [slice(i, i + PART) for i in range(0, len(at), PART)]
+        for x in parts:
+            w[x] = (1 + np.log(tf[x])) * weight[at[x]]
+            length += np.bincount(rows[x], w[x] * w[x], minlength=len(ids))
+            held += np.bincount(at[x], minlength=len(weight))
+        length = np.sqrt(np.maximum(length, 1e-300))
+        for x in parts:
+            w[x] /= length[rows[x]]
         top = np.argsort(-held, kind="stable")[:DENSE_TERMS]
         top = top[held[top] >= max(1, DENSE_SHARE * len(ids))]
         #: Column of the matrix by term, -1 for terms with postings.
@@ -191,38 +209,45 @@ class Index:
         dense = self.column[at] >= 0
         small = np.uint16 if len(ids) <= 1 << 16 else np.int32
         self.dense, self.columns = (rows[dense].astype(small), self.column[at[dense]], w[dense].astype(np.float32)), len(top)
-        rows, at, w = rows[~dense], at[~dense], w[~dense]
-        order = np.lexsort((rows, at))
-        rows, at, w = rows[order], at[order], w[order]
-        self.rows, self.w = rows.astype(small), w.astype(np.float32)
+        np.logical_not(dense, out=dense)
+        rows, at, w = rows[dense].astype(small), at[dense], w[dense]
+        del dense
         #: Where the postings of each term begin.
-        self.start = np.searchsorted(at, np.arange(len(weight) + 1)).astype(np.int32 if len(at) < 1 << 31 else np.int64)
-        self._enter()
+        held[top] = 0
+        self.start = np.append(0, np.cumsum(held)).astype(np.int32 if len(at) < 1 << 31 else np.int64)
+        self.rows, self.w = np.empty(len(at), small), np.empty(len(at), np.float32)
+        some = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(at), PART), side="right") - 1, len(weight)))
+        for low, high in zip(some, some[1:]):
+            x = np.flatnonzero((at >= low) & (at < high))
+            x = x[np.lexsort((rows[x], at[x]))]
+            own = slice(self.start[low], self.start[high])
+            self.rows[own], self.w[own] = rows[x], w[x]
+        self.entered, self.matrix = False, None
         self.setting = SETTINGS[0]
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def _enter(self) -> None:
         """Entries, a term in a block each: where its postings begin, the block, its greatest weight, and each term's first entry."""
-        self.matrix = None
         block = self.rows // BLOCK
         self.within = (self.rows % BLOCK).astype(np.uint8 if BLOCK <= 256 else np.int16)
-        new = np.diff(block, prepend=-1) != 0
+        new = np.ones(len(block), bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:])
         new[self.start[:-1][np.diff(self.start) > 0]] = True
         at = np.flatnonzero(new)
         self.entry_block = block[at].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
         self.entry_start = np.append(at, len(self.rows)).astype(self.start.dtype)
         self.entry_most = np.maximum.reduceat(self.w, at) if len(at) else np.zeros(0, np.float32)
         self.term_start = np.searchsorted(at, self.start).astype(self.start.dtype)
+        self.entered = True
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("entry_block", "entry_start", "entry_most", "term_start", "within", "matrix")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._enter()
+        left = ("entry_block", "entry_start", "entry_most", "term_start", "within")
+        return {k: v for k, v in self.__dict__.items() if k not in left} | {"entered": False, "matrix": None}
 
     def _fill(self) -> None:
-        """The matrix of frequent terms (row, column), where it is first looked up."""
+        """The entries, and the matrix of frequent terms (row, column), where they are first looked up; the driver needs neither."""
+        if not self.entered:
+            self._enter()
         if self.matrix is None:
             rows, columns, w = self.dense
             flat = np.zeros((self.blocks * BLOCK, self.columns), np.float32)
@@ -243,6 +268,17 @@ class Index:
         out = np.bincount(to, np.repeat(own[some], size) * self.w[posting], minlength=len(cells) * BLOCK).reshape(-1, BLOCK)
         return out, cells
 
+    def _evaluate_all(self, text: np.ndarray, at: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+        """What ``_evaluate`` gives for all cells: whole lists of postings are summed, in the same order."""
+        start = self.start[at]
+        size = self.start[at + 1] - start
+        posting = _ranges(start, size)
+        to = np.repeat(text * (self.blocks * BLOCK), size)
+        to += self.rows[posting]
+        part = np.repeat(own, size)
+        part *= self.w[posting]
+        return np.bincount(to, part, minlength=texts * self.blocks * BLOCK).reshape(-1, BLOCK)
+
     def nearest(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, texts: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, row, cosine) of the ``k`` examples of greatest cosine over 0 for each text, greatest first, ties by row.
 
@@ -260,32 +296,65 @@ class Index:
         asked[text[column >= 0], column[column >= 0]] = weights[column >= 0]
         often = asked @ self.matrix.T  # the frequent terms' part, exact for every example
         edges = np.searchsorted(text, np.arange(0, texts + FEW, FEW))
-        found = []
+        found, bounded = [], True
         for low, a, z in zip(range(0, texts, FEW), edges, edges[1:]):
             own = slice(low, min(low + FEW, texts))
-            of, row, score = self._among(text[a:z] - low, at[a:z], weights[a:z], asked[own], often[own], k, None if but is None else but[own])
+            # bounds are worth their while as long as they leave out a good part of the blocks; either way finds the same
+            (of, row, score), seen = self._among(text[a:z] - low, at[a:z], weights[a:z], asked[own], often[own], k, None if but is None else but[own], bounded)
+            bounded = seen < WORTH
             found.append((of + low, row, score))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _among(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, asked: np.ndarray, often: np.ndarray, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What ``nearest`` gives, for texts whose terms have ``weights`` and whose frequent terms are ``asked`` and give ``often``.
+    def _among(self, text, at, weights, asked, often, k, but, bounded):
+        """What ``nearest`` gives, for texts whose terms have ``weights`` and whose frequent terms are ``asked`` and give ``often``; and the share of blocks evaluated.
 
-        They are few, so that what stands between the steps stays in the processor's cache.
+        They are few, so that what stands between the steps stays in the processor's cache. ``bounded``: blocks are held
+        against their bounds first, else all are evaluated.
         """
-        texts = len(asked)
+        texts, own, often = len(asked), weights.astype(np.float32), often.reshape(-1, BLOCK)
+        cells, seen = (self._bounded if bounded else self._all)(text, at, own, often, texts, k, but)
+        of, row, part, score = cells
+        order = np.lexsort((-score, of))
+        of, row, part, score = of[order], row[order], part[order], score[order]
+        # the product's rounding depends on the company of a text; those that may be among the first k are summed again one by one
+        begin, size = np.searchsorted(of, np.arange(texts)), np.bincount(of, minlength=texts)
+        least = np.full(texts, -np.inf)
+        least[size > k] = score[begin[size > k] + k - 1] - 2e-5
+        near = score >= least[of]
+        of, row = of[near], row[near]
+        score = np.round(part[near] + np.einsum("ij,ij->i", asked[of], self.matrix[row]), 6)
+        order = np.lexsort((row, -score, of))
+        of, row, score = of[order], row[order], score[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        return (of[place < k], row[place < k], score[place < k]), seen
+
+    def _all(self, text, at, own, often, texts, k, but):
+        """(text, row, postings' part, cosine) of examples that may be among the ``k`` nearest, out of all; and 1, the share of blocks evaluated."""
+        part = self._evaluate_all(text, at, own, texts)
+        score = (part + often).reshape(texts, -1)
+        if but is not None:
+            score[np.arange(texts), but] = 0
+        # the k-th of the greatest in each of many small groups is no more than the k-th of all
+        most = score.reshape(texts, -1, GROUP).max(axis=2)
+        worst = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k] if most.shape[1] > k else np.zeros(texts)
+        of, row = np.nonzero(score >= np.maximum(worst - 1e-5, 1e-300)[:, None])
+        return (of, row, part.reshape(texts, -1)[of, row], score[of, row]), 1.0
+
+    def _bounded(self, text, at, own, often, texts, k, but):
+        """What ``_all`` gives, without the blocks whose bound is below the worst neighbour found; and the share of blocks evaluated."""
         start, size = self.term_start[at], self.term_start[at + 1] - self.term_start[at]
         entry = _ranges(start, size)
-        own = np.repeat(weights.astype(np.float32), size)
+        own = np.repeat(own, size)
         cell = np.repeat(text, size) * self.blocks + self.entry_block[entry]
         bound = np.bincount(cell, own * self.entry_most[entry], minlength=texts * self.blocks).reshape(texts, self.blocks)
-        often = often.reshape(-1, BLOCK)
         bound = bound + often.max(axis=1).reshape(texts, self.blocks)
         first = min(FIRST_BLOCKS, self.blocks)
         chosen = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
-        found, worst = [], np.zeros(texts)
+        found, worst, seen = [], np.zeros(texts), 0
         for turn in range(2):
             part, cells = self._evaluate(chosen, cell, entry, own)
+            seen += len(cells)
             score = part + often[cells]
             of = cells // self.blocks
             if but is not None:
@@ -299,20 +368,7 @@ class Index:
             chosen = ~chosen & (bound >= worst[:, None] - 1e-5) & (bound > 0)
             if turn or not chosen.any():
                 break
-        of, row, part, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((-score, of))
-        of, row, part, score = of[order], row[order], part[order], score[order]
-        # the product's rounding depends on the company of a text; those that may be among the first k are summed again one by one
-        begin, size = np.searchsorted(of, np.arange(texts)), np.bincount(of, minlength=texts)
-        least = np.full(texts, -np.inf)
-        least[size > k] = score[begin[size > k] + k - 1] - 2e-5
-        near = score >= least[of]
-        of, row = of[near], row[near]
-        score = np.round(part[near] + np.einsum("ij,ij->i", asked[of], self.matrix[row]), 6)
-        order = np.lexsort((row, -score, of))
-        of, row, score = of[order], row[order], score[order]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
-        return of[place < k], row[place < k], score[place < k]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)), seen / bound.size
 
     def votes(self, of: np.ndarray, row: np.ndarray, cosine: np.ndarray, texts: int, setting: tuple[float, float] | None = None) -> np.ndarray:
         """By text, the share of toxic neighbours, weighted by a power of the cosine, with the overall share of a little weight."""
@@ -534,7 +590,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = np.diff(lists.offsets.to_numpy())
     at = lists.flatten().to_numpy()
     # examples whose weightiest words agree stand in the same blocks; that tightens the blocks' bounds
-    rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
     common = np.full(len(n), -1)
     by_frequency = np.argsort(-frequency[: len(terms.hashes)], kind="stable")
     position = np.empty(len(by_frequency), np.int32)
@@ -542,15 +597,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if len(at):
         common[n > 0] = by_frequency[np.minimum.reduceat(position[at], (np.cumsum(n) - n)[n > 0])]
     place = np.argsort(common, kind="stable")
-    rank = np.empty(len(n), np.int32)
+    rank = np.empty(len(n), np.uint16 if len(n) <= 1 << 16 else np.int32)
     rank[place] = np.arange(len(n))
     docs_of, y = held.column("doc").to_numpy(), held.column("y").to_numpy()
-    rows, tf = rank[rows], tf.flatten().to_numpy()
+    rows, tf = np.repeat(rank, n), tf.flatten().to_numpy()
+    del held, lists, by_frequency, position, frequency
     index = Index(terms, weight, docs_of[place], y[place], rows, at, tf)
-    numbered = spark.createDataFrame(list(zip(docs_of.tolist(), rank.tolist(), strict=True)), "doc long, row int")
     # the index has what it needs of them; the driver does not hold them beside the copies for the executors
-    del held, lists, tf, n, at, rows, docs_of, y
+    del tf, n, at, rows, y
     release()
+    numbered = spark.createDataFrame(list(zip(docs_of.tolist(), rank.tolist(), strict=True)), "doc long, row int")
     uncalibrated = share(spark, index)
     votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
         _left_out_votes(uncalibrated), "row int, votes array<double>"

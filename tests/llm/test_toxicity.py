@@ -165,3 +165,51 @@ def test_the_setting_of_least_left_out_loss_is_taken():
     votes[:, 5] = y * 0.5 + rng.random(400) * 0.5
     index.choose(votes, y)
     assert index.setting == toxicity.SETTINGS[5]
+
+
+def postings(n, words, size, seed):
+    rng = np.random.default_rng(seed)
+    at = np.concatenate([np.sort(rng.choice(size, words, replace=False)) for _ in range(n)]).astype(np.int32)
+    return rng, np.repeat(np.arange(n, dtype=np.int32), words), at, rng.integers(1, 4, len(at), dtype=np.int32)
+
+
+def test_an_index_is_built_beside_few_copies_of_its_postings():
+    import tracemalloc
+
+    rng, rows, at, tf = postings(6000, 200, 30_000, 6)
+    args = toxicity.Terms(np.arange(30_000), []), 1 + rng.random(30_000), np.arange(6000), rng.integers(0, 2, 6000)
+    tracemalloc.start()
+    index = toxicity.Index(*args, rows, at, tf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # what is kept takes 6 bytes a posting; weights and terms stand beside it, sorted a part at a time
+    assert peak < 30 * len(at)
+    order = np.lexsort((rows, at))
+    assert np.array_equal(index.rows, rows[order]) and np.array_equal(index.start, np.searchsorted(at[order], np.arange(30_001)))
+
+
+def test_bounds_that_leave_nothing_out_are_given_up_and_change_no_result(monkeypatch):
+    rng, rows, at, tf = postings(3000, 60, 3000, 7)
+    index = toxicity.Index(toxicity.Terms(np.arange(3000), []), 1 + rng.random(3000), np.arange(3000), rng.integers(0, 2, 3000), rows, at, tf)
+    calls, evaluate = [], toxicity.Index._evaluate
+    monkeypatch.setattr(toxicity.Index, "_evaluate", lambda *a: calls.append(0) or evaluate(*a))
+    few = slice(0, 60 * toxicity.TOGETHER)
+    for but in (None, np.arange(toxicity.TOGETHER)):
+        calls.clear()
+        asked = rows[few].astype(np.int64), at[few].astype(np.int64), tf[few], toxicity.TOGETHER
+        got = index.nearest(*asked, but=but)
+        assert len(calls) <= 2
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "WORTH", 2.0)
+            assert all(np.array_equal(a, b) for a, b in zip(got, index.nearest(*asked, but=but), strict=True))
+            assert len(calls) > toxicity.TOGETHER // toxicity.FEW
+
+
+def test_words_are_runs_of_letters_in_any_script():
+    import re
+
+    every = "".join(map(chr, range(32, 256)))
+    for text in (every, "x".join(every), "Ünïcode ŸES ǅ Σας", every + "œ", "a b\u0085c²d_e", ""):
+        assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", text.lower())
+    # texts of which every character is one byte meet no pattern
+    assert toxicity._LETTERS["É".encode("latin-1")[0]] == "é".encode("latin-1")[0]
