@@ -88,46 +88,54 @@ def _blocks(x: np.ndarray) -> np.ndarray:
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
-    """Blocks -> windows of the block before and the block itself."""
-    return np.concatenate((x[:-1], x[1:]), axis=1)
+    """Windows of each block but the first and the block before it, as views that overlap."""
+    return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, *x.shape[1:]), (STRIDE * x.strides[0], *x.strides), writeable=False)
 
 
-def _attend(p, rows: np.ndarray, text: np.ndarray, tables):
+def _attend(p, rows: np.ndarray, text: np.ndarray, table: np.ndarray):
     """Hidden states of all positions; ``rows`` (embedding rows) and ``text`` (text numbers) start with a blank block.
 
     The values' last column is 1, so the weighted sum carries its own total.
     """
-    embed, q, k, v = tables
-    keys, values = _windows(_blocks(k[rows])), _windows(_blocks(v[rows]))
-    queries = _blocks(q[rows[STRIDE:]])
+    met = np.take(table, rows, axis=0)
+    queries = _blocks(met[STRIDE:])[..., WIDTH : 2 * WIDTH]
+    keys, values = _windows(met[:, 2 * WIDTH : 3 * WIDTH]), _windows(met[:, 3 * WIDTH :])
     score = queries @ keys.transpose(0, 2, 1)
     score += np.where(_CAUSAL > 0, p["lag"][_LAG], np.float32(-1e4))
     np.minimum(score, 30, out=score)
     np.exp(score, out=score)
     blocks = _blocks(text)
     mixed = np.flatnonzero((blocks[:-1, 0] != blocks[1:, -1]) | (blocks[:-1, -1] != blocks[1:, 0]))
-    if len(mixed):
+    if 2 * len(mixed) > len(score):
+        score *= _windows(text)[:, None, :] == blocks[1:, :, None]
+    elif len(mixed):
         around = np.concatenate((blocks[mixed], blocks[mixed + 1]), axis=1)
         score[mixed] *= around[:, None, :] == blocks[mixed + 1][:, :, None]
     summed = (score @ values).reshape(-1, WIDTH + 1)
-    hidden = summed[:, :WIDTH] / summed[:, WIDTH:]
-    hidden += embed[rows[STRIDE:]]
+    context = summed[:, :WIDTH] / summed[:, WIDTH:]
+    hidden = context + met[STRIDE:, :WIDTH]
     hidden /= 1 + np.abs(hidden)
-    return hidden, score, summed[:, WIDTH], queries, keys, values
+    return hidden, score, summed[:, WIDTH], context, met, queries, keys, values
 
 
-def _tables(p):
+def _projections(p) -> np.ndarray:
+    """Queries, scaled, keys and values side by side."""
+    return np.concatenate((p["query"] / np.float32(np.sqrt(WIDTH)), p["key"], p["value"]), axis=1)
+
+
+def _table(p) -> np.ndarray:
+    """By embedding row: the embedding, its query, key and value, and a 1."""
     e = p["embed"]
-    values = np.column_stack((e @ p["value"], np.ones(len(e), e.dtype)))
-    return e, e @ p["query"] / np.float32(np.sqrt(WIDTH)), e @ p["key"], values
+    return np.concatenate((e, e @ _projections(p), np.ones((len(e), 1), e.dtype)), axis=1)
 
 
 def _padded(rows: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole blocks, a blank one first. Texts are numbered anew, one after the other: short numbers tell those of a window apart."""
     tail = -len(rows) % STRIDE
-    return (
-        np.concatenate((np.zeros(STRIDE, rows.dtype), rows, np.zeros(tail, rows.dtype))),
-        np.concatenate((np.full(STRIDE, -1, text.dtype), text, np.full(tail, -2, text.dtype))),
-    )
+    marks = np.concatenate((np.full(STRIDE, -1, text.dtype), text, np.full(tail, -2, text.dtype)))
+    marks[1:] = np.cumsum(marks[1:] != marks[:-1])
+    marks[0] = 0
+    return np.concatenate((np.zeros(STRIDE, rows.dtype), rows, np.zeros(tail, rows.dtype))), marks.astype(np.int16)
 
 
 def _block_starts(text: np.ndarray) -> np.ndarray:
@@ -138,9 +146,19 @@ def _block_starts(text: np.ndarray) -> np.ndarray:
     return np.arange(len(text)) + np.repeat(np.cumsum(room) - room - begin, size)
 
 
-def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their groups, and where each group begins."""
-    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group, minlength=GROUPS))))
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions dealt to shelves of equal room that hold one group each: the place of every position, the shelves' groups, the room.
+
+    A group takes as many shelves as it needs; there are less than 48 and half as many free places as positions, so
+    that one product over all shelves does for any mix of groups.
+    """
+    size = np.bincount(group, minlength=GROUPS)
+    room = max(1, -(-len(group) // (2 * GROUPS)))
+    shelves = -(-size // room)
+    begin = (np.cumsum(shelves) - shelves) * room - (np.cumsum(size) - size)
+    place = np.empty(len(group), np.int64)
+    place[np.argsort(group, kind="stable")] = np.arange(len(group)) + np.repeat(begin, size)
+    return place, np.repeat(np.arange(GROUPS), shelves), room
 
 
 class Model:
@@ -155,7 +173,7 @@ class Model:
         c, p, n = self.classes, self.p, len(inputs)
         place = _block_starts(text) if aligned else np.arange(n)
         size = int(place[-1]) + 1 if n else 0
-        tables, ones = _tables(p), np.ones(MEMBERS, np.float32)
+        table, ones = _table(p), np.ones(MEMBERS, np.float32)
         rows, marks = np.zeros(size, c.embedding.dtype), np.full(size, -2)
         rows[place], marks[place] = c.embedding[inputs], text
         rows, marks = _padded(rows, marks)
@@ -163,34 +181,28 @@ class Model:
         for at in range(0, size, chunk):
             stop = min(len(rows) - STRIDE, at + chunk)
             a, z = np.searchsorted(place, (at, stop))
-            hidden = _attend(p, rows[at : stop + STRIDE], marks[at : stop + STRIDE], tables)[0][place[a:z] - at]
+            hidden = _attend(p, rows[at : stop + STRIDE], marks[at : stop + STRIDE], table)[0][place[a:z] - at]
             group, member = c.group[targets[a:z]], c.member[targets[a:z]]
             top = hidden @ p["group"]
             top += p["group_bias"]
             got = top[np.arange(z - a), group]
             total = np.exp(top, out=top) @ ones
-            order, edges = _by_group(group)
-            sorted_hidden, sorted_member = hidden[order], member[order]
-            more, norm = np.empty(z - a, np.float32), np.empty(z - a, np.float32)
-            for g in range(GROUPS):
-                at = slice(edges[g], edges[g + 1])
-                low = sorted_hidden[at] @ p["member"][g]
-                low += p["member_bias"][g]
-                more[at] = low[np.arange(len(low)), sorted_member[at]]
-                norm[at] = np.exp(low, out=low) @ ones
-            got[order] += more
-            total[order] *= norm
+            seat, shelf, room = _by_group(group)
+            spread = np.zeros((len(shelf) * room, WIDTH), hidden.dtype)
+            spread[seat] = hidden
+            low = spread.reshape(-1, room, WIDTH) @ p["member"][shelf]
+            low += p["member_bias"][shelf][:, None]
+            low = low.reshape(-1, MEMBERS)
+            got += low[seat, member]
+            total *= (np.exp(low, out=low) @ ones)[seat]
             out[a:z] += got - np.log(total)
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, text: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the class choices and its gradient."""
         c, p, n = self.classes, self.p, len(inputs)
-        e, tq, tk, tv = _tables(p)
         rows, marks = _padded(c.embedding[inputs], text)
-        full, prob, total, queries, keys, values = _attend(p, rows, marks, (e, tq, tk, tv))
-        prob /= total.reshape(-1, STRIDE, 1)
-        values = values[..., :WIDTH]
+        full, weight, total, context, met, queries, keys, values = _attend(p, rows, marks, _table(p))
         hidden = full[:n]
         group, member = c.group[targets], c.member[targets]
         g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
@@ -201,51 +213,55 @@ class Model:
         top /= (top @ ones)[:, None]
         right = top[every, group]
         top[every, group] -= 1
-        g["group"], g["group_bias"] = hidden.T @ top, top.sum(axis=0)
+        g["group"], g["group_bias"] = hidden.T @ top, np.ones(n, np.float32) @ top
         dh = top @ p["group"].T
-        order, edges = _by_group(group)
-        sorted_hidden, sorted_member = hidden[order], member[order]
-        back, right_member = np.empty_like(hidden), np.empty(n, np.float32)
-        for k in range(GROUPS):
-            at = slice(edges[k], edges[k + 1])
-            own = sorted_hidden[at]
-            low = own @ p["member"][k]
-            low += p["member_bias"][k]
-            np.exp(low, out=low)
-            low /= (low @ ones)[:, None]
-            rows_at = every[: len(low)]
-            right_member[at] = low[rows_at, sorted_member[at]]
-            low[rows_at, sorted_member[at]] -= 1
-            g["member"][k], g["member_bias"][k] = own.T @ low, low.sum(axis=0)
-            back[at] = low @ p["member"][k].T
+        place, shelf, room = _by_group(group)
+        spread = np.zeros((len(shelf) * room, WIDTH), hidden.dtype)
+        spread[place] = hidden
+        spread = spread.reshape(-1, room, WIDTH)
+        low = spread @ p["member"][shelf]
+        low += p["member_bias"][shelf][:, None]
+        low = low.reshape(-1, MEMBERS)
+        np.exp(low, out=low)
+        low /= (low @ ones)[:, None]
+        right_member = low[place, member]
+        low[place, member] -= 1
+        free = np.ones(len(low), dtype=bool)
+        free[place] = False
+        low[np.flatnonzero(free)] = 0
+        low = low.reshape(-1, room, MEMBERS)
+        held = (np.arange(GROUPS)[:, None] == shelf).astype(np.float32)
+        g["member"] = (held @ (spread.transpose(0, 2, 1) @ low).reshape(-1, WIDTH * MEMBERS)).reshape(GROUPS, WIDTH, MEMBERS)
+        g["member_bias"] = held @ (np.ones(room, np.float32) @ low)
+        dh += (low @ p["member"][shelf].transpose(0, 2, 1)).reshape(-1, WIDTH)[place]
         loss = -np.log(right).sum() - np.log(right_member).sum()
-        dh[order] += back
         dz = np.zeros_like(full)
-        dz[:n] = dh * (1 - np.abs(hidden)) ** 2
-        de = np.zeros((len(rows), WIDTH), np.float32)
-        de[STRIDE:] += dz
-        dctx = _blocks(dz)
-        dscore = dctx @ values.transpose(0, 2, 1)
-        dv = prob.transpose(0, 2, 1) @ dctx
-        dscore = prob * (dscore - (dscore * prob).sum(axis=2, keepdims=True))
+        slope = 1 - np.abs(hidden)
+        slope *= slope
+        np.multiply(dh, slope, out=dz[:n])
+        # what a window's weights get: the last column, against the values' 1, takes off what all of them share
+        shift = np.empty((len(full), WIDTH + 1), full.dtype)
+        np.divide(dz, total[:, None], out=shift[:, :WIDTH])
+        np.einsum("ij,ij->i", shift[:, :WIDTH], context, out=shift[:, WIDTH])
+        np.negative(shift[:, WIDTH], out=shift[:, WIDTH])
+        shift = _blocks(shift)
+        dscore = shift @ values.transpose(0, 2, 1)
+        dscore *= weight
         g["lag"] = np.bincount(_LAG.ravel(), dscore.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        dq = dscore @ keys
-        dk = dscore.transpose(0, 2, 1) @ queries
-
-        def folded(d):  # a block is the second half of its window and the first of the next
-            out = np.zeros((len(rows) // STRIDE, STRIDE, WIDTH), np.float32)
-            out[1:] += d[:, STRIDE:]
-            out[:-1] += d[:, :STRIDE]
-            return out.reshape(-1, WIDTH)
-
-        dk, dv, dq = folded(dk), folded(dv), dq.reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
-        own = e[rows]
-        g["key"], g["value"], g["query"] = own.T @ dk, own.T @ dv, own[STRIDE:].T @ dq
-        de += dk @ p["key"].T + dv @ p["value"].T
-        de[STRIDE:] += dq @ p["query"].T
-        order = np.argsort(rows, kind="stable")
+        # gradients of queries, keys and values side by side; a block is the second half of its window and the first of the next
+        side = np.zeros((len(rows), 3 * WIDTH), full.dtype)
+        blocks = _blocks(side)
+        blocks[1:, :, :WIDTH] = dscore @ keys
+        for at, d in ((WIDTH, dscore.transpose(0, 2, 1) @ queries), (2 * WIDTH, weight.transpose(0, 2, 1) @ shift[..., :WIDTH])):
+            blocks[1:, :, at : at + WIDTH] = d[:, STRIDE:]
+            blocks[:-1, :, at : at + WIDTH] += d[:, :STRIDE]
+        g["query"], g["key"], g["value"] = np.split((_blocks(met)[..., :WIDTH].transpose(0, 2, 1) @ blocks).sum(axis=0), 3, axis=1)
+        g["query"] = g["query"] / np.float32(np.sqrt(WIDTH))
+        de = side @ _projections(p).T
+        de[STRIDE:] += dz
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
-        g["embed"][rows[order][first]] = np.add.reduceat(de[order], first, axis=0)
+        g["embed"][rows[order[first]]] = np.add.reduceat(np.take(de, order, axis=0), first, axis=0)
         return float(loss) / n, {k: x / np.float32(n) for k, x in g.items()}
 
 

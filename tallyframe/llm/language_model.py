@@ -32,6 +32,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +101,25 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-def _split(texts: list[bytes | None]) -> list[list[bytes]]:
-    return [(t or b"").lower().split() for t in texts]
+def _joined(column: pa.Array, by: bytes) -> bytes:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column), by)[0].as_py() if len(column) else b""
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """Words as Python values, through one string; no word holds a blank, so that it can be cut there again."""
+    return _joined(words, b" ").split(b" ") if len(words) else []
+
+
+def _split(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(the number of words of each text, the words of all texts as places in a list, the list: each word once)"""
+    data = np.frombuffer(b"\n".join(t or b"" for t in texts).lower() + b"\n", np.uint8)
+    word = (data != 32) & (data - np.uint8(9) > 4)
+    edges = np.flatnonzero(np.diff(word, prepend=False))
+    begin, offsets = edges[::2], np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - begin, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
+    n = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(t or b"") + 1 for t in texts)])))
+    return n, words.indices.to_numpy(), _listed(words.dictionary)
 
 
 def _id_type(size: int) -> str:
@@ -140,20 +158,18 @@ def _read(speller):
                 if len(table) > TABLE:
                     yield from counted()
                     table, first_ids, counts = {}, first_ids[:0], counts[:0]
-                words = _split([r[1] for r in part])
                 texts += len(part)
-                n = [len(x) for x in words]
-                flat = list(chain.from_iterable(words))
-                at = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
+                n, flat, met = _split([r[1] for r in part])
+                at = np.fromiter(map(table.get, met, repeat(-1)), np.int64, len(met))
                 if len(gaps := np.flatnonzero(at < 0)):
-                    new = list(dict.fromkeys([flat[i] for i in gaps.tolist()]))
-                    table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                    new = [met[i] for i in gaps.tolist()]
+                    at[gaps] = np.arange(len(table), len(table) + len(new))
+                    table.update(zip(new, at[gaps].tolist(), strict=True))
                     ids, first = own.spell(new)
                     first_ids = np.concatenate((first_ids, ids[first[:-1]]))
                     counts = np.concatenate((counts, np.zeros(len(new), np.int64)))
-                    at[gaps] = [table[flat[i]] for i in gaps.tolist()]
-                counts += np.bincount(at, minlength=len(table))
-                ids, edges = first_ids[at].astype(kind), np.cumsum([0, *n])
+                counts[at] += np.bincount(flat, minlength=len(met))
+                ids, edges = first_ids[at].astype(kind)[flat], np.cumsum([0, *n])
                 keys, out = [], []
                 for (place, _), a, z in zip(part, edges.tolist(), edges[1:].tolist(), strict=False):
                     whole = np.concatenate(([own.end], ids[a:z], [own.end])).astype(kind)
@@ -171,23 +187,52 @@ def _read(speller):
     return run
 
 
-def _count_ids(speller):
-    """(word, n) -> by id: first (how often words begin with it), kinds (distinct words that do), read and follows (in distinct words)."""
+def _bytes(ids: np.ndarray, size: np.ndarray, kind: str) -> pa.Array:
+    """A column of ids as bytes; row i has the next ``size[i]`` of them."""
+    data = ids.astype(kind)
+    offsets = (np.cumsum([0, *size]) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first) of a column of ids as bytes: row i has ids[first[i]:first[i + 1]]."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
+    return np.frombuffer(_joined(column, b""), dtype=kind).astype(np.int32), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+
+
+def _spell(speller):
+    """(word, n) -> (word, n, ids as bytes); the end has none."""
 
     def run(batches):
         own = shared(speller).build()
-        first_n, kinds, read, follows = (np.zeros(len(own.begins), np.int64) for _ in range(4))
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            end = np.array([w == _END_WORD for w in words], dtype=bool)
-            first_n[own.end] += n[end].sum()
+            words = _listed(batch.column(0))
+            some = np.array([w != _END_WORD for w in words], dtype=bool)
             ids, first = own.spell([w for w in words if w != _END_WORD])
-            begin = ids[first[:-1]]
-            np.add.at(first_n, begin, n[~end])
-            kinds += np.bincount(begin, minlength=len(kinds))
-            read += np.bincount(ids, minlength=len(read))
-            follows += np.bincount(ids, minlength=len(read)) - np.bincount(begin, minlength=len(read))
-            follows[own.end] += len(begin)
+            size = np.zeros(len(words), np.int64)
+            size[some] = np.diff(first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(ids, size, _id_type(len(own.begins)))], names=["word", "n", "ids"])
+
+    return run
+
+
+def _count_ids(size: int):
+    """(n, ids as bytes) of words -> by id: first (how often words begin with it), kinds (distinct words that do), read and follows (in distinct words)."""
+
+    def run(batches):
+        end = size - 1
+        first_n, kinds, read, follows = (np.zeros(size, np.int64) for _ in range(4))
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, first = _ids(batch.column(1), _id_type(size))
+            word = first[1:] > first[:-1]
+            first_n[end] += n[~word].sum()
+            begin = ids[first[:-1][word]]
+            np.add.at(first_n, begin, n[word])
+            kinds += np.bincount(begin, minlength=size)
+            read += np.bincount(ids, minlength=size)
+            follows += np.bincount(ids, minlength=size) - np.bincount(begin, minlength=size)
+            follows[end] += len(begin)
         some = np.flatnonzero(first_n + read + follows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in (first_n, kinds, read, follows))], names=["id", "first", "kinds", "read", "follows"]
@@ -212,19 +257,31 @@ def _word_arrays(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarr
     return ids, targets, np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _word_steps(batches, own):
-    words = (w for batch in batches for (w,) in rows_of(batch, 1))
-    for some in sized(words, lambda w: 1 + len(w) // 3, BATCH):
-        yield _word_arrays(*own.spell(some), own.end)
+def _word_steps(batches, kind, end):
+    """Inputs, targets and word numbers of some whole words a time; the column ``room`` says how much of a step each takes."""
+    ids, size, room = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            more, first = _ids(batch.column(0), kind)
+            ids, size = np.concatenate((ids, more)), np.concatenate((size, np.diff(first)))
+            room = np.concatenate((room, batch.column(1).to_numpy(zero_copy_only=False)))
+        first, total, at = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(room))), 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + BATCH, "right")) - 1)
+            if to == len(size) and batch is not None:
+                break  # the next batch may go on with this step
+            yield _word_arrays(ids[first[at] : first[to]], first[at : to + 1] - first[at], end)
+            at = to
+        ids, size, room = ids[first[at] :], size[at:], room[at:]
 
 
-def _train(state, rate: float, speller=None):
-    """A pass over a partition's passages (or, with ``speller``, words) from the common weights -> (weights, tokens)."""
+def _train(state, rate: float, words: bool):
+    """A pass over a partition's passages or words from the common weights -> (weights, tokens)."""
 
     def run(batches):
         classes, flat = shared(state)
-        model, adam, tokens = Model(classes, unpack(flat)), Adam(rate), 0
-        for x, y, text in _word_steps(batches, shared(speller).build()) if speller else _passage_steps(batches, _id_type(len(classes.inside))):
+        model, adam, tokens, size = Model(classes, unpack(flat)), Adam(rate), 0, len(classes.inside)
+        for x, y, text in _word_steps(batches, _id_type(size), size - 1) if words else _passage_steps(batches, _id_type(size)):
             adam.step(model.p, model.gradient(x, y, text)[1])
             tokens += len(y)
         if tokens:
@@ -242,16 +299,16 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
-def _fit_level(rows: DataFrame, key: str, content: str, tokens: int, classes: Classes, speller=None) -> np.ndarray:
-    """Weights of one level, trained on the column ``content`` in an order by ``key``; ``tokens`` sets the number of tasks."""
+def _fit_level(rows: DataFrame, key: str, content: list[str], tokens: int, classes: Classes, words: bool) -> np.ndarray:
+    """Weights of one level, trained on the columns ``content`` in an order by ``key``; ``tokens`` sets the number of tasks."""
     spark, flat = rows.sparkSession, pack(initial(classes))
     tasks = max(1, -(-tokens // (ROUNDS * TOKENS_A_TASK)))
     groups = max(16, int(tasks**0.5))
     turn = F.pmod(F.xxhash64(F.lit(1), key), F.lit(ROUNDS))
     for r in range(ROUNDS if tokens else 0):
-        own = rows.where(turn == r).select(F.xxhash64(F.lit(2), key).alias("order"), content)
-        dealt = own.repartition(tasks, "order").sortWithinPartitions("order", content).select(content)
-        trained = dealt.mapInArrow(_train(share(spark, (classes, flat)), RATES[r], speller), "weights binary, n long")
+        own = rows.where(turn == r).select(F.xxhash64(F.lit(2), key).alias("order"), *content)
+        dealt = own.repartition(tasks, "order").sortWithinPartitions("order", *content).select(*content)
+        trained = dealt.mapInArrow(_train(share(spark, (classes, flat)), RATES[r], words), "weights binary, n long")
         some = trained.groupBy(F.pmod(F.xxhash64("weights"), F.lit(groups)).alias("g")).applyInArrow(_average, "weights binary, n long").toArrow()
         if some.num_rows:
             flat = np.frombuffer(_average(some).column("weights")[0].as_py(), dtype="<f4")
@@ -275,16 +332,15 @@ class Fitted:
 class Spelling:
     """The second level at work: log10(T(f) * P2(w)) of words, with f the first id, T(f) the distinct words that begin with it, 1 at least."""
 
-    def __init__(self, own: Speller, level, kinds: np.ndarray):
-        self.own, self.model = own, Model(level[0], unpack(level[1]))
+    def __init__(self, level, kinds: np.ndarray):
+        self.model = Model(level[0], unpack(level[1]))
         self.kinds = np.log10(np.maximum(kinds, 1))
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first ids, spelled)"""
-        if not words:
+    def __call__(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first ids, spelled) of words, word i of ids[first[i]:first[i + 1]]"""
+        if len(first) < 2:
             return np.zeros(0, np.int32), np.zeros(0)
-        ids, first = self.own.spell(words)
-        inputs, targets, word = _word_arrays(ids, first, self.own.end)
+        inputs, targets, word = _word_arrays(ids, first, len(self.kinds) - 1)
         # a word of one block at most is seen whole wherever it stands; longer ones begin a block
         long = (np.diff(first) > STRIDE)[word]
         logs = np.empty(len(ids))
@@ -294,16 +350,16 @@ class Spelling:
         return begin, np.add.reduceat(logs, first[:-1]) / _LN10 + self.kinds[begin]
 
 
-def _spell_counts(speller, state):
-    """(word, n) -> (word, first, n, spelled)"""
+def _spell_counts(state):
+    """(word, n, ids as bytes) -> (word, first, n, spelled)"""
 
     def run(batches):
         level, kinds = shared(state)
-        spelling = Spelling(shared(speller).build(), level, kinds)
+        spelling, kind = Spelling(level, kinds), _id_type(len(kinds))
         for batch in batches:
             for at in range(0, batch.num_rows, 5_000):
                 part = batch.slice(at, 5_000)
-                begin, spelled = spelling(part.column(0).to_pylist())
+                begin, spelled = spelling(*_ids(part.column(2), kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(begin), part.column(1), pa.array(spelled)], names=["word", "first", "n", "spelled"])
         release()
 
@@ -315,13 +371,12 @@ def _spell_unknown(speller, state):
 
     def run(batches):
         level, kinds = shared(state)
-        spelling = Spelling(shared(speller).build(), level, kinds)
+        own, spelling = shared(speller).build(), Spelling(level, kinds)
         for batch in batches:
             for at in range(0, batch.num_rows, 5_000):
                 part = batch.slice(at, 5_000)
-                words = part.column(2).to_pylist()
-                place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                spelled = spelling(list(place))[1][[place[w] for w in words]] if words else np.zeros(0)
+                words = part.column(2).dictionary_encode()
+                spelled = spelling(*own.spell(_listed(words.dictionary)))[1][words.indices.to_numpy()]
                 nothing = np.zeros(len(words))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nothing.astype(np.int64)), pa.array(nothing), pa.array(spelled * part.column(1).to_numpy(zero_copy_only=False))],
@@ -342,14 +397,15 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     speller = share(spark, SpellerSource(ranks, pattern))
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40))
     read = materialize(training.select(place, F.col(text).cast("binary")).mapInArrow(_read(speller), _READ), "read")
-    counts = materialize(read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.mapInArrow(_spell(speller), "word binary, n long, ids binary"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != F.lit(_END_WORD))
     end = counts.where(F.col("word") == F.lit(_END_WORD)).select("n").first()
     size = max(ranks.values()) + 2
     first, kinds, met, follows = (np.zeros(size) for _ in range(4))
     tables = {"first": first, "kinds": kinds, "read": met, "follows": follows}
-    ids = counts.mapInArrow(_count_ids(speller), "id int, first long, kinds long, read long, follows long")
+    ids = counts.select("n", "ids").mapInArrow(_count_ids(size), "id int, first long, kinds long, read long, follows long")
     for r in ids.groupBy("id").agg(*(F.sum(c).alias(c) for c in tables)).collect():  # one row an id at most
         for c, x in tables.items():
             x[r["id"]] = r[c]
@@ -363,10 +419,10 @@ def fit(training: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     passages = read.where("ids IS NOT NULL")
     tokens = passages.agg(F.sum("n")).first()[0] or 0
     levels = (
-        (classes[0], _fit_level(passages, "key", "ids", int(tokens), classes[0])),
-        (classes[1], _fit_level(words, "word", "word", int(met.sum()), classes[1], speller)),
+        (classes[0], _fit_level(passages, "key", ["ids"], int(tokens), classes[0], False)),
+        (classes[1], _fit_level(words.withColumn("room", F.expr("1 + octet_length(word) div 3")), "word", ["ids", "room"], int(met.sum()), classes[1], True)),
     )
-    known = words.select("word", "n").mapInArrow(_spell_counts(speller, share(spark, (levels[1], kinds))), "word binary, first int, n long, spelled double")
+    known = words.mapInArrow(_spell_counts(share(spark, (levels[1], kinds))), "word binary, first int, n long, spelled double")
     known = materialize(known, "known")
     frequent = known.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow().combine_chunks()
     least = frequent.column("n")[-1].as_py() if frequent.num_rows == FREQUENT else 1
@@ -387,7 +443,7 @@ class Words:
     def __init__(self, own: Speller, first: np.ndarray, kinds: np.ndarray, frequent: pa.Table, end_count: int):
         self.own, self.floor = own, np.log10(first + np.maximum(kinds, 1))
         names, begin, n, spelled = (frequent.column(c) for c in ("word", "first", "n", "spelled"))
-        self.always = {_END_WORD: 0} | {w: i for i, w in enumerate(names.to_pylist(), 1)}
+        self.always = {_END_WORD: 0} | {w: i for i, w in enumerate(chain.from_iterable(map(_listed, names.chunks)), 1)}
         begin, n, spelled = (x.to_numpy() for x in (begin, n, spelled))
         inner = np.log10(n + np.power(10.0, spelled)) - self.floor[begin]
         self.start = np.append(np.int32(own.end), begin.astype(np.int32)), np.append(end_count, n), np.append(0.0, inner)
@@ -397,21 +453,21 @@ class Words:
         self.table = dict(self.always)
         self.ids, self.count, self.inner = self.start
 
-    def rows(self, flat: list[bytes]) -> np.ndarray:
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The rows of distinct words."""
         if len(self.table) > len(self.always) + TABLE:
             self.clear()
         table = self.table
-        at = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
+        at = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
         if len(gaps := np.flatnonzero(at < 0)):
-            missed = [flat[i] for i in gaps.tolist()]
-            new = list(dict.fromkeys(missed))
-            table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            new = [words[i] for i in gaps.tolist()]
+            at[gaps] = np.arange(len(table), len(table) + len(new))
+            table.update(zip(new, at[gaps].tolist(), strict=True))
             ids, first = self.own.spell(new)
             begin = ids[first[:-1]]
             self.ids = np.concatenate((self.ids, begin))
             self.count = np.concatenate((self.count, np.zeros(len(new), np.int64)))
             self.inner = np.concatenate((self.inner, -self.floor[begin]))
-            at[gaps] = [table[w] for w in missed]
         return at
 
 
@@ -425,21 +481,24 @@ def _score(speller, state):
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             for part in sized(rows_of(batch, 2), lambda r: len(r[1] or b""), 500_000):
-                split = _split([r[1] for r in part])
-                for x in split:
-                    x.append(_END_WORD)
-                n = np.array([len(x) for x in split])
-                flat = list(chain.from_iterable(split))
-                at = words.rows(flat)
+                n, flat, met = _split([r[1] for r in part])
+                # every text ends with row 0, the end; new words are looked at once for all that they stand for
+                at, n = np.append(words.rows(met), 0), n + 1
+                met.append(_END_WORD)
                 doc = np.repeat(np.arange(len(part)), n)
-                c, targets = words.count[at], words.ids[at]
+                place = np.full(len(doc), len(met) - 1)
+                inside = np.ones(len(doc), dtype=bool)
+                inside[np.cumsum(n) - 1] = False
+                place[inside] = flat
+                count, known = words.count[at], words.inner[at]
+                c, targets = count[place], words.ids[at][place]
                 inputs = np.empty_like(targets)
                 inputs[1:] = targets[:-1]
                 inputs[np.cumsum(n) - n] = own.end
-                of_word = model.log_probs(inputs, targets, doc, aligned=True) / _LN10 + words.inner[at]
+                of_word = model.log_probs(inputs, targets, doc, aligned=True) / _LN10 + known[place]
                 # words that are not in the table, once a text with how often they stand there
                 rare = np.flatnonzero(c == 0)
-                _, some, times = np.unique(doc[rare] * len(words.table) + at[rare], return_index=True, return_counts=True)
+                _, some, times = np.unique(doc[rare] * len(met) + place[rare], return_index=True, return_counts=True)
                 rare = rare[some]
                 edges = pa.array(np.cumsum([0, *np.bincount(doc[rare], minlength=len(part))]), pa.int32())
                 sums = lambda x: pa.array(np.bincount(doc, x, minlength=len(part)))
@@ -449,9 +508,9 @@ def _score(speller, state):
                         pa.array([r[0] for r in part], pa.string()),
                         pa.array(n),
                         sums(c > 0).cast(pa.int64()),
-                        sums(np.log10(c + 1)),
+                        sums(np.log10(count + 1)[place]),
                         sums(of_word),
-                        pa.ListArray.from_arrays(edges, pa.array([flat[i] for i in rare.tolist()], pa.binary())),
+                        pa.ListArray.from_arrays(edges, pa.array([met[i] for i in place[rare].tolist()], pa.binary())),
                         pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
                     ],
                     names=[c.split()[0] for c in _SCORED.split(", ")],

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,58 @@ def test_words_are_spelled_alone(ranks):
             assert ids[first[i] : first[i + 1]].tolist() == s.encoding.encode_ordinary(" " + w)
 
 
+def test_texts_are_cut_at_ascii_blanks_only():
+    texts = [None, b"", b" \t\n\x0b\x0c\r", "A b\u00c4\u00a0c\x1cd\x85 \u2003e".encode(), b"x\x00y  b b\nA\x08", b"\xff\xfe z"]
+    n, places, words = language_model._split(texts)
+    want = [(t or b"").lower().split() for t in texts]
+    assert n.tolist() == [len(x) for x in want] and [words[i] for i in places] == [w for x in want for w in x]
+    assert len(set(words)) == len(words)
+    n, places, words = language_model._split([None])
+    assert n.tolist() == [0] and len(places) == 0 and words == []
+
+
+def test_each_distinct_word_is_looked_up_once(spark, ranks, monkeypatch):
+    looked, rows = [], language_model.Words.rows
+    monkeypatch.setattr(language_model.Words, "rows", lambda self, words: looked.append(list(words)) or rows(self, words))
+    texts = ["the cat sat on the mat the end", "new new words words here the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = language_model.fit(df.limit(1), ranks, bpe.PATTERN)
+    # the tasks' own code, here: a word that stands many times in the texts at hand costs one look
+    source = type("Shared", (), {"value": language_model.share(spark, language_model.SpellerSource(ranks, bpe.PATTERN)).value})()
+    state = (fitted.levels[0], fitted.first, fitted.kinds, fitted.frequent, fitted.end)
+    shared = type("Shared", (), {"value": language_model.share(spark, state).value})()
+    batch = pa.RecordBatch.from_arrays([pa.array(["0", "1"]), pa.array([t.encode() for t in texts])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(language_model._score(source, shared)([batch]))
+    assert out["n_tokens"].to_pylist() == [9, 7] and out["known"].to_pylist() == [9, 2]
+    assert sorted(zip(out["rare"][1].as_py(), out["times"][1].as_py(), strict=True)) == [(b"here", 1), (b"new", 2), (b"words", 2)]
+    assert len(looked) == 1 and len(looked[0]) == len(set(looked[0])) == 9
+
+
+def test_word_steps_go_on_over_batches(ranks, monkeypatch):
+    monkeypatch.setattr(language_model, "BATCH", 10)
+    own, rng = language_model.Speller(ranks, bpe.PATTERN), random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 9, 40]))).encode() for _ in range(60)]
+    kind, room = language_model._id_type(len(own.begins)), [1 + len(w) // 3 for w in words]
+    ids, first = own.spell(words)
+    whole = pa.RecordBatch.from_arrays([language_model._bytes(ids, np.diff(first), kind), pa.array(room, pa.int64())], names=["ids", "room"])
+    assert [x.tolist() for x in language_model._ids(whole.column(0).slice(7, 20), kind)] == [x.tolist() for x in own.spell(words[7:27])]
+    want = [language_model._word_arrays(*own.spell([words[i] for i, _ in some]), own.end) for some in language_model.sized(enumerate(room), lambda r: r[1], 10)]
+    for cuts in ([0, 60], [0, 1, 2, 30, 30, 59, 60]):
+        got = list(language_model._word_steps((whole.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)), kind, own.end))
+        assert len(got) == len(want) and all(np.array_equal(x, y) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+
+
+def test_one_group_of_targets_scores_like_many():
+    m, rng = small_model(), np.random.default_rng(5)
+    x, text = rng.integers(0, 400, 300), np.sort(rng.integers(0, 20, 300))
+    mixed = rng.integers(0, 400, 300)
+    alone = m.log_probs(x, np.full(300, mixed[77]), text)
+    assert abs(alone[77] - m.log_probs(x, mixed, text)[77]) < 1e-4
+    for group in (np.zeros(300, np.uint8), m.classes.group[mixed], m.classes.group[mixed][:1], m.classes.group[:0]):
+        place, shelf, room = attention._by_group(group)
+        assert len(set(place.tolist())) == len(group) and len(shelf) < 3 * attention.GROUPS and (shelf[place // room] == group).all()
+
+
 def test_base_counts_and_gain_over_the_base(spark, ranks, monkeypatch):
     rng = random.Random(4)
     kinds = [(["the", "and", "of"], ["ba", "lo", "ter", "min", "su", "kra"]), (["der", "und", "von"], ["che", "pfi", "sch", "ung", "keit"])]
