@@ -118,15 +118,11 @@ def _attend(p, rows: np.ndarray, text: np.ndarray, table: np.ndarray):
     return hidden, score, summed[:, WIDTH], context, met, queries, keys, values
 
 
-def _projections(p) -> np.ndarray:
-    """Queries, scaled, keys and values side by side."""
-    return np.concatenate((p["query"] / np.float32(np.sqrt(WIDTH)), p["key"], p["value"]), axis=1)
-
-
 def _table(p) -> np.ndarray:
-    """By embedding row: the embedding, its query, key and value, and a 1."""
+    """By embedding row: the embedding, its query, scaled, its key and value, and a 1."""
     e = p["embed"]
-    return np.concatenate((e, e @ _projections(p), np.ones((len(e), 1), e.dtype)), axis=1)
+    projections = np.concatenate((p["query"] / np.float32(np.sqrt(WIDTH)), p["key"], p["value"]), axis=1)
+    return np.concatenate((e, e @ projections, np.ones((len(e), 1), e.dtype)), axis=1)
 
 
 def _padded(rows: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +229,7 @@ class Model:
         held = (np.arange(GROUPS)[:, None] == shelf).astype(np.float32)
         g["member"] = (held @ (spread.transpose(0, 2, 1) @ low).reshape(-1, WIDTH * MEMBERS)).reshape(GROUPS, WIDTH, MEMBERS)
         g["member_bias"] = held @ (np.ones(room, np.float32) @ low)
-        dh += (low @ p["member"][shelf].transpose(0, 2, 1)).reshape(-1, WIDTH)[place]
+        dh += (low @ np.ascontiguousarray(p["member"].transpose(0, 2, 1))[shelf]).reshape(-1, WIDTH)[place]
         loss = -np.log(right).sum() - np.log(right_member).sum()
         dz = np.zeros_like(full)
         slope = 1 - np.abs(hidden)
@@ -248,16 +244,18 @@ class Model:
         dscore = shift @ values.transpose(0, 2, 1)
         dscore *= weight
         g["lag"] = np.bincount(_LAG.ravel(), dscore.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        # gradients of queries, keys and values side by side; a block is the second half of its window and the first of the next
-        side = np.zeros((len(rows), 3 * WIDTH), full.dtype)
-        blocks = _blocks(side)
-        blocks[1:, :, :WIDTH] = dscore @ keys
-        for at, d in ((WIDTH, dscore.transpose(0, 2, 1) @ queries), (2 * WIDTH, weight.transpose(0, 2, 1) @ shift[..., :WIDTH])):
-            blocks[1:, :, at : at + WIDTH] = d[:, STRIDE:]
-            blocks[:-1, :, at : at + WIDTH] += d[:, :STRIDE]
-        g["query"], g["key"], g["value"] = np.split((_blocks(met)[..., :WIDTH].transpose(0, 2, 1) @ blocks).sum(axis=0), 3, axis=1)
-        g["query"] = g["query"] / np.float32(np.sqrt(WIDTH))
-        de = side @ _projections(p).T
+
+        def folded(weights, d):  # a block is the second half of its window and the first of the next
+            out = np.zeros((len(weights) + 2, 2 * STRIDE, WIDTH), d.dtype)
+            np.matmul(weights.transpose(0, 2, 1), d, out=out[1:-1])
+            return (out[:-1, STRIDE:] + out[1:, :STRIDE]).reshape(-1, WIDTH)
+
+        dq, dk, dv = (dscore @ keys).reshape(-1, WIDTH), folded(dscore, queries), folded(weight, shift[..., :WIDTH])
+        own, scale = np.ascontiguousarray(met[:, :WIDTH]), np.float32(np.sqrt(WIDTH))
+        g["query"], g["key"], g["value"] = own[STRIDE:].T @ dq / scale, own.T @ dk, own.T @ dv
+        de = dk @ p["key"].T
+        de += dv @ p["value"].T
+        dz += dq @ (p["query"].T / scale)
         de[STRIDE:] += dz
         order = np.argsort(rows.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
