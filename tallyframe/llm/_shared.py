@@ -64,6 +64,19 @@ def shared(broadcast):
     return pickle.loads(broadcast.value)
 
 
+def share_arrays(spark: SparkSession, value):
+    """Like ``share``, for objects made of large arrays: a worker reads them in place (see ``shared_arrays``), and the driver makes no copy."""
+    buffers: list[pickle.PickleBuffer] = []
+    head = cloudpickle.dumps(value, protocol=5, buffer_callback=buffers.append)
+    return spark.sparkContext.broadcast((head, [pickle.PickleBuffer(b.raw().toreadonly()) for b in buffers]))
+
+
+def shared_arrays(broadcast):
+    """The object; its arrays are read-only views of what the worker holds of the broadcast, not copies beside that."""
+    head, buffers = broadcast.value
+    return pickle.loads(head, buffers=buffers)
+
+
 def sized(rows, size, limit: int):
     """Cut an iterable into lists whose summed ``size`` stays near ``limit``; one large row stands alone."""
     out, total = [], 0

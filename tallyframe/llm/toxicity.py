@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import materialize, release, rows_of, share, shared, sized
+from tallyframe.llm._shared import materialize, release, rows_of, share_arrays, shared_arrays, sized
 
 PREFIXES = (4, 5, 6)
 MAX_EXAMPLES = 12_000
@@ -253,6 +253,7 @@ class Index:
             flat = np.zeros((self.blocks * BLOCK, self.columns), np.float32)
             flat[rows, columns] = w
             self.matrix = flat
+            release()  # of what the entries and the matrix took on the way
 
     def _evaluate(self, chosen: np.ndarray, cell: np.ndarray, entry: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What terms with postings give to the cosines in the chosen (text, block) cells: one row of ``BLOCK`` a cell, and the cells."""
@@ -477,7 +478,7 @@ def _count_documents(terms):
     """Document frequencies of the terms in a task's documents, as (chunk of term numbers, 32-bit counts)."""
 
     def run(batches):
-        own: Terms = shared(terms)
+        own: Terms = shared_arrays(terms)
         counts = np.zeros(-(-len(own.hashes) // _CHUNK) * _CHUNK, dtype=np.int64)
         for batch in batches:
             for part in sized(rows_of(batch, 1), lambda r: len(r[0] or ""), 500_000):
@@ -487,6 +488,7 @@ def _count_documents(terms):
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array([parts[i].astype("<i8").tobytes() for i in some.tolist()], pa.binary())], names=["chunk", "counts"]
         )
+        own = batch = part = parts = None  # release() gives back only what nothing holds any more
         release()
 
     return run
@@ -501,7 +503,7 @@ def _add_counts(table: pa.Table) -> pa.Table:
 
 def _example_vectors(terms):
     def run(batches):
-        own: Terms = shared(terms)
+        own: Terms = shared_arrays(terms)
         for batch in batches:
             for part in sized(rows_of(batch, 3), lambda r: len(r[1] or ""), 1_000_000):
                 tfs = own.vectors([r[1] or "" for r in part])
@@ -512,6 +514,8 @@ def _example_vectors(terms):
                     ],
                     names=["doc", "y", "terms", "tf"],
                 )
+        own = batch = part = tfs = None
+        release()
 
     return run
 
@@ -520,7 +524,7 @@ def _left_out_votes(index):
     """(row, terms, tf) of examples -> their votes without themselves, under every setting."""
 
     def run(batches):
-        idx: Index = shared(index)
+        idx: Index = shared_arrays(index)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
@@ -530,6 +534,7 @@ def _left_out_votes(index):
                 votes = np.stack([idx.votes(*near, len(row), s) for s in SETTINGS], axis=1)
                 offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(SETTINGS))
                 yield pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(offsets, pa.array(votes.ravel()))], names=["row", "votes"])
+        idx = batch = part = row = terms = tf = None
         release()
 
     return run
@@ -576,7 +581,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     telling = [r["term"] for r in counts.where((share_ > p) & (ratio > 2 * math.log(tested + 1) + 4)).select("term").collect()]
     hashes = examples.select("text").mapInArrow(_word_hashes, "h long").distinct().toArrow().column("h").to_numpy()
     terms = Terms(hashes, sorted(telling))
-    space = share(spark, terms)
+    space = share_arrays(spark, terms)
     frequency = np.zeros(-(-len(terms.hashes) // _CHUNK) * _CHUNK, dtype=np.int64)
     found = every.select("text").mapInArrow(_count_documents(space), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary")
     for r in found.collect():  # a row for 4,096 terms of the examples
@@ -606,8 +611,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # the index has what it needs of them; the driver does not hold them beside the copies for the executors
     del tf, n, at, rows, y
     release()
-    numbered = spark.createDataFrame(list(zip(docs_of.tolist(), rank.tolist(), strict=True)), "doc long, row int")
-    uncalibrated = share(spark, index)
+    # as an Arrow table: a list would go through an RDD, for which executors keep Python workers of another kind beside those of the other stages
+    numbered = spark.createDataFrame(pa.table({"doc": docs_of, "row": rank.astype(np.int32)}))
+    uncalibrated = share_arrays(spark, index)
     votes = vectors.join(F.broadcast(numbered), "doc").select("row", "terms", "tf").repartition(max(1, int(size) // 250)).mapInArrow(
         _left_out_votes(uncalibrated), "row int, votes array<double>"
     )
@@ -625,7 +631,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _score(index):
     def run(batches):
-        idx: Index = shared(index)
+        idx: Index = shared_arrays(index)
         names = [str(x) for x in idx.ids]
         for batch in batches:
             for part in sized(rows_of(batch, 2), lambda r: len(r[1] or ""), 500_000):
@@ -638,6 +644,7 @@ def _score(index):
                     ],
                     names=["doc_id", "score", "evidence"],
                 )
+        idx = batch = part = names = near = None
         release()
 
     return run
@@ -652,7 +659,7 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
     """
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string"), F.col(text)).mapInArrow(
-        _score(share(docs.sparkSession, index)), "doc_id string, score double, evidence array<string>"
+        _score(share_arrays(docs.sparkSession, index)), "doc_id string, score double, evidence array<string>"
     )
     return rows.select(
         F.col("doc_id").cast(kind).alias("doc_id"), "score", F.col("evidence").cast(f"array<{kind.simpleString()}>").alias("evidence"),
@@ -662,16 +669,17 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
 
 def drop_toxic(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; the columns and all other rows stay as they are."""
-    model = share(docs.sparkSession, index)
+    model = share_arrays(docs.sparkSession, index)
 
     def clean(batches):
-        idx: Index = shared(model)
+        idx: Index = shared_arrays(model)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 keep = idx.scores([t or "" for t in part.column(at).to_pylist()])[0] < threshold
                 yield part.filter(pa.array(keep))
+        idx = batch = part = None
         release()
 
     return docs.mapInArrow(clean, docs.schema)

@@ -213,3 +213,68 @@ def test_words_are_runs_of_letters_in_any_script():
         assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", text.lower())
     # texts of which every character is one byte meet no pattern
     assert toxicity._LETTERS["É".encode("latin-1")[0]] == "é".encode("latin-1")[0]
+
+
+class Sent:
+    """A broadcast as a worker has it: unpickled once."""
+
+    def __init__(self, sent):
+        import pickle
+
+        self.value = pickle.loads(pickle.dumps(sent, 5))
+
+
+class Driver:
+    """Stands for a session; what is broadcast comes out as a worker has it."""
+
+    sparkContext = property(lambda self: self)
+    broadcast = staticmethod(Sent)
+
+
+def small_index(n=2000, words=100, size=20_000):
+    rng = np.random.default_rng(6)
+    at = np.concatenate([np.sort(rng.choice(size, words, replace=False)) for _ in range(n)])
+    terms = toxicity.Terms(np.sort(toxicity.term_hashes([f"w{i}" for i in range(size)])), [])
+    return toxicity.Index(terms, 1 + rng.random(size), np.arange(n), rng.integers(0, 2, n), np.repeat(np.arange(n), words), at, np.ones(len(at)))
+
+
+def test_a_worker_reads_the_index_in_place():
+    import tracemalloc
+
+    index = small_index()
+    sent = toxicity.share_arrays(Driver(), index)
+    tracemalloc.start()
+    mine = toxicity.shared_arrays(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < (index.rows.nbytes + index.w.nbytes) / 4
+    texts = ["w1 w2 w3 w4", "w7 w7 w7 w900", ""]
+    for one, other in zip(index.scores(texts), mine.scores(texts)):
+        assert np.array_equal(one, other) if isinstance(one, np.ndarray) else one == other
+
+
+def test_a_worker_lets_go_of_the_index_before_it_releases_memory(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    sent = toxicity.share_arrays(Driver(), small_index(50))
+    alive = []
+    monkeypatch.setattr(toxicity, "release", lambda: alive.append(sum(isinstance(x, toxicity.Index) for x in gc.get_objects())))
+    batch = pa.RecordBatch.from_arrays([pa.array(["1", "2"]), pa.array(["w1 w2", "w3"])], names=["doc_id", "text"])
+    gc.collect()
+    rows = [r.num_rows for r in toxicity._score(sent)(iter([batch]))]
+    assert sum(rows) == 2 and alive[-1] == 0
+
+
+def test_a_fit_needs_no_workers_of_another_kind(spark, monkeypatch):
+    rows = corpus(60, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs.count(), labels.count()
+
+    def refuse(*a, **b):
+        raise AssertionError("rows went through an RDD of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert toxicity.fit(docs, labels).blocks == 1
